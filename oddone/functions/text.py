@@ -48,8 +48,8 @@ def strip_echo(prompt, g) -> Column:
     words from last to first) marks the cut; keep the text after its last occurrence, stripped."""
     g = _c(g)
     words = F.reverse(py_split(_c(prompt)))
-    hit = F.get(F.filter(words, lambda w: F.instr(g, w) > 0), 0)
-    return F.when(hit.isNull(), py_strip(g)).otherwise(py_strip(F.substring_index(g, hit, -1)))
+    hit = F.get(F.filter(words, lambda w: F.contains(g, w)), 0)
+    return F.when(hit.isNull(), py_strip(g)).otherwise(py_strip(F.call_function("substring_index", g, hit, F.lit(-1))))
 
 
 def strip_label(g) -> Column:
@@ -67,7 +67,7 @@ def clean_generation(prompt, g, strip_prompt_echo=True) -> Column:
 
 def match_offset(g, cand) -> Column:
     """1-based offset of ``cand`` in ``g`` ignoring case, 0 when absent (empty cand -> 1)."""
-    return F.locate(F.lower(_c(cand)), F.lower(_c(g)))
+    return F.position(F.lower(_c(cand)), F.lower(_c(g)))
 
 
 def match_first(g, y, z) -> Column:
