@@ -119,3 +119,21 @@ SELECT row_idx, key FROM names WHERE key IN (SELECT key FROM chosen)""")
 @query("subset_k", SUBSET_SQL)
 def q_subset_k(spark, d):
     return subset_k(names(spark, d), SUBSET_K, seed=SEED).select("row_idx", "key")
+
+
+# Stimuli as a CTE chain ending in `st` (D4 columns, unrounded distances, shuffled y/z), for the
+# prompt and scoring oracles.
+STIMULI_CTES = with_sql(ITEMS_SQL, body=_draw_sql(
+    "cand AS (SELECT row_idx AS pos, key, vec FROM items)", True, str(2 * N_ITEMS)) + f""",
+st0 AS (SELECT triplet_id, a AS attempt_id, x_key AS item_x, y_key AS item_y, z_key AS item_z,
+               list_distance(x_vec, y_vec) AS dist_x_y, list_distance(x_vec, z_vec) AS dist_x_z,
+               list_distance(y_vec, z_vec) AS dist_y_z
+        FROM ranked WHERE triplet_id < {N_ITEMS}),
+st AS (SELECT *,
+       CASE WHEN {hash_sql(str(SEED), "'shuffle'", 'triplet_id')} % 2 = 1 THEN item_z ELSE item_y END AS shuffled_item_y,
+       CASE WHEN {hash_sql(str(SEED), "'shuffle'", 'triplet_id')} % 2 = 1 THEN item_y ELSE item_z END AS shuffled_item_z
+       FROM st0)""")
+
+
+def shuffled_stimuli(spark, d):
+    return shuffle_yz(stimuli(spark, d), seed=SEED)
