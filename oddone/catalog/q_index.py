@@ -1 +1,102 @@
-"""placeholder"""
+"""Answer-table queries: S3, S4, A1/W1/U1/U2/P3 item index, J5, J4, A5, H4."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from oddone.catalog import query
+from oddone.catalog.fixtures import ANSWERS_SQL, ITEMS_SQL, answers, items, read, with_sql
+from oddone.catalog.q_sampling import STIMULI_CTES, stimuli
+from oddone.operators.embedding import item_index, map_lenient, map_strict, split_train_test
+from oddone.operators.indexing import dense_index
+from oddone.sources.files import run_name
+
+SEED = 42
+
+_IDX_SQL = """idx AS (
+  SELECT run, item, (row_number() OVER (PARTITION BY run ORDER BY item) - 1)::BIGINT AS id
+  FROM (SELECT DISTINCT run, item FROM (
+          SELECT run, head AS item FROM answers UNION ALL SELECT run, winner FROM answers
+          UNION ALL SELECT run, loser FROM answers) u
+        WHERE item IS NOT NULL AND item <> '-1') d)"""
+
+
+@query("scan_answers", with_sql(ANSWERS_SQL, body="SELECT answer_id, run, head, winner, loser FROM answers"))
+def q_scan_answers(spark, d):
+    a = answers(spark, d)
+    return a.select("answer_id", "run", *[F.col(c).cast("string").alias(c) for c in ("head", "winner", "loser")])
+
+
+# answer files named by model run, as the folder reader would see them
+@query("folder_runs", with_sql(ANSWERS_SQL, body="""
+SELECT regexp_replace('model_triplet_output_m' || run || '_THINGS.csv', '\\.csv$', '') AS run_name, count(*) AS n_rows
+FROM answers GROUP BY 1"""))
+def q_folder_runs(spark, d):
+    a = answers(spark, d)
+    f = F.concat(F.lit("model_triplet_output_m"), F.col("run").cast("string"), F.lit("_THINGS.csv"))
+    return a.groupBy(run_name(f).alias("run_name")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("item_index", with_sql(ANSWERS_SQL, _IDX_SQL, body="SELECT run, item, id FROM idx"))
+def q_item_index(spark, d):
+    return item_index(answers(spark, d), "run").select("run", "item", F.col("id").cast("long"))
+
+
+@query("triplets_lenient", with_sql(ANSWERS_SQL, _IDX_SQL, body="""
+SELECT a.run, a.answer_id, h.id::INTEGER AS h, w.id::INTEGER AS w, l.id::INTEGER AS l
+FROM answers a JOIN idx h ON h.run = a.run AND h.item = a.head
+JOIN idx w ON w.run = a.run AND w.item = a.winner JOIN idx l ON l.run = a.run AND l.item = a.loser"""))
+def q_triplets_lenient(spark, d):
+    a = answers(spark, d)
+    return map_lenient(a, item_index(a, "run"), "run").select("run", "answer_id", "h", "w", "l")
+
+
+@query("triplets_strict", STIMULI_CTES + """,
+cidx AS (SELECT key, (row_number() OVER (ORDER BY key) - 1)::INTEGER AS id FROM (SELECT DISTINCT key FROM items) k)
+SELECT st.triplet_id, x.id AS item_x_id, y.id AS item_y_id, z.id AS item_z_id
+FROM st JOIN cidx x ON x.key = st.item_x JOIN cidx y ON y.key = st.item_y JOIN cidx z ON z.key = st.item_z""")
+def q_triplets_strict(spark, d):
+    keys = items(spark, d).select(F.col("key").alias("item")).distinct()
+    cidx = dense_index(keys, ["item"], "id")
+    st = stimuli(spark, d).select("triplet_id", "item_x", "item_y", "item_z")
+    out = map_strict(st, cidx, ["item_x", "item_y", "item_z"])
+    return out.select("triplet_id", "item_x_id", "item_y_id", "item_z_id")
+
+
+@query("validate_counts", with_sql(ANSWERS_SQL, _IDX_SQL, body="""
+, trip AS (SELECT a.answer_id FROM answers a JOIN idx h ON h.run = a.run AND h.item = a.head
+           JOIN idx w ON w.run = a.run AND w.item = a.winner JOIN idx l ON l.run = a.run AND l.item = a.loser)
+SELECT (SELECT count(*) FROM answers) AS n_rows,
+       (SELECT count(*) FROM answers WHERE winner IS NULL) AS n_unresolved,
+       (SELECT count(*) FROM answers WHERE loser = '-1') AS n_sentinel,
+       (SELECT count(*) FROM idx) AS n_index_rows,
+       (SELECT count(DISTINCT run) FROM answers) AS n_runs,
+       (SELECT count(*) FROM trip) AS n_triplets"""))
+def q_validate_counts(spark, d):
+    a = answers(spark, d)
+    idx = item_index(a, "run")
+    trip = map_lenient(a, idx, "run")
+    counts = a.agg(F.count(F.lit(1)).alias("n_rows"),
+                   F.count(F.when(F.col("winner").isNull(), 1)).alias("n_unresolved"),
+                   F.count(F.when(F.col("loser") == "-1", 1)).alias("n_sentinel"),
+                   F.countDistinct("run").alias("n_runs"))
+    n_idx = idx.agg(F.count(F.lit(1)).alias("n_index_rows"))
+    n_trip = trip.agg(F.count(F.lit(1)).alias("n_triplets"))
+    one = [F.lit(1).alias("_k")]  # three one-row aggregates side by side
+    return (counts.select("*", *one).join(n_idx.select("*", *one), "_k").join(n_trip.select("*", *one), "_k")
+            .select("n_rows", "n_unresolved", "n_sentinel", "n_index_rows", "n_runs", "n_triplets"))
+
+
+@query("train_test_split", f"""
+WITH k AS (SELECT l_orderkey, l_linenumber, l_orderkey || ':' || l_linenumber AS key FROM lineitem),
+h AS (SELECT *, ('0x' || substr(md5(concat_ws(':', {SEED}, 'split', key)), 1, 15))::BIGINT AS hv FROM k)
+SELECT l_orderkey, l_linenumber,
+       row_number() OVER (ORDER BY hv, key) <= ceil(0.2 * (SELECT count(*) FROM k)) AS is_test
+FROM h""")
+def q_train_test_split(spark, d):
+    li = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    li = li.withColumn("key", F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")))
+    return split_train_test(li, "key", seed=SEED, test_size=0.2).select("l_orderkey", "l_linenumber", "is_test")
+
+
+_ = ITEMS_SQL
