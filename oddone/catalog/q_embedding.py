@@ -1 +1,78 @@
-"""placeholder"""
+"""Ordinal-embedding queries: A9 loss and gradient, F5 accuracy, F3 distributed fit, F4 per-run fits."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from oddone.catalog import query
+from oddone.catalog.fixtures import ANSWERS_SQL, ITEMS_SQL, answers, items, with_sql
+from oddone.operators.embedding import (embedding_frame, fit_embedding, fit_runs, grad_rows, item_index,
+                                        map_lenient, split_train_test, ste_terms)
+
+DIM = 64  # vector dimension of the driver's embeddings table
+FIT_D, FIT_EPOCHS, RUN_EPOCHS = 4, 5, 30
+SEED = 42
+
+
+def _terms(spark, d):
+    it = items(spark, d).select("key", "vec")
+    a = answers(spark, d).select("answer_id", "head", "winner", "loser")
+    for c, v in (("head", "h_vec"), ("winner", "w_vec"), ("loser", "l_vec")):
+        a = a.join(it.select(F.col("key").alias(c), F.col("vec").alias(v)), c)
+    return ste_terms(a)
+
+
+def _sq(a: str, b: str) -> str:
+    return f"list_sum(list_transform(range(1, len({a}) + 1), lambda i: ({a}[i] - {b}[i]) * ({a}[i] - {b}[i])))"
+
+
+_TERMS_SQL = f""", t AS (
+  SELECT a.answer_id, a.head, a.winner, a.loser, h.vec AS hv, w.vec AS wv, l.vec AS lv
+  FROM answers a JOIN items h ON h.key = a.head JOIN items w ON w.key = a.winner JOIN items l ON l.key = a.loser),
+m AS (SELECT *, {_sq('hv', 'wv')} AS dhw, {_sq('hv', 'lv')} AS dhl FROM t),
+s AS (SELECT *, CASE WHEN dhw - dhl > 30 THEN dhw - dhl ELSE ln(1 + exp(dhw - dhl)) END AS loss,
+             1.0 / (1.0 + exp(-(dhw - dhl))) AS s FROM m)"""
+
+
+@query("triplet_loss", with_sql(ITEMS_SQL, ANSWERS_SQL, body=_TERMS_SQL + """
+SELECT count(*) AS n, round(sum(loss), 6) AS loss, round(avg(loss), 6) AS mean_loss FROM s"""))
+def q_triplet_loss(spark, d):
+    t = _terms(spark, d)
+    return t.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("loss"), 6).alias("loss"),
+                  F.round(F.avg("loss"), 6).alias("mean_loss"))
+
+
+@query("triplet_accuracy", with_sql(ITEMS_SQL, ANSWERS_SQL, body=_TERMS_SQL + """
+SELECT count(*) AS n, count(*) FILTER (WHERE dhw < dhl) AS n_correct,
+       round(count(*) FILTER (WHERE dhw < dhl) / count(*), 6) AS accuracy FROM s"""))
+def q_triplet_accuracy(spark, d):
+    t = _terms(spark, d)
+    n_ok = F.count(F.when(F.col("correct"), 1))
+    return t.agg(F.count(F.lit(1)).alias("n"), n_ok.alias("n_correct"),
+                 F.round(n_ok / F.count(F.lit(1)), 6).alias("accuracy"))
+
+
+@query("triplet_grad_step", with_sql(ITEMS_SQL, ANSWERS_SQL, body=_TERMS_SQL + f""",
+g AS (SELECT head AS item, i AS dim, 2 * s * (lv[i + 1] - wv[i + 1]) AS v FROM s, range(0, {DIM}) r(i)
+      UNION ALL SELECT winner, i, 2 * s * (wv[i + 1] - hv[i + 1]) FROM s, range(0, {DIM}) r(i)
+      UNION ALL SELECT loser, i, 2 * s * (hv[i + 1] - lv[i + 1]) FROM s, range(0, {DIM}) r(i))
+SELECT item, dim::INTEGER AS dim, round(sum(v), 6) + 0.0 AS grad FROM g GROUP BY item, dim"""))
+def q_triplet_grad_step(spark, d):
+    g = grad_rows(_terms(spark, d))
+    return g.select("item", "dim", (F.round("grad", 6) + F.lit(0.0)).alias("grad"))
+
+
+@query("fit_embedding")  # iterative fit: rows-only check
+def q_fit_embedding(spark, d):
+    a = answers(spark, d)
+    idx = item_index(a)
+    trip = map_lenient(a, idx)
+    trip = split_train_test(trip, "answer_id", seed=SEED).filter(~F.col("is_test"))
+    n = idx.count()
+    X, _ = fit_embedding(trip, n, FIT_D, FIT_EPOCHS, seed=SEED)
+    return embedding_frame(spark, X, idx)
+
+
+@query("fit_per_run")  # one fit per run: rows-only check
+def q_fit_per_run(spark, d):
+    return fit_runs(answers(spark, d), "run", d=FIT_D, max_epochs=RUN_EPOCHS, seed=SEED)
