@@ -110,3 +110,15 @@ FROM g""")
 def q_batch_progress(spark, d):
     doc = read(spark, d, "documents").select("doc_id", "text")
     return batch_progress(batch_ids(doc, "doc_id", "text", BATCH), BATCH)
+
+
+# Flagship: the minimum slice end to end — items and vectors -> constrained draw -> y/z shuffle ->
+# prompt -> batch scoring -> answer resolution -> how often each item wins.
+@query("wins_per_item", _SCORED_CTES + """
+SELECT item, count(*) AS wins FROM (
+  SELECT CASE WHEN chosen = item_y THEN item_y WHEN chosen = item_z THEN item_z END AS item FROM ch) w
+WHERE item IS NOT NULL GROUP BY item""")
+def q_wins_per_item(spark, d):
+    sc = _scored(spark, d, "tokens")
+    return sc.filter(F.col("winner").isNotNull()).groupBy(F.col("winner").alias("item")).agg(
+        F.count(F.lit(1)).alias("wins"))
