@@ -40,6 +40,7 @@ from oddone.functions.vectors import euclid
 from oddone.operators.indexing import dense_index, first_n_by
 from oddone.operators.joins import fits_broadcast
 from oddone.operators.vectors import _collect_matrix, matrix_row_bytes
+from oddone.session import ensure_checkpoint_dir
 
 # Fixed value: attempts allowed per requested triplet (the reference's cap).
 ATTEMPTS_PER_ITEM = 100
@@ -161,13 +162,14 @@ def draw_triplets(cand: DataFrame, n_items: int, euclid_min: float | None = None
             raise ValueError("sample larger than population")
     bc = None
 
-    waves = []
+    waves, drawn = [], []
     done, a0 = 0, 0
     wave = n_items
     while done < n_items and a0 < max_attempts and n > 0:
         a1 = min(max_attempts, a0 + wave)
         res = _draw_phase(spark, cand_b, n, a0, a1, seed, draws, lo, hi, use_vectors)
         res = res.persist(StorageLevel.MEMORY_AND_DISK)
+        drawn.append(res)
         missing = F.col("y_pos").isNull() | F.col("z_pos").isNull()
         resolved = res.filter(~missing).select("a", "x_key", "y_pos", "y_key", "z_pos", "z_key")
         unresolved = res.filter(missing)
@@ -212,9 +214,18 @@ def draw_triplets(cand: DataFrame, n_items: int, euclid_min: float | None = None
         dists = [euclid("x_vec", "y_vec"), euclid("x_vec", "z_vec"), euclid("y_vec", "z_vec")]
     else:
         dists = [F.lit(None).cast("double")] * 3
-    return out.select(F.col("triplet_id"), F.col("a").alias("attempt_id"), F.col("x_key").alias("item_x"),
-                      F.col("y_key").alias("item_y"), F.col("z_key").alias("item_z"),
-                      dists[0].alias("dist_x_y"), dists[1].alias("dist_x_z"), dists[2].alias("dist_y_z"))
+    out = out.select(F.col("triplet_id"), F.col("a").alias("attempt_id"), F.col("x_key").alias("item_x"),
+                     F.col("y_key").alias("item_y"), F.col("z_key").alias("item_z"),
+                     dists[0].alias("dist_x_y"), dists[1].alias("dist_x_z"), dists[2].alias("dist_y_z"))
+    # materialise the n_items stimuli once in the shared checkpoint folder: every consumer
+    # (render, score, export) reads them back instead of re-running the waves
+    ensure_checkpoint_dir(spark)
+    result = out.checkpoint(eager=True)
+    for ok, _ in waves:
+        ok.unpersist()
+    for c in drawn + [cand]:
+        c.unpersist()
+    return result
 
 
 def _stimuli_schema():

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from typing import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,40 +53,49 @@ def batch_progress(batched: DataFrame, batch_size: int, n_total: int | None = No
     return per.withColumn("processed", F.least((F.col("batch_id") + 1) * batch_size, F.lit(n_total)).cast("long"))
 
 
-def _runner(scorer: Callable, mode: str, cols: list[str]):
+def _runner(scorer: Callable, mode: str):
     out_cols = ["id", "batch_id", "text", "head", "y", "z"]
 
-    def emit(frames):
-        batch = pd.concat(frames, ignore_index=True) if len(frames) > 1 else frames[0]
-        res = scorer(batch.reset_index(drop=True))
-        out = batch[out_cols].copy()
+    def score_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Call the scorer once per batch of the chunk (rows are sorted by batch_id, batch_pos)."""
+        b = pdf["batch_id"].to_numpy()
+        cuts = np.flatnonzero(b[1:] != b[:-1]) + 1
+        bounds = np.concatenate([[0], cuts, [len(pdf)]])
+        outs = []
+        for s, e in zip(bounds[:-1], bounds[1:]):
+            batch = pdf.iloc[s:e].reset_index(drop=True)
+            res = scorer(batch)
+            if mode == "tokens":
+                res = list(res)
+                if len(res) != len(batch):
+                    raise ValueError("scorer returned a different number of generations than prompts")
+            else:
+                res = pd.DataFrame(res).reset_index(drop=True)
+            outs.append(res)
+        out = pdf[out_cols].reset_index(drop=True)
         if mode == "tokens":
-            res = list(res)
-            if len(res) != len(batch):
-                raise ValueError("scorer returned a different number of generations than prompts")
-            out["raw"] = pd.Series(res, dtype=object).values
+            out["raw"] = pd.Series([g for r in outs for g in r], dtype=object)
         else:
-            res = pd.DataFrame(res).reset_index(drop=True)
+            res = pd.concat(outs, ignore_index=True)
             for c in ("lp_y1", "lp_z1", "y_tok", "z_tok"):
-                out[c] = res[c].values
+                out[c] = res[c].to_numpy()
         return out
 
     def run(chunks):
-        pending = []  # rows of a batch cut by an Arrow chunk boundary
+        pending = None  # rows of a batch cut by an Arrow chunk boundary
         for pdf in chunks:
-            if pending:
-                pdf = pd.concat(pending + [pdf], ignore_index=True)
-                pending = []
+            if pending is not None:
+                pdf = pd.concat([pending, pdf], ignore_index=True)
+                pending = None
             if pdf.empty:
                 continue
             last = pdf["batch_id"].iloc[-1]
-            tail = pdf[pdf["batch_id"] == last]
-            body = pdf[pdf["batch_id"] != last]
-            for _, grp in body.groupby("batch_id", sort=True):
-                yield emit([grp.sort_values("batch_pos")])
-            pending = [tail]
-        if pending:
-            yield emit([pending[0].sort_values("batch_pos")])
+            whole = pdf["batch_id"].to_numpy() != last
+            pending = pdf[~whole]
+            if whole.any():
+                yield score_chunk(pdf[whole])
+        if pending is not None and not pending.empty:
+            yield score_chunk(pending)
 
     return run
 
@@ -116,7 +126,7 @@ def score_prompts(df: DataFrame, scorer: Callable, mode: str = "tokens", batch_s
     else:
         schema = (f"id {id_type}, batch_id long, text string, head string, y string, z string, "
                   "lp_y1 double, lp_z1 double, y_tok int, z_tok int")
-    scored = laid.mapInPandas(_runner(scorer, mode, list(base.columns)), schema)
+    scored = laid.mapInPandas(_runner(scorer, mode), schema)
     if mode == "tokens":
         cleaned = clean_generation(F.col("text"), F.col("raw"), strip_prompt_echo)
         scored = scored.withColumn("raw_generation", cleaned)
