@@ -45,23 +45,29 @@ from oddone.session import ensure_checkpoint_dir
 # Fixed value: attempts allowed per requested triplet (the reference's cap).
 ATTEMPTS_PER_ITEM = 100
 TAIL_SALT = 16
+FIRST_STAGE = 8
 
 STIMULI_COLS = ["triplet_id", "attempt_id", "item_x", "item_y", "item_z", "dist_x_y", "dist_x_z", "dist_y_z"]
 
 
-def _py_hash(seed, purpose, a, pos) -> int:
-    return int(hashlib.md5(f"{seed}:{purpose}:{a}:{pos}".encode()).hexdigest()[:15], 16)
+def _py_hash(seed, purpose, a, b) -> int:
+    """Python twin of :func:`seeded_hash` for ``seed:purpose:a:b``."""
+    return int(hashlib.md5(f"{seed}:{purpose}:{a}:{b}".encode()).hexdigest()[:15], 16)
 
 
-def _draw_phase(spark, cand_b: DataFrame, n: int, a0: int, a1: int, seed: int, draws: int,
-                lo: float | None, hi: float | None, use_vectors: bool) -> DataFrame:
-    """Per attempt in [a0, a1): x, first near (y) and first far != y (z) among the draws."""
+def _attempts(spark, cand_b: DataFrame, n: int, a0: int, a1: int, seed: int) -> DataFrame:
+    """Attempts ``[a0, a1)`` with their x row; ``spark.range`` is range-partitioned on ``a``."""
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")) * 4, (a1 - a0) // 2000 + 1))
     att = spark.range(a0, a1, numPartitions=parts).withColumnRenamed("id", "a")
     att = att.withColumn("x_pos", seeded_choice(F.lit(n), seed, "x", F.col("a")))
     xs = cand_b.select(F.col("pos").alias("x_pos"), F.col("key").alias("x_key"), F.col("vec").alias("x_vec"))
-    att = att.join(xs, "x_pos")
-    dr = att.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    return att.join(xs, "x_pos")
+
+
+def _draw_phase(att: DataFrame, cand_b: DataFrame, n: int, seed: int, k_hi: int,
+                lo: float | None, hi: float | None, use_vectors: bool) -> DataFrame:
+    """Per attempt: first near (y) and first far other than y's row (z) among draws ``k < k_hi``."""
+    dr = att.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(k_hi - 1))))
     dr = dr.withColumn("c_pos", seeded_choice(F.lit(n), seed, "draw", F.col("a"), F.col("k")))
     cs = cand_b.select(F.col("pos").alias("c_pos"), F.col("key").alias("c_key"), F.col("vec").alias("c_vec"))
     dr = dr.join(cs, "c_pos")
@@ -79,19 +85,17 @@ def _draw_phase(spark, cand_b: DataFrame, n: int, a0: int, a1: int, seed: int, d
     cand_struct = F.struct(F.col("k"), F.col("c_pos").alias("pos"), F.col("c_key").alias("key"))
     agg = dr.groupBy("a").agg(  # `a` is range-partitioned already: no exchange
         F.any_value("x_pos").alias("x_pos"), F.any_value("x_key").alias("x_key"),
-        F.any_value("x_vec").alias("x_vec"),
         F.min(F.when(F.col("near"), cand_struct)).alias("y"),
-        F.array_sort(F.collect_list(F.when(F.col("far"), cand_struct))).alias("fars"),
-        F.collect_set("c_pos").alias("seen"),
+        F.array_sort(F.collect_list(F.when(F.col("far"), cand_struct))).alias("fars"),  # <= k_hi entries
     )
     y_pos = F.coalesce(F.col("y.pos"), F.lit(-1))
-    z = F.get(F.filter(F.col("fars"), lambda s: s["pos"] != y_pos), 0)  # at most `draws` entries
-    return agg.select("a", "x_pos", "x_key", "x_vec",
+    z = F.get(F.filter(F.col("fars"), lambda s: s["pos"] != y_pos), 0)
+    return agg.select("a", "x_pos", "x_key",
                       F.col("y.pos").alias("y_pos"), F.col("y.key").alias("y_key"),
-                      z["pos"].alias("z_pos"), z["key"].alias("z_key"), "seen")
+                      z["pos"].alias("z_pos"), z["key"].alias("z_key"))
 
 
-def _tail(spark, unresolved: DataFrame, bc, seed: int, lo, hi, use_vectors: bool) -> DataFrame:
+def _tail(spark, unresolved: DataFrame, bc, seed: int, lo, hi, use_vectors: bool, n: int, draws: int) -> DataFrame:
     """Finish attempts still missing y or z over their unseen rows (uniform seeded order)."""
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -114,7 +118,7 @@ def _tail(spark, unresolved: DataFrame, bc, seed: int, lo, hi, use_vectors: bool
                     idx = np.flatnonzero(ok)
                     cache[xk] = (idx, idx)
             near_idx, far_idx = cache[xk]
-            seen = set(int(s) for s in r.seen)
+            seen = {_py_hash(seed, "draw", r.a, k) % n for k in range(draws)}
             y_pos, y_key, z_pos, z_key = r.y_pos, r.y_key, r.z_pos, r.z_key
             if y_pos is None or (isinstance(y_pos, float) and math.isnan(y_pos)):
                 cands = [int(p) for p in near_idx if int(p) not in seen]
@@ -147,14 +151,16 @@ def draw_triplets(cand: DataFrame, n_items: int, euclid_min: float | None = None
     ``cand``: ``(pos, key, vec)`` with dense ``pos`` 0..n-1 (see :func:`candidates`).
     Returns ``STIMULI_COLS`` (distances NULL for the unconstrained draw)."""
     spark = cand.sparkSession
+    cand = cand.select("pos", "key", "vec").persist(StorageLevel.MEMORY_AND_DISK)
     n = n_rows if n_rows is not None else cand.count()
     max_attempts = max_attempts if max_attempts is not None else ATTEMPTS_PER_ITEM * n_items
     first = cand.filter(F.col("vec").isNotNull()).select(F.size("vec")).first() if use_vectors else None
     dim = first[0] if first else 0
     if not fits_broadcast(spark, n, matrix_row_bytes(dim)):
         raise ValueError("candidate table too large to broadcast; raise oddone.broadcast.maxBytes")
-    cand = cand.select("pos", "key", "vec").persist(StorageLevel.MEMORY_AND_DISK)
     cand_b = F.broadcast(cand)
+    xs_b = F.broadcast(cand.select(F.col("pos").alias("x_pos"), F.col("key").alias("x_key"), F.col("vec").alias("x_vec")))
+    ensure_checkpoint_dir(spark)
     lo = float(euclid_min) if euclid_min is not None else None
     hi = float(euclid_max) if euclid_max is not None else None
     if not use_vectors:
@@ -162,28 +168,38 @@ def draw_triplets(cand: DataFrame, n_items: int, euclid_min: float | None = None
             raise ValueError("sample larger than population")
     bc = None
 
-    waves, drawn = [], []
+    waves = []
     done, a0 = 0, 0
     wave = n_items
     while done < n_items and a0 < max_attempts and n > 0:
         a1 = min(max_attempts, a0 + wave)
-        res = _draw_phase(spark, cand_b, n, a0, a1, seed, draws, lo, hi, use_vectors)
-        res = res.persist(StorageLevel.MEMORY_AND_DISK)
-        drawn.append(res)
+        att = _attempts(spark, cand_b, n, a0, a1, seed)
         missing = F.col("y_pos").isNull() | F.col("z_pos").isNull()
-        resolved = res.filter(~missing).select("a", "x_key", "y_pos", "y_key", "z_pos", "z_key")
+        # staged draws, same result as evaluating all `draws` at once: when y and z are found among
+        # the first `first` draws they are also the first among all draws.  Stage results are
+        # checkpointed (shared folder): later steps read them instead of re-running the draws.
+        first = min(FIRST_STAGE, draws)
+        res = _draw_phase(att, cand_b, n, seed, first, lo, hi, use_vectors).checkpoint(eager=True)
+        resolved = res.filter(~missing)
         unresolved = res.filter(missing)
-        if unresolved.limit(1).count() > 0:
+        if first < draws and not unresolved.isEmpty():
+            again = unresolved.select("a", "x_pos").join(xs_b, "x_pos")
+            res2 = _draw_phase(again, cand_b, n, seed, draws, lo, hi, use_vectors).checkpoint(eager=True)
+            resolved = resolved.unionByName(res2.filter(~missing))
+            unresolved = res2.filter(missing)
+        resolved = resolved.select("a", "x_key", "y_pos", "y_key", "z_pos", "z_key")
+        if not unresolved.isEmpty():
             if bc is None:
                 _, keys, has, mat = _collect_matrix(cand)
                 bc = spark.sparkContext.broadcast((keys, has, mat))
-            finished = _tail(spark, unresolved, bc, seed, lo, hi, use_vectors)
+            tail_in = unresolved.select("a", "x_pos", "y_pos", "y_key", "z_pos", "z_key").join(xs_b, "x_pos")
+            finished = _tail(spark, tail_in.drop("x_pos"), bc, seed, lo, hi, use_vectors, n, draws)
             finished = finished.filter(F.col("y_pos").isNotNull()).join(
                 unresolved.select("a", "x_key"), "a")
             ok = resolved.unionByName(finished.select("a", "x_key", "y_pos", "y_key", "z_pos", "z_key"))
         else:
             ok = resolved
-        ok = ok.filter((F.col("y_key") != "") & (F.col("z_key") != "")).persist(StorageLevel.MEMORY_AND_DISK)
+        ok = ok.filter((F.col("y_key") != "") & (F.col("z_key") != "")).checkpoint(eager=True)
         s = ok.count()
         waves.append((ok, s))
         done += s
@@ -221,10 +237,7 @@ def draw_triplets(cand: DataFrame, n_items: int, euclid_min: float | None = None
     # (render, score, export) reads them back instead of re-running the waves
     ensure_checkpoint_dir(spark)
     result = out.checkpoint(eager=True)
-    for ok, _ in waves:
-        ok.unpersist()
-    for c in drawn + [cand]:
-        c.unpersist()
+    cand.unpersist()
     return result
 
 
