@@ -28,8 +28,8 @@ def nearer_logits_scorer(batch: pd.DataFrame) -> pd.DataFrame:
                          "y_tok": batch["y"].str.len().astype("int32"), "z_tok": batch["z"].str.len().astype("int32")})
 
 
-def _scored(spark, d, mode):
-    st = rendered(spark, d)
+def _scored(spark, d, mode, st=None):
+    st = rendered(spark, d) if st is None else st
     scorer = nearer_text_scorer if mode == "tokens" else nearer_logits_scorer
     return score_prompts(st, scorer, mode=mode, batch_size=BATCH, instr=SUFFIX,
                          pass_cols=(F.col("dist_x_y"), F.col("dist_x_z")))
@@ -74,9 +74,9 @@ SELECT triplet_id, attempt_id, item_x, item_y, item_z,
        CASE WHEN chosen = item_y THEN item_z WHEN chosen = item_z THEN item_y END AS loser
 FROM ch""")
 def q_answers_in_order(spark, d):
-    st = rendered(spark, d).select("triplet_id", "attempt_id", "item_x", "item_y", "item_z")
-    sc = _scored(spark, d, "tokens").select(F.col("id").alias("triplet_id"), "winner", "loser")
-    return st.join(sc, "triplet_id")
+    st = rendered(spark, d)  # drawn once (checkpointed), scored, then joined back by id
+    sc = _scored(spark, d, "tokens", st).select(F.col("id").alias("triplet_id"), "winner", "loser")
+    return st.select("triplet_id", "attempt_id", "item_x", "item_y", "item_z").join(sc, "triplet_id")
 
 
 @query("export_stimuli", STIMULI_CTES + f"""

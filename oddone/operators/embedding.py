@@ -39,6 +39,13 @@ def item_index(answers: DataFrame, run_col: str | None = None, cols=("head", "wi
     return dense_index(items, ["item"], "id", partition_cols=keys or None)
 
 
+def column_index(df: DataFrame, column: str) -> DataFrame:
+    """Sorted distinct values of one column (as strings) -> 0-based id (``item, id``)."""
+    if column not in df.columns:
+        raise ValueError(f"Column '{column}' not found in stimuli dataframe.")
+    return dense_index(df.select(F.col(column).cast("string").alias("item")).distinct(), ["item"], "id")
+
+
 def map_lenient(answers: DataFrame, index: DataFrame, run_col: str | None = None,
                 cols=("head", "winner", "loser"), out=("h", "w", "l")) -> DataFrame:
     keys = [run_col] if run_col else []
@@ -232,6 +239,9 @@ def fit_runs(answers: DataFrame, run_col: str = "run", d: int = 10, max_epochs:
         out.insert(0, run_col, key[0])
         return out
 
+    empty = idx.select(run_col).distinct().join(sizes, run_col, "left_anti").limit(1).collect()
+    if empty:
+        raise ValueError(f"No valid triplets could be constructed from the data (run {empty[0][0]!r}).")
     small = trip.join(sizes.filter(F.col("k") <= max_task_rows).select(run_col), run_col, "left_semi")
     fitted = small.groupBy(run_col).applyInPandas(fit_group, schema)
     out = idx.select(run_col, "item", F.col("id").cast("long").alias("id")).join(fitted, [run_col, "id"])

@@ -104,13 +104,15 @@ def score_prompts(df: DataFrame, scorer: Callable, mode: str = "tokens", batch_s
                   instr: str | None = None, id_col: str = "triplet_id", prompt_col: str = "format_str",
                   head_col: str = "item_x", y_col: str = "item_y", z_col: str = "item_z",
                   strip_prompt_echo: bool = True, use_length_bucketing: bool = True,
-                  pass_cols: tuple = (), num_partitions: int | None = None) -> DataFrame:
+                  pass_cols: tuple = (), num_partitions: int | None = None, vision: bool = False) -> DataFrame:
     """Score prompts batch-wise and resolve each answer to (head, winner, loser).
 
     tokens -> ``id, batch_id, head, winner, loser, raw_generation`` (cleaned text);
     logits -> ``id, batch_id, head, winner, loser, lp_y1, lp_z1, y_tok, z_tok``."""
     if mode not in MODES:
         raise ValueError(f"choose_mode must be one of {MODES}")
+    if vision and mode == "logits":
+        raise NotImplementedError("image models support the tokens mode only")
     for c in (id_col, prompt_col, head_col, y_col, z_col):
         if c not in df.columns:
             raise ValueError(f"missing column {c!r}")

@@ -51,3 +51,11 @@ def test_split_per_group(spark):
     df = spark.range(0, 300).withColumn("key", F.col("id").cast("string")).withColumn("g", F.col("id") % 3)
     counts = {r.g: r["count"] for r in split_train_test(df, "key", group_col="g").filter("is_test").groupBy("g").count().collect()}
     assert counts == {0: 20, 1: 20, 2: 20}
+
+
+def test_column_index(spark):
+    from oddone.operators.embedding import column_index
+    df = spark.createDataFrame([("b",), ("a",), ("b",)], "concept string")
+    assert {r.item: r.id for r in column_index(df, "concept").collect()} == {"a": 0, "b": 1}
+    with pytest.raises(ValueError):
+        column_index(df, "nope")
