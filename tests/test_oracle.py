@@ -5,6 +5,8 @@ import sys
 
 import pytest
 
+os.environ.setdefault("STRICT", "1")  # exact float equality, as a value hash sees it
+
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
 from check_oracle import compare, duck  # noqa: E402
@@ -26,6 +28,7 @@ def test_query_matches_oracle(spark, con, name):
     r = compare(spark, con, name, fn, sql, SF01)
     assert r["cols_match"], r
     assert r["rows"] == r["oracle_rows"], r
+    assert r["types_match"], r
     assert r["values_match"], r
 
 

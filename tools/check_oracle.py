@@ -13,6 +13,8 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+STRICT = os.environ.get("STRICT") == "1"  # exact float equality (what a value hash sees)
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -38,7 +40,9 @@ def _norm(v):
     if isinstance(v, bool):
         return v
     if isinstance(v, float):
-        return round(v, 6) + 0.0 if v == v else None
+        if v != v:
+            return None
+        return v + 0.0 if STRICT else round(v, 6) + 0.0
     if hasattr(v, "tolist"):
         return tuple(_norm(x) for x in v.tolist())
     if isinstance(v, (list, tuple)):
@@ -65,8 +69,14 @@ def compare(spark, con, name, fn, sql, sf_dir):
     to = time.time() - t
     sc, sr = rows_of(s_pdf)
     oc, orr = rows_of(o_pdf)
+    kinds_s = {c: s_pdf[c].dtype.kind for c in s_pdf.columns}
+    kinds_o = {c: o_pdf[c].dtype.kind for c in o_pdf.columns}
     res = {"name": name, "rows": len(sr), "oracle_rows": len(orr), "cols_match": sc == oc,
+           "types_match": kinds_s == kinds_o,
            "values_match": sr == orr, "spark_s": round(ts, 2), "oracle_s": round(to, 2)}
+    if kinds_s != kinds_o:
+        res["type_diffs"] = {c: (kinds_s.get(c), kinds_o.get(c)) for c in set(kinds_s) | set(kinds_o)
+                             if kinds_s.get(c) != kinds_o.get(c)}
     if sc != oc:
         res["spark_cols"], res["oracle_cols"] = sc, oc
     elif sr != orr:
@@ -92,7 +102,8 @@ def main():
             r = compare(spark, con, name, fn, sql, sf_dir)
         except Exception as e:  # noqa: BLE001
             r = {"name": name, "error": f"{type(e).__name__}: {str(e)[:400]}"}
-        ok = r.get("oracle") is None and "error" not in r and "values_match" not in r or r.get("values_match")
+        ok = (r.get("oracle") is None and "error" not in r and "values_match" not in r) or \
+            (r.get("values_match") and r.get("types_match"))
         bad += 0 if ok else 1
         print(("OK  " if ok else "BAD ") + str(r), flush=True)
     print(f"{bad} failing")
