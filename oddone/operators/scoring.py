@@ -11,7 +11,8 @@ Scorer contract (any Python callable, one call per batch):
 * ``mode="tokens"``: ``scorer(batch: pandas.DataFrame) -> list[str]`` (generated text per row)
 * ``mode="logits"``: ``scorer(batch) -> pandas.DataFrame`` with ``lp_y1, lp_z1, y_tok, z_tok``
 
-The batch frame holds ``id, text, head, y, z`` plus any ``pass_cols``.
+The batch frame holds ``id, text, head, y, z`` plus any ``pass_cols``.  The scorer is pickled to
+the workers: define it in a module the workers can import (or inline, so it is sent by value).
 """
 
 from __future__ import annotations
