@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from oddone.catalog import query
-from oddone.catalog.fixtures import ANSWERS_SQL, ITEMS_SQL, answers, items, read, with_sql
+from oddone.catalog.fixtures import ANSWERS_SQL, answers, items, read, with_sql
 from oddone.catalog.q_sampling import STIMULI_CTES, stimuli
 from oddone.operators.embedding import item_index, map_lenient, map_strict, split_train_test
 from oddone.operators.indexing import dense_index
@@ -98,5 +98,3 @@ def q_train_test_split(spark, d):
     li = li.withColumn("key", F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")))
     return split_train_test(li, "key", seed=SEED, test_size=0.2).select("l_orderkey", "l_linenumber", "is_test")
 
-
-_ = ITEMS_SQL
