@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from oddone.functions.hashing import seeded_hash
 from oddone.functions.vectors import sq_euclid
 from oddone.operators.indexing import dense_index
+from oddone.operators.joins import checked_broadcast
 from oddone.session import ensure_checkpoint_dir
 
 MISSING_ITEM = "-1"  # fixed value: the reference's missing-item sentinel
@@ -46,20 +47,31 @@ def column_index(df: DataFrame, column: str) -> DataFrame:
     return dense_index(df.select(F.col(column).cast("string").alias("item")).distinct(), ["item"], "id")
 
 
+INDEX_ROW_BYTES = 128  # estimate per (run, item, id) row for the broadcast check
+
+
+def _index_side(index: DataFrame) -> DataFrame:
+    """The item index is bounded by the vocabulary (per run): broadcast it when its counted size
+    fits, so the large answer table is never shuffled for the three lookups."""
+    return checked_broadcast(index, index.count(), INDEX_ROW_BYTES)
+
+
 def map_lenient(answers: DataFrame, index: DataFrame, run_col: str | None = None,
                 cols=("head", "winner", "loser"), out=("h", "w", "l")) -> DataFrame:
     keys = [run_col] if run_col else []
+    side = _index_side(index)
     df = answers
     for c, o in zip(cols, out):
-        idx = index.select(*keys, F.col("item").alias(c), F.col("id").cast("int").alias(o))
+        idx = side.select(*keys, F.col("item").alias(c), F.col("id").cast("int").alias(o))
         df = df.join(idx, keys + [c], "inner")
     return df
 
 
 def map_strict(df: DataFrame, index: DataFrame, cols: list[str], suffix: str = "_id") -> DataFrame:
     out = df
+    side = _index_side(index)
     for c in cols:
-        idx = index.select(F.col("item").alias(c), F.col("id").cast("int").alias(c + suffix))
+        idx = side.select(F.col("item").alias(c), F.col("id").cast("int").alias(c + suffix))
         out = out.join(idx, c, "left")
         out = out.withColumn(c + suffix, F.when(F.col(c + suffix).isNull(), F.raise_error(
             F.concat(F.lit("Value '"), F.coalesce(F.col(c), F.lit("None")), F.lit("' not found in item2idx mapping."))
