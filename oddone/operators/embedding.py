@@ -192,10 +192,6 @@ def fit_embedding(triplets: DataFrame, n: int, d: int = 10, max_epochs: int = 50
     history = []
     sc = spark.sparkContext
 
-    @F.pandas_udf("array<double>")
-    def vsum(s: pd.Series) -> list:
-        return np.sum(np.stack(s.to_numpy()), axis=0).tolist()
-
     for _ in range(max_epochs):
         bX = sc.broadcast(X)
 
@@ -211,7 +207,12 @@ def fit_embedding(triplets: DataFrame, n: int, d: int = 10, max_epochs: int = 50
             yield pd.DataFrame({"c": np.arange(0, len(flat), _CHUNK),
                                 "g": [flat[i:i + _CHUNK] for i in range(0, len(flat), _CHUNK)]})
 
-        rows = trip.mapInPandas(partial, "c long, g array<double>").groupBy("c").agg(vsum("g").alias("g")).collect()
+        parts = trip.mapInPandas(partial, "c long, g array<double>")
+        # one array per task and chunk: fold them element-wise in the JVM (group size = #tasks)
+        gl = F.collect_list("g")
+        summed = F.aggregate(F.slice(gl, 2, F.greatest(F.size(gl) - 1, F.lit(0))), F.element_at(gl, 1),
+                             lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b))
+        rows = parts.groupBy("c").agg(summed.alias("g")).collect()
         flat = np.concatenate([np.asarray(r["g"]) for r in sorted(rows, key=lambda r: r["c"])])
         G, loss = flat[:-1].reshape(X.shape), float(flat[-1])
         X = opt.step(X, G / k)
