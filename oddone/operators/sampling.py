@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from oddone.functions.hashing import seeded_choice, seeded_hash
 from oddone.functions.vectors import euclid
 from oddone.operators.indexing import dense_index, first_n_by
-from oddone.operators.joins import fits_broadcast
-from oddone.operators.vectors import _collect_matrix, matrix_row_bytes
+from oddone.operators.joins import broadcast_limit, checked_broadcast
+from oddone.operators.vectors import _collect_block, matrix_row_bytes
 from oddone.session import ensure_checkpoint_dir
 
 # Fixed value: attempts allowed per requested triplet (the reference's cap).
@@ -95,52 +95,85 @@ def _draw_phase(att: DataFrame, cand_b: DataFrame, n: int, seed: int, k_hi: int,
                       z["pos"].alias("z_pos"), z["key"].alias("z_key"))
 
 
-def _tail(spark, unresolved: DataFrame, bc, seed: int, lo, hi, use_vectors: bool, n: int, draws: int) -> DataFrame:
-    """Finish attempts still missing y or z over their unseen rows (uniform seeded order)."""
+def _nan(v) -> bool:
+    return v is None or (isinstance(v, float) and math.isnan(v))
 
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, has, mat = bc.value
+
+def _tail_block(unresolved: DataFrame, bc, seed: int, lo, hi, use_vectors: bool, n: int, draws: int) -> DataFrame:
+    """Over the candidate rows of one broadcast block: per open attempt, the first unseen near row
+    and the first two unseen far rows in the seeded tail order ``(h(seed,'tail',a,pos), pos)``."""
+
+    def part(pdf: pd.DataFrame) -> pd.DataFrame:
+        pos, keys, has, mat = bc.value
         out = []
         cache = {}
         for r in pdf.itertuples(index=False):
             xk = r.x_key
-            if xk not in cache:
+            if xk not in cache:  # x's near / far rows of this block, once per group
                 ok = keys != xk
                 if use_vectors:
-                    xv = np.asarray(r.x_vec, dtype=np.float64) if r.x_vec is not None else None
-                    if xv is None:
-                        cache[xk] = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+                    if r.x_vec is None:
+                        cache[xk] = (np.zeros(0, np.int64), np.zeros(0, np.int64))
                     else:
+                        d = np.sqrt(((mat - np.asarray(r.x_vec, dtype=np.float64)) ** 2).sum(axis=1))
                         ok = ok & has
-                        d = np.sqrt(((mat - xv) ** 2).sum(axis=1))
                         cache[xk] = (np.flatnonzero(ok & (d < lo)), np.flatnonzero(ok & (d > hi)))
                 else:
                     idx = np.flatnonzero(ok)
                     cache[xk] = (idx, idx)
             near_idx, far_idx = cache[xk]
             seen = {_py_hash(seed, "draw", r.a, k) % n for k in range(draws)}
-            y_pos, y_key, z_pos, z_key = r.y_pos, r.y_key, r.z_pos, r.z_key
-            if y_pos is None or (isinstance(y_pos, float) and math.isnan(y_pos)):
-                cands = [int(p) for p in near_idx if int(p) not in seen]
-                if not cands:
-                    out.append((r.a, None, None, None, None))
-                    continue
-                y_pos = min(cands, key=lambda p: (_py_hash(seed, "tail", r.a, p), p))
-                y_key = keys[y_pos]
-            if z_pos is None or (isinstance(z_pos, float) and math.isnan(z_pos)):
-                cands = [int(p) for p in far_idx if int(p) not in seen and int(p) != int(y_pos)]
-                if not cands:
-                    out.append((r.a, None, None, None, None))
-                    continue
-                z_pos = min(cands, key=lambda p: (_py_hash(seed, "tail", r.a, p), p))
-                z_key = keys[z_pos]
-            out.append((r.a, int(y_pos), y_key, int(z_pos), z_key))
-        return pd.DataFrame(out, columns=["a", "y_pos", "y_key", "z_pos", "z_key"])
-
-    keyed = unresolved.withColumn("_salt", F.pmod(F.col("a"), F.lit(TAIL_SALT)))
-    done = keyed.groupBy("x_key", "_salt").applyInPandas(
-        finish, "a long, y_pos long, y_key string, z_pos long, z_key string")
-    return done
+            best = [None, None, None]
+            if _nan(r.y_pos):
+                c = [(_py_hash(seed, "tail", r.a, int(pos[i])), int(pos[i]), keys[i]) for i in near_idx
+                     if int(pos[i]) not in seen]
+                best[0] = min(c) if c else None
+            if _nan(r.z_pos):
+                c = sorted((_py_hash(seed, "tail", r.a, int(pos[i])), int(pos[i]), keys[i]) for i in far_idx
+                           if int(pos[i]) not in seen)
+                best[1], best[2] = (c[0] if c else None), (c[1] if len(c) > 1 else None)
+            row = [r.a]
+            for b in best:
+                row += list(b) if b else [None, None, None]
+            out.append(row)
+        cols = ["a"] + [f"{p}_{f}" for p in ("n", "f1", "f2") for f in ("h", "pos", "key")]
+        return pd.DataFrame(out, columns=cols)
+
+    schema = "a long, " + ", ".join(f"{p}_h long, {p}_pos long, {p}_key string" for p in ("n", "f1", "f2"))
+    keyed = unresolved.withColumn("_salt", F.pmod(F.col("a"), F.lit(TAIL_SALT)))  # a hot x is split
+    return keyed.groupBy("x_key", "_salt").applyInPandas(part, schema)
+
+
+def _tail(spark, cand: DataFrame, unresolved: DataFrame, xs: DataFrame, seed: int, lo, hi, use_vectors: bool,
+          n: int, draws: int, dim: int) -> DataFrame:
+    """Finish attempts still missing y or z over their unseen rows.  Candidates are processed in
+    blocks that fit the broadcast limit (one block when the table fits); each block yields its best
+    near and two best far rows per attempt, and a JVM reduce keeps the overall first ones."""
+    rows_per_block = max(1, broadcast_limit(spark) // matrix_row_bytes(dim))
+    tail_in = unresolved.select("a", "x_pos", "y_pos", "y_key", "z_pos", "z_key").join(xs, "x_pos").drop("x_pos")
+    tail_in = tail_in.checkpoint(eager=True)  # read once per block
+    parts = None
+    for b0 in range(0, n, rows_per_block):
+        bc = spark.sparkContext.broadcast(_collect_block(cand, b0, min(n, b0 + rows_per_block)))
+        p = _tail_block(tail_in, bc, seed, lo, hi, use_vectors, n, draws)
+        parts = p if parts is None else parts.unionByName(p)
+
+    def st(p):
+        return F.when(F.col(f"{p}_h").isNotNull(), F.struct(F.col(f"{p}_h").alias("h"), F.col(f"{p}_pos").alias("pos"),
+                                                           F.col(f"{p}_key").alias("key")))
+
+    red = parts.groupBy("a").agg(
+        F.min(st("n")).alias("yt"),
+        F.array_sort(F.flatten(F.collect_list(F.filter(F.array(st("f1"), st("f2")), lambda x: x.isNotNull()))))
+        .alias("fars"))  # at most 2 entries per block
+    j = tail_in.select("a", "x_key", "y_pos", "y_key", "z_pos", "z_key").join(red, "a")
+    y_pos = F.coalesce(F.col("y_pos"), F.col("yt.pos"))
+    y_key = F.when(F.col("y_pos").isNotNull(), F.col("y_key")).otherwise(F.col("yt.key"))
+    zt = F.get(F.filter(F.col("fars"), lambda s: s["pos"] != F.coalesce(y_pos, F.lit(-1))), 0)
+    z_pos = F.when(F.col("z_pos").isNotNull(), F.col("z_pos")).otherwise(zt["pos"])
+    z_key = F.when(F.col("z_pos").isNotNull(), F.col("z_key")).otherwise(zt["key"])
+    out = j.select("a", "x_key", y_pos.alias("y_pos"), y_key.alias("y_key"), z_pos.alias("z_pos"), z_key.alias("z_key"))
+    return out.filter(F.col("y_pos").isNotNull() & F.col("z_pos").isNotNull())
 
 
 def draw_triplets(cand: DataFrame, n_items: int, euclid_min: float | None = None, euclid_max: float | None = None,
@@ -156,18 +189,15 @@ def draw_triplets(cand: DataFrame, n_items: int, euclid_min: float | None = None
     max_attempts = max_attempts if max_attempts is not None else ATTEMPTS_PER_ITEM * n_items
     first = cand.filter(F.col("vec").isNotNull()).select(F.size("vec")).first() if use_vectors else None
     dim = first[0] if first else 0
-    if not fits_broadcast(spark, n, matrix_row_bytes(dim)):
-        raise ValueError("candidate table too large to broadcast; raise oddone.broadcast.maxBytes")
-    cand_b = F.broadcast(cand)
-    xs_b = F.broadcast(cand.select(F.col("pos").alias("x_pos"), F.col("key").alias("x_key"), F.col("vec").alias("x_vec")))
+    # broadcast the candidate table when its counted size fits; beyond it the joins shuffle on pos
+    cand_b = checked_broadcast(cand, n, matrix_row_bytes(dim))
+    xs_b = cand_b.select(F.col("pos").alias("x_pos"), F.col("key").alias("x_key"), F.col("vec").alias("x_vec"))
     ensure_checkpoint_dir(spark)
     lo = float(euclid_min) if euclid_min is not None else None
     hi = float(euclid_max) if euclid_max is not None else None
     if not use_vectors:
         if cand.select("key").distinct().limit(2).count() < 2 and n > 0:
             raise ValueError("sample larger than population")
-    bc = None
-
     waves = []
     done, a0 = 0, 0
     wave = n_items
@@ -189,14 +219,8 @@ def draw_triplets(cand: DataFrame, n_items: int, euclid_min: float | None = None
             unresolved = res2.filter(missing)
         resolved = resolved.select("a", "x_key", "y_pos", "y_key", "z_pos", "z_key")
         if not unresolved.isEmpty():
-            if bc is None:
-                _, keys, has, mat = _collect_matrix(cand)
-                bc = spark.sparkContext.broadcast((keys, has, mat))
-            tail_in = unresolved.select("a", "x_pos", "y_pos", "y_key", "z_pos", "z_key").join(xs_b, "x_pos")
-            finished = _tail(spark, tail_in.drop("x_pos"), bc, seed, lo, hi, use_vectors, n, draws)
-            finished = finished.filter(F.col("y_pos").isNotNull()).join(
-                unresolved.select("a", "x_key"), "a")
-            ok = resolved.unionByName(finished.select("a", "x_key", "y_pos", "y_key", "z_pos", "z_key"))
+            finished = _tail(spark, cand, unresolved, xs_b, seed, lo, hi, use_vectors, n, draws, dim)
+            ok = resolved.unionByName(finished)
         else:
             ok = resolved
         ok = ok.filter((F.col("y_key") != "") & (F.col("z_key") != "")).checkpoint(eager=True)
@@ -223,10 +247,11 @@ def draw_triplets(cand: DataFrame, n_items: int, euclid_min: float | None = None
     out = dense_index(acc, ["a"], "triplet_id")
     vec = cand.select("pos", "vec")
     if use_vectors:
-        out = (out.join(F.broadcast(vec.withColumnRenamed("pos", "y_pos").withColumnRenamed("vec", "y_vec")), "y_pos")
-               .join(F.broadcast(vec.withColumnRenamed("pos", "z_pos").withColumnRenamed("vec", "z_vec")), "z_pos"))
+        vb = checked_broadcast(vec, n, matrix_row_bytes(dim))
+        out = (out.join(vb.withColumnRenamed("pos", "y_pos").withColumnRenamed("vec", "y_vec"), "y_pos")
+               .join(vb.withColumnRenamed("pos", "z_pos").withColumnRenamed("vec", "z_vec"), "z_pos"))
         xv = cand.select(F.col("key").alias("x_key"), F.col("vec").alias("x_vec")).dropDuplicates(["x_key"])
-        out = out.join(F.broadcast(xv), "x_key")
+        out = out.join(checked_broadcast(xv, n, matrix_row_bytes(dim)), "x_key")
         dists = [euclid("x_vec", "y_vec"), euclid("x_vec", "z_vec"), euclid("y_vec", "z_vec")]
     else:
         dists = [F.lit(None).cast("double")] * 3

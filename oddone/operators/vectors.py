@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oddone.functions.vectors import euclid
-from oddone.operators.joins import checked_broadcast, fits_broadcast
+from oddone.operators.joins import broadcast_limit, checked_broadcast
 
 
 def zip_matrix(concepts: DataFrame, matrix: DataFrame, key_col: str = "key") -> DataFrame:
@@ -45,16 +45,16 @@ def candidates(concepts: DataFrame, vectors: DataFrame | None, key_col: str = "k
     return c.join(vectors.select(F.col(key_col).cast("string").alias("key"), "vec"), "key", "left")
 
 
-def _collect_matrix(cand: DataFrame):
-    """Candidate table as numpy arrays (size-checked by the caller)."""
-    pdf = cand.select("pos", "key", "vec").orderBy("pos").toPandas()
+def _collect_block(cand: DataFrame, b0: int, b1: int):
+    """Candidate rows ``b0 <= pos < b1`` as numpy arrays (callers size blocks to the broadcast limit)."""
+    pdf = cand.filter((F.col("pos") >= b0) & (F.col("pos") < b1)).select("pos", "key", "vec").orderBy("pos").toPandas()
     has = pdf["vec"].notna().to_numpy()
     dim = len(next(v for v in pdf["vec"] if v is not None)) if has.any() else 0
     mat = np.zeros((len(pdf), dim), dtype=np.float64)
     for i, v in enumerate(pdf["vec"]):
         if v is not None:
             mat[i] = np.asarray(v, dtype=np.float64)
-    return pdf["pos"].to_numpy(), pdf["key"].astype(object).to_numpy(), has, mat
+    return pdf["pos"].to_numpy().astype(np.int64), pdf["key"].astype(object).to_numpy(), has, mat
 
 
 def matrix_row_bytes(dim: int) -> int:
@@ -66,37 +66,39 @@ def near_far_counts(cand: DataFrame, euclid_min: float, euclid_max: float, n_row
     """Per distinct key with a vector: candidate rows (other keys, with vectors), how many are
     near (``dist < euclid_min``), far (``dist > euclid_max``) and both, plus min/max distance.
 
-    The candidate matrix is broadcast once (checked: rows * (8*dim + 64) bytes under the limit);
-    each task handles a slice of the distinct keys and streams over the matrix in numpy, so the
-    n x n distances are never rows of a DataFrame."""
+    The candidate rows are broadcast in blocks sized to the broadcast limit (one block when the
+    table fits); each task takes a slice of the distinct keys and computes their distances to the
+    block in numpy, so the n x n distances never become DataFrame rows.  Block partials are summed
+    per key."""
     spark = cand.sparkSession
     n_rows = n_rows if n_rows is not None else cand.count()
     if dim is None:
         first = cand.filter(F.col("vec").isNotNull()).select(F.size("vec")).first()
         dim = first[0] if first else 0
-    if not fits_broadcast(spark, n_rows, matrix_row_bytes(dim)):
-        raise ValueError("candidate matrix too large to broadcast; raise oddone.broadcast.maxBytes")
-    pos, keys, has, mat = _collect_matrix(cand)
-    bc = spark.sparkContext.broadcast((keys, has, mat))
+    rows_per_block = max(1, broadcast_limit(spark) // matrix_row_bytes(dim))
     lo, hi = float(euclid_min), float(euclid_max)
-
-    def per_block(batches):
-        keys_b, has_b, mat_b = bc.value
-        for pdf in batches:
-            out = []
-            for key, vec in zip(pdf["key"], pdf["vec"]):
-                x = np.asarray(vec, dtype=np.float64)
-                d = np.sqrt(((mat_b - x) ** 2).sum(axis=1))
-                ok = has_b & (keys_b != key)
-                dd = d[ok]
-                near, far = dd < lo, dd > hi
-                out.append((key, int(ok.sum()), int(near.sum()), int(far.sum()), int((near & far).sum()),
-                            float(dd.min()) if dd.size else None, float(dd.max()) if dd.size else None))
-            yield pd.DataFrame(out, columns=["key", "n_cand", "n_near", "n_far", "n_both", "min_dist", "max_dist"])
-
     xs = cand.filter(F.col("vec").isNotNull()).groupBy("key").agg(F.first("vec").alias("vec"))
-    return xs.mapInPandas(per_block, "key string, n_cand long, n_near long, n_far long, n_both long, "
-                                     "min_dist double, max_dist double")
+    schema = "key string, n_cand long, n_near long, n_far long, n_both long, min_dist double, max_dist double"
+    parts = None
+    for b0 in range(0, n_rows, rows_per_block):
+        bc = spark.sparkContext.broadcast(_collect_block(cand, b0, min(n_rows, b0 + rows_per_block)))
+
+        def per_block(batches, bc=bc):
+            _pos, keys_b, has_b, mat_b = bc.value
+            for pdf in batches:
+                out = []
+                for key, vec in zip(pdf["key"], pdf["vec"]):
+                    d = np.sqrt(((mat_b - np.asarray(vec, dtype=np.float64)) ** 2).sum(axis=1))
+                    dd = d[has_b & (keys_b != key)]
+                    near, far = dd < lo, dd > hi
+                    out.append((key, int(dd.size), int(near.sum()), int(far.sum()), int((near & far).sum()),
+                                float(dd.min()) if dd.size else None, float(dd.max()) if dd.size else None))
+                yield pd.DataFrame(out, columns=["key", "n_cand", "n_near", "n_far", "n_both", "min_dist", "max_dist"])
+
+        p = xs.mapInPandas(per_block, schema)
+        parts = p if parts is None else parts.unionByName(p)
+    return parts.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n_cand", "n_near", "n_far", "n_both")],
+                                    F.min("min_dist").alias("min_dist"), F.max("max_dist").alias("max_dist"))
 
 
 def with_vectors(df: DataFrame, vecs: DataFrame, cols: list[str], n_vec_rows: int | None = None,

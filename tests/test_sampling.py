@@ -113,3 +113,35 @@ def test_subset_and_shuffle(spark):
     assert {r.shuffled_item_y for r in sh} == {"y", "z"}
     kept = shuffle_yz(st, shuffle=False).filter(F.col("shuffled_item_y") != "y").count()
     assert kept == 0
+
+
+@pytest.mark.parametrize("draws", [1, 3])
+def test_blocked_tail_matches_exact_law(spark, draws):
+    """Candidate table split into broadcast blocks of 2 rows (the path beyond the broadcast limit)."""
+    keys = ["a", "b", "c", "d", "e"]
+    vecs = [0.0, 1.0, 2.0, 3.0, 10.0]
+    law = exact_law(keys, vecs, 2.5, 1.5)
+    spark.conf.set("oddone.broadcast.maxBytes", str(2 * (8 + 64)))
+    try:
+        out = draw_triplets(cand_df(spark, keys, vecs), 3000, 2.5, 1.5, seed=7, draws=draws).collect()
+        whole = draw_triplets(cand_df(spark, keys, vecs), 300, 2.5, 1.5, seed=9, draws=draws).collect()
+    finally:
+        spark.conf.unset("oddone.broadcast.maxBytes")
+    emp = Counter((r.item_x, r.item_y, r.item_z) for r in out)
+    for k in set(law) | set(emp):
+        assert abs(emp[k] / 3000 - law.get(k, 0.0)) < 0.03, k
+    ref = draw_triplets(cand_df(spark, keys, vecs), 300, 2.5, 1.5, seed=9, draws=draws).collect()
+    assert sorted(tuple(r) for r in whole) == sorted(tuple(r) for r in ref)  # same rows either way
+
+
+def test_near_far_counts_blocked_equals_single(spark):
+    from oddone.operators.vectors import near_far_counts
+    keys = [f"k{i % 9}" for i in range(20)]
+    c = cand_df(spark, keys, [float(i) for i in range(20)])
+    one = sorted(tuple(r) for r in near_far_counts(c, 4.0, 6.0).collect())
+    spark.conf.set("oddone.broadcast.maxBytes", str(3 * (8 + 64)))
+    try:
+        many = sorted(tuple(r) for r in near_far_counts(c, 4.0, 6.0).collect())
+    finally:
+        spark.conf.unset("oddone.broadcast.maxBytes")
+    assert one == many
