@@ -53,6 +53,7 @@ INDEX_ROW_BYTES = 128  # estimate per (run, item, id) row for the broadcast chec
 def _index_side(index: DataFrame) -> DataFrame:
     """The item index is bounded by the vocabulary (per run): broadcast it when its counted size
     fits, so the large answer table is never shuffled for the three lookups."""
+    index = index.persist(StorageLevel.MEMORY_AND_DISK)  # computed once for the three lookups
     return checked_broadcast(index, index.count(), INDEX_ROW_BYTES)
 
 
