@@ -7,6 +7,7 @@
 
 from __future__ import annotations
 
+import warnings
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from oddone.operators.embedding import embedding_frame, fit_embedding, fit_runs,
     split_train_test
 from oddone.operators.sampling import draw_triplets, shuffle_yz, subset_k
 from oddone.operators.scoring import score_prompts
-from oddone.operators.vectors import candidates, first_vector, zip_matrix
+from oddone.operators.vectors import candidates, first_vector, zip_lengths, zip_matrix
 from oddone.operators.manifest import dangling, manifest_args, resolve
 
 
@@ -26,6 +27,11 @@ def stimuli_set(concepts: DataFrame, matrix: DataFrame | None, template: str, n_
                 shuffle: bool = True) -> DataFrame:
     """Stimuli with prompts (D4).  Vectors attach on the full table's row positions, then the
     optional subset is applied (the reference subsets first and misaligns vectors; fixed here)."""
+    if matrix is not None:
+        lengths = zip_lengths(concepts, matrix)
+        if lengths["mismatch"]:
+            warnings.warn(f"Matrix row count ({lengths['matrix_rows']}) does not match items "
+                          f"({lengths['concept_rows']}); rows are paired up to the shorter")
     vecs = first_vector(zip_matrix(concepts, matrix)) if matrix is not None else None
     rows = subset_k(concepts, subset, seed=seed) if subset is not None else concepts
     if subset is not None:  # positions must stay dense for the draw

@@ -145,3 +145,16 @@ def test_near_far_counts_blocked_equals_single(spark):
     finally:
         spark.conf.unset("oddone.broadcast.maxBytes")
     assert one == many
+
+
+def test_zip_length_mismatch_warns(spark):
+    from oddone.functions.prompts import TRIPLET_TEMPLATE
+    from oddone.operators.vectors import zip_lengths
+    from oddone.plans.experiments import stimuli_set
+    concepts = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "row_idx long, key string")
+    matrix = spark.createDataFrame([(0, [0.0]), (1, [5.0])], "row_idx long, vec array<double>")
+    assert zip_lengths(concepts, matrix) == {"concept_rows": 3, "matrix_rows": 2, "mismatch": True}
+    assert zip_matrix(concepts, matrix).count() == 2
+    with pytest.warns(UserWarning, match="does not match"):
+        st = stimuli_set(concepts, matrix, TRIPLET_TEMPLATE, n_items=3, euclid_min=1e10, euclid_max=0)
+    assert st.count() == 0  # c has no vector and a/b each lack a second candidate row
