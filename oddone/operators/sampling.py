@@ -185,10 +185,10 @@ def draw_triplets(cand: DataFrame, n_items: int, euclid_min: float | None = None
     Returns ``STIMULI_COLS`` (distances NULL for the unconstrained draw)."""
     spark = cand.sparkSession
     cand = cand.select("pos", "key", "vec").persist(StorageLevel.MEMORY_AND_DISK)
-    n = n_rows if n_rows is not None else cand.count()
+    stats = cand.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()  # one job
+    n = n_rows if n_rows is not None else stats["n"]
     max_attempts = max_attempts if max_attempts is not None else ATTEMPTS_PER_ITEM * n_items
-    first = cand.filter(F.col("vec").isNotNull()).select(F.size("vec")).first() if use_vectors else None
-    dim = first[0] if first else 0
+    dim = (stats["dim"] or 0) if use_vectors else 0
     # broadcast the candidate table when its counted size fits; beyond it the joins shuffle on pos
     cand_b = checked_broadcast(cand, n, matrix_row_bytes(dim))
     xs_b = cand_b.select(F.col("pos").alias("x_pos"), F.col("key").alias("x_key"), F.col("vec").alias("x_vec"))
