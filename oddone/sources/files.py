@@ -69,7 +69,9 @@ def check_matrix(mat: DataFrame) -> None:
 
 def read_answers(spark: SparkSession, path: str, logits: bool = False, run_from_file: bool = False) -> DataFrame:
     """Answer CSVs (header; quoted cells may hold newlines and doubled quotes).
-    With ``run_from_file`` each file is a run named by its base name (folder mode)."""
+    With ``run_from_file`` each file is a run named by its base name (folder mode).
+    Multi-line CSV cannot be split inside a file, so each file is one task: large answer sets
+    belong in the partitioned parquet table written by :func:`oddone.sinks.writers.write_answers`."""
     schema = ANSWER_LOGITS_SCHEMA if logits else ANSWER_TOKENS_SCHEMA
     reader = (spark.read.schema(schema).option("header", True).option("multiLine", True)
               .option("escape", '"').option("pathGlobFilter", "*.csv").option("recursiveFileLookup", False))
