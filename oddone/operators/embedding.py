@@ -7,6 +7,7 @@
 * :func:`split_train_test` exact ``ceil(test_size * n)`` test rows per group by seeded hash order:
   a histogram over hash buckets finds each group's cut bucket; only cut buckets are ranked
 * :func:`ste_terms`, :func:`grad_rows` loss / gradient of the STE triplet loss as column expressions
+* fits minimise one of the published triplet losses (``LOSSES``; STE by default)
 * :func:`fit_embedding` one large fit: triplets stay distributed; each epoch broadcasts the n x d
   matrix, tasks return partial gradient sums (Arrow), the driver applies an Adam step
 * :func:`fit_runs`     many fits: runs under ``max_task_rows`` triplets are fitted inside one task
@@ -131,19 +132,50 @@ def grad_rows(terms: DataFrame, h: str = "head", w: str = "winner", l: str = "lo
 
 
 # ------------------------------------------------------------------ fitting
-def _ste_grad_np(X: np.ndarray, T: np.ndarray) -> tuple[np.ndarray, float]:
-    """Sum of STE losses and gradients for index triplets ``T`` (k x 3) at ``X`` (n x d)."""
+LOSSES = ("ste", "ckl", "gnmds", "soe")
+CKL_MU = 0.05  # CKL regulariser
+
+
+def _loss_terms(dhw: np.ndarray, dhl: np.ndarray, loss: str):
+    """Per-triplet loss and its derivatives w.r.t. the squared distances D_hw and D_hl.
+
+    ste   log(1 + exp(D_hw - D_hl))                     (van der Maaten & Weinberger 2012)
+    ckl   -log((mu + D_hl) / (2 mu + D_hw + D_hl))      (Tamuz et al. 2011)
+    gnmds max(0, 1 + D_hw - D_hl)                       (Agarwal et al. 2007)
+    soe   max(0, sqrt(D_hw) + 1 - sqrt(D_hl))^2         (Terada & von Luxburg 2014)"""
+    if loss == "ste":
+        m = dhw - dhl
+        val = np.where(m > 30, m, np.log1p(np.exp(np.minimum(m, 30))))
+        s = 1.0 / (1.0 + np.exp(-m))
+        return val, s, -s
+    if loss == "ckl":
+        den = 2 * CKL_MU + dhw + dhl
+        val = -np.log((CKL_MU + dhl) / den)
+        return val, 1.0 / den, -1.0 / (CKL_MU + dhl) + 1.0 / den
+    if loss == "gnmds":
+        t = 1.0 + dhw - dhl
+        on = (t > 0).astype(float)
+        return np.maximum(t, 0.0), on, -on
+    if loss == "soe":
+        rw, rl = np.sqrt(dhw), np.sqrt(dhl)
+        t = np.maximum(rw + 1.0 - rl, 0.0)
+        return t * t, np.where(rw > 0, t / np.maximum(rw, 1e-12), 0.0), np.where(rl > 0, -t / np.maximum(rl, 1e-12), 0.0)
+    raise ValueError(f"loss must be one of {LOSSES}")
+
+
+def _ste_grad_np(X: np.ndarray, T: np.ndarray, loss: str = "ste") -> tuple[np.ndarray, float]:
+    """Sum of triplet losses and their gradient for index triplets ``T`` (k x 3) at ``X`` (n x d)."""
     xh, xw, xl = X[T[:, 0]], X[T[:, 1]], X[T[:, 2]]
-    m = ((xh - xw) ** 2).sum(1) - ((xh - xl) ** 2).sum(1)
-    loss = float(np.where(m > 30, m, np.log1p(np.exp(np.minimum(m, 30)))).sum())
-    s = (1.0 / (1.0 + np.exp(-m)))[:, None] * 2.0
+    dw, dl = xh - xw, xh - xl
+    val, gw, gl = _loss_terms((dw ** 2).sum(1), (dl ** 2).sum(1), loss)
     G = np.zeros_like(X)
-    d = X.shape[1]
-    for j in range(d):  # bincount per dimension instead of np.add.at
-        G[:, j] += np.bincount(T[:, 0], weights=(s[:, 0] * (xl[:, j] - xw[:, j])), minlength=X.shape[0])
-        G[:, j] += np.bincount(T[:, 1], weights=(s[:, 0] * (xw[:, j] - xh[:, j])), minlength=X.shape[0])
-        G[:, j] += np.bincount(T[:, 2], weights=(s[:, 0] * (xh[:, j] - xl[:, j])), minlength=X.shape[0])
-    return G, loss
+    n = X.shape[0]
+    for j in range(X.shape[1]):  # bincount per dimension instead of np.add.at
+        a, b = 2.0 * gw * dw[:, j], 2.0 * gl * dl[:, j]
+        G[:, j] += np.bincount(T[:, 0], weights=a + b, minlength=n)
+        G[:, j] -= np.bincount(T[:, 1], weights=a, minlength=n)
+        G[:, j] -= np.bincount(T[:, 2], weights=b, minlength=n)
+    return G, float(val.sum())
 
 
 def _init(n: int, d: int, seed: int) -> np.ndarray:
@@ -162,23 +194,23 @@ class _Adam:
         return X - self.lr * mh / (np.sqrt(vh) + 1e-8)
 
 
-def fit_local(T: np.ndarray, n: int, d: int, max_epochs: int, lr: float = 0.05, seed: int = 0):
+def fit_local(T: np.ndarray, n: int, d: int, max_epochs: int, lr: float = 0.05, seed: int = 0, loss: str = "ste"):
     """Whole fit in one process (used per run inside a task)."""
     X = _init(n, d, seed)
     opt = _Adam(X.shape, lr)
     k = max(len(T), 1)
-    loss = float("nan")
+    total = float("nan")
     for _ in range(max_epochs):
-        G, loss = _ste_grad_np(X, T)
+        G, total = _ste_grad_np(X, T, loss)
         X = opt.step(X, G / k)
-    return X, loss / k
+    return X, total / k
 
 
 _CHUNK = 4096
 
 
 def fit_embedding(triplets: DataFrame, n: int, d: int = 10, max_epochs: int = 50, lr: float = 0.05, seed: int = 0,
-                  h: str = "h", w: str = "w", l: str = "l"):
+                  h: str = "h", w: str = "w", l: str = "l", loss: str = "ste"):
     """Distributed full-batch fit. Returns ``(X, history)``; the triplets are checkpointed once to
     the shared checkpoint folder, so epochs never recompute their lineage."""
     spark = triplets.sparkSession
@@ -188,6 +220,8 @@ def fit_embedding(triplets: DataFrame, n: int, d: int = 10, max_epochs: int = 50
     k = trip.count()
     if k == 0:
         raise ValueError("No valid triplets could be constructed from the data.")
+    if loss not in LOSSES:
+        raise ValueError(f"loss must be one of {LOSSES}")
     X = _init(n, d, seed)
     opt = _Adam(X.shape, lr)
     history = []
@@ -199,12 +233,12 @@ def fit_embedding(triplets: DataFrame, n: int, d: int = 10, max_epochs: int = 50
         def partial(batches, bX=bX):
             Xl = bX.value
             G = np.zeros_like(Xl)
-            loss = 0.0
+            total = 0.0
             for pdf in batches:
-                g, lo = _ste_grad_np(Xl, pdf[["h", "w", "l"]].to_numpy())
+                g, lo = _ste_grad_np(Xl, pdf[["h", "w", "l"]].to_numpy(), loss)
                 G += g
-                loss += lo
-            flat = np.append(G.ravel(), loss)
+                total += lo
+            flat = np.append(G.ravel(), total)
             yield pd.DataFrame({"c": np.arange(0, len(flat), _CHUNK),
                                 "g": [flat[i:i + _CHUNK] for i in range(0, len(flat), _CHUNK)]})
 
@@ -215,9 +249,9 @@ def fit_embedding(triplets: DataFrame, n: int, d: int = 10, max_epochs: int = 50
                              lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b))
         rows = parts.groupBy("c").agg(summed.alias("g")).collect()
         flat = np.concatenate([np.asarray(r["g"]) for r in sorted(rows, key=lambda r: r["c"])])
-        G, loss = flat[:-1].reshape(X.shape), float(flat[-1])
+        G, total = flat[:-1].reshape(X.shape), float(flat[-1])
         X = opt.step(X, G / k)
-        history.append(loss / k)
+        history.append(total / k)
         bX.unpersist()
     return X, history
 
@@ -233,7 +267,7 @@ def embedding_frame(spark, X: np.ndarray, index: DataFrame, run: str | None = No
 
 
 def fit_runs(answers: DataFrame, run_col: str = "run", d: int = 10, max_epochs: int = 50, lr: float = 0.05,
-             seed: int = 0, max_task_rows: int = 5_000_000) -> DataFrame:
+             seed: int = 0, max_task_rows: int = 5_000_000, loss: str = "ste") -> DataFrame:
     """One independent fit per run: index, lenient mapping, fit; output ``run, item, id, dim_*``."""
     spark = answers.sparkSession
     idx = item_index(answers, run_col)
@@ -247,7 +281,7 @@ def fit_runs(answers: DataFrame, run_col: str = "run", d: int = 10, max_epochs:
     def fit_group(key, pdf):
         T = pdf[["h", "w", "l"]].to_numpy().astype(np.int64)
         n = int(pdf["n"].iloc[0])
-        X, _ = fit_local(T, n, d, max_epochs, lr, seed)
+        X, _ = fit_local(T, n, d, max_epochs, lr, seed, loss)
         out = pd.DataFrame(X, columns=dims)
         out.insert(0, "id", np.arange(n, dtype=np.int64))
         out.insert(0, run_col, key[0])
@@ -263,6 +297,6 @@ def fit_runs(answers: DataFrame, run_col: str = "run", d: int = 10, max_epochs:
         sub = trip.filter(F.col(run_col) == r)
         sub_idx = idx.filter(F.col(run_col) == r)
         n = sub_idx.count()
-        X, _ = fit_embedding(sub, n, d, max_epochs, lr, seed)
+        X, _ = fit_embedding(sub, n, d, max_epochs, lr, seed, loss=loss)
         out = out.unionByName(embedding_frame(spark, X, sub_idx.drop(run_col), run=r))
     return out.select(run_col, "item", "id", *dims)
