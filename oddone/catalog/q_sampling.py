@@ -70,6 +70,9 @@ ok AS (SELECT res.a, ax.x_key, ax.x_vec, cy.key AS y_key, cy.vec AS y_vec, cz.ke
 ranked AS (SELECT *, (row_number() OVER (ORDER BY a) - 1)::BIGINT AS triplet_id FROM ok)"""
 
 
+# The oracle evaluates attempts 0 .. 2*N_ITEMS-1 and keeps the first N_ITEMS successes (Spark runs
+# waves up to the 100*N_ITEMS cap).  On this data nearly every attempt succeeds; a shortfall would
+# show up as a row-count mismatch, never as a silent pass.
 DRAW_SQL = with_sql(ITEMS_SQL, body=_draw_sql(
     "cand AS (SELECT row_idx AS pos, key, vec FROM items)", True, str(2 * N_ITEMS)) + f"""
 SELECT triplet_id, a AS attempt_id, x_key AS item_x, y_key AS item_y, z_key AS item_z,

@@ -62,8 +62,8 @@ def embedding_run(answers: DataFrame, d: int = 10, max_epochs: int = 50, seed: i
     spark = answers.sparkSession
     idx = item_index(answers)
     trip = map_lenient(answers, idx)
-    if id_col is None:
-        trip = trip.withColumn("_tid", F.concat_ws(":", "h", "w", "l", F.monotonically_increasing_id()))
+    if id_col is None:  # content key: deterministic under recomputation; equal rows are interchangeable
+        trip = trip.withColumn("_tid", F.concat_ws(":", "h", "w", "l"))
         id_col = "_tid"
     train = split_train_test(trip, id_col, seed=seed).filter(~F.col("is_test"))
     X, _ = fit_embedding(train, idx.count(), d, max_epochs, seed=seed)
