@@ -58,7 +58,10 @@ def render_template(template: str, fields: dict) -> Column:
 
 def add_suffix(prompt, instr) -> Column:
     """``prompt + instr`` when instr is set (NULL and '' are no-ops)."""
-    return F.concat(_c(prompt), F.coalesce(_c(instr) if not isinstance(instr, str) else F.lit(instr), F.lit("")))
+    if instr is None:
+        return _c(prompt)
+    suffix = F.lit(instr) if isinstance(instr, str) else instr
+    return F.concat(_c(prompt), F.coalesce(suffix, F.lit("")))
 
 
 def chat_messages(prompt, instr=None) -> Column:

@@ -54,8 +54,15 @@ def batch_progress(batched: DataFrame, batch_size: int, n_total: int | None = No
     return per.withColumn("processed", F.least((F.col("batch_id") + 1) * batch_size, F.lit(n_total)).cast("long"))
 
 
-def _runner(scorer: Callable, mode: str):
-    out_cols = ["id", "batch_id", "text", "head", "y", "z"]
+_OUT_COLS = ["id", "batch_id", "text", "head", "y", "z"]
+_RESULT_COLS = {"tokens": ["raw"], "logits": ["lp_y1", "lp_z1", "y_tok", "z_tok"]}
+
+
+def _runner(scorer: Callable, mode: str, n_total: int, batch_size: int):
+    """Per partition (rows sorted by batch): score every batch whose rows are all here; emit the rows
+    of a batch cut by a partition edge unscored (``done = False``) for the second pass."""
+    last_id = (n_total - 1) // batch_size
+    last_size = n_total - last_id * batch_size
 
     def score_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
         """Call the scorer once per batch of the chunk (rows are sorted by batch_id, batch_pos)."""
@@ -73,17 +80,33 @@ def _runner(scorer: Callable, mode: str):
             else:
                 res = pd.DataFrame(res).reset_index(drop=True)
             outs.append(res)
-        out = pdf[out_cols].reset_index(drop=True)
+        out = pdf[_OUT_COLS].reset_index(drop=True)
         if mode == "tokens":
             out["raw"] = pd.Series([g for r in outs for g in r], dtype=object)
         else:
             res = pd.concat(outs, ignore_index=True)
-            for c in ("lp_y1", "lp_z1", "y_tok", "z_tok"):
+            for c in _RESULT_COLS["logits"]:
                 out[c] = res[c].to_numpy()
+        out["done"] = True
         return out
 
+    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+        b = pdf["batch_id"].to_numpy()
+        size = pdf.groupby("batch_id")["batch_id"].transform("size").to_numpy()
+        full = size == np.where(b == last_id, last_size, batch_size)
+        parts = []
+        if full.any():
+            parts.append(score_chunk(pdf[full]))
+        if (~full).any():
+            edge = pdf.loc[~full, _OUT_COLS].reset_index(drop=True)
+            for c in _RESULT_COLS[mode]:
+                edge[c] = None
+            edge["done"] = False
+            parts.append(edge)
+        return pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
+
     def run(chunks):
-        pending = None  # rows of a batch cut by an Arrow chunk boundary
+        pending = None  # rows of the batch cut by an Arrow chunk boundary
         for pdf in chunks:
             if pending is not None:
                 pdf = pd.concat([pending, pdf], ignore_index=True)
@@ -94,9 +117,9 @@ def _runner(scorer: Callable, mode: str):
             whole = pdf["batch_id"].to_numpy() != last
             pending = pdf[~whole]
             if whole.any():
-                yield score_chunk(pdf[whole])
+                yield split(pdf[whole])
         if pending is not None and not pending.empty:
-            yield score_chunk(pending)
+            yield split(pending)
 
     return run
 
@@ -120,16 +143,26 @@ def score_prompts(df: DataFrame, scorer: Callable, mode: str = "tokens", batch_s
     base = df.select(F.col(id_col).alias("id"), add_suffix(F.col(prompt_col), instr).alias("text"),
                      F.col(head_col).cast("string").alias("head"), F.col(y_col).cast("string").alias("y"),
                      F.col(z_col).cast("string").alias("z"), *pass_cols)
-    batched = batch_ids(base, "id", "text", batch_size, use_length_bucketing)
-    parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid = batched.repartitionByRange(parts, "batch_id").sortWithinPartitions("batch_id", "batch_pos")
+    n_total = base.count()
     id_type = dict(base.dtypes)["id"]
-    if mode == "tokens":
-        schema = f"id {id_type}, batch_id long, text string, head string, y string, z string, raw string"
+    res_schema = "raw string" if mode == "tokens" else "lp_y1 double, lp_z1 double, y_tok int, z_tok int"
+    schema = f"id {id_type}, batch_id long, text string, head string, y string, z string, {res_schema}, done boolean"
+    if n_total == 0:
+        scored = df.sparkSession.createDataFrame([], schema)
     else:
-        schema = (f"id {id_type}, batch_id long, text string, head string, y string, z string, "
-                  "lp_y1 double, lp_z1 double, y_tok int, z_tok int")
-    scored = laid.mapInPandas(_runner(scorer, mode), schema)
+        # pass 1: score inside the ranked partitions (each holds a contiguous range of batches),
+        # no second shuffle of the prompts; checkpointed so no prompt is ever scored twice
+        batched = batch_ids(base, "id", "text", batch_size, use_length_bucketing)
+        laid = batched.sortWithinPartitions("batch_id", "batch_pos")
+        first = laid.mapInPandas(_runner(scorer, mode, n_total, batch_size), schema).checkpoint(eager=True)
+        # pass 2: the few batches cut by a partition boundary (< 2 * batch_size rows per boundary)
+        edge_ids = first.filter(~F.col("done")).select("id")
+        edge = (batched.join(F.broadcast(edge_ids), "id")
+                .repartition(num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                             "batch_id")
+                .sortWithinPartitions("batch_id", "batch_pos"))
+        second = edge.mapInPandas(_runner(scorer, mode, n_total, batch_size), schema)
+        scored = first.filter(F.col("done")).unionByName(second)
     if mode == "tokens":
         cleaned = clean_generation(F.col("text"), F.col("raw"), strip_prompt_echo)
         scored = scored.withColumn("raw_generation", cleaned)
