@@ -35,23 +35,35 @@ def get_spark(master: str | None = None, app: str = "oddone", shuffle_partitions
     return spark
 
 
+def _context(spark: SparkSession):
+    """The SparkContext of a classic session (None under Spark Connect)."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect sessions have no SparkContext
+        return None
+
+
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared checkpoint folder the cluster names (``spark.checkpoint.dir``), if any."""
-    d = spark.sparkContext.getCheckpointDir()
+    sc = _context(spark)
+    d = sc.getCheckpointDir() if sc is not None else None
     if d:
         return d
     return spark.conf.get("spark.checkpoint.dir", None)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     """Use the configured checkpoint folder; only when none is set (local tests) create one."""
+    sc = _context(spark)
     d = checkpoint_dir(spark)
+    if sc is None:
+        return d
     if d:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(d)
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(d)
         return d
     d = tempfile.mkdtemp(prefix="oddone-ckpt-")
-    spark.sparkContext.setCheckpointDir(d)
+    sc.setCheckpointDir(d)
     return d
 
 
@@ -64,8 +76,8 @@ def ship_package(spark: SparkSession) -> None:
     import os
     import zipfile
 
-    sc = spark.sparkContext
-    key = sc.applicationId
+    sc = _context(spark)
+    key = sc.applicationId if sc is not None else id(spark)
     if key in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
@@ -76,5 +88,8 @@ def ship_package(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
-    sc.addPyFile(out)
+    if sc is not None:
+        sc.addPyFile(out)
+    else:
+        spark.addArtifacts(out, pyfile=True)
     _SHIPPED.add(key)
