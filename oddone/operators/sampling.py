@@ -239,7 +239,8 @@ def draw_triplets(cand: DataFrame, n_items: int, euclid_min: float | None = None
         kept.append(ok)
         total += s
     last, s_last = waves[-1]
-    kept.append(first_n_by(last, "a", n_items - total) if total + s_last > n_items else last)
+    kept.append(first_n_by(last, "a", n_items - total, value_bits=max(1, int(a0).bit_length()))
+                if total + s_last > n_items else last)
     acc = kept[0]
     for k in kept[1:]:
         acc = acc.unionByName(k)
