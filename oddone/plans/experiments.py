@@ -1,7 +1,9 @@
 """The reference's experiments as DataFrame plans, and the registry that runs a manifest.
 
 * :func:`triplet_run` (E1): concepts + vectors -> draw -> shuffle -> render -> score -> answers
-* :func:`embedding_run` (E2): answers (one run or a folder of runs) -> index -> split -> fit -> wide
+* :func:`embedding_run` (E2): answers (one run or a folder of runs) -> index -> split -> fit -> wide;
+  :func:`embedding_for_model` / :func:`embedding_from_folder` are the two shipped embedding
+  experiments (partition-pruned table read / one fit per CSV of a folder) with their argument checks
 * :func:`run_manifest` (F7): resolve the manifest (J7), refuse dangling lines (J8), run each line
 """
 
@@ -85,3 +87,29 @@ def run_manifest(spark: SparkSession, parsed: DataFrame, models: DataFrame, expe
         fn = registry[row["experiment"]]
         results.append(fn(row, **(row["kwargs"] or {})))
     return results
+
+
+def embedding_from_folder(spark: SparkSession, version_dir: str | None, d: int = 30, max_epochs: int = 500,
+                          seed: int = 42) -> DataFrame:
+    """One fit per answer CSV directly inside ``version_dir`` (the run is the file's base name)."""
+    from oddone.sources.files import read_answers
+    if version_dir is None:
+        raise ValueError("embedding_from_folder requires a 'version_dir' argument")
+    try:
+        answers = read_answers(spark, version_dir, run_from_file=True)
+        answers.schema  # resolves the path
+    except Exception as e:  # noqa: BLE001
+        raise ValueError(f"Input directory not found: {version_dir}") from e
+    return embedding_run(answers, d=d, max_epochs=max_epochs, seed=seed, run_col="run")
+
+
+def embedding_for_model(spark: SparkSession, answers_path: str, version_dir: str | None, model: str,
+                        stimulus: str, d: int = 30, max_epochs: int = 1000, seed: int = 42) -> DataFrame:
+    """One fit over the answers of ``(version, model, stimulus)`` in the partitioned answers table;
+    partition filters prune the scan to that model's files."""
+    if version_dir is None:
+        raise ValueError("embedding_1_a requires a 'version_dir' argument")
+    answers = (spark.read.parquet(answers_path)
+               .filter((F.col("version") == version_dir) & (F.col("model") == model) & (F.col("stimulus") == stimulus))
+               .select("head", "winner", "loser"))
+    return embedding_run(answers, d=d, max_epochs=max_epochs, seed=seed)

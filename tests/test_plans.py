@@ -74,3 +74,28 @@ def test_run_manifest_and_metadata(spark, tmp_dir):
                                 "model_id string, config_json string")
     r = display(model_arch(cfg)).first()
     assert (r.model_id, r.num_layers, r.attention_dimensionality, r.vocabulary_size) == ("org/x", "2", "4", "Not found")
+
+
+def test_embedding_experiments_checks_and_pruning(spark, tmp_dir):
+    import pytest
+    from oddone.plans.experiments import embedding_for_model, embedding_from_folder
+    with pytest.raises(ValueError, match="version_dir"):
+        embedding_from_folder(spark, None)
+    with pytest.raises(ValueError, match="not found"):
+        embedding_from_folder(spark, os.path.join(tmp_dir, "missing"))
+    rows = [(f"a{i % 7}", f"a{(i + 1) % 7}", f"a{(i + 3) % 7}") for i in range(40)]
+    ans = spark.createDataFrame(rows, "head string, winner string, loser string")
+    path = os.path.join(tmp_dir, "answers")
+    write_answers(ans, path, "1a", "m1", "THINGS")
+    write_answers(ans.limit(5), path, "1a", "m2", "THINGS")
+    emb = embedding_for_model(spark, path, "1a", "m1", "THINGS", d=2, max_epochs=3)
+    assert emb.count() == 7
+    plan = (spark.read.parquet(path).filter("model = 'm1'")._jdf.queryExecution().executedPlan().toString())
+    assert "PartitionFilters: [isnotnull(model" in plan
+    folder = os.path.join(tmp_dir, "runs")
+    os.makedirs(folder)
+    for name, k in (("r1", 40), ("r2", 25)):
+        with open(os.path.join(folder, f"{name}.csv"), "w") as f:
+            f.write("head,winner,loser,raw_generation\n" + "".join(f"{h},{w},{l},t\n" for h, w, l in rows[:k]))
+    out = embedding_from_folder(spark, folder, d=2, max_epochs=3)
+    assert {r.run for r in out.select("run").distinct().collect()} == {"r1", "r2"}
