@@ -39,7 +39,7 @@ from oddone.functions.hashing import seeded_choice, seeded_hash
 from oddone.functions.vectors import euclid
 from oddone.operators.indexing import dense_index, first_n_by
 from oddone.operators.joins import broadcast_limit, checked_broadcast
-from oddone.operators.vectors import _collect_block, matrix_row_bytes
+from oddone.operators.vectors import _collect_block, matrix_row_bytes, near_far_counts
 from oddone.session import ensure_checkpoint_dir
 
 # Fixed value: attempts allowed per requested triplet (the reference's cap).
@@ -122,13 +122,17 @@ def _tail_block(unresolved: DataFrame, bc, seed: int, lo, hi, use_vectors: bool,
                     idx = np.flatnonzero(ok)
                     cache[xk] = (idx, idx)
             near_idx, far_idx = cache[xk]
-            seen = {_py_hash(seed, "draw", r.a, k) % n for k in range(draws)}
             best = [None, None, None]
-            if _nan(r.y_pos):
+            need_y, need_z = _nan(r.y_pos), _nan(r.z_pos)
+            if (need_y and len(near_idx) == 0) or (need_z and len(far_idx) == 0):
+                seen = set()  # nothing to order in this block for the missing role
+            else:
+                seen = {_py_hash(seed, "draw", r.a, k) % n for k in range(draws)}
+            if need_y:
                 c = [(_py_hash(seed, "tail", r.a, int(pos[i])), int(pos[i]), keys[i]) for i in near_idx
                      if int(pos[i]) not in seen]
                 best[0] = min(c) if c else None
-            if _nan(r.z_pos):
+            if need_z:
                 c = sorted((_py_hash(seed, "tail", r.a, int(pos[i])), int(pos[i]), keys[i]) for i in far_idx
                            if int(pos[i]) not in seen)
                 best[1], best[2] = (c[0] if c else None), (c[1] if len(c) > 1 else None)
@@ -201,9 +205,12 @@ def draw_triplets(cand: DataFrame, n_items: int, euclid_min: float | None = None
     waves = []
     done, a0 = 0, 0
     wave = n_items
+    feasible = None  # keys whose x can ever succeed (computed once the success rate drops below 1/2)
     while done < n_items and a0 < max_attempts and n > 0:
         a1 = min(max_attempts, a0 + wave)
         att = _attempts(spark, cand_b, n, a0, a1, seed)
+        if feasible is not None:  # attempts whose x has no near or no far row fail without drawing
+            att = att.join(feasible, "x_key", "left_semi")
         missing = F.col("y_pos").isNull() | F.col("z_pos").isNull()
         # staged draws, same result as evaluating all `draws` at once: when y and z are found among
         # the first `first` draws they are also the first among all draws.  Stage results are
@@ -228,6 +235,11 @@ def draw_triplets(cand: DataFrame, n_items: int, euclid_min: float | None = None
         waves.append((ok, s))
         done += s
         a0 = a1
+        if feasible is None and use_vectors and done < n_items and done < 0.5 * a0:
+            counts = near_far_counts(cand, lo, hi, n_rows=n, dim=dim)
+            feasible = checked_broadcast(
+                counts.filter((F.col("n_near") > 0) & (F.col("n_far") > 0)).select(F.col("key").alias("x_key")),
+                n, 64)
         rate = max(done / a0, 1.0 / ATTEMPTS_PER_ITEM)
         wave = int(math.ceil((n_items - done) / rate * 1.1)) + 64
 

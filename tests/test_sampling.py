@@ -158,3 +158,17 @@ def test_zip_length_mismatch_warns(spark):
     with pytest.warns(UserWarning, match="does not match"):
         st = stimuli_set(concepts, matrix, TRIPLET_TEMPLATE, n_items=3, euclid_min=1e10, euclid_max=0)
     assert st.count() == 0  # c has no vector and a/b each lack a second candidate row
+
+
+def test_mostly_infeasible_x_keeps_the_law(spark):
+    """3 of 5 x values can never succeed: after the first wave their attempts are skipped without
+    drawing; the accepted triplets must still follow the law."""
+    keys = ["a", "b", "c", "d", "e"]
+    vecs = [0.0, 1.0, 2.0, 3.0, 10.0]
+    law = exact_law(keys, vecs, 1.5, 8.5)
+    assert {k[0] for k in law} == {"a", "b"}
+    out = draw_triplets(cand_df(spark, keys, vecs), 2000, 1.5, 8.5, seed=13, draws=4).collect()
+    assert len(out) == 2000
+    emp = Counter((r.item_x, r.item_y, r.item_z) for r in out)
+    for k in set(law) | set(emp):
+        assert abs(emp[k] / 2000 - law.get(k, 0.0)) < 0.035, k
