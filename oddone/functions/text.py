@@ -65,14 +65,20 @@ def clean_generation(prompt, g, strip_prompt_echo=True) -> Column:
     return strip_echo(prompt, t) if strip_prompt_echo else py_strip(t)
 
 
-def match_offset(g, cand) -> Column:
-    """1-based offset of ``cand`` in ``g`` ignoring case, 0 when absent (empty cand -> 1)."""
+def match_offset(g, cand, word_boundary: bool = False) -> Column:
+    """1-based offset of ``cand`` in ``g`` ignoring case, 0 when absent (empty cand -> 1).
+    With ``word_boundary`` the candidate must stand as a whole word (``bat`` does not hit ``bathtub``)."""
+    if word_boundary:
+        pattern = F.concat(F.lit("(?iu)(?<![\\w])\\Q"), F.replace(_c(cand), F.lit("\\E"), F.lit("\\E\\\\E\\Q")),
+                           F.lit("\\E(?![\\w])"))
+        return F.call_function("regexp_instr", _c(g), pattern)
     return F.position(F.lower(_c(cand)), F.lower(_c(g)))
 
 
-def match_first(g, y, z) -> Column:
-    """Earliest case-insensitive match of y or z in g; a tie goes to y; none -> NULL."""
-    py, pz = match_offset(g, y), match_offset(g, z)
+def match_first(g, y, z, word_boundary: bool = False) -> Column:
+    """Earliest case-insensitive match of y or z in g; a tie goes to y; none -> NULL.
+    Substring matching by default, as the reference does; ``word_boundary=True`` is the fixed variant."""
+    py, pz = match_offset(g, y, word_boundary), match_offset(g, z, word_boundary)
     return (F.when((py > 0) & ((pz == 0) | (py <= pz)), _c(y))
             .when(pz > 0, _c(z)))
 

@@ -139,3 +139,14 @@ def test_arch_vocab_fallbacks(spark):
 
 def test_safe_name(spark):
     assert one(spark, T.safe_name(F.col("n")), n="org/model name") == "org_model_name"
+
+
+@pytest.mark.parametrize("g,y,z,exp", [
+    ("bathtub and cow", "bat", "cow", "cow"),
+    ("a bat!", "bat", "cow", "bat"),
+    ("item_12 first", "item_1", "item_12", "item_12"),
+    ("x.y (c+d) z", "c+d", "x.y", "x.y"),
+    ("none here", "bat", "cow", None),
+])
+def test_match_first_word_boundary(spark, g, y, z, exp):
+    assert one(spark, T.match_first(F.col("g"), F.col("y"), F.col("z"), word_boundary=True), g=g, y=y, z=z) == exp
