@@ -28,7 +28,7 @@ from oddone.functions.hashing import seeded_hash
 from oddone.functions.vectors import sq_euclid
 from oddone.operators.indexing import dense_index
 from oddone.operators.joins import checked_broadcast
-from oddone.session import ensure_checkpoint_dir
+from oddone.session import ensure_checkpoint_dir, ship_package
 
 MISSING_ITEM = "-1"  # fixed value: the reference's missing-item sentinel
 
@@ -215,6 +215,7 @@ def fit_embedding(triplets: DataFrame, n: int, d: int = 10, max_epochs: int = 50
     the shared checkpoint folder, so epochs never recompute their lineage."""
     spark = triplets.sparkSession
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     trip = triplets.select(F.col(h).cast("int").alias("h"), F.col(w).cast("int").alias("w"),
                            F.col(l).cast("int").alias("l")).checkpoint(eager=True)
     k = trip.count()
@@ -270,6 +271,7 @@ def fit_runs(answers: DataFrame, run_col: str = "run", d: int = 10, max_epochs:
              seed: int = 0, max_task_rows: int = 5_000_000, loss: str = "ste") -> DataFrame:
     """One independent fit per run: index, lenient mapping, fit; output ``run, item, id, dim_*``."""
     spark = answers.sparkSession
+    ship_package(spark)
     idx = item_index(answers, run_col)
     n_items = idx.groupBy(run_col).agg(F.count(F.lit(1)).alias("n"))
     trip = map_lenient(answers, idx, run_col).select(run_col, "h", "w", "l").join(n_items, run_col)

@@ -40,7 +40,7 @@ from oddone.functions.vectors import euclid
 from oddone.operators.indexing import dense_index, first_n_by
 from oddone.operators.joins import broadcast_limit, checked_broadcast
 from oddone.operators.vectors import _collect_block, matrix_row_bytes, near_far_counts
-from oddone.session import ensure_checkpoint_dir
+from oddone.session import ensure_checkpoint_dir, ship_package
 
 # Fixed value: attempts allowed per requested triplet (the reference's cap).
 ATTEMPTS_PER_ITEM = 100
@@ -188,6 +188,7 @@ def draw_triplets(cand: DataFrame, n_items: int, euclid_min: float | None = None
     ``cand``: ``(pos, key, vec)`` with dense ``pos`` 0..n-1 (see :func:`candidates`).
     Returns ``STIMULI_COLS`` (distances NULL for the unconstrained draw)."""
     spark = cand.sparkSession
+    ship_package(spark)  # the tail runs in Python workers
     cand = cand.select("pos", "key", "vec").persist(StorageLevel.MEMORY_AND_DISK)
     stats = cand.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()  # one job
     n = n_rows if n_rows is not None else stats["n"]

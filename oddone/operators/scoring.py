@@ -28,6 +28,7 @@ from oddone.functions.prompts import add_suffix
 from oddone.functions.text import clean_generation, match_first, resolve_choice
 from oddone.functions.vectors import logprob_choice
 from oddone.operators.indexing import dense_index
+from oddone.session import ship_package
 
 MODES = ("tokens", "logits")
 
@@ -140,6 +141,7 @@ def score_prompts(df: DataFrame, scorer: Callable, mode: str = "tokens", batch_s
     for c in (id_col, prompt_col, head_col, y_col, z_col):
         if c not in df.columns:
             raise ValueError(f"missing column {c!r}")
+    ship_package(df.sparkSession)  # the scoring runner executes in Python workers
     base = df.select(F.col(id_col).alias("id"), add_suffix(F.col(prompt_col), instr).alias("text"),
                      F.col(head_col).cast("string").alias("head"), F.col(y_col).cast("string").alias("y"),
                      F.col(z_col).cast("string").alias("z"), *pass_cols)

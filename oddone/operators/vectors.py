@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from oddone.functions.vectors import euclid
 from oddone.operators.joins import broadcast_limit, checked_broadcast
+from oddone.session import ship_package
 
 
 def zip_matrix(concepts: DataFrame, matrix: DataFrame, key_col: str = "key") -> DataFrame:
@@ -71,6 +72,7 @@ def near_far_counts(cand: DataFrame, euclid_min: float, euclid_max: float, n_row
     block in numpy, so the n x n distances never become DataFrame rows.  Block partials are summed
     per key."""
     spark = cand.sparkSession
+    ship_package(spark)
     n_rows = n_rows if n_rows is not None else cand.count()
     if dim is None:
         first = cand.filter(F.col("vec").isNotNull()).select(F.size("vec")).first()

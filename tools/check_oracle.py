@@ -91,7 +91,12 @@ def main():
     from oddone.catalog import load_all
     from oddone.session import get_spark
     reg = load_all()
-    spark = get_spark("local[8]", shuffle_partitions=8)
+    if os.environ.get("PLAIN") == "1":  # a session with Spark's defaults, as a driver might build it
+        from pyspark.sql import SparkSession
+        spark = (SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
+                 .config("spark.ui.showConsoleProgress", "false").getOrCreate())
+    else:
+        spark = get_spark("local[8]", shuffle_partitions=8)
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
     bad = 0
