@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import warnings
 
 import numpy as np
 import pandas as pd
@@ -244,6 +245,8 @@ def draw_triplets(cand: DataFrame, n_items: int, euclid_min: float | None = None
         rate = max(done / a0, 1.0 / ATTEMPTS_PER_ITEM)
         wave = int(math.ceil((n_items - done) / rate * 1.1)) + 64
 
+    if done < n_items:
+        warnings.warn(f"Max attempts reached. Collected {done} valid triplets of {n_items} requested.")
     if not waves:
         return spark.createDataFrame([], _stimuli_schema())
     # all waves but the last are wholly inside; the last is cut exactly

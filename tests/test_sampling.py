@@ -59,7 +59,8 @@ def test_draw_matches_exact_law(spark, draws):
 
 
 def test_draw_empty_when_nothing_is_near(spark):
-    out = draw_triplets(cand_df(spark, ["a", "b", "c"], [0.0, 1.0, 2.0]), 5, -1, -1, seed=1)
+    with pytest.warns(UserWarning, match="Max attempts reached. Collected 0"):
+        out = draw_triplets(cand_df(spark, ["a", "b", "c"], [0.0, 1.0, 2.0]), 5, -1, -1, seed=1)
     assert out.count() == 0
 
 

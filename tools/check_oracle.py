@@ -69,8 +69,12 @@ def compare(spark, con, name, fn, sql, sf_dir):
     to = time.time() - t
     sc, sr = rows_of(s_pdf)
     oc, orr = rows_of(o_pdf)
-    kinds_s = {c: s_pdf[c].dtype.kind for c in s_pdf.columns}
-    kinds_o = {c: o_pdf[c].dtype.kind for c in o_pdf.columns}
+    if STRICT:  # exact dtype names (int32 vs int64 matters to a schema check)
+        kinds_s = {c: str(s_pdf[c].dtype) for c in s_pdf.columns}
+        kinds_o = {c: str(o_pdf[c].dtype) for c in o_pdf.columns}
+    else:
+        kinds_s = {c: s_pdf[c].dtype.kind for c in s_pdf.columns}
+        kinds_o = {c: o_pdf[c].dtype.kind for c in o_pdf.columns}
     res = {"name": name, "rows": len(sr), "oracle_rows": len(orr), "cols_match": sc == oc,
            "types_match": kinds_s == kinds_o,
            "values_match": sr == orr, "spark_s": round(ts, 2), "oracle_s": round(to, 2)}
