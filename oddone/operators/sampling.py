@@ -62,7 +62,7 @@ def _attempts(spark, cand_b: DataFrame, n: int, a0: int, a1: int, seed: int) ->
     att = spark.range(a0, a1, numPartitions=parts).withColumnRenamed("id", "a")
     att = att.withColumn("x_pos", seeded_choice(F.lit(n), seed, "x", F.col("a")))
     xs = cand_b.select(F.col("pos").alias("x_pos"), F.col("key").alias("x_key"), F.col("vec").alias("x_vec"))
-    return att.join(xs, "x_pos")
+    return att.join(xs, "x_pos").filter(F.col("x_key").isNotNull())  # a NULL key matches nothing
 
 
 def _draw_phase(att: DataFrame, cand_b: DataFrame, n: int, seed: int, k_hi: int,
@@ -111,7 +111,7 @@ def _tail_block(unresolved: DataFrame, bc, seed: int, lo, hi, use_vectors: bool,
         for r in pdf.itertuples(index=False):
             xk = r.x_key
             if xk not in cache:  # x's near / far rows of this block, once per group
-                ok = keys != xk
+                ok = np.fromiter((k is not None and k != xk for k in keys), dtype=bool, count=len(keys))
                 if use_vectors:
                     if r.x_vec is None:
                         cache[xk] = (np.zeros(0, np.int64), np.zeros(0, np.int64))

@@ -173,3 +173,10 @@ def test_mostly_infeasible_x_keeps_the_law(spark):
     emp = Counter((r.item_x, r.item_y, r.item_z) for r in out)
     for k in set(law) | set(emp):
         assert abs(emp[k] / 2000 - law.get(k, 0.0)) < 0.035, k
+
+
+def test_null_keys_never_enter_a_triplet(spark):
+    keys = ["a", None, "b", "c", None]
+    out = draw_triplets(cand_df(spark, keys, [None] * 5), 300, seed=4, use_vectors=False, draws=1).collect()
+    assert len(out) == 300
+    assert all(None not in (r.item_x, r.item_y, r.item_z) for r in out)
