@@ -8,19 +8,25 @@ successful attempts (in attempt order, at most ``100 * n_items`` attempts) are t
 
 Spark form, exact for that law:
 
-1. *Draw phase* (JVM): attempt ``a`` draws ``draws`` row positions ``pmod(h(seed,'draw',a,k), n)``.
-   The first occurrences of a with-replacement draw sequence are a uniformly random ordering,
-   so y = the near draw with the smallest k and z = the far draw with the smallest k whose
-   position differs from y's.  Attempts are generated by ``spark.range`` (range-partitioned),
-   so exploding the draws and joining the size-checked broadcast candidate table keeps the
-   per-attempt aggregation shuffle-free.
-2. *Tail* (numpy, rare): attempts still missing y or z continue with the unseen rows ordered
-   by ``h(seed,'tail',a,pos)`` — a uniform order of the unseen rows, so the law is unchanged.
-   Unresolved attempts are grouped by (x, salt) so each task computes x's distances once.
-3. *Acceptance*: attempts run in waves sized from the observed success rate; the first
-   ``n_items`` successes are cut exactly with :func:`first_n_by` (histogram, no global sort).
-
-The unconstrained draw (no vectors) is the same machinery with "near" = "far" = any row of
+1. *Draw phase* (JVM): attempt ``a`` draws row positions ``pmod(h(seed,'draw',a,k), n)``.  The
+   first occurrences of a with-replacement draw sequence are a uniformly random ordering, so
+   y = the near draw with the smallest k and z = the far draw with the smallest k whose position
+   differs from y's.  Draws are staged (``FIRST_STAGE`` for every attempt, then all ``draws`` for
+   the attempts still open), which gives the same result as evaluating every draw.  Attempts come
+   from ``spark.range`` (range-partitioned), so exploding the draws and joining the candidate
+   table (broadcast when its counted size fits, shuffled otherwise) needs no exchange before the
+   per-attempt aggregation.
+2. *Tail* (numpy, rare): attempts still missing y or z continue with the unseen rows ordered by
+   ``h(seed,'tail',a,pos)`` — a uniform order of the unseen rows, so the law is unchanged.  The
+   candidate rows are broadcast in blocks sized to the broadcast limit; each block reports its
+   best near row and two best far rows per attempt and a JVM reduce keeps the first ones.  Open
+   attempts are grouped by (x, salt) so a hot x is split and its distances are computed once per group.
+3. *Acceptance*: attempts run in waves sized from the observed success rate; the first ``n_items``
+   successes are cut exactly with :func:`first_n_by` (histogram, no global sort).  Once fewer than
+   half the attempts succeed, per-key near/far counts mark the x values that can never succeed;
+   their attempts fail without drawing (they still count toward the cap).
+
+NULL keys match nothing (neither as x nor as a candidate).  The unconstrained draw (no vectors) is the same machinery with "near" = "far" = any row of
 another key.
 """
 
