@@ -26,8 +26,8 @@ Spark form, exact for that law:
    half the attempts succeed, per-key near/far counts mark the x values that can never succeed;
    their attempts fail without drawing (they still count toward the cap).
 
-NULL keys match nothing (neither as x nor as a candidate).  The unconstrained draw (no vectors) is the same machinery with "near" = "far" = any row of
-another key.
+NULL keys match nothing (neither as x nor as a candidate).  The unconstrained draw (no vectors) is
+the same machinery with "near" = "far" = any row of another key.
 """
 
 from __future__ import annotations
