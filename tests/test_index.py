@@ -59,3 +59,17 @@ def test_column_index(spark):
     assert {r.item: r.id for r in column_index(df, "concept").collect()} == {"a": 0, "b": 1}
     with pytest.raises(ValueError):
         column_index(df, "nope")
+
+
+def test_split_and_dense_ids_under_skew(spark):
+    """One group holds two thirds of the rows; the order key's leading column is mostly one value."""
+    df = (spark.range(0, 3000).withColumn("g", F.when(F.col("id") < 2000, F.lit(0)).otherwise(F.col("id") % 5))
+          .withColumn("key", F.col("id").cast("string")))
+    counts = {r.g: r["count"] for r in split_train_test(df, "key", group_col="g").filter("is_test").groupBy("g").count().collect()}
+    sizes = {r.g: r["count"] for r in df.groupBy("g").count().collect()}
+    assert counts == {g: math.ceil(0.2 * n) for g, n in sizes.items()}
+    lead = df.withColumn("lead", F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(F.lit(7)))
+    ids = dense_index(lead, ["lead", "id"], "i").collect()
+    assert sorted(r.i for r in ids) == list(range(3000))
+    want = {r.id: k for k, r in enumerate(sorted(ids, key=lambda r: (r.lead, r.id)))}
+    assert all(r.i == want[r.id] for r in ids)
