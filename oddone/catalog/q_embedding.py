@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from oddone.catalog import query
 from oddone.catalog.fixtures import ANSWERS_SQL, ITEMS_SQL, answers, items, with_sql
+from oddone.operators.joins import checked_broadcast
+from oddone.operators.vectors import matrix_row_bytes
 from oddone.operators.embedding import (embedding_frame, fit_embedding, fit_runs, grad_rows, item_index,
                                         map_lenient, split_train_test, ste_terms)
 
@@ -16,6 +18,8 @@ SEED = 42
 
 def _terms(spark, d):
     it = items(spark, d).select("key", "vec")
+    n = it.count()
+    it = checked_broadcast(it, n, matrix_row_bytes(DIM))  # vectors are a dimension table
     a = answers(spark, d).select("answer_id", "head", "winner", "loser")
     for c, v in (("head", "h_vec"), ("winner", "w_vec"), ("loser", "l_vec")):
         a = a.join(it.select(F.col("key").alias(c), F.col("vec").alias(v)), c)
