@@ -100,8 +100,13 @@ def _runner(scorer: Callable, mode: str, n_total: int, batch_size: int):
             parts.append(score_chunk(pdf[full]))
         if (~full).any():
             edge = pdf.loc[~full, _OUT_COLS].reset_index(drop=True)
-            for c in _RESULT_COLS[mode]:
-                edge[c] = None
+            if mode == "tokens":
+                edge["raw"] = pd.Series([None] * len(edge), dtype=object)
+            else:  # typed placeholders: the rows are scored in the second pass
+                edge["lp_y1"] = np.full(len(edge), np.nan)
+                edge["lp_z1"] = np.full(len(edge), np.nan)
+                edge["y_tok"] = pd.array([None] * len(edge), dtype="Int32")
+                edge["z_tok"] = pd.array([None] * len(edge), dtype="Int32")
             edge["done"] = False
             parts.append(edge)
         return pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
