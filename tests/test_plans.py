@@ -99,3 +99,17 @@ def test_embedding_experiments_checks_and_pruning(spark, tmp_dir):
             f.write("head,winner,loser,raw_generation\n" + "".join(f"{h},{w},{l},t\n" for h, w, l in rows[:k]))
     out = embedding_from_folder(spark, folder, d=2, max_epochs=3)
     assert {r.run for r in out.select("run").distinct().collect()} == {"r1", "r2"}
+
+
+def test_run_manifest_refuses_dangling_lines(spark, tmp_dir):
+    import pytest
+    mpath = os.path.join(tmp_dir, "w.txt")
+    with open(mpath, "w") as f:
+        f.write("embedding_1_a m1 THINGS version_dir=1a\nembedding_1_a gemma-3-9b-it THINGS version_dir=1a\n")
+    parsed = parse_manifest(read_lines(spark, mpath))
+    models = spark.createDataFrame([("m1", "org/m1")], "name string, model_name string")
+    exps = spark.createDataFrame([("embedding_1_a", 30)], "name string, d int")
+    calls = []
+    with pytest.raises(ValueError, match="dangling"):
+        run_manifest(spark, parsed, models, exps, {"embedding_1_a": lambda row, **kw: calls.append(row)})
+    assert calls == []  # nothing ran
