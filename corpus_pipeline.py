@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddone.llm import exact_dedup, langid, packing, secrets
+from oddone.llm import exact_dedup, langid, packing, secret_scan
 from oddone.llm.common import staged, table
 
 
@@ -32,7 +32,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are cut out of the texts; every document stays."""
-    out = secrets.redact(docs)
+    out = secret_scan.redact(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
