@@ -55,8 +55,10 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     A shorter text with a word has one shingle, all its words; a null or blank text has none."""
     from xxhash import xxh3_64_intdigest
 
-    found = text.lower().translate(_BLANKS).split(" ") if text else []
-    hashes = np.array([xxh3_64_intdigest(w) for w in found if w], np.uint64)
+    found = text.lower() if text else ""
+    for blank in "\t\n\v\f\r":
+        found = found.replace(blank, " ")
+    hashes = np.array([xxh3_64_intdigest(w) for w in found.split(" ") if w], np.uint64)
     if not len(hashes):
         return hashes
     width = min(words, len(hashes))
@@ -67,9 +69,6 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
-_BLANKS = {c: " " for c in range(9, 14)}
-
-
 def signature(tokens: np.ndarray) -> np.ndarray:
     least = np.full(POSITIONS, np.iinfo(np.uint32).max, np.uint64)
     for at in range(0, len(tokens), 4096):
