@@ -27,8 +27,8 @@ from oddone.llm.common import ready, staged
 
 #: Labelled rows learned from at most, words chosen per category, rows that must have a chosen word, folds, ridge.
 SAMPLE_ROWS, WORDS, LEAST_ROWS, FOLDS, RIDGE = 12_000, 96, 4, 4, 1.0
-#: Standard errors by which a word's log odds must differ between a category's rows and the others.
-LEAST_Z = 4.0
+#: Least log-likelihood ratio (G squared) of a word and a category: chance gives as much to one word in 100,000.
+LEAST_G2 = 20.0
 WORD = re.compile(r"[^\W\d_]+")
 MEASURES = ("upper", "marks", "digits", "lines", "repeated", "length")
 
@@ -111,7 +111,7 @@ def learn(docs: DataFrame, labels: DataFrame, categories: list[str], rows: int =
     """Fit a chain on the labelled rows with the smallest hashes of the id, ``rows`` at most.
 
     A row counts for the categories whose label is not null; of repeated ids the largest labels and one text
-    count. Without labelled rows every probability is 0.5.
+    count, of equal texts one. Without labelled rows every probability is 0.5.
     """
     ready(docs)
     place = F.xxhash64("doc_id", F.lit(11))
@@ -121,7 +121,7 @@ def learn(docs: DataFrame, labels: DataFrame, categories: list[str], rows: int =
               .filter(F.coalesce(*ys).isNotNull()).orderBy(place, "doc_id").limit(rows))
     # bounded by rows, so the documents need no shuffle
     texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).filter("text is not null").join(F.broadcast(chosen), "doc_id")
-    texts = staged(texts.dropDuplicates(["doc_id"]), "labelled")
+    texts = staged(texts.dropDuplicates(["doc_id"]).dropDuplicates(["text"]), "labelled")  # copies would count as evidence
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -134,10 +134,13 @@ def learn(docs: DataFrame, labels: DataFrame, categories: list[str], rows: int =
     totals = texts.agg(*[F.sum(y).alias(f"with_{y}") for y in ys], *[F.sum(1 - F.col(y)).alias(f"without_{y}") for y in ys]).first().asDict()
     words: set[str] = set()
     for y in ys:
-        a, b = F.col(f"with_{y}") + 0.5, F.col(f"without_{y}") + 0.5
-        ta, tb = float(totals[f"with_{y}"] or 0) + 1, float(totals[f"without_{y}"] or 0) + 1
-        z = F.abs(F.log(a / ta) - F.log(b / tb)) / F.sqrt(1 / a + 1 / b)
-        words |= {r["word"] for r in counts.filter(z >= LEAST_Z).orderBy(z.desc(), "word").limit(WORDS).collect()}
+        a, b = F.coalesce(F.col(f"with_{y}"), F.lit(0.0)), F.coalesce(F.col(f"without_{y}"), F.lit(0.0))
+        yes, no = float(totals[f"with_{y}"] or 0), float(totals[f"without_{y}"] or 0)
+        if not yes or not no:
+            continue
+        cells = ((a, yes, a + b), (b, no, a + b), (yes - a, yes, yes + no - a - b), (no - b, no, yes + no - a - b))
+        g2 = 2 * sum(F.when(x > 0, x * F.log(x * (yes + no) / (row * column))).otherwise(0.0) for x, row, column in cells)
+        words |= {r["word"] for r in counts.filter(g2 >= LEAST_G2).orderBy(g2.desc(), "word").limit(WORDS).collect()}
     chain = Chain(categories, sorted(words))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
