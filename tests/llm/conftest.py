@@ -24,3 +24,12 @@ def odd(spark):
 @pytest.fixture(scope="session")
 def sf():
     return "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def tokenizer_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return lambda text: [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
