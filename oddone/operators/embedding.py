@@ -1,34 +1,23 @@
-"""Item indexing, triplet mapping, train/test split and ordinal-embedding fitting.
+"""Item indexing, triplet mapping and the train/test split.
 
 * :func:`item_index`   sorted distinct items of head/winner/loser (NULL and '-1' dropped) -> 0-based id,
   per run when a run column is given (the reference indexes each answer file on its own)
 * :func:`map_lenient`  head/winner/loser -> ids, rows with any miss dropped (inner equi-joins)
 * :func:`map_strict`   every listed column -> id; a miss raises (``raise_error``)
-* :func:`split_train_test` exact ``ceil(test_size * n)`` test rows per group by seeded hash order:
-  a histogram over hash buckets finds each group's cut bucket; only cut buckets are ranked
-* :func:`ste_terms`, :func:`grad_rows` loss / gradient of the STE triplet loss as column expressions
-* fits minimise one of the published triplet losses (``LOSSES``; STE by default)
-* :func:`fit_embedding` one large fit: triplets stay distributed; each epoch broadcasts the n x d
-  matrix, tasks return partial gradient sums (Arrow), the driver applies an Adam step
-* :func:`fit_runs`     many fits: runs under ``max_task_rows`` triplets are fitted inside one task
-  each (``applyInPandas``); larger runs go through :func:`fit_embedding`
+* :func:`split_train_test` exact ``ceil(test_size * n)`` test rows per group by seeded hash order
+
+The fits are in :mod:`oddone.operators.fitting`.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddone.functions.hashing import seeded_hash
-from oddone.functions.vectors import sq_euclid
 from oddone.operators.indexing import dense_index
 from oddone.operators.joins import checked_broadcast
-from oddone.session import ensure_checkpoint_dir, ship_package
+from oddone.session import ensure_checkpoint_dir
 
 MISSING_ITEM = "-1"  # fixed value: the reference's missing-item sentinel
 
@@ -44,7 +33,7 @@ def item_index(answers: DataFrame, run_col: str | None = None, cols=("head", "wi
 def column_index(df: DataFrame, column: str) -> DataFrame:
     """Sorted distinct values of one column (as strings) -> 0-based id (``item, id``)."""
     if column not in df.columns:
-        raise ValueError(f"Column '{column}' not found in stimuli dataframe.")
+        raise ValueError(f"no column {column!r} to index; there are {df.columns}")
     return dense_index(df.select(F.col(column).cast("string").alias("item")).distinct(), ["item"], "id")
 
 
@@ -54,7 +43,8 @@ INDEX_ROW_BYTES = 128  # estimate per (run, item, id) row for the broadcast chec
 def _index_side(index: DataFrame) -> DataFrame:
     """The item index is bounded by the vocabulary (per run): broadcast it when its counted size
     fits, so the large answer table is never shuffled for the three lookups."""
-    index = index.persist(StorageLevel.MEMORY_AND_DISK)  # computed once for the three lookups
+    ensure_checkpoint_dir(index.sparkSession)
+    index = index.checkpoint(eager=True)  # computed once for the three lookups; cleaned up when unreferenced
     return checked_broadcast(index, index.count(), INDEX_ROW_BYTES)
 
 
@@ -76,229 +66,70 @@ def map_strict(df: DataFrame, index: DataFrame, cols: list[str], suffix: str = "
         idx = side.select(F.col("item").alias(c), F.col("id").cast("int").alias(c + suffix))
         out = out.join(idx, c, "left")
         out = out.withColumn(c + suffix, F.when(F.col(c + suffix).isNull(), F.raise_error(
-            F.concat(F.lit("Value '"), F.coalesce(F.col(c), F.lit("None")), F.lit("' not found in item2idx mapping."))
+            F.concat(F.lit(f"{c} has an item without an id: "), F.coalesce(F.col(c), F.lit("NULL")))
         ).cast("int")).otherwise(F.col(c + suffix)))
     return out
 
 
 # ------------------------------------------------------------------ split
 def split_train_test(df: DataFrame, key: str, seed: int = 42, test_size: float = 0.2,
-                     group_col: str | None = None, bucket_bits: int = 16, max_exact: int = 2_000_000) -> DataFrame:
+                     group_col: str | None = None, fanout_bits: int = 12, small: int = 10_000) -> DataFrame:
     """Add ``is_test``: per group the ``ceil(test_size * n)`` rows with the smallest
-    ``(h(seed,'split',key), key)``; the rest are train rows."""
-    g = F.col(group_col) if group_col else F.lit(0)
-    h = seeded_hash(seed, "split", F.col(key))
-    tagged = df.withColumn("_g", g).withColumn("_h", h).withColumn("_b", F.shiftright(F.col("_h"), 60 - bucket_bits))
-    tagged = tagged.persist(StorageLevel.MEMORY_AND_DISK)
-    hist = tagged.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy("_g").orderBy("_b")
-    hist = (hist.withColumn("_before", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-            .withColumn("_tot", F.sum("_n").over(Window.partitionBy("_g"))))
-    hist = hist.withColumn("_ntest", F.ceil(F.col("_tot") * F.lit(test_size)).cast("long"))
-    cut = hist.filter((F.col("_before") < F.col("_ntest")) & (F.col("_before") + F.col("_n") >= F.col("_ntest")))
-    cut = cut.select("_g", F.col("_b").alias("_cut"), (F.col("_ntest") - F.col("_before")).alias("_need"))
-    joined = tagged.join(cut, "_g", "left")
-    outside = joined.filter(F.col("_cut").isNull() | (F.col("_b") != F.col("_cut"))).withColumn(
-        "is_test", F.coalesce(F.col("_b") < F.col("_cut"), F.lit(False)))
-    inside = joined.filter(F.col("_b") == F.col("_cut"))
-    rk = F.row_number().over(Window.partitionBy("_g", "_b").orderBy("_h", key))  # one cut bucket per group
-    inside = inside.withColumn("is_test", rk <= F.col("_need"))
-    return outside.unionByName(inside).drop("_g", "_h", "_b", "_cut", "_need")
-
-
-# ------------------------------------------------------------------ STE loss and gradient
-def ste_terms(df: DataFrame, h_vec: str = "h_vec", w_vec: str = "w_vec", l_vec: str = "l_vec") -> DataFrame:
-    """Per triplet: squared distances, STE loss ``log(1+exp(D_hw-D_hl))``, sigmoid weight, correct flag."""
-    dhw, dhl = sq_euclid(h_vec, w_vec), sq_euclid(h_vec, l_vec)
-    t = df.withColumn("_dhw", dhw).withColumn("_dhl", dhl).withColumn("_m", F.col("_dhw") - F.col("_dhl"))
-    loss = F.when(F.col("_m") > 30, F.col("_m")).otherwise(F.log1p(F.exp(F.col("_m"))))
-    return (t.withColumn("loss", loss).withColumn("s", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("_m"))))
-            .withColumn("correct", F.col("_dhw") < F.col("_dhl")))
-
-
-def grad_rows(terms: DataFrame, h: str = "head", w: str = "winner", l: str = "loser",
-              h_vec: str = "h_vec", w_vec: str = "w_vec", l_vec: str = "l_vec") -> DataFrame:
-    """Sum of STE gradients per (item, dim): g_h = 2s(x_l - x_w), g_w = 2s(x_w - x_h), g_l = 2s(x_h - x_l)."""
-    two_s = F.col("s") * 2.0
-
-    def scaled(a, b):
-        return F.transform(F.arrays_zip(F.col(a).alias("p"), F.col(b).alias("q")), lambda e: (e["p"] - e["q"]) * two_s)
-
-    parts = F.array(F.struct(F.col(h).alias("item"), scaled(l_vec, w_vec).alias("g")),
-                    F.struct(F.col(w).alias("item"), scaled(w_vec, h_vec).alias("g")),
-                    F.struct(F.col(l).alias("item"), scaled(h_vec, l_vec).alias("g")))
-    ex = terms.select(F.explode(parts).alias("p")).select("p.item", F.posexplode("p.g").alias("dim", "v"))
-    return ex.groupBy("item", "dim").agg(F.sum("v").alias("grad"))
-
-
-# ------------------------------------------------------------------ fitting
-LOSSES = ("ste", "ckl", "gnmds", "soe")
-CKL_MU = 0.05  # CKL regulariser
-
-
-def _loss_terms(dhw: np.ndarray, dhl: np.ndarray, loss: str):
-    """Per-triplet loss and its derivatives w.r.t. the squared distances D_hw and D_hl.
-
-    ste   log(1 + exp(D_hw - D_hl))                     (van der Maaten & Weinberger 2012)
-    ckl   -log((mu + D_hl) / (2 mu + D_hw + D_hl))      (Tamuz et al. 2011)
-    gnmds max(0, 1 + D_hw - D_hl)                       (Agarwal et al. 2007)
-    soe   max(0, sqrt(D_hw) + 1 - sqrt(D_hl))^2         (Terada & von Luxburg 2014)"""
-    if loss == "ste":
-        m = dhw - dhl
-        val = np.where(m > 30, m, np.log1p(np.exp(np.minimum(m, 30))))
-        s = 1.0 / (1.0 + np.exp(-m))
-        return val, s, -s
-    if loss == "ckl":
-        den = 2 * CKL_MU + dhw + dhl
-        val = -np.log((CKL_MU + dhl) / den)
-        return val, 1.0 / den, -1.0 / (CKL_MU + dhl) + 1.0 / den
-    if loss == "gnmds":
-        t = 1.0 + dhw - dhl
-        on = (t > 0).astype(float)
-        return np.maximum(t, 0.0), on, -on
-    if loss == "soe":
-        rw, rl = np.sqrt(dhw), np.sqrt(dhl)
-        t = np.maximum(rw + 1.0 - rl, 0.0)
-        return t * t, np.where(rw > 0, t / np.maximum(rw, 1e-12), 0.0), np.where(rl > 0, -t / np.maximum(rl, 1e-12), 0.0)
-    raise ValueError(f"loss must be one of {LOSSES}")
-
-
-def _ste_grad_np(X: np.ndarray, T: np.ndarray, loss: str = "ste") -> tuple[np.ndarray, float]:
-    """Sum of triplet losses and their gradient for index triplets ``T`` (k x 3) at ``X`` (n x d)."""
-    xh, xw, xl = X[T[:, 0]], X[T[:, 1]], X[T[:, 2]]
-    dw, dl = xh - xw, xh - xl
-    val, gw, gl = _loss_terms((dw ** 2).sum(1), (dl ** 2).sum(1), loss)
-    G = np.zeros_like(X)
-    n = X.shape[0]
-    for j in range(X.shape[1]):  # bincount per dimension instead of np.add.at
-        a, b = 2.0 * gw * dw[:, j], 2.0 * gl * dl[:, j]
-        G[:, j] += np.bincount(T[:, 0], weights=a + b, minlength=n)
-        G[:, j] -= np.bincount(T[:, 1], weights=a, minlength=n)
-        G[:, j] -= np.bincount(T[:, 2], weights=b, minlength=n)
-    return G, float(val.sum())
-
-
-def _init(n: int, d: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).normal(scale=1.0 / math.sqrt(max(d, 1)), size=(n, d))
-
-
-class _Adam:
-    def __init__(self, shape, lr):
-        self.m, self.v, self.t, self.lr = np.zeros(shape), np.zeros(shape), 0, lr
-
-    def step(self, X, G):
-        self.t += 1
-        self.m = 0.9 * self.m + 0.1 * G
-        self.v = 0.999 * self.v + 0.001 * G * G
-        mh, vh = self.m / (1 - 0.9 ** self.t), self.v / (1 - 0.999 ** self.t)
-        return X - self.lr * mh / (np.sqrt(vh) + 1e-8)
-
-
-def fit_local(T: np.ndarray, n: int, d: int, max_epochs: int, lr: float = 0.05, seed: int = 0, loss: str = "ste"):
-    """Whole fit in one process (used per run inside a task)."""
-    X = _init(n, d, seed)
-    opt = _Adam(X.shape, lr)
-    k = max(len(T), 1)
-    total = float("nan")
-    for _ in range(max_epochs):
-        G, total = _ste_grad_np(X, T, loss)
-        X = opt.step(X, G / k)
-    return X, total / k
-
-
-_CHUNK = 4096
-
-
-def fit_embedding(triplets: DataFrame, n: int, d: int = 10, max_epochs: int = 50, lr: float = 0.05, seed: int = 0,
-                  h: str = "h", w: str = "w", l: str = "l", loss: str = "ste"):
-    """Distributed full-batch fit. Returns ``(X, history)``; the triplets are checkpointed once to
-    the shared checkpoint folder, so epochs never recompute their lineage."""
-    spark = triplets.sparkSession
-    ensure_checkpoint_dir(spark)
-    ship_package(spark)
-    trip = triplets.select(F.col(h).cast("int").alias("h"), F.col(w).cast("int").alias("w"),
-                           F.col(l).cast("int").alias("l")).checkpoint(eager=True)
-    k = trip.count()
-    if k == 0:
-        raise ValueError("No valid triplets could be constructed from the data.")
-    if loss not in LOSSES:
-        raise ValueError(f"loss must be one of {LOSSES}")
-    X = _init(n, d, seed)
-    opt = _Adam(X.shape, lr)
-    history = []
-    sc = spark.sparkContext
-
-    for _ in range(max_epochs):
-        bX = sc.broadcast(X)
-
-        def partial(batches, bX=bX):
-            Xl = bX.value
-            G = np.zeros_like(Xl)
-            total = 0.0
-            for pdf in batches:
-                g, lo = _ste_grad_np(Xl, pdf[["h", "w", "l"]].to_numpy(), loss)
-                G += g
-                total += lo
-            flat = np.append(G.ravel(), total)
-            yield pd.DataFrame({"c": np.arange(0, len(flat), _CHUNK),
-                                "g": [flat[i:i + _CHUNK] for i in range(0, len(flat), _CHUNK)]})
-
-        parts = trip.mapInPandas(partial, "c long, g array<double>")
-        # one array per task and chunk: fold them element-wise in the JVM (group size = #tasks)
-        gl = F.collect_list("g")
-        summed = F.aggregate(F.slice(gl, 2, F.greatest(F.size(gl) - 1, F.lit(0))), F.element_at(gl, 1),
-                             lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b))
-        rows = parts.groupBy("c").agg(summed.alias("g")).collect()
-        flat = np.concatenate([np.asarray(r["g"]) for r in sorted(rows, key=lambda r: r["c"])])
-        G, total = flat[:-1].reshape(X.shape), float(flat[-1])
-        X = opt.step(X, G / k)
-        history.append(total / k)
-        bX.unpersist()
-    return X, history
-
-
-def embedding_frame(spark, X: np.ndarray, index: DataFrame, run: str | None = None) -> DataFrame:
-    """Learned matrix joined to its labels: ``item, id, dim_0..`` (plus ``run``)."""
-    d = X.shape[1]
-    pdf = pd.DataFrame(X, columns=[f"dim_{i}" for i in range(d)])
-    pdf.insert(0, "id", np.arange(len(X), dtype=np.int64))
-    emb = spark.createDataFrame(pdf)
-    out = index.select("item", F.col("id").cast("long").alias("id"), *([F.lit(run).alias("run")] if run is not None else []))
-    return out.join(emb, "id").select(*(["run"] if run is not None else []), "item", "id", *[f"dim_{i}" for i in range(d)])
-
-
-def fit_runs(answers: DataFrame, run_col: str = "run", d: int = 10, max_epochs: int = 50, lr: float = 0.05,
-             seed: int = 0, max_task_rows: int = 5_000_000, loss: str = "ste") -> DataFrame:
-    """One independent fit per run: index, lenient mapping, fit; output ``run, item, id, dim_*``."""
-    spark = answers.sparkSession
-    ship_package(spark)
-    idx = item_index(answers, run_col)
-    n_items = idx.groupBy(run_col).agg(F.count(F.lit(1)).alias("n"))
-    trip = map_lenient(answers, idx, run_col).select(run_col, "h", "w", "l").join(n_items, run_col)
-    sizes = trip.groupBy(run_col).agg(F.count(F.lit(1)).alias("k"))
-    big = [r[run_col] for r in sizes.filter(F.col("k") > max_task_rows).select(run_col).collect()]
-    dims = [f"dim_{i}" for i in range(d)]
-    schema = f"{run_col} {dict(trip.dtypes)[run_col]}, id long, " + ", ".join(f"{c} double" for c in dims)
-
-    def fit_group(key, pdf):
-        T = pdf[["h", "w", "l"]].to_numpy().astype(np.int64)
-        n = int(pdf["n"].iloc[0])
-        X, _ = fit_local(T, n, d, max_epochs, lr, seed, loss)
-        out = pd.DataFrame(X, columns=dims)
-        out.insert(0, "id", np.arange(n, dtype=np.int64))
-        out.insert(0, run_col, key[0])
-        return out
-
-    empty = idx.select(run_col).distinct().join(sizes, run_col, "left_anti").limit(1).collect()
-    if empty:
-        raise ValueError(f"No valid triplets could be constructed from the data (run {empty[0][0]!r}).")
-    small = trip.join(sizes.filter(F.col("k") <= max_task_rows).select(run_col), run_col, "left_semi")
-    fitted = small.groupBy(run_col).applyInPandas(fit_group, schema)
-    out = idx.select(run_col, "item", F.col("id").cast("long").alias("id")).join(fitted, [run_col, "id"])
-    for r in big:
-        sub = trip.filter(F.col(run_col) == r)
-        sub_idx = idx.filter(F.col(run_col) == r)
-        n = sub_idx.count()
-        X, _ = fit_embedding(sub, n, d, max_epochs, lr, seed, loss=loss)
-        out = out.unionByName(embedding_frame(spark, X, sub_idx.drop(run_col), run=r))
-    return out.select(run_col, "item", "id", *dims)
+    ``(h(seed,'split',key), key)``; the rest are train rows.  A NULL group is a group; of rows with
+    equal keys any may be the test rows.
+
+    The cut is found on narrow ``(group, hash, key, rows)`` counts: a histogram over the leading hash bits,
+    refined within the cut bucket until every group's bucket holds at most ``small`` distinct keys, which are
+    then ranked.  Equal keys are one counted row, so a repeated key never fills a task."""
+    ensure_checkpoint_dir(df.sparkSession)
+    g = F.struct(F.col(group_col) if group_col else F.lit(0))  # a struct of NULL equals itself in joins
+    tagged = df.withColumn("_g", g).withColumn("_h", seeded_hash(seed, "split", F.col(key))).withColumn("_k", F.col(key).cast("string"))
+    keys = tagged.groupBy("_g", "_h", "_k").agg(F.count(F.lit(1)).alias("_n")).checkpoint(eager=True)
+    sizes = keys.groupBy("_g").agg(F.ceil(F.sum("_n") * F.lit(test_size)).cast("long").alias("_need"))
+    # per group: the range of hashes [_lo, _lo + 2**bits) that holds the cut, and the rows still needed from it
+    cut, bits = sizes.withColumn("_lo", F.lit(0).cast("long")), 60
+    while bits:
+        step = max(bits - fanout_bits, 0)
+        inside = keys.join(cut, "_g").filter((F.col("_h") >= F.col("_lo")) & (F.shiftright(F.col("_h") - F.col("_lo"), bits) == 0))
+        hist = inside.groupBy("_g", "_lo", "_need", F.shiftright(F.col("_h") - F.col("_lo"), step).alias("_b")).agg(
+            F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_keys"))  # at most 2**fanout_bits per group
+        before = F.coalesce(F.sum("_rows").over(Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        hist = hist.withColumn("_before", before).filter(
+            (F.col("_before") < F.col("_need")) & (F.col("_before") + F.col("_rows") >= F.col("_need")))
+        cut = hist.select("_g", (F.col("_lo") + F.shiftleft(F.col("_b"), step)).alias("_lo"),
+                          (F.col("_need") - F.col("_before")).alias("_need"), "_keys").checkpoint(eager=True)
+        bits = step
+        if cut.filter(F.col("_keys") > small).isEmpty():
+            break
+        cut = cut.drop("_keys")
+    cut = cut.select("_g", "_lo", "_need")
+    hi = F.col("_lo") + F.lit(1 << bits)
+    inside = keys.join(cut, "_g").filter((F.col("_h") >= F.col("_lo")) & (F.col("_h") < hi))
+    taken = F.coalesce(F.sum("_n").over(Window.partitionBy("_g").orderBy("_h", "_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = (inside.withColumn("_taken", taken).filter((F.col("_taken") < F.col("_need")) & (F.col("_taken") + F.col("_n") >= F.col("_need")))
+            .select("_g", F.col("_h").alias("_ch"), F.col("_k").alias("_ck"), (F.col("_need") - F.col("_taken")).alias("_left"),
+                    F.col("_n").alias("_of")))
+    last = last.checkpoint(eager=True)  # one row per group: the key at which the test rows end
+    joined = tagged.join(last, "_g", "left")
+    at = (F.col("_h") == F.col("_ch")) & F.col("_k").eqNullSafe(F.col("_ck"))
+    below = (F.col("_h") < F.col("_ch")) | ((F.col("_h") == F.col("_ch")) & (F.col("_k") < F.col("_ck")))
+    joined = joined.withColumn("_at", F.coalesce(at, F.lit(False))).withColumn("is_test", F.coalesce(below, F.lit(False)) | (F.col("_at") & (F.col("_left") == F.col("_of"))))
+    some = F.col("_at") & (F.col("_left") < F.col("_of"))  # a repeated key is cut in its middle
+    drop = ["_g", "_h", "_k", "_ch", "_ck", "_left", "_of", "_at"]
+    if last.filter(F.col("_left") < F.col("_of")).isEmpty():
+        return joined.drop(*drop)
+    middle = first_of_group(joined.filter(some), ["_g"], "_left")
+    return joined.filter(~some).unionByName(middle).drop(*drop)
+
+
+def first_of_group(rows: DataFrame, group: list, need: str, flag: str = "is_test") -> DataFrame:
+    """``flag``: true for ``need`` rows of each group, whichever; rows are counted per partition, and only one
+    number per (partition, group) is ranked."""
+    rows = rows.withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id()).checkpoint(eager=True)
+    per = rows.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_in"))
+    before = F.coalesce(F.sum("_in").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(per.withColumn("_before", before), [*group, "_part"])
+    whole, cut = F.col("_before") + F.col("_in") <= F.col(need), (F.col("_before") < F.col(need)) & (F.col("_before") + F.col("_in") > F.col(need))
+    rank = F.row_number().over(Window.partitionBy(*group, "_part").orderBy("_id"))  # of rows that one partition holds anyway
+    return (rows.withColumn(flag, F.when(cut, rank <= F.col(need) - F.col("_before")).otherwise(whole))
+            .drop("_part", "_id", "_in", "_before"))

@@ -9,12 +9,11 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from oddone.session import ensure_checkpoint_dir
+
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
 
@@ -26,30 +25,26 @@ def dense_index(df: DataFrame, order_cols: list, name: str = "idx", partition_co
                 num_partitions: int | None = None) -> DataFrame:
     """Add ``name`` = 0-based rank in ``order_cols`` order (order must be total/unique).
 
-    With ``partition_cols`` the rank restarts per group (window over each group; use it when
-    groups are bounded, e.g. items of one run)."""
+    With ``partition_cols`` the rank restarts per group (a NULL is a group).  Rows are range-partitioned on group
+    and order together, so a group of any size spreads over many partitions.  The ordered rows are checkpointed:
+    counts and ids read the same rows, and nothing stays cached."""
+    ensure_checkpoint_dir(df.sparkSession)
     order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    if partition_cols:
-        w = Window.partitionBy(*partition_cols).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(w) - 1)
-    ordered = (df.repartitionByRange(_parts(df, num_partitions), *order)
-               .sortWithinPartitions(*order)
-               .withColumn("_mid", F.monotonically_increasing_id())
-               .persist(StorageLevel.MEMORY_AND_DISK))
+    group = F.struct(*partition_cols) if partition_cols else F.lit(0)  # a struct of NULLs equals itself in joins
+    ordered = df.withColumn("_group", group)
+    ordered = (ordered.repartitionByRange(_parts(df, num_partitions), "_group", *order).sortWithinPartitions("_group", *order)
+               .withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True))
     pid = F.shiftright(F.col("_mid"), _LOCAL_BITS)
-    counts = ordered.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_pid",
-        F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"))
-    local = F.col("_mid") - F.shiftleft(F.col("_pid"), _LOCAL_BITS)
-    return (ordered.withColumn("_pid", pid)
-            .join(F.broadcast(offsets), "_pid")  # one row per partition
-            .withColumn(name, F.col("_off") + local)
-            .drop("_mid", "_pid", "_off"))
+    counts = ordered.groupBy("_group", pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    before = Window.partitionBy("_group").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    offsets = counts.select("_group", "_pid", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_off"))
+    if not partition_cols:
+        offsets = F.broadcast(offsets)  # one row per partition
+    return (ordered.withColumn("_pid", pid).join(offsets, ["_group", "_pid"])
+            .withColumn(name, F.col("_off") + F.col("_mid")).drop("_mid", "_pid", "_off", "_group"))
 
 
-def first_n_by(df: DataFrame, order_col: str, n: int, value_bits: int = 62, max_exact: int = 2_000_000,
+def first_n_by(df: DataFrame, order_col: str, n: int, value_bits: int = 62, max_exact: int = 10_000,
                fanout_bits: int = 12) -> DataFrame:
     """Rows with the ``n`` smallest values of ``order_col`` (unique, in ``[0, 2**value_bits)``)."""
     if n <= 0:
@@ -90,7 +85,3 @@ def first_n_by(df: DataFrame, order_col: str, n: int, value_bits: int = 62, max_
     for k in keep[1:]:
         out = out.unionByName(k)
     return out
-
-
-def ceil_fraction(n: int, frac: float) -> int:
-    return int(math.ceil(frac * n))

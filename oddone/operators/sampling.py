@@ -305,10 +305,10 @@ def shuffle_yz(stimuli: DataFrame, seed: int = 0, shuffle: bool = True) -> DataF
 
 def subset_k(concepts: DataFrame, k: int, seed: int = 0, key_col: str = "key") -> DataFrame:
     """Rows whose key is among ``k`` distinct keys drawn without replacement (all duplicates kept)."""
-    keys = concepts.select(F.col(key_col).cast("string").alias("_k")).distinct()
+    keys = concepts.select(F.col(key_col).cast("string").alias("_k")).filter("_k is not null").distinct()  # NULL is no key
     keys = keys.withColumn("_h", seeded_hash(seed, "subset", F.col("_k")))
-    n_keys = keys.count()
+    n_keys, n_bytes = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("_k")), F.lit(0))).first()
     if k > n_keys:
-        raise ValueError(f"Requested subset_k={k} exceeds available unique items ({n_keys})")
+        raise ValueError(f"cannot choose {k} keys, the table has {n_keys}")
     chosen = first_n_by(keys, "_h", k, value_bits=60).select(F.col("_k").alias(key_col))
-    return concepts.join(F.broadcast(chosen) if k <= 1_000_000 else chosen, key_col, "left_semi")
+    return concepts.join(checked_broadcast(chosen, k, 64 + 4 * n_bytes // max(n_keys, 1)), key_col, "left_semi")

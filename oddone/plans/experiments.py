@@ -16,12 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddone.functions.prompts import render_template
-from oddone.operators.embedding import embedding_frame, fit_embedding, fit_runs, item_index, map_lenient, \
-    split_train_test
+from oddone.operators.embedding import item_index, map_lenient, split_train_test
+from oddone.operators.fitting import embedding_frame, fit, heldout_accuracy
 from oddone.operators.sampling import draw_triplets, shuffle_yz, subset_k
 from oddone.operators.scoring import score_prompts
 from oddone.operators.vectors import candidates, first_vector, zip_lengths, zip_matrix
 from oddone.operators.manifest import dangling, manifest_args, resolve
+from oddone.sinks.writers import write_embedding
 
 
 def stimuli_set(concepts: DataFrame, matrix: DataFrame | None, template: str, n_items: int = 1000,
@@ -32,8 +33,8 @@ def stimuli_set(concepts: DataFrame, matrix: DataFrame | None, template: str, n_
     if matrix is not None:
         lengths = zip_lengths(concepts, matrix)
         if lengths["mismatch"]:
-            warnings.warn(f"Matrix row count ({lengths['matrix_rows']}) does not match items "
-                          f"({lengths['concept_rows']}); rows are paired up to the shorter")
+            warnings.warn(f"{lengths['matrix_rows']} vectors for {lengths['concept_rows']} concepts: the numbers differ, "
+                          "rows are paired as far as both go")
     vecs = first_vector(zip_matrix(concepts, matrix)) if matrix is not None else None
     rows = subset_k(concepts, subset, seed=seed) if subset is not None else concepts
     if subset is not None:  # positions must stay dense for the draw
@@ -56,20 +57,21 @@ def triplet_run(stimuli: DataFrame, scorer: Callable, model: dict, batch_size: i
                          instr=model.get("answer_format"), strip_prompt_echo=model.get("strip_echo", True))
 
 
-def embedding_run(answers: DataFrame, d: int = 10, max_epochs: int = 50, seed: int = 42,
-                  run_col: str | None = None, id_col: str | None = None) -> DataFrame:
-    """One fit (no run column) or one fit per run; output ``[run,] item, id, dim_*``."""
-    if run_col:
-        return fit_runs(answers, run_col, d=d, max_epochs=max_epochs, seed=seed)
-    spark = answers.sparkSession
-    idx = item_index(answers)
-    trip = map_lenient(answers, idx)
+def embedding_run(answers: DataFrame, d: int = 10, max_epochs: int = 50, seed: int = 42, run_col: str | None = None,
+                  id_col: str | None = None, lr: float = 0.05, loss: str = "ste") -> tuple[DataFrame, DataFrame]:
+    """Fit the train rows (80 % of each run) and judge the fit on the test rows.
+
+    Returns ``([run,] item, id, dim_*)`` and ``([run,] n_test, n_correct, accuracy)``.  With ``run_col`` each run has
+    its own index, split and fit; all runs share the epochs of one plan."""
+    keys = (run_col,) if run_col else ()
+    idx = item_index(answers, run_col)
+    trip = map_lenient(answers, idx, run_col)
     if id_col is None:  # content key: deterministic under recomputation; equal rows are interchangeable
         trip = trip.withColumn("_tid", F.concat_ws(":", "h", "w", "l"))
         id_col = "_tid"
-    train = split_train_test(trip, id_col, seed=seed).filter(~F.col("is_test"))
-    X, _ = fit_embedding(train, idx.count(), d, max_epochs, seed=seed)
-    return embedding_frame(spark, X, idx)
+    trip = split_train_test(trip, id_col, seed=seed, group_col=run_col).checkpoint(eager=True)
+    model = fit(trip.filter(~F.col("is_test")), idx, d, max_epochs, lr, seed, loss, keys)
+    return embedding_frame(model, idx, d, keys), heldout_accuracy(trip.filter("is_test"), model, d, keys)
 
 
 def run_manifest(spark: SparkSession, parsed: DataFrame, models: DataFrame, experiments: DataFrame,
@@ -77,8 +79,11 @@ def run_manifest(spark: SparkSession, parsed: DataFrame, models: DataFrame, expe
     """Resolve every line; fail early on dangling references; call ``registry[experiment]`` per line
     with the model row, experiment row and the line's key=value arguments (manifests are small)."""
     bad = dangling(parsed, models, experiments)
-    if not bad.isEmpty():
-        raise ValueError(f"manifest has dangling references: {bad.limit(20).collect()}")
+    n_bad = bad.count()
+    if n_bad:
+        first = bad.orderBy("line_no").first()
+        raise ValueError(f"{n_bad} manifest lines have dangling references, the first is line {first['line_no']} "
+                         f"({first['reason']}); manifest.dangling() gives all")
     args = manifest_args(parsed).groupBy("line_no").agg(F.map_from_entries(
         F.collect_list(F.struct("key", "value"))).alias("kwargs"))
     lines = resolve(parsed, models, experiments).join(args, "line_no", "left").orderBy("line_no").collect()
@@ -90,26 +95,35 @@ def run_manifest(spark: SparkSession, parsed: DataFrame, models: DataFrame, expe
 
 
 def embedding_from_folder(spark: SparkSession, version_dir: str | None, d: int = 30, max_epochs: int = 500,
-                          seed: int = 42) -> DataFrame:
-    """One fit per answer CSV directly inside ``version_dir`` (the run is the file's base name)."""
+                          seed: int = 42, out_path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """One fit per answer CSV directly inside ``version_dir`` (the run is the file's base name).
+
+    With ``out_path`` the embeddings are written there, a folder per run."""
     from oddone.sources.files import read_answers
     if version_dir is None:
-        raise ValueError("embedding_from_folder requires a 'version_dir' argument")
+        raise ValueError("the folder experiment needs version_dir=… in its manifest line")
     try:
         answers = read_answers(spark, version_dir, run_from_file=True)
         answers.schema  # resolves the path
     except Exception as e:  # noqa: BLE001
-        raise ValueError(f"Input directory not found: {version_dir}") from e
-    return embedding_run(answers, d=d, max_epochs=max_epochs, seed=seed, run_col="run")
+        raise ValueError(f"no answer folder found at {version_dir!r}") from e
+    emb, accuracy = embedding_run(answers, d=d, max_epochs=max_epochs, seed=seed, run_col="run")
+    if out_path is not None:
+        write_embedding(emb, out_path, partition_cols=("run",))
+    return emb, accuracy
 
 
 def embedding_for_model(spark: SparkSession, answers_path: str, version_dir: str | None, model: str,
-                        stimulus: str, d: int = 30, max_epochs: int = 1000, seed: int = 42) -> DataFrame:
+                        stimulus: str, d: int = 30, max_epochs: int = 1000, seed: int = 42,
+                        out_path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """One fit over the answers of ``(version, model, stimulus)`` in the partitioned answers table;
     partition filters prune the scan to that model's files."""
     if version_dir is None:
-        raise ValueError("embedding_1_a requires a 'version_dir' argument")
+        raise ValueError("the model experiment needs version_dir=… in its manifest line")
     answers = (spark.read.parquet(answers_path)
                .filter((F.col("version") == version_dir) & (F.col("model") == model) & (F.col("stimulus") == stimulus))
                .select("head", "winner", "loser"))
-    return embedding_run(answers, d=d, max_epochs=max_epochs, seed=seed)
+    emb, accuracy = embedding_run(answers, d=d, max_epochs=max_epochs, seed=seed)
+    if out_path is not None:
+        write_embedding(emb, f"{out_path.rstrip('/')}/{version_dir}/{model.replace('/', '_').replace(' ', '_')}")
+    return emb, accuracy

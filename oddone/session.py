@@ -32,7 +32,8 @@ def get_spark(master: str | None = None, app: str = "oddone", shuffle_partitions
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
-    ensure_checkpoint_dir(spark)
+    if checkpoint_dir(spark) or (_context(spark) is not None and _context(spark).master.startswith("local[")):
+        ensure_checkpoint_dir(spark)  # without one, the first operator that needs it raises
     ship_package(spark)
     return spark
 
@@ -55,7 +56,9 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
-    """Use the configured checkpoint folder; only when none is set (local tests) create one."""
+    """Use the configured checkpoint folder; a local master without one (tests) gets a temporary folder.
+
+    On a cluster that names none this raises: a folder on the driver's disk is not seen by the executors."""
     sc = _context(spark)
     d = checkpoint_dir(spark)
     if sc is None:
@@ -64,6 +67,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(d)
         return d
+    if not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     d = tempfile.mkdtemp(prefix="oddone-ckpt-")
     sc.setCheckpointDir(d)
     return d

@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from oddone.operators.embedding import (LOSSES, _ste_grad_np, fit_embedding, fit_local, fit_runs, grad_rows,
-                                        ste_terms)
+from oddone.operators.embedding import item_index, map_lenient, split_train_test
+from oddone.operators.fitting import LOSSES, embedding_frame, fit, heldout_accuracy, item_gradients, triplet_terms
 
 
 def planted(n=40, d=2, k=3000, seed=0):
@@ -19,62 +19,86 @@ def planted(n=40, d=2, k=3000, seed=0):
     return X, np.array(T)
 
 
+def terms_at(spark, X, T, loss):
+    rows = [(int(h), int(w), int(l), X[h].tolist(), X[w].tolist(), X[l].tolist()) for h, w, l in T]
+    df = spark.createDataFrame(rows, "h long, w long, l long, h_vec array<double>, w_vec array<double>, l_vec array<double>")
+    return triplet_terms(df, loss=loss)
+
+
+def total(X, T, loss):
+    """The loss by numpy."""
+    dhw, dhl = ((X[T[:, 0]] - X[T[:, 1]]) ** 2).sum(1), ((X[T[:, 0]] - X[T[:, 2]]) ** 2).sum(1)
+    return {"ste": lambda: np.log1p(np.exp(dhw - dhl)), "ckl": lambda: -np.log((0.05 + dhl) / (0.1 + dhw + dhl)),
+            "gnmds": lambda: np.maximum(0, 1 + dhw - dhl), "soe": lambda: np.maximum(0, np.sqrt(dhw) + 1 - np.sqrt(dhl)) ** 2}[loss]().sum()
+
+
 @pytest.mark.parametrize("loss", LOSSES)
-def test_gradient_matches_finite_differences(loss):
+def test_gradient_matches_finite_differences(spark, loss):
     X, T = planted(10, 3, 50)
-    G, val = _ste_grad_np(X, T, loss)
+    rows = item_gradients(terms_at(spark, X, T, loss), 3).collect()
+    G = {r.id: r.grad for r in rows}
+    assert abs(sum(r.loss for r in rows) - total(X, T, loss)) < 1e-9
     eps = 1e-6
     for i, j in [(0, 0), (3, 2), (7, 1)]:
         Xp, Xm = X.copy(), X.copy()
         Xp[i, j] += eps
         Xm[i, j] -= eps
-        fd = (_ste_grad_np(Xp, T, loss)[1] - _ste_grad_np(Xm, T, loss)[1]) / (2 * eps)
-        assert abs(fd - G[i, j]) < 1e-4 * max(1.0, abs(fd))
+        fd = (total(Xp, T, loss) - total(Xm, T, loss)) / (2 * eps)
+        assert abs(fd - G[i][j]) < 1e-4 * max(1.0, abs(fd))
+
+
+def frames(spark, T, n):
+    return (spark.createDataFrame([tuple(int(v) for v in t) for t in T], "h long, w long, l long"),
+            spark.range(n).withColumn("item", F.concat(F.lit("i"), "id")))
 
 
 @pytest.mark.parametrize("loss", LOSSES)
-def test_every_loss_learns_the_order(loss):
-    X, T = planted()
-    Xf, _ = fit_local(T[:2400], len(X), 2, 300, lr=0.05, seed=1, loss=loss)
-    te = T[2400:]
-    acc = np.mean(((Xf[te[:, 0]] - Xf[te[:, 1]]) ** 2).sum(1) < ((Xf[te[:, 0]] - Xf[te[:, 2]]) ** 2).sum(1))
-    assert acc >= 0.75
-
-
-def test_sql_gradient_equals_numpy(spark):
-    X, T = planted(8, 3, 40)
-    rows = [(f"i{h}", f"i{w}", f"i{l}", X[h].tolist(), X[w].tolist(), X[l].tolist()) for h, w, l in T]
-    df = spark.createDataFrame(rows, "head string, winner string, loser string, h_vec array<double>, "
-                                     "w_vec array<double>, l_vec array<double>")
-    g = {(r.item, r.dim): r.grad for r in grad_rows(ste_terms(df)).collect()}
-    G, _ = _ste_grad_np(X, T)
-    for (item, dim), v in g.items():
-        assert abs(G[int(item[1:]), dim] - v) < 1e-9
-
-
-def test_local_fit_recovers_order():
-    X, T = planted()
-    Xf, loss = fit_local(T[:2400], len(X), 2, 300, lr=0.05, seed=1)
-    te = T[2400:]
-    acc = np.mean(((Xf[te[:, 0]] - Xf[te[:, 1]]) ** 2).sum(1) < ((Xf[te[:, 0]] - Xf[te[:, 2]]) ** 2).sum(1))
-    assert acc >= 0.8
-
-
-def test_distributed_fit_loss_decreases(spark):
-    X, T = planted(30, 2, 800)
-    df = spark.createDataFrame([tuple(int(v) for v in t) for t in T], "h int, w int, l int").repartition(4)
-    Xf, hist = fit_embedding(df, 30, 2, 15, lr=0.1, seed=1)
-    assert Xf.shape == (30, 2) and hist[-1] < hist[0]
-
-
-def test_fit_runs_small_and_large_paths(spark):
-    rows = []
-    for run in ("r1", "r2"):
-        for i in range(60):
-            rows.append((run, f"a{i % 12}", f"a{(i * 5 + 1) % 12}", f"a{(i * 7 + 2) % 12}"))
-    df = spark.createDataFrame(rows, "run string, head string, winner string, loser string")
-    df = df.filter((F.col("head") != F.col("winner")) & (F.col("head") != F.col("loser")) & (F.col("winner") != F.col("loser")))
-    small = fit_runs(df, "run", d=2, max_epochs=5)
-    big = fit_runs(df, "run", d=2, max_epochs=5, max_task_rows=10)  # forces the distributed path
-    assert small.count() == big.count() == 24
-    assert set(small.columns) == {"run", "item", "id", "dim_0", "dim_1"}
+def test_fit_learns_the_order(spark, loss):
+    X, T = planted(20, 2, 1500)
+    train, items = frames(spark, T[:1200], 20)
+    model = fit(train, items, 2, 25, lr=0.1, seed=1, loss=loss)
+    acc = heldout_accuracy(frames(spark, T[1200:], 20)[0], model, 2).first()
+    assert acc.n_test == 300 and acc.accuracy >= 0.8
+    assert embedding_frame(model, items, 2).columns == ["item", "id", "dim_0", "dim_1"]
+
+
+def test_loss_decreases_and_runs_equal_single_fits(spark):
+    X, T = planted(12, 2, 300)
+    train, items = frames(spark, T, 12)
+    other, _ = frames(spark, T[:100, [0, 2, 1]], 12)
+    first, last = (fit(train, items, 2, e, lr=0.1).agg(F.sum("loss")).first()[0] for e in (1, 8))
+    assert last < first
+    both = train.withColumn("run", F.lit("a")).unionByName(other.withColumn("run", F.lit("b")))
+    runs = items.withColumn("run", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    together = {(r.run, r.id): r.x for r in fit(both, runs, 2, 4, keys=("run",)).collect()}
+    for run, own in (("a", train), ("b", other)):
+        alone = {r.id: r.x for r in fit(own, items, 2, 4).collect()}
+        assert all(np.allclose(together[run, i], x) for i, x in alone.items()) and len(alone) == 12
+
+
+def test_fit_without_broadcast_and_errors(spark):
+    X, T = planted(12, 2, 100)
+    train, items = frames(spark, T, 12)
+    spark.conf.set("oddone.broadcast.maxBytes", "10")
+    try:
+        shuffled = {r.id: r.x for r in fit(train, items, 2, 3).collect()}
+    finally:
+        spark.conf.unset("oddone.broadcast.maxBytes")
+    assert all(np.allclose(shuffled[r.id], r.x) for r in fit(train, items, 2, 3).collect())
+    with pytest.raises(ValueError, match="unknown loss"):
+        fit(train, items, 2, 1, loss="other")
+    with pytest.raises(ValueError, match="no triplet"):
+        fit(train.limit(0), items, 2, 1)
+    runs = items.withColumn("run", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    with pytest.raises(ValueError, match="no triplet to fit for"):
+        fit(train.withColumn("run", F.lit("a")), runs, 2, 1, keys=("run",))
+
+
+def test_runs_are_split_before_the_fit(spark):
+    rows = [(run, f"a{i % 12}", f"a{(i * 5 + 1) % 12}", f"a{(i * 7 + 2) % 12}", i) for run in ("r1", "r2") for i in range(60)]
+    df = spark.createDataFrame(rows, "run string, head string, winner string, loser string, n int")
+    idx = item_index(df, "run")
+    trip = split_train_test(map_lenient(df, idx, "run"), "n", group_col="run")
+    assert {r.run: r["count"] for r in trip.filter("is_test").groupBy("run").count().collect()} == {"r1": 12, "r2": 12}
+    model = fit(trip.filter("not is_test"), idx, 2, 2, keys=("run",))
+    assert model.count() == 24 and heldout_accuracy(trip.filter("is_test"), model, 2, ("run",)).count() == 2

@@ -18,4 +18,4 @@ def test_entry_contract(spark):
     q, o = m.queries(), m.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 50
     prepared = {n for n in q if n == "pipeline" or n.startswith("op")}  # an optional part, with tests of its own
-    assert set(q) - set(o) - prepared == {"fit_embedding", "fit_per_run"}
+    assert set(q) - set(o) - prepared == set()

@@ -21,7 +21,7 @@ def test_strict_mapping_raises(spark):
     ok = spark.createDataFrame([("a", "b")], "x string, y string")
     assert map_strict(ok, idx, ["x", "y"]).first().y_id == 1
     bad = spark.createDataFrame([("a", "zzz")], "x string, y string")
-    with pytest.raises(Exception, match="not found in item2idx"):
+    with pytest.raises(Exception, match="without an id"):
         map_strict(bad, idx, ["x", "y"]).collect()
 
 
@@ -73,3 +73,34 @@ def test_split_and_dense_ids_under_skew(spark):
     assert sorted(r.i for r in ids) == list(range(3000))
     want = {r.id: k for k, r in enumerate(sorted(ids, key=lambda r: (r.lead, r.id)))}
     assert all(r.i == want[r.id] for r in ids)
+
+
+def test_split_with_null_groups_and_repeated_keys(spark):
+    df = spark.range(0, 100).select(F.when(F.col("id") % 2 == 0, F.lit("a")).alias("g"), F.lit("same").alias("key"), "id").repartition(5)
+    out = split_train_test(df, "key", group_col="g")
+    assert out.count() == 100 and set(out.columns) == {"g", "key", "id", "is_test"}
+    assert {r.g: r["count"] for r in out.filter("is_test").groupBy("g").count().collect()} == {None: 10, "a": 10}
+    keyed = df.withColumn("key", F.when(F.col("id") % 10 == 0, F.lit(None).cast("string")).otherwise((F.col("id") % 7).cast("string")))
+    out = split_train_test(keyed, "key", test_size=0.31)
+    assert out.filter("is_test").count() == 31 and out.count() == 100
+
+
+def test_split_refines_the_cut_bucket(spark):
+    df = spark.range(0, 2000).withColumn("key", F.col("id").cast("string"))
+    plain = {r.id for r in split_train_test(df, "key", seed=3).filter("is_test").collect()}
+    assert plain == {r.id for r in split_train_test(df, "key", seed=3, fanout_bits=2, small=1).filter("is_test").collect()}
+    assert len(plain) == 400
+
+
+def test_dense_ids_of_one_large_group_and_null_groups(spark):
+    df = spark.range(0, 500).withColumn("g", F.when(F.col("id") < 450, F.lit("big")).when(F.col("id") < 480, F.lit("small")))
+    out = dense_index(df, ["id"], "i", partition_cols=["g"], num_partitions=8).collect()
+    assert {(r.g, r.i) for r in out} == {("big", i) for i in range(450)} | {("small", i) for i in range(30)} | {(None, i) for i in range(20)}
+    assert all(r.i == r.id - {"big": 0, "small": 450, None: 480}[r.g] for r in out)
+
+
+def test_no_cached_copies_are_left(spark):
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    dense_index(spark.range(50), ["id"], "i").count()
+    split_train_test(spark.range(50), "id").count()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before

@@ -44,9 +44,11 @@ def test_triplet_then_embedding_run(spark, tmp_dir):
     assert back.count() == 200
     both = spark.read.option("header", True).csv(os.path.join(tmp_dir, "answers")).select(
         F.col("model").alias("run"), "head", "winner", "loser")
-    emb = embedding_run(both, d=3, max_epochs=20, run_col="run")
-    assert emb.select("run").distinct().count() == 2
-    single = embedding_run(back, d=3, max_epochs=3)
+    emb, accuracy = embedding_run(both, d=3, max_epochs=5, run_col="run")
+    assert emb.select("run").distinct().count() == 2 and {r.run for r in accuracy.collect()} == {"m1", "m2"}
+    single, judged = embedding_run(back, d=3, max_epochs=3)
+    n = back.filter("winner is not null").count()
+    assert judged.first().n_test == -(-n // 5)
     assert single.count() == single.select("item").distinct().count() > 0
 
 
@@ -88,8 +90,8 @@ def test_embedding_experiments_checks_and_pruning(spark, tmp_dir):
     path = os.path.join(tmp_dir, "answers")
     write_answers(ans, path, "1a", "m1", "THINGS")
     write_answers(ans.limit(5), path, "1a", "m2", "THINGS")
-    emb = embedding_for_model(spark, path, "1a", "m1", "THINGS", d=2, max_epochs=3)
-    assert emb.count() == 7
+    emb, _ = embedding_for_model(spark, path, "1a", "m1", "THINGS", d=2, max_epochs=3, out_path=os.path.join(tmp_dir, "emb"))
+    assert emb.count() == 7 and spark.read.option("header", True).csv(os.path.join(tmp_dir, "emb", "1a", "m1")).count() == 7
     plan = (spark.read.parquet(path).filter("model = 'm1'")._jdf.queryExecution().executedPlan().toString())
     assert "PartitionFilters: [isnotnull(model" in plan
     folder = os.path.join(tmp_dir, "runs")
@@ -97,7 +99,8 @@ def test_embedding_experiments_checks_and_pruning(spark, tmp_dir):
     for name, k in (("r1", 40), ("r2", 25)):
         with open(os.path.join(folder, f"{name}.csv"), "w") as f:
             f.write("head,winner,loser,raw_generation\n" + "".join(f"{h},{w},{l},t\n" for h, w, l in rows[:k]))
-    out = embedding_from_folder(spark, folder, d=2, max_epochs=3)
+    out, _ = embedding_from_folder(spark, folder, d=2, max_epochs=3, out_path=os.path.join(tmp_dir, "emb2"))
+    assert sorted(x for x in os.listdir(os.path.join(tmp_dir, "emb2")) if x.startswith("run")) == ["run=r1", "run=r2"]
     assert {r.run for r in out.select("run").distinct().collect()} == {"r1", "r2"}
 
 
@@ -113,3 +116,18 @@ def test_run_manifest_refuses_dangling_lines(spark, tmp_dir):
     with pytest.raises(ValueError, match="dangling"):
         run_manifest(spark, parsed, models, exps, {"embedding_1_a": lambda row, **kw: calls.append(row)})
     assert calls == []  # nothing ran
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
+    import pytest
+    from oddone import session
+
+    class Context:
+        master, getCheckpointDir = "spark://host:7077", staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())
