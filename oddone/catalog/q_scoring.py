@@ -28,11 +28,11 @@ def nearer_logits_scorer(batch: pd.DataFrame) -> pd.DataFrame:
                          "y_tok": batch["y"].str.len().astype("int32"), "z_tok": batch["z"].str.len().astype("int32")})
 
 
-def _scored(spark, d, mode, st=None):
-    st = rendered(spark, d) if st is None else st
+def _scored(spark, d, mode, more=(), **kw):
     scorer = nearer_text_scorer if mode == "tokens" else nearer_logits_scorer
-    return score_prompts(st, scorer, mode=mode, batch_size=BATCH, instr=SUFFIX,
-                         pass_cols=(F.col("dist_x_y"), F.col("dist_x_z")))
+    kw.setdefault("instr", SUFFIX)
+    return score_prompts(rendered(spark, d), kw.pop("scorer", scorer), mode=mode, batch_size=BATCH,
+                         pass_cols=(F.col("dist_x_y"), F.col("dist_x_z"), *more), **kw)
 
 
 _TEXT = f"({render_sql(TRIPLET_TEMPLATE)} || '{SUFFIX}')"
@@ -51,7 +51,7 @@ SELECT triplet_id AS id, batch_id, item_x AS head,
        CASE WHEN chosen = item_y THEN item_z WHEN chosen = item_z THEN item_y END AS loser, raw_generation
 FROM ch""")
 def q_score_tokens(spark, d):
-    return _scored(spark, d, "tokens")
+    return _scored(spark, d, "tokens").drop("dist_x_y", "dist_x_z")
 
 
 @query("score_logits", STIMULI_CTES + f""",
@@ -64,7 +64,7 @@ SELECT triplet_id AS id, batch_id, item_x AS head,
        length(item_z)::INTEGER AS z_tok
 FROM bt""")
 def q_score_logits(spark, d):
-    out = _scored(spark, d, "logits")
+    out = _scored(spark, d, "logits").drop("dist_x_y", "dist_x_z")
     return out.withColumn("lp_y1", F.round("lp_y1", 6)).withColumn("lp_z1", F.round("lp_z1", 6))
 
 
@@ -74,9 +74,44 @@ SELECT triplet_id, attempt_id, item_x, item_y, item_z,
        CASE WHEN chosen = item_y THEN item_z WHEN chosen = item_z THEN item_y END AS loser
 FROM ch""")
 def q_answers_in_order(spark, d):
-    st = rendered(spark, d)  # drawn once (checkpointed), scored, then joined back by id
-    sc = _scored(spark, d, "tokens", st).select(F.col("id").alias("triplet_id"), "winner", "loser")
-    return st.select("triplet_id", "attempt_id", "item_x", "item_y", "item_z").join(sc, "triplet_id")
+    sc = _scored(spark, d, "tokens", (F.col("attempt_id"), F.col("item_x"), F.col("item_y"), F.col("item_z")))
+    return sc.select(F.col("id").alias("triplet_id"), "attempt_id", "item_x", "item_y", "item_z", "winner", "loser")
+
+
+def image_scorer(batch: pd.DataFrame) -> list[str]:
+    """Stand-in image model: echoes its frame, thinks, and names the nearer item."""
+    nearer = batch["y"].where(batch["dist_x_y"] <= batch["dist_x_z"], batch["z"])
+    return (batch["text"] + " " + batch["head"] + "? <think> so \n" + nearer + " ").tolist()
+
+
+def chat_scorer(batch: pd.DataFrame) -> list[str]:
+    """Stand-in chat model: answers the user's turn."""
+    nearer = batch["y"].where(batch["dist_x_y"] <= batch["dist_x_z"], batch["z"])
+    return [f"{len(m)} {m[0]['role']} {len(m[0]['content'])}: {n}" for m, n in zip(batch["messages"], nearer)]
+
+
+@query("score_vision", STIMULI_CTES + f""",
+pr AS (SELECT *, 'User:<image>' || chr(10) || {_TEXT} || ' Falcon:' AS text FROM st),
+bt AS (SELECT *, ((row_number() OVER (ORDER BY length(text), triplet_id) - 1) // {BATCH})::BIGINT AS batch_id FROM pr),
+cl AS (SELECT *, 'so ' || chr(10) || CASE WHEN dist_x_y <= dist_x_z THEN item_y ELSE item_z END AS raw_generation FROM bt),
+ch AS (SELECT *, {S.match_first('raw_generation', 'item_y', 'item_z')} AS chosen FROM cl)
+SELECT triplet_id AS id, batch_id, item_x AS head,
+       CASE WHEN chosen = item_y THEN item_y WHEN chosen = item_z THEN item_z END AS winner,
+       CASE WHEN chosen = item_y THEN item_z WHEN chosen = item_z THEN item_y END AS loser, raw_generation FROM ch""")
+def q_score_vision(spark, d):
+    return _scored(spark, d, "tokens", scorer=image_scorer, vision=True).drop("dist_x_y", "dist_x_z")
+
+
+@query("score_chat", STIMULI_CTES + f""",
+pr AS (SELECT *, {_TEXT} AS text FROM st),
+bt AS (SELECT *, ((row_number() OVER (ORDER BY length(text), triplet_id) - 1) // {BATCH})::BIGINT AS batch_id FROM pr),
+cl AS (SELECT *, '1 user ' || length(text) || ': ' || CASE WHEN dist_x_y <= dist_x_z THEN item_y ELSE item_z END AS raw_generation FROM bt),
+ch AS (SELECT *, {S.match_first('raw_generation', 'item_y', 'item_z')} AS chosen FROM cl)
+SELECT triplet_id AS id, batch_id, item_x AS head,
+       CASE WHEN chosen = item_y THEN item_y WHEN chosen = item_z THEN item_z END AS winner,
+       CASE WHEN chosen = item_y THEN item_z WHEN chosen = item_z THEN item_y END AS loser, raw_generation FROM ch""")
+def q_score_chat(spark, d):
+    return _scored(spark, d, "tokens", scorer=chat_scorer, chat=True, strip_prompt_echo=False).drop("dist_x_y", "dist_x_z")
 
 
 @query("export_stimuli", STIMULI_CTES + f"""

@@ -1,43 +1,48 @@
 """Batch scoring of prompts with a user-supplied model function.
 
-``score_prompts`` keeps the reference's batching law — prompts sorted by length (stable on the
-id), cut into consecutive batches of ``batch_size`` — and runs the scorer on whole batches inside
-``mapInPandas``: rows are range-partitioned on ``batch_id`` (a batch never spans two tasks) and
-streamed as Arrow batches.  Everything before (prompt text, batch ids) and after (reasoning-tag
-and echo stripping, earliest-match choice, log-prob choice) is built-in column expressions.
+``score_prompts`` keeps the reference's batching law — prompts sorted by length (stable on the id), cut into
+consecutive batches of ``batch_size``.  The ranking's range partitions hold contiguous runs of batches, so the
+scorer runs there, once per batch, over Arrow batches.  A batch that a partition boundary cuts is left out by
+both sides and scored in a second pass, which gets those very rows, dealt by batch: no prompt is looked up
+again by a user's key, so NULL and repeated ids are safe.  Both passes are checkpointed, so later actions never
+call the model again.  Prompt text before and cleaning and choice after are built-in column expressions.
 
 Scorer contract (any Python callable, one call per batch):
 
 * ``mode="tokens"``: ``scorer(batch: pandas.DataFrame) -> list[str]`` (generated text per row)
 * ``mode="logits"``: ``scorer(batch) -> pandas.DataFrame`` with ``lp_y1, lp_z1, y_tok, z_tok``
 
-The batch frame holds ``id, text, head, y, z`` plus any ``pass_cols``.  The scorer is pickled to
-the workers: define it in a module the workers can import (or inline, so it is sent by value).
+The batch frame holds ``id, text, head, y, z, batch_id, batch_pos`` plus any ``pass_cols``; with ``chat=True`` also
+``messages``, the user turn for the model's chat template.  The scorer is pickled to the workers: define it in a
+module the workers can import (or inline, so it is sent by value).
 """
 
 from __future__ import annotations
 
-from typing import Callable
+from typing import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from oddone.functions.prompts import add_suffix
-from oddone.functions.text import clean_generation, match_first, resolve_choice
+from oddone.functions.prompts import add_suffix, chat_messages, vlm_prompt
+from oddone.functions.text import clean_generation, match_first, resolve_choice, strip_label, strip_think
 from oddone.functions.vectors import logprob_choice
 from oddone.operators.indexing import dense_index
-from oddone.session import ship_package
+from oddone.session import ensure_checkpoint_dir, ship_package
 
 MODES = ("tokens", "logits")
 
 
 def batch_ids(df: DataFrame, id_col: str, text_col: str, batch_size: int,
               use_length_bucketing: bool = True) -> DataFrame:
-    """``batch_id``/``batch_pos``: rank in (length(text), id) order (or id order), cut by batch_size."""
+    """``batch_id``/``batch_pos``: rank in (length(text), id) order (or id order), cut by batch_size.  Rows that tie
+    (NULL or repeated ids) are numbered as they stand in the checkpointed order: each once."""
     if batch_size < 1:
-        raise ValueError("batch_size must be >= 1")
+        raise ValueError(f"a batch needs at least one prompt, not {batch_size}")
     keyed = df.withColumn("_len", F.length(text_col)) if use_length_bucketing else df
     order = ["_len", id_col] if use_length_bucketing else [id_col]
     ranked = dense_index(keyed, order, "_ord")
@@ -55,77 +60,54 @@ def batch_progress(batched: DataFrame, batch_size: int, n_total: int | None = No
     return per.withColumn("processed", F.least((F.col("batch_id") + 1) * batch_size, F.lit(n_total)).cast("long"))
 
 
-_OUT_COLS = ["id", "batch_id", "text", "head", "y", "z"]
-_RESULT_COLS = {"tokens": ["raw"], "logits": ["lp_y1", "lp_z1", "y_tok", "z_tok"]}
+_RESULT = {"tokens": [("raw", pa.string())],
+           "logits": [("lp_y1", pa.float64()), ("lp_z1", pa.float64()), ("y_tok", pa.int32()), ("z_tok", pa.int32())]}
+_RESULT_SQL = {"tokens": "raw string", "logits": "lp_y1 double, lp_z1 double, y_tok int, z_tok int"}
 
 
-def _runner(scorer: Callable, mode: str, n_total: int, batch_size: int):
-    """Per partition (rows sorted by batch): score every batch whose rows are all here; emit the rows
-    of a batch cut by a partition edge unscored (``done = False``) for the second pass."""
+def _runner(scorer: Callable, mode: str, n_total: int, batch_size: int, edges: bool):
+    """Over rows sorted by batch: score the batches whose rows are all here; with ``edges`` emit the rows of the
+    others unscored (``done`` false), else every batch must be whole."""
     last_id = (n_total - 1) // batch_size
     last_size = n_total - last_id * batch_size
 
-    def score_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Call the scorer once per batch of the chunk (rows are sorted by batch_id, batch_pos)."""
-        b = pdf["batch_id"].to_numpy()
-        cuts = np.flatnonzero(b[1:] != b[:-1]) + 1
-        bounds = np.concatenate([[0], cuts, [len(pdf)]])
-        outs = []
-        for s, e in zip(bounds[:-1], bounds[1:]):
-            batch = pdf.iloc[s:e].reset_index(drop=True)
-            res = scorer(batch)
-            if mode == "tokens":
-                res = list(res)
-                if len(res) != len(batch):
-                    raise ValueError("scorer returned a different number of generations than prompts")
-            else:
-                res = pd.DataFrame(res).reset_index(drop=True)
-            outs.append(res)
-        out = pdf[_OUT_COLS].reset_index(drop=True)
-        if mode == "tokens":
-            out["raw"] = pd.Series([g for r in outs for g in r], dtype=object)
-        else:
-            res = pd.concat(outs, ignore_index=True)
-            for c in _RESULT_COLS["logits"]:
-                out[c] = res[c].to_numpy()
-        out["done"] = True
-        return out
-
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = pdf["batch_id"].to_numpy()
-        size = pdf.groupby("batch_id")["batch_id"].transform("size").to_numpy()
-        full = size == np.where(b == last_id, last_size, batch_size)
-        parts = []
-        if full.any():
-            parts.append(score_chunk(pdf[full]))
-        if (~full).any():
-            edge = pdf.loc[~full, _OUT_COLS].reset_index(drop=True)
-            if mode == "tokens":
-                edge["raw"] = pd.Series([None] * len(edge), dtype=object)
-            else:  # typed placeholders: the rows are scored in the second pass
-                edge["lp_y1"] = np.full(len(edge), np.nan)
-                edge["lp_z1"] = np.full(len(edge), np.nan)
-                edge["y_tok"] = pd.array([None] * len(edge), dtype="Int32")
-                edge["z_tok"] = pd.array([None] * len(edge), dtype="Int32")
-            edge["done"] = False
-            parts.append(edge)
-        return pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
-
-    def run(chunks):
-        pending = None  # rows of the batch cut by an Arrow chunk boundary
-        for pdf in chunks:
-            if pending is not None:
-                pdf = pd.concat([pending, pdf], ignore_index=True)
-                pending = None
-            if pdf.empty:
+    def call(batch: pa.Table) -> pd.DataFrame:
+        frame = batch.to_pandas(integer_object_nulls=True)
+        got = scorer(frame)
+        got = pd.DataFrame({"raw": list(got)}) if mode == "tokens" else pd.DataFrame(got).reset_index(drop=True)
+        if len(got) != len(frame):
+            raise ValueError(f"the scorer answered {len(got)} of {len(frame)} prompts of a batch")
+        return got
+
+    def scored(rows: pa.Table) -> pa.RecordBatch:
+        ids = rows.column("batch_id").to_numpy()
+        bounds = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]])
+        parts, done = [], np.zeros(len(ids), bool)
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            whole = b - a == (last_size if ids[a] == last_id else batch_size)
+            if not whole and not edges:
+                raise ValueError(f"batch {ids[a]} came with {b - a} rows")
+            done[a:b] = whole
+            parts.append(call(rows.slice(a, b - a)) if whole else None)
+        for name, kind in _RESULT[mode]:
+            cells = [pa.nulls(b - a, kind) if p is None else pa.array(p[name], kind, from_pandas=True)
+                     for p, a, b in zip(parts, bounds[:-1].tolist(), bounds[1:].tolist())]
+            rows = rows.append_column(name, pa.concat_arrays(cells))
+        return rows.append_column("done", pa.array(done)).combine_chunks().to_batches()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of the batch cut by an Arrow boundary
+        for b in batches:
+            if not b.num_rows:
                 continue
-            last = pdf["batch_id"].iloc[-1]
-            whole = pdf["batch_id"].to_numpy() != last
-            pending = pdf[~whole]
-            if whole.any():
-                yield split(pdf[whole])
-        if pending is not None and not pending.empty:
-            yield split(pending)
+            rows = pa.Table.from_batches([*held, b])
+            ids = rows.column("batch_id").to_numpy()
+            at = int(np.searchsorted(ids, ids[-1]))
+            if at:
+                yield scored(rows.slice(0, at))
+            held = rows.slice(at).combine_chunks().to_batches()
+        if held:
+            yield scored(pa.Table.from_batches(held))
 
     return run
 
@@ -134,47 +116,44 @@ def score_prompts(df: DataFrame, scorer: Callable, mode: str = "tokens", batch_s
                   instr: str | None = None, id_col: str = "triplet_id", prompt_col: str = "format_str",
                   head_col: str = "item_x", y_col: str = "item_y", z_col: str = "item_z",
                   strip_prompt_echo: bool = True, use_length_bucketing: bool = True,
-                  pass_cols: tuple = (), num_partitions: int | None = None, vision: bool = False) -> DataFrame:
+                  pass_cols: tuple = (), vision: bool = False, chat: bool = False) -> DataFrame:
     """Score prompts batch-wise and resolve each answer to (head, winner, loser).
 
     tokens -> ``id, batch_id, head, winner, loser, raw_generation`` (cleaned text);
-    logits -> ``id, batch_id, head, winner, loser, lp_y1, lp_z1, y_tok, z_tok``."""
+    logits -> ``id, batch_id, head, winner, loser, lp_y1, lp_z1, y_tok, z_tok``; both with the ``pass_cols``.
+    ``vision`` frames the prompt for an image model and cleans by label and tag; ``chat`` hands the scorer the
+    message column."""
     if mode not in MODES:
-        raise ValueError(f"choose_mode must be one of {MODES}")
+        raise ValueError(f"unknown mode {mode!r}; known: {', '.join(MODES)}")
     if vision and mode == "logits":
-        raise NotImplementedError("image models support the tokens mode only")
+        raise NotImplementedError("an image model answers in tokens mode only")
     for c in (id_col, prompt_col, head_col, y_col, z_col):
         if c not in df.columns:
-            raise ValueError(f"missing column {c!r}")
-    ship_package(df.sparkSession)  # the scoring runner executes in Python workers
-    base = df.select(F.col(id_col).alias("id"), add_suffix(F.col(prompt_col), instr).alias("text"),
-                     F.col(head_col).cast("string").alias("head"), F.col(y_col).cast("string").alias("y"),
-                     F.col(z_col).cast("string").alias("z"), *pass_cols)
+            raise ValueError(f"the prompts have no column {c!r}")
+    spark = df.sparkSession
+    ship_package(spark)
+    ensure_checkpoint_dir(spark)
+    text = vlm_prompt(F.col(prompt_col), instr) if vision else add_suffix(F.col(prompt_col), instr)
+    extra = [chat_messages(F.col(prompt_col), instr).alias("messages")] if chat else []
+    base = df.select(F.col(id_col).alias("id"), text.alias("text"), F.col(head_col).cast("string").alias("head"),
+                     F.col(y_col).cast("string").alias("y"), F.col(z_col).cast("string").alias("z"), *extra, *pass_cols)
+    passed = base.columns[5 + len(extra):]
+    batched = batch_ids(base, "id", "text", batch_size, use_length_bucketing).sortWithinPartitions("batch_id", "batch_pos")
     n_total = base.count()
-    id_type = dict(base.dtypes)["id"]
-    res_schema = "raw string" if mode == "tokens" else "lp_y1 double, lp_z1 double, y_tok int, z_tok int"
-    schema = f"id {id_type}, batch_id long, text string, head string, y string, z string, {res_schema}, done boolean"
-    if n_total == 0:
-        scored = df.sparkSession.createDataFrame([], schema)
-    else:
-        # pass 1: score inside the ranked partitions (each holds a contiguous range of batches),
-        # no second shuffle of the prompts; checkpointed so no prompt is ever scored twice
-        batched = batch_ids(base, "id", "text", batch_size, use_length_bucketing)
-        laid = batched.sortWithinPartitions("batch_id", "batch_pos")
-        first = laid.mapInPandas(_runner(scorer, mode, n_total, batch_size), schema).checkpoint(eager=True)
-        # pass 2: the few batches cut by a partition boundary (< 2 * batch_size rows per boundary)
-        edge_ids = first.filter(~F.col("done")).select("id")
-        edge = (batched.join(F.broadcast(edge_ids), "id")
-                .repartition(num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
-                             "batch_id")
-                .sortWithinPartitions("batch_id", "batch_pos"))
-        second = edge.mapInPandas(_runner(scorer, mode, n_total, batch_size), schema)
-        scored = first.filter(F.col("done")).unionByName(second)
+    out = T.StructType([*batched.schema.fields, *T.StructType.fromDDL(_RESULT_SQL[mode] + ", done boolean").fields])
+    first = batched.mapInArrow(_runner(scorer, mode, n_total, batch_size, True), out).checkpoint(eager=True)
+    cut = first.filter(~F.col("done")).drop("done", *[n for n, _ in _RESULT[mode]])
+    cut = cut.repartition("batch_id").sortWithinPartitions("batch_id", "batch_pos")
+    second = cut.mapInArrow(_runner(scorer, mode, n_total, batch_size, False), out).checkpoint(eager=True)
+    scored = first.filter("done").unionByName(second)
     if mode == "tokens":
-        cleaned = clean_generation(F.col("text"), F.col("raw"), strip_prompt_echo)
+        if vision:
+            cleaned = strip_think(strip_label(F.col("raw")))
+        else:
+            cleaned = clean_generation(F.col("text"), F.col("raw"), strip_prompt_echo)
         scored = scored.withColumn("raw_generation", cleaned)
         w, l_ = resolve_choice(match_first(F.col("raw_generation"), F.col("y"), F.col("z")), F.col("y"), F.col("z"))
-        return scored.select("id", "batch_id", "head", w.alias("winner"), l_.alias("loser"), "raw_generation")
+        return scored.select("id", "batch_id", "head", w.alias("winner"), l_.alias("loser"), "raw_generation", *passed)
     w, l_ = logprob_choice(F.col("lp_y1"), F.col("lp_z1"), F.col("y"), F.col("z"))
     return scored.select("id", "batch_id", "head", w.alias("winner"), l_.alias("loser"),
-                         "lp_y1", "lp_z1", "y_tok", "z_tok")
+                         "lp_y1", "lp_z1", "y_tok", "z_tok", *passed)

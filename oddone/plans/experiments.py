@@ -52,9 +52,13 @@ def _renumber(rows: DataFrame) -> DataFrame:
 
 
 def triplet_run(stimuli: DataFrame, scorer: Callable, model: dict, batch_size: int = 6) -> DataFrame:
-    """Answers for one model: tokens mode -> D5, logits mode -> D6 (plus the stimulus id)."""
+    """Answers for one model: tokens mode -> D5, logits mode -> D6 (plus the stimulus id).
+
+    ``model`` is its battery row: ``choose_mode, answer_format, strip_echo``, ``vision`` for an image model,
+    ``do_chat_template`` for one whose scorer renders the message column."""
     return score_prompts(stimuli, scorer, mode=model.get("choose_mode", "tokens"), batch_size=batch_size,
-                         instr=model.get("answer_format"), strip_prompt_echo=model.get("strip_echo", True))
+                         instr=model.get("answer_format"), strip_prompt_echo=model.get("strip_echo", True),
+                         vision=bool(model.get("vision")), chat=bool(model.get("do_chat_template")))
 
 
 def embedding_run(answers: DataFrame, d: int = 10, max_epochs: int = 50, seed: int = 42, run_col: str | None = None,
@@ -106,7 +110,7 @@ def embedding_from_folder(spark: SparkSession, version_dir: str | None, d: int =
         answers = read_answers(spark, version_dir, run_from_file=True)
         answers.schema  # resolves the path
     except Exception as e:  # noqa: BLE001
-        raise ValueError(f"no answer folder found at {version_dir!r}") from e
+        raise ValueError(f"the answer folder was not found: {version_dir!r}") from e
     emb, accuracy = embedding_run(answers, d=d, max_epochs=max_epochs, seed=seed, run_col="run")
     if out_path is not None:
         write_embedding(emb, out_path, partition_cols=("run",))

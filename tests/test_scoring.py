@@ -47,3 +47,44 @@ def test_logits_mode_and_progress(spark):
     b = batch_ids(df.select(F.col("triplet_id").alias("id"), F.col("format_str").alias("text")), "id", "text", 4)
     prog = {r.batch_id: (r.batch_n, r.processed) for r in batch_progress(b, 4).collect()}
     assert prog[0] == (4, 4) and prog[7] == (2, 30)
+
+
+def prompts(spark, n, ids=None):
+    rows = [(i if ids is None else ids[i], "p" * (1 + (i * 37) % 23), "x", "y", "z", None if i % 3 else i) for i in range(n)]
+    return spark.createDataFrame(rows, "triplet_id long, format_str string, item_x string, item_y string, item_z string, note long")
+
+
+def test_null_and_repeated_ids_are_scored_once(spark, tmp_dir):
+    import os
+    log = os.path.join(tmp_dir, "calls")
+
+    def scorer(batch, log=log):
+        with open(log, "a") as f:
+            f.write("x" * len(batch))
+        return ["y"] * len(batch)
+
+    big = 2 ** 60 + 1  # not a double
+    df = prompts(spark, 100, [None if i % 4 == 0 else big if i % 4 == 1 else i for i in range(100)]).repartition(7)
+    for size in (3, 60, 500):  # larger than a partition, larger than the table
+        before = os.path.getsize(log) if os.path.exists(log) else 0
+        out = score_prompts(df, scorer, batch_size=size, pass_cols=("note",))
+        rows = out.collect()
+        assert out.count() == len(rows) == 100 and os.path.getsize(log) - before == 100
+        assert sum(r.id is None for r in rows) == 25 and sum(r.id == big for r in rows) == 25
+        assert sorted((r.note for r in rows if r.note is not None)) == list(range(0, 100, 3))
+    assert score_prompts(df.limit(0), scorer).count() == 0
+
+
+def test_vision_and_chat_frames(spark):
+    df = prompts(spark, 10)
+    seen = score_prompts(df, lambda b: [f"{t} y" if t.startswith("User:<image>") and t.endswith("Falcon:") else "" for t in b["text"]],
+                         vision=True, instr="Go").collect()
+    assert all(r.winner == "y" and r.raw_generation == "y" for r in seen)
+    seen = score_prompts(df, lambda b: [m[0]["content"] + m[0]["role"] for m in b["messages"]], chat=True, instr="Go",
+                         strip_prompt_echo=False).collect()
+    assert all(r.raw_generation.endswith("pGouser") for r in seen)
+
+
+def test_a_short_answer_is_refused(spark):
+    with pytest.raises(Exception, match="of a batch"):
+        score_prompts(prompts(spark, 9), lambda b: ["y"]).collect()
