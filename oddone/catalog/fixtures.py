@@ -63,6 +63,15 @@ TURNS_SQL = """turns AS (
   WHERE u.role = 'user')"""
 
 
+# ---------------------------------------------------------------- prompts
+# every row of conversations, its text as the prompt
+def prompts(spark, d) -> DataFrame:
+    return read(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("prompt"))
+
+
+PROMPTS_SQL = "prompts AS (SELECT conv_id, turn, text AS prompt FROM conversations)"
+
+
 # ---------------------------------------------------------------- answers
 # head v, winner (7v+3) % n, loser (11v+5) % n over all n embeddings; rows whose three ids are not
 # distinct are dropped; winner and loser are NULL (unresolved answer) when v % 17 = 0; the loser is

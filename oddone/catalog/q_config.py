@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from oddone.catalog import query
 from oddone.catalog.fixtures import read
-from oddone.functions.metadata import HUB_PREFIX, arch_columns, model_id_norm
+from oddone.functions.metadata import HUB_PREFIX, arch_columns, model_id_norm, parsed_maps
 from oddone.functions.prompts import TRIPLET_TEMPLATE
 from oddone.operators.manifest import dangling, manifest_args, parse_manifest, resolve
-from oddone.sources.files import EXP_SCHEMA, MODEL_SCHEMA, explode_config
+from oddone.sources.files import EXP_SCHEMA, MODEL_SCHEMA, STIM_SCHEMA, explode_config
 
 # The shipped experiment battery.
 EXPERIMENT_BATTERY = {
@@ -21,9 +21,9 @@ EXPERIMENT_BATTERY = {
 
 
 # ---------------------------------------------------------------- model battery from part
-# one JSON document per part row with p_size <= 25: {"m<key>": {model fields}}
+# one JSON document per part row: {"m<key>": {model fields}}
 def _battery_docs(spark, d):
-    p = read(spark, d, "part").filter(F.col("p_size") <= 25)
+    p = read(spark, d, "part")
     name = F.concat(F.lit("m"), F.col("p_partkey").cast("string"))
     mname = F.concat(F.col("p_brand"), F.lit("/"), F.regexp_replace("p_name", " ", "-"))
     cfg = F.struct(mname.alias("model_name"), mname.alias("tokenizer_name"),
@@ -44,7 +44,7 @@ _MODELS_SQL = """models AS (
          p_brand || '/' || replace(p_name, ' ', '-') AS tokenizer_name, p_size % 2 = 0 AS do_chat_template,
          'direct' AS model_load, CASE WHEN p_size % 3 = 0 THEN NULL ELSE 'Answer: ' END AS answer_format,
          CASE WHEN p_size % 5 = 0 THEN 'logits' ELSE 'tokens' END AS choose_mode, p_size || 'B' AS params
-  FROM part WHERE p_size <= 25)"""
+  FROM part)"""
 
 
 @query("config_explode", f"WITH {_MODELS_SQL} SELECT * FROM models")
@@ -58,6 +58,18 @@ def experiments(spark):
     return explode_config(doc, "doc", EXP_SCHEMA)
 
 
+# A stimulus battery of the shipped form.
+STIMULUS_BATTERY = {"THINGS": {"items_tsv": "things.csv", "human_embeddings": "things.txt", "src_key": "uniqueID"},
+                    "ROUND": {"items_tsv": "round.csv", "human_embeddings": None, "src_key": "concept"}}
+
+
+def stimuli_battery(spark):
+    import json
+    doc = spark.createDataFrame([(json.dumps(STIMULUS_BATTERY),)], "doc string")
+    return explode_config(doc, "doc", STIM_SCHEMA)
+
+
+_STIM_SQL = """stims AS (SELECT * FROM (VALUES ('THINGS', 'uniqueID'), ('ROUND', 'concept')) v(name, src_key))"""
 _EXP_SQL = """exps AS (SELECT * FROM (VALUES ('triplet_run_1_a', 35000, NULL), ('embedding_1_a', NULL, 30),
                                    ('embedding_from_folder', NULL, 30)) v(name, n_items, d))"""
 
@@ -68,8 +80,10 @@ def _lines(spark, d):
     exp = (F.when(F.pmod("p_partkey", F.lit(50)) == 7, F.lit("unknown_exp"))
            .when(F.pmod("p_size", F.lit(3)) == 0, F.lit("triplet_run_1_a"))
            .when(F.pmod("p_size", F.lit(3)) == 1, F.lit("embedding_1_a")).otherwise(F.lit("embedding_from_folder")))
-    line = F.concat(F.when(F.pmod("p_partkey", F.lit(4)) == 0, F.lit("  ")).otherwise(F.lit("")), exp, F.lit(" m"),
-                    F.col("p_partkey").cast("string"), F.lit("\tTHINGS k="), F.col("p_size").cast("string"),
+    model = F.when(F.pmod("p_partkey", F.lit(40)) == 9, F.lit(" x")).otherwise(F.lit(" m"))  # x… is in no battery
+    stimulus = F.when(F.pmod("p_partkey", F.lit(30)) == 11, F.lit("\tNOWHERE k=")).otherwise(F.lit("\tTHINGS k="))
+    line = F.concat(F.when(F.pmod("p_partkey", F.lit(4)) == 0, F.lit("  ")).otherwise(F.lit("")), exp, model,
+                    F.col("p_partkey").cast("string"), stimulus, F.col("p_size").cast("string"),
                     F.lit(" junk k="), F.lower("p_type"), F.lit(" expr=a=b version_dir=v"),
                     F.pmod("p_partkey", F.lit(3)).cast("string"), F.lit(" \t"))
     body = p.select((F.col("p_partkey") * 2 + 1).alias("line_no"), line.alias("value"))
@@ -85,7 +99,8 @@ _LINES_SQL = """lines AS (
          CASE WHEN p_partkey % 4 = 0 THEN '  ' ELSE '' END
          || CASE WHEN p_partkey % 50 = 7 THEN 'unknown_exp' WHEN p_size % 3 = 0 THEN 'triplet_run_1_a'
                  WHEN p_size % 3 = 1 THEN 'embedding_1_a' ELSE 'embedding_from_folder' END
-         || ' m' || p_partkey || chr(9) || 'THINGS k=' || p_size || ' junk k=' || lower(p_type)
+         || CASE WHEN p_partkey % 40 = 9 THEN ' x' ELSE ' m' END || p_partkey || chr(9)
+         || CASE WHEN p_partkey % 30 = 11 THEN 'NOWHERE k=' ELSE 'THINGS k=' END || p_size || ' junk k=' || lower(p_type)
          || ' expr=a=b version_dir=v' || (p_partkey % 3) || ' ' || chr(9) AS value
   FROM part
   UNION ALL SELECT n_nationkey * 80, '  # ' || n_name FROM nation
@@ -115,24 +130,24 @@ def q_manifest_args(spark, d):
     return manifest_args(parsed(spark, d))
 
 
-@query("manifest_resolve", f"""WITH {_MODELS_SQL}, {_EXP_SQL}, {_LINES_SQL}
-SELECT p.line_no, p.experiment, p.model, m.model_name, m.choose_mode, coalesce(e.n_items, -1) AS n_items,
-       coalesce(e.d, -1) AS d
-FROM parsed p JOIN exps e ON e.name = p.experiment JOIN models m ON m.name = p.model""")
+@query("manifest_resolve", f"""WITH {_MODELS_SQL}, {_EXP_SQL}, {_STIM_SQL}, {_LINES_SQL}
+SELECT p.line_no, p.experiment, p.model, p.stimulus, m.model_name, m.choose_mode, coalesce(e.n_items, -1) AS n_items,
+       coalesce(e.d, -1) AS d, s.src_key
+FROM parsed p JOIN exps e ON e.name = p.experiment JOIN models m ON m.name = p.model JOIN stims s ON s.name = p.stimulus""")
 def q_manifest_resolve(spark, d):
-    r = resolve(parsed(spark, d), models(spark, d), experiments(spark))
-    return r.select("line_no", "experiment", "model", "model_name", "choose_mode",
-                    F.coalesce("n_items", F.lit(-1)).alias("n_items"), F.coalesce("d", F.lit(-1)).alias("d"))
+    r = resolve(parsed(spark, d), models(spark, d), experiments(spark), stimuli_battery(spark))
+    return r.select("line_no", "experiment", "model", "stimulus", "model_name", "choose_mode",
+                    F.coalesce("n_items", F.lit(-1)).alias("n_items"), F.coalesce("d", F.lit(-1)).alias("d"), "src_key")
 
 
-@query("manifest_dangling", f"""WITH {_MODELS_SQL}, {_EXP_SQL}, {_LINES_SQL}
-SELECT line_no, experiment, model, 'unknown experiment' AS reason FROM parsed
-WHERE experiment NOT IN (SELECT name FROM exps)
-UNION ALL
-SELECT line_no, experiment, model, 'unknown model' FROM parsed
-WHERE experiment IN (SELECT name FROM exps) AND model NOT IN (SELECT name FROM models)""")
+@query("manifest_dangling", f"""WITH {_MODELS_SQL}, {_EXP_SQL}, {_STIM_SQL}, {_LINES_SQL}
+SELECT * FROM (SELECT line_no, experiment, model,
+  CASE WHEN experiment NOT IN (SELECT name FROM exps) THEN 'unknown experiment'
+       WHEN model NOT IN (SELECT name FROM models) THEN 'unknown model'
+       WHEN stimulus NOT IN (SELECT name FROM stims) THEN 'unknown stimulus' END AS reason FROM parsed) q
+WHERE reason IS NOT NULL""")
 def q_manifest_dangling(spark, d):
-    return dangling(parsed(spark, d), models(spark, d), experiments(spark))
+    return dangling(parsed(spark, d), models(spark, d), experiments(spark), stimuli_battery(spark))
 
 
 # ---------------------------------------------------------------- model configs from part
@@ -249,8 +264,8 @@ FROM f"""
 def q_model_arch(spark, d):
     p = read(spark, d, "part")
     cfg, tok_cfg, tok_json = _cfg_exprs()
-    p = p.select("p_partkey", cfg.alias("cfg"), tok_cfg.alias("tok_cfg"), tok_json.alias("tok_json"))
-    cols = arch_columns(F.col("cfg"), F.col("tok_cfg"), F.col("tok_json"))
+    p = p.select("p_partkey", *parsed_maps(cfg, tok_cfg, tok_json))
+    cols = arch_columns()
     ok = cols["error"].isNull()
     out = [F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("model_id")]
     for c in ("model_type", "architecture"):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from oddone.catalog import query
-from oddone.catalog.fixtures import TURNS_SQL, turns, with_sql
+from oddone.catalog.fixtures import PROMPTS_SQL, prompts, with_sql
 from oddone.catalog.q_sampling import STIMULI_CTES, shuffled_stimuli
 from oddone.functions.prompts import TRIPLET_TEMPLATE, add_suffix, chat_messages, preview, render_template, vlm_prompt
 
@@ -35,10 +35,10 @@ def q_render_prompt(spark, d):
     return rendered(spark, d).select("triplet_id", "format_str")
 
 
-@query("prompt_preview", with_sql(TURNS_SQL, body="""
-SELECT conv_id, turn, left(prompt, 80) || CASE WHEN length(prompt) > 80 THEN '...' ELSE '' END AS preview FROM turns"""))
+@query("prompt_preview", with_sql(PROMPTS_SQL, body="""
+SELECT conv_id, turn, left(prompt, 80) || CASE WHEN length(prompt) > 80 THEN '...' ELSE '' END AS preview FROM prompts"""))
 def q_prompt_preview(spark, d):
-    return turns(spark, d).select("conv_id", "turn", preview("prompt").alias("preview"))
+    return prompts(spark, d).select("conv_id", "turn", preview("prompt").alias("preview"))
 
 
 def _instr():
@@ -47,20 +47,20 @@ def _instr():
 _INSTR_SQL = f"CASE WHEN conv_id % 3 = 0 THEN NULL ELSE '{SUFFIX}' END"
 
 
-@query("add_suffix", with_sql(TURNS_SQL, body=f"""
-SELECT conv_id, turn, prompt || coalesce({_INSTR_SQL}, '') AS text FROM turns"""))
+@query("add_suffix", with_sql(PROMPTS_SQL, body=f"""
+SELECT conv_id, turn, prompt || coalesce({_INSTR_SQL}, '') AS text FROM prompts"""))
 def q_add_suffix(spark, d):
-    return turns(spark, d).select("conv_id", "turn", add_suffix("prompt", _instr()).alias("text"))
+    return prompts(spark, d).select("conv_id", "turn", add_suffix("prompt", _instr()).alias("text"))
 
 
-@query("chat_messages", with_sql(TURNS_SQL, body=f"""
+@query("chat_messages", with_sql(PROMPTS_SQL, body=f"""
 SELECT conv_id, turn, to_json([{{'role': 'user', 'content': prompt || coalesce({_INSTR_SQL}, '')}}])::VARCHAR AS messages
-FROM turns"""))
+FROM prompts"""))
 def q_chat_messages(spark, d):
-    return turns(spark, d).select("conv_id", "turn", F.to_json(chat_messages("prompt", _instr())).alias("messages"))
+    return prompts(spark, d).select("conv_id", "turn", F.to_json(chat_messages("prompt", _instr())).alias("messages"))
 
 
-@query("vlm_prompt", with_sql(TURNS_SQL, body=f"""
-SELECT conv_id, turn, 'User:<image>' || chr(10) || prompt || coalesce({_INSTR_SQL}, '') || ' Falcon:' AS vlm FROM turns"""))
+@query("vlm_prompt", with_sql(PROMPTS_SQL, body=f"""
+SELECT conv_id, turn, 'User:<image>' || chr(10) || prompt || coalesce({_INSTR_SQL}, '') || ' Falcon:' AS vlm FROM prompts"""))
 def q_vlm_prompt(spark, d):
-    return turns(spark, d).select("conv_id", "turn", vlm_prompt("prompt", _instr()).alias("vlm"))
+    return prompts(spark, d).select("conv_id", "turn", vlm_prompt("prompt", _instr()).alias("vlm"))

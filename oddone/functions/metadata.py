@@ -60,37 +60,45 @@ def json_len(j) -> Column:
     return F.coalesce(F.size(F.json_object_keys(j)), F.json_array_length(j))
 
 
-def vocab_size(cfg, tok_cfg, tok_json) -> Column:
+def parsed_maps(cfg, tok_cfg=None, tok_json=None) -> list[Column]:
+    """The maps that :func:`arch_columns` reads, each text parsed once: select these first, the fields from them."""
+    none = F.lit(None).cast("string")
+    texts = json_map(tok_json if tok_json is not None else none)
+    return [json_map(cfg).alias("cfg_map"), json_map(tok_cfg if tok_cfg is not None else none).alias("tok_map"),
+            texts.alias("file_map")]
+
+
+def vocab_size(cm, tm, jm) -> Column:
     """Config aliases -> tokenizer_config.vocab_size -> len(tokenizer.model.vocab) ->
-    len(tokenizer.vocab); the last two count 0 as missing."""
-    cm, tm, jm = json_map(cfg), json_map(tok_cfg), json_map(tok_json)
-    model_map = json_map(jm["model"])
+    len(tokenizer.vocab); the last two count 0 as missing.  Arguments are parsed maps."""
+    cm, tm, jm = _c(cm), _c(tm), _c(jm)
 
     def has(m, k):
         return F.coalesce(F.map_contains_key(m, F.lit(k)), F.lit(False))
 
-    from_file = F.nullif(F.when(has(jm, "model") & has(model_map, "vocab"), json_len(model_map["vocab"]))
+    vocab_of_model = F.get_json_object(jm["model"], "$.vocab")
+    from_file = F.nullif(F.when(has(jm, "model") & vocab_of_model.isNotNull(), json_len(vocab_of_model))
                          .when(has(jm, "vocab"), json_len(jm["vocab"])), F.lit(0))
-    tok_has = (F.size(tm) > 0) & F.coalesce(F.map_contains_key(tm, F.lit("vocab_size")), F.lit(False))
+    tok_has = (F.size(tm) > 0) & has(tm, "vocab_size")
     return (F.when(any_present(cm, VOCAB_KEYS), as_long(first_present(cm, VOCAB_KEYS)))
             .when(tok_has, as_long(tm["vocab_size"]))
             .otherwise(from_file))
 
 
-def architecture(cfg) -> Column:
-    """``architectures[0]``, 'Unknown' when missing or empty."""
-    arr = F.from_json(json_map(cfg)["architectures"], "array<string>")
+def architecture(m) -> Column:
+    """``architectures[0]`` of a parsed config, 'Unknown' when missing or empty."""
+    arr = F.from_json(_c(m)["architectures"], "array<string>")
     return F.when(F.size(arr) > 0, F.get(arr, 0)).otherwise(F.lit("Unknown"))
 
 
-def model_type(cfg) -> Column:
-    m = json_map(cfg)
+def model_type(m) -> Column:
+    m = _c(m)
     return F.when(F.map_contains_key(m, F.lit("model_type")), m["model_type"]).otherwise(F.lit("Unknown"))
 
 
-def config_error(cfg) -> Column:
-    """Error text for a missing or empty config, NULL otherwise."""
-    m = json_map(cfg)
+def config_error(m) -> Column:
+    """Error text for a missing or empty parsed config, NULL otherwise."""
+    m = _c(m)
     return F.when(m.isNull() | (F.size(m) == 0), F.lit(CONFIG_ERROR))
 
 
@@ -101,22 +109,20 @@ def model_id_norm(c) -> Column:
     return F.when(F.startswith(c, F.lit(HUB_PREFIX)), F.array_join(parts, "/")).otherwise(c)
 
 
-def arch_columns(cfg, tok_cfg=None, tok_json=None) -> dict[str, Column]:
-    """All architecture fields as typed columns (missing numeric -> NULL)."""
-    m = json_map(cfg)
-    dims = as_long(first_present(m, DIM_KEYS))
-    heads = as_long(first_present(m, HEAD_KEYS))
+def arch_columns(cfg_map="cfg_map", tok_map="tok_map", file_map="file_map") -> dict[str, Column]:
+    """All architecture fields as typed columns (missing numeric -> NULL), from the maps of :func:`parsed_maps`."""
+    m = _c(cfg_map)
+    dims, heads = as_long(first_present(m, DIM_KEYS)), as_long(first_present(m, HEAD_KEYS))
     return {
-        "model_type": model_type(cfg),
-        "architecture": architecture(cfg),
+        "model_type": model_type(m),
+        "architecture": architecture(m),
         "num_layers": as_long(first_present(m, LAYER_KEYS)),
         "num_attention_heads": heads,
         "num_key_value_heads": as_long(first_present(m, KV_HEAD_KEYS)),
         "embedding_dimensions": dims,
         "attention_dimensionality": F.floor(dims / F.nullif(heads, F.lit(0))).cast("bigint"),
-        "vocabulary_size": vocab_size(cfg, tok_cfg if tok_cfg is not None else F.lit(None).cast("string"),
-                                      tok_json if tok_json is not None else F.lit(None).cast("string")),
+        "vocabulary_size": vocab_size(m, tok_map, file_map),
         "max_position_embeddings": as_long(first_present(m, POSITION_KEYS)),
         "intermediate_size": as_long(first_present(m, FFN_KEYS)),
-        "error": config_error(cfg),
+        "error": config_error(m),
     }

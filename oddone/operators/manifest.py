@@ -42,18 +42,20 @@ def manifest_args(parsed: DataFrame) -> DataFrame:
     return parsed.select("line_no", F.explode(args_map(F.col("args"))).alias("key", "value"))
 
 
-def resolve(parsed: DataFrame, models: DataFrame, experiments: DataFrame) -> DataFrame:
-    """Manifest lines joined to their model and experiment configs (unknown names drop out)."""
-    m = models.withColumnRenamed("name", "model")
-    e = experiments.withColumnRenamed("name", "experiment")
-    return parsed.join(F.broadcast(e), "experiment").join(m, "model")
-
-
-def dangling(parsed: DataFrame, models: DataFrame, experiments: DataFrame) -> DataFrame:
-    """Lines naming an unknown experiment or model, with the reason."""
-    e = experiments.select(F.col("name").alias("experiment"))
-    m = models.select(F.col("name").alias("model"))
-    bad_e = parsed.join(F.broadcast(e), "experiment", "left_anti").withColumn("reason", F.lit("unknown experiment"))
-    bad_m = (parsed.join(F.broadcast(e), "experiment", "left_semi").join(m, "model", "left_anti")
-             .withColumn("reason", F.lit("unknown model")))
-    return bad_e.unionByName(bad_m).select("line_no", "experiment", "model", "reason")
+def resolve(parsed: DataFrame, models: DataFrame, experiments: DataFrame, stimuli: DataFrame | None = None) -> DataFrame:
+    """Manifest lines joined to their model, experiment and (if given) stimulus configs; unknown names drop out."""
+    out = parsed.join(experiments.withColumnRenamed("name", "experiment"), "experiment").join(models.withColumnRenamed("name", "model"), "model")
+    return out if stimuli is None else out.join(stimuli.withColumnRenamed("name", "stimulus"), "stimulus")
+
+
+def dangling(parsed: DataFrame, models: DataFrame, experiments: DataFrame, stimuli: DataFrame | None = None) -> DataFrame:
+    """Lines naming an unknown experiment, model or stimulus, with the first reason in this order."""
+    left, found = parsed, None
+    for column, battery in (("experiment", experiments), ("model", models), ("stimulus", stimuli)):
+        if battery is not None:
+            known = battery.select(F.col("name").alias(column))
+            bad = left.join(known, column, "left_anti").select(
+                "line_no", "experiment", "model", F.lit(f"unknown {column}").alias("reason"))
+            found = bad if found is None else found.unionByName(bad)
+            left = left.join(known, column, "left_semi")
+    return found

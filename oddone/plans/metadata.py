@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddone.functions.metadata import arch_columns, model_id_norm
+from oddone.functions.metadata import arch_columns, model_id_norm, parsed_maps
 
 ARCH_FIELDS = ["model_type", "architecture", "num_layers", "num_attention_heads", "num_key_value_heads",
                "embedding_dimensions", "attention_dimensionality", "vocabulary_size", "max_position_embeddings",
@@ -19,9 +19,10 @@ def model_arch(configs: DataFrame, id_col: str = "model_id", cfg: str = "config_
     def col(c):
         return F.col(c) if c in configs.columns else F.lit(None).cast("string")
 
-    cols = arch_columns(col(cfg), col(tok_cfg), col(tok_json))
+    cols = arch_columns()
     ok = cols["error"].isNull()
-    return configs.select(model_id_norm(F.col(id_col)).alias("model_id"),
+    parsed = configs.select(id_col, *parsed_maps(col(cfg), col(tok_cfg), col(tok_json)))  # each text once
+    return parsed.select(model_id_norm(F.col(id_col)).alias("model_id"),
                           *[F.when(ok, cols[f]).alias(f) for f in ARCH_FIELDS], cols["error"].alias("error"))
 
 

@@ -5,7 +5,8 @@ import os
 
 from pyspark.sql import functions as F
 
-from oddone.plans.runlog import summarize, timed_call
+from oddone.functions.runlog import format_line, parse_line
+from oddone.plans.runlog import RunLog, summarize
 from oddone.sinks.writers import reference_export, write_answers, write_stimuli
 from oddone.sources.files import (EXP_SCHEMA, check_matrix, read_answers, read_concepts, read_config, read_lines,
                                   read_matrix)
@@ -74,17 +75,30 @@ def test_sinks(spark, tmp_dir):
     assert reference_export(vec).first().embedding == "0.5 1.25"
 
 
-def test_timed_call_logs_and_reraises(spark, tmp_dir):
-    log = os.path.join(tmp_dir, "log")
-    res, secs = timed_call(spark, lambda: 41 + 1, log_path=log, label="ok_call")
-    assert res == 42 and secs >= 0
-    try:
-        timed_call(spark, lambda: 1 / 0, log_path=log, label="bad_call")
-    except ZeroDivisionError:
-        pass
-    else:
-        raise AssertionError("original error must propagate")
-    s = {(r.name, r.ok): r.calls for r in summarize(spark.read.parquet(log)).collect()}
-    assert s == {("ok_call", True): 1, ("bad_call", False): 1}
-    err = spark.read.parquet(log).filter(~F.col("ok")).first().error
-    assert err.startswith("ZeroDivisionError")
+def test_timed_records_are_logged_and_errors_go_on(spark, tmp_dir):
+    import pytest
+    path = os.path.join(tmp_dir, "log")
+    with RunLog(spark, path) as log:
+        assert log.wrap(lambda: 41 + 1, "ok_call")() == 42
+        with pytest.raises(ZeroDivisionError):
+            log.wrap(lambda: 1 / 0, "bad_call")()
+        with log.timed("ok_call") as record:
+            pass
+        assert record.ok and record.secs >= 0
+    table = spark.read.parquet(path)
+    assert {(r.name, r.ok): r.calls for r in summarize(table).collect()} == {("ok_call", True): 2, ("bad_call", False): 1}
+    assert table.filter(~F.col("ok")).first().error.startswith("ZeroDivisionError")
+    assert len([x for x in os.listdir(path) if x.endswith(".parquet")]) == 1  # one write for the batch
+    assert RunLog(spark).path.endswith("logs/timings")
+
+
+def test_log_lines_round_trip(spark):
+    import datetime
+    ts = datetime.datetime(2024, 5, 6, 7, 8, 9)
+    texts = [None, "", "plain", "a\tb", "two\nlines\r", 'say "x"', "back\\slash", "\\t", "\\\\n\n", "\\N"]
+    rows = [(ts if i % 2 else None, t, False, 1.5 if i % 3 else None, t, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, name string, ok boolean, secs double, host string, error string")
+    line = df.select("*", format_line("ts", "name", "ok", "secs", "host", "error").alias("line"))
+    assert line.filter(F.col("line").contains("\n")).count() == 0
+    back = line.select(*[v.alias(k) for k, v in parse_line("line").items()])
+    assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))

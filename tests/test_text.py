@@ -130,7 +130,8 @@ def test_arch_vocab_fallbacks(spark):
         ('{"n_embd": 64, "n_head": 8}', None, '{"model": {"vocab": {"a": 0, "b": 1}}}'),
         ('{"d_model": 10}', '{}', '{"vocab": []}'),
         ('{}', None, None)], "c string, t string, j string")
-    cols = M.arch_columns(F.col("c"), F.col("t"), F.col("j"))
+    cols = M.arch_columns()
+    df = df.select(*M.parsed_maps(F.col("c"), F.col("t"), F.col("j")))
     rows = df.select(*[cols[k].alias(k) for k in ("attention_dimensionality", "vocabulary_size", "error")]).collect()
     assert [r.attention_dimensionality for r in rows[:2]] == [None, 8]
     assert [r.vocabulary_size for r in rows[:3]] == [7, 2, None]
