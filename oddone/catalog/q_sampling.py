@@ -29,21 +29,31 @@ def stimuli(spark, d):
     return draw_triplets(cand, N_ITEMS, NEAR, FAR, seed=SEED, draws=DRAWS)
 
 
-def _draw_sql(cand_cte: str, use_vectors: bool, n_attempts: str) -> str:
+def _draw_sql(cand_cte: str, use_vectors: bool, n_attempts: str, near_below=NEAR, far_above=FAR, feasible: bool = False) -> str:
+    """``feasible``: x is drawn from the rows that have a near and another far row, as Spark does once fewer than
+    half of a first wave over all rows succeed."""
     if use_vectors:
         valid = "c.key <> dr.x_key AND c.vec IS NOT NULL AND dr.x_vec IS NOT NULL"
         dist = f"CASE WHEN {valid} THEN list_distance(dr.x_vec, c.vec) END"
-        near, far = f"d < {NEAR}", f"d > {FAR}"
+        near, far = f"d < {near_below}", f"d > {far_above}"
         tvalid = "c.key <> ax.x_key AND c.vec IS NOT NULL AND ax.x_vec IS NOT NULL"
         tdist = f"CASE WHEN {tvalid} THEN list_distance(ax.x_vec, c.vec) END"
     else:
         dist = "CASE WHEN c.key <> dr.x_key THEN 0.0 END"
         near = far = "d IS NOT NULL"
         tdist = "CASE WHEN c.key <> ax.x_key THEN 0.0 END"
+    xs = f"""att AS (SELECT a, {hash_sql(str(SEED), "'x'", 'a')} % n AS x_pos FROM range(0, {n_attempts}) t(a), nn)"""
+    if feasible:
+        xs = f"""pr AS (SELECT x.pos, list_distance(x.vec, c.vec) AS d FROM cand x JOIN cand c ON c.key <> x.key AND c.key <> ''),
+fk AS (SELECT pos, count(*) FILTER (WHERE {near}) AS nr, count(*) FILTER (WHERE {far}) AS fr, count(*) FILTER (WHERE {near} AND {far}) AS nf
+       FROM pr GROUP BY pos),
+feas AS (SELECT pos, row_number() OVER (ORDER BY pos) - 1 AS i FROM fk WHERE nr > 0 AND fr > 0 AND (nr > 1 OR fr > 1 OR nf = 0)),
+att AS (SELECT a, f.pos AS x_pos FROM (SELECT a, {hash_sql(str(SEED), "'x'", 'a')} % (SELECT count(*) FROM feas) AS i
+        FROM range(0, {n_attempts}) t(a)) q JOIN feas f ON f.i = q.i)"""
     return f""",
 {cand_cte},
 nn AS (SELECT count(*) AS n FROM cand),
-att AS (SELECT a, {hash_sql(str(SEED), "'x'", 'a')} % n AS x_pos FROM range(0, {n_attempts}) t(a), nn),
+{xs},
 ax AS (SELECT att.a, c.key AS x_key, c.vec AS x_vec FROM att JOIN cand c ON c.pos = att.x_pos),
 dr AS (SELECT ax.a, ax.x_key, ax.x_vec, k, {hash_sql(str(SEED), "'draw'", 'ax.a', 'k')} % n AS c_pos
        FROM ax, range(0, {DRAWS}) r(k), nn),
@@ -66,12 +76,12 @@ res AS (SELECT fz.a, coalesce(fz.y_pos, ty.y_t) AS y_pos,
         FROM fz LEFT JOIN ty ON ty.a = fz.a LEFT JOIN tz ON tz.a = fz.a),
 ok AS (SELECT res.a, ax.x_key, ax.x_vec, cy.key AS y_key, cy.vec AS y_vec, cz.key AS z_key, cz.vec AS z_vec
        FROM res JOIN ax ON ax.a = res.a JOIN cand cy ON cy.pos = res.y_pos JOIN cand cz ON cz.pos = res.z_pos
-       WHERE cy.key <> '' AND cz.key <> ''),
+       WHERE {"cy.key <> '' AND cz.key <> ''" if use_vectors else "true"}),
 ranked AS (SELECT *, (row_number() OVER (ORDER BY a) - 1)::BIGINT AS triplet_id FROM ok)"""
 
 
 # The oracle evaluates attempts 0 .. 2*N_ITEMS-1 and keeps the first N_ITEMS successes (Spark runs
-# waves up to the 100*N_ITEMS cap).  On this data nearly every attempt succeeds; a shortfall would
+# waves until it has them).  On this data nearly every attempt succeeds; a shortfall would
 # show up as a row-count mismatch, never as a silent pass.
 DRAW_SQL = with_sql(ITEMS_SQL, body=_draw_sql(
     "cand AS (SELECT row_idx AS pos, key, vec FROM items)", True, str(2 * N_ITEMS)) + f"""
@@ -86,6 +96,21 @@ def q_draw_triplets(spark, d):
     return _round_dists(stimuli(spark, d))
 
 
+# Thresholds under which few rows have any near row: x is drawn from those alone.
+SPARSE_ITEMS, SPARSE_NEAR, SPARSE_FAR = 2000, 1.05, 1.45
+
+
+@query("draw_sparse", with_sql(ITEMS_SQL, body=_draw_sql(
+    "cand AS (SELECT row_idx AS pos, key, vec FROM items)", True, str(SPARSE_ITEMS), SPARSE_NEAR, SPARSE_FAR, feasible=True) + f"""
+SELECT triplet_id, a AS attempt_id, x_key AS item_x, y_key AS item_y, z_key AS item_z,
+       round(list_distance(x_vec, y_vec), 6) AS dist_x_y, round(list_distance(x_vec, z_vec), 6) AS dist_x_z,
+       round(list_distance(y_vec, z_vec), 6) AS dist_y_z
+FROM ranked WHERE triplet_id < {SPARSE_ITEMS}"""))
+def q_draw_sparse(spark, d):
+    it = items(spark, d)
+    return _round_dists(draw_triplets(candidates(it, first_vector(it)), SPARSE_ITEMS, SPARSE_NEAR, SPARSE_FAR, seed=SEED, draws=DRAWS))
+
+
 UNCONSTRAINED_SQL = with_sql(NAMES_SQL, body=_draw_sql(
     "cand AS (SELECT row_idx AS pos, key, NULL::DOUBLE[] AS vec FROM names)", False, str(2 * N_ITEMS)) + f"""
 SELECT triplet_id, a AS attempt_id, x_key AS item_x, y_key AS item_y, z_key AS item_z

@@ -4,7 +4,7 @@ Law (per attempt): x is a uniform concept *row*; the other rows are visited in a
 random order; y is the first row whose key differs from x's, has a vector and lies nearer
 than ``euclid_min``; z is the first such row farther than ``euclid_max`` other than y's row.
 An attempt fails when y or z is missing (or has an empty key); the first ``n_items``
-successful attempts (in attempt order, at most ``100 * n_items`` attempts) are the triplets.
+successful attempts (in attempt order) are the triplets.
 
 Spark form, exact for that law:
 
@@ -22,9 +22,11 @@ Spark form, exact for that law:
    best near row and two best far rows per attempt and a JVM reduce keeps the first ones.  Open
    attempts are grouped by (x, salt) so a hot x is split and its distances are computed once per group.
 3. *Acceptance*: attempts run in waves sized from the observed success rate; the first ``n_items``
-   successes are cut exactly with :func:`first_n_by` (histogram, no global sort).  Once fewer than
-   half the attempts succeed, per-key near/far counts mark the x values that can never succeed;
-   their attempts fail without drawing (they still count toward the cap).
+   successes are cut exactly with :func:`first_n_by` (histogram, no global sort).  If fewer than half of the
+   first wave succeed, the draw starts again with x drawn from the feasible rows only: those whose key has a
+   near and another far row.  Accepted x follow the same law (a failing x is never accepted), and no share of
+   infeasible rows, however large, makes the draw long or short: it ends with exactly ``n_items`` triplets
+   whenever one row is feasible, and with none and a warning otherwise.
 
 NULL keys match nothing (neither as x nor as a candidate).  The unconstrained draw (no vectors) is
 the same machinery with "near" = "far" = any row of another key.
@@ -49,9 +51,8 @@ from oddone.operators.joins import broadcast_limit, checked_broadcast
 from oddone.operators.vectors import _collect_block, matrix_row_bytes, near_far_counts
 from oddone.session import ensure_checkpoint_dir, ship_package
 
-# Fixed value: attempts allowed per requested triplet (the reference's cap).
-ATTEMPTS_PER_ITEM = 100
-TAIL_SALT = 16
+# Open attempts of one x that a task finishes at once in the tail.
+TAIL_GROUP = 2000
 FIRST_STAGE = 8
 
 STIMULI_COLS = ["triplet_id", "attempt_id", "item_x", "item_y", "item_z", "dist_x_y", "dist_x_z", "dist_y_z"]
@@ -62,15 +63,34 @@ def _py_hash(seed, purpose, a, b) -> int:
     return int(hashlib.md5(f"{seed}:{purpose}:{a}:{b}".encode()).hexdigest()[:15], 16)
 
 
-def _attempts(spark, cand_b: DataFrame, n: int, a0: int, a1: int, seed: int) -> DataFrame:
-    """Attempts ``[a0, a1)`` with their x row; ``spark.range`` is range-partitioned on ``a``."""
+def _attempts(spark, cand_b: DataFrame, n: int, a0: int, a1: int, seed: int, rows: tuple[DataFrame, int] | None = None) -> DataFrame:
+    """Attempts ``[a0, a1)`` with their x row, drawn from all ``n`` rows or from ``rows`` (``i, x_pos`` and their number);
+    ``spark.range`` is range-partitioned on ``a``."""
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")) * 4, (a1 - a0) // 2000 + 1))
     att = spark.range(a0, a1, numPartitions=parts).withColumnRenamed("id", "a")
-    att = att.withColumn("x_pos", seeded_choice(F.lit(n), seed, "x", F.col("a")))
+    if rows is None:
+        att = att.withColumn("x_pos", seeded_choice(F.lit(n), seed, "x", F.col("a")))
+    else:
+        att = att.withColumn("i", seeded_choice(F.lit(rows[1]), seed, "x", F.col("a"))).join(rows[0], "i").drop("i")
     xs = cand_b.select(F.col("pos").alias("x_pos"), F.col("key").alias("x_key"), F.col("vec").alias("x_vec"))
     return att.join(xs, "x_pos").filter(F.col("x_key").isNotNull())  # a NULL key matches nothing
 
 
+def feasible_rows(cand: DataFrame, lo: float | None, hi: float | None, use_vectors: bool, n: int, dim: int) -> tuple[DataFrame, int]:
+    """``(i, x_pos)`` of the rows from which a triplet can come, numbered by position, and their number: a near row
+    and a far row other than it exist (two rows of other keys, without vectors)."""
+    if use_vectors:
+        named = cand.filter("key <> ''")  # a row with an empty key is never accepted as y or z
+        counts = near_far_counts(cand, lo, hi, n_rows=n, dim=dim, among=named)
+        good = (F.col("n_near") > 0) & (F.col("n_far") > 0) & ((F.col("n_near") > 1) | (F.col("n_far") > 1) | (F.col("n_both") == 0))
+        keys = counts.filter(good).select("key")
+    else:
+        total = cand.filter("key is not null").count()
+        keys = cand.filter("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("own")).filter(F.lit(total) - F.col("own") >= 2).select("key")
+    rows = dense_index(cand.select(F.col("pos").alias("x_pos"), "key").join(keys, "key", "left_semi").drop("key"), ["x_pos"], "i")
+    return rows, rows.count()
+
+
 def _draw_phase(att: DataFrame, cand_b: DataFrame, n: int, seed: int, k_hi: int,
                 lo: float | None, hi: float | None, use_vectors: bool) -> DataFrame:
     """Per attempt: first near (y) and first far other than y's row (z) among draws ``k < k_hi``."""
@@ -111,13 +131,14 @@ def _tail_block(unresolved: DataFrame, bc, seed: int, lo, hi, use_vectors: bool,
     and the first two unseen far rows in the seeded tail order ``(h(seed,'tail',a,pos), pos)``."""
 
     def part(pdf: pd.DataFrame) -> pd.DataFrame:
-        pos, keys, has, mat = bc.value
+        pos, keys, has, mat, codes, code_of = bc.value
+        named = codes >= 0
         out = []
         cache = {}
         for r in pdf.itertuples(index=False):
             xk = r.x_key
             if xk not in cache:  # x's near / far rows of this block, once per group
-                ok = np.fromiter((k is not None and k != xk for k in keys), dtype=bool, count=len(keys))
+                ok = named & (codes != code_of.get(xk, -1))
                 if use_vectors:
                     if r.x_vec is None:
                         cache[xk] = (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -151,7 +172,8 @@ def _tail_block(unresolved: DataFrame, bc, seed: int, lo, hi, use_vectors: bool,
         return pd.DataFrame(out, columns=cols)
 
     schema = "a long, " + ", ".join(f"{p}_h long, {p}_pos long, {p}_key string" for p in ("n", "f1", "f2"))
-    keyed = unresolved.withColumn("_salt", F.pmod(F.col("a"), F.lit(TAIL_SALT)))  # a hot x is split
+    salts = unresolved.groupBy("x_key").agg(F.ceil(F.count(F.lit(1)) / TAIL_GROUP).alias("_salts"))
+    keyed = unresolved.join(salts, "x_key").withColumn("_salt", F.pmod(F.col("a"), F.col("_salts"))).drop("_salts")  # a hot x is split
     return keyed.groupBy("x_key", "_salt").applyInPandas(part, schema)
 
 
@@ -166,7 +188,8 @@ def _tail(spark, cand: DataFrame, unresolved: DataFrame, xs: DataFrame, seed: in
     parts = None
     for b0 in range(0, n, rows_per_block):
         bc = spark.sparkContext.broadcast(_collect_block(cand, b0, min(n, b0 + rows_per_block)))
-        p = _tail_block(tail_in, bc, seed, lo, hi, use_vectors, n, draws)
+        p = _tail_block(tail_in, bc, seed, lo, hi, use_vectors, n, draws).checkpoint(eager=True)
+        bc.destroy()  # one block is live at a time
         parts = p if parts is None else parts.unionByName(p)
 
     def st(p):
@@ -192,6 +215,8 @@ def draw_triplets(cand: DataFrame, n_items: int, euclid_min: float | None = None
                   use_vectors: bool = True, n_rows: int | None = None) -> DataFrame:
     """Constrained (H1) or, with ``use_vectors=False``, unconstrained (H2) triplet draw.
 
+    ``max_attempts`` is an explicit bound (none by default): if it is reached first, this raises.
+
     ``cand``: ``(pos, key, vec)`` with dense ``pos`` 0..n-1 (see :func:`candidates`).
     Returns ``STIMULI_COLS`` (distances NULL for the unconstrained draw)."""
     spark = cand.sparkSession
@@ -199,7 +224,6 @@ def draw_triplets(cand: DataFrame, n_items: int, euclid_min: float | None = None
     cand = cand.select("pos", "key", "vec").persist(StorageLevel.MEMORY_AND_DISK)
     stats = cand.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()  # one job
     n = n_rows if n_rows is not None else stats["n"]
-    max_attempts = max_attempts if max_attempts is not None else ATTEMPTS_PER_ITEM * n_items
     dim = (stats["dim"] or 0) if use_vectors else 0
     # broadcast the candidate table when its counted size fits; beyond it the joins shuffle on pos
     cand_b = checked_broadcast(cand, n, matrix_row_bytes(dim))
@@ -207,23 +231,22 @@ def draw_triplets(cand: DataFrame, n_items: int, euclid_min: float | None = None
     ensure_checkpoint_dir(spark)
     lo = float(euclid_min) if euclid_min is not None else None
     hi = float(euclid_max) if euclid_max is not None else None
+    rows = None
     if not use_vectors:
-        if cand.select("key").distinct().limit(2).count() < 2 and n > 0:
-            raise ValueError("sample larger than population")
-    waves = []
-    done, a0 = 0, 0
-    wave = n_items
-    feasible = None  # keys whose x can ever succeed (computed once the success rate drops below 1/2)
-    while done < n_items and a0 < max_attempts and n > 0:
-        a1 = min(max_attempts, a0 + wave)
-        att = _attempts(spark, cand_b, n, a0, a1, seed)
-        if feasible is not None:  # attempts whose x has no near or no far row fail without drawing
-            att = att.join(feasible, "x_key", "left_semi")
-        missing = F.col("y_pos").isNull() | F.col("z_pos").isNull()
+        possible = feasible_rows(cand, lo, hi, use_vectors, n, dim)
+        if n and not possible[1]:
+            raise ValueError("no key has two rows of other keys to draw from")
+    waves, done, a0, wave = [], 0, 0, n_items
+    missing = F.col("y_pos").isNull() | F.col("z_pos").isNull()
+    first = min(FIRST_STAGE, draws)
+    while done < n_items and n > 0:
+        a1 = a0 + wave if max_attempts is None else min(max_attempts, a0 + wave)
+        if a1 <= a0:
+            raise RuntimeError(f"{done} of {n_items} triplets after the {max_attempts} attempts allowed")
+        att = _attempts(spark, cand_b, n, a0, a1, seed, rows)
         # staged draws, same result as evaluating all `draws` at once: when y and z are found among
         # the first `first` draws they are also the first among all draws.  Stage results are
         # checkpointed (shared folder): later steps read them instead of re-running the draws.
-        first = min(FIRST_STAGE, draws)
         res = _draw_phase(att, cand_b, n, seed, first, lo, hi, use_vectors).checkpoint(eager=True)
         resolved = res.filter(~missing)
         unresolved = res.filter(missing)
@@ -232,27 +255,25 @@ def draw_triplets(cand: DataFrame, n_items: int, euclid_min: float | None = None
             res2 = _draw_phase(again, cand_b, n, seed, draws, lo, hi, use_vectors).checkpoint(eager=True)
             resolved = resolved.unionByName(res2.filter(~missing))
             unresolved = res2.filter(missing)
-        resolved = resolved.select("a", "x_key", "y_pos", "y_key", "z_pos", "z_key")
+        ok = resolved.select("a", "x_key", "y_pos", "y_key", "z_pos", "z_key")
         if not unresolved.isEmpty():
-            finished = _tail(spark, cand, unresolved, xs_b, seed, lo, hi, use_vectors, n, draws, dim)
-            ok = resolved.unionByName(finished)
-        else:
-            ok = resolved
-        ok = ok.filter((F.col("y_key") != "") & (F.col("z_key") != "")).checkpoint(eager=True)
+            ok = ok.unionByName(_tail(spark, cand, unresolved, xs_b, seed, lo, hi, use_vectors, n, draws, dim))
+        if use_vectors:  # as in the reference, only the draw with vectors looks at empty keys
+            ok = ok.filter((F.col("y_key") != "") & (F.col("z_key") != ""))
+        ok = ok.checkpoint(eager=True)
         s = ok.count()
+        if rows is None and s < 0.5 * (a1 - a0) and s < n_items:  # start again with x from the feasible rows
+            rows = possible if not use_vectors else feasible_rows(cand, lo, hi, use_vectors, n, dim)
+            waves, done, a0, wave = [], 0, 0, n_items
+            if not rows[1]:
+                warnings.warn("no row has a near and another far row: the draw is empty")
+                break
+            rows = (checked_broadcast(rows[0], rows[1], 32), rows[1])
+            continue
         waves.append((ok, s))
-        done += s
-        a0 = a1
-        if feasible is None and use_vectors and done < n_items and done < 0.5 * a0:
-            counts = near_far_counts(cand, lo, hi, n_rows=n, dim=dim)
-            feasible = checked_broadcast(
-                counts.filter((F.col("n_near") > 0) & (F.col("n_far") > 0)).select(F.col("key").alias("x_key")),
-                n, 64)
-        rate = max(done / a0, 1.0 / ATTEMPTS_PER_ITEM)
-        wave = int(math.ceil((n_items - done) / rate * 1.1)) + 64
-
-    if done < n_items:
-        warnings.warn(f"Max attempts reached. Collected {done} valid triplets of {n_items} requested.")
+        done, a0 = done + s, a1
+        wave = int(math.ceil((n_items - done) / max(done / a0, 1e-3) * 1.1)) + 64
+
     if not waves:
         return spark.createDataFrame([], _stimuli_schema())
     # all waves but the last are wholly inside; the last is cut exactly

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from oddone.functions.vectors import euclid
 from oddone.operators.joins import broadcast_limit, checked_broadcast
-from oddone.session import ship_package
+from oddone.session import ensure_checkpoint_dir, ship_package
 
 
 def zip_matrix(concepts: DataFrame, matrix: DataFrame, key_col: str = "key") -> DataFrame:
@@ -55,7 +55,9 @@ def _collect_block(cand: DataFrame, b0: int, b1: int):
     for i, v in enumerate(pdf["vec"]):
         if v is not None:
             mat[i] = np.asarray(v, dtype=np.float64)
-    return pdf["pos"].to_numpy().astype(np.int64), pdf["key"].astype(object).to_numpy(), has, mat
+    codes, names = pd.factorize(pdf["key"])  # NULL is -1
+    return (pdf["pos"].to_numpy().astype(np.int64), pdf["key"].astype(object).to_numpy(), has, mat, codes,
+            {k: i for i, k in enumerate(names)})
 
 
 def matrix_row_bytes(dim: int) -> int:
@@ -63,16 +65,17 @@ def matrix_row_bytes(dim: int) -> int:
 
 
 def near_far_counts(cand: DataFrame, euclid_min: float, euclid_max: float, n_rows: int | None = None,
-                    dim: int | None = None) -> DataFrame:
+                    dim: int | None = None, among: DataFrame | None = None) -> DataFrame:
     """Per distinct key with a vector: candidate rows (other keys, with vectors), how many are
     near (``dist < euclid_min``), far (``dist > euclid_max``) and both, plus min/max distance.
 
     The candidate rows are broadcast in blocks sized to the broadcast limit (one block when the
     table fits); each task takes a slice of the distinct keys and computes their distances to the
     block in numpy, so the n x n distances never become DataFrame rows.  Block partials are summed
-    per key."""
+    per key; a block is dropped before the next is collected.  ``among`` restricts the rows counted."""
     spark = cand.sparkSession
     ship_package(spark)
+    ensure_checkpoint_dir(spark)
     n_rows = n_rows if n_rows is not None else cand.count()
     if dim is None:
         first = cand.filter(F.col("vec").isNotNull()).select(F.size("vec")).first()
@@ -83,21 +86,22 @@ def near_far_counts(cand: DataFrame, euclid_min: float, euclid_max: float, n_row
     schema = "key string, n_cand long, n_near long, n_far long, n_both long, min_dist double, max_dist double"
     parts = None
     for b0 in range(0, n_rows, rows_per_block):
-        bc = spark.sparkContext.broadcast(_collect_block(cand, b0, min(n_rows, b0 + rows_per_block)))
+        bc = spark.sparkContext.broadcast(_collect_block(cand if among is None else among, b0, min(n_rows, b0 + rows_per_block)))
 
         def per_block(batches, bc=bc):
-            _pos, keys_b, has_b, mat_b = bc.value
+            _pos, _keys, has_b, mat_b, codes_b, code_of = bc.value
             for pdf in batches:
                 out = []
                 for key, vec in zip(pdf["key"], pdf["vec"]):
                     d = np.sqrt(((mat_b - np.asarray(vec, dtype=np.float64)) ** 2).sum(axis=1))
-                    dd = d[has_b & (keys_b != key)]
+                    dd = d[has_b & (codes_b != code_of.get(key, -2))]
                     near, far = dd < lo, dd > hi
                     out.append((key, int(dd.size), int(near.sum()), int(far.sum()), int((near & far).sum()),
                                 float(dd.min()) if dd.size else None, float(dd.max()) if dd.size else None))
                 yield pd.DataFrame(out, columns=["key", "n_cand", "n_near", "n_far", "n_both", "min_dist", "max_dist"])
 
-        p = xs.mapInPandas(per_block, schema)
+        p = xs.mapInPandas(per_block, schema).checkpoint(eager=True)
+        bc.destroy()  # one block is live at a time
         parts = p if parts is None else parts.unionByName(p)
     return parts.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n_cand", "n_near", "n_far", "n_both")],
                                     F.min("min_dist").alias("min_dist"), F.max("max_dist").alias("max_dist"))

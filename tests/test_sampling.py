@@ -59,7 +59,7 @@ def test_draw_matches_exact_law(spark, draws):
 
 
 def test_draw_empty_when_nothing_is_near(spark):
-    with pytest.warns(UserWarning, match="Max attempts reached. Collected 0"):
+    with pytest.warns(UserWarning, match="the draw is empty"):
         out = draw_triplets(cand_df(spark, ["a", "b", "c"], [0.0, 1.0, 2.0]), 5, -1, -1, seed=1)
     assert out.count() == 0
 
@@ -156,7 +156,7 @@ def test_zip_length_mismatch_warns(spark):
     matrix = spark.createDataFrame([(0, [0.0]), (1, [5.0])], "row_idx long, vec array<double>")
     assert zip_lengths(concepts, matrix) == {"concept_rows": 3, "matrix_rows": 2, "mismatch": True}
     assert zip_matrix(concepts, matrix).count() == 2
-    with pytest.warns(UserWarning, match="does not match"):
+    with pytest.warns(UserWarning, match="the numbers differ"), pytest.warns(UserWarning, match="the draw is empty"):
         st = stimuli_set(concepts, matrix, TRIPLET_TEMPLATE, n_items=3, euclid_min=1e10, euclid_max=0)
     assert st.count() == 0  # c has no vector and a/b each lack a second candidate row
 
@@ -180,3 +180,28 @@ def test_null_keys_never_enter_a_triplet(spark):
     out = draw_triplets(cand_df(spark, keys, [None] * 5), 300, seed=4, use_vectors=False, draws=1).collect()
     assert len(out) == 300
     assert all(None not in (r.item_x, r.item_y, r.item_z) for r in out)
+
+
+def test_one_feasible_row_among_many(spark):
+    """Only the pair (a, b) is near, and everything is far from it: 2 of 400 rows are feasible."""
+    keys = [f"k{i}" for i in range(400)]
+    vecs = [0.0, 0.5] + [100.0 + 10 * i for i in range(398)]
+    out = draw_triplets(cand_df(spark, keys, vecs), 300, 1.0, 50.0, seed=3).collect()
+    assert len(out) == 300 and {(r.item_x, r.item_y) for r in out} == {("k0", "k1"), ("k1", "k0")}
+    with pytest.raises(RuntimeError, match="attempts allowed"):
+        draw_triplets(cand_df(spark, keys, vecs), 300, 1.0, 50.0, seed=3, max_attempts=50)
+
+
+def test_unconstrained_draw_takes_empty_keys_and_needs_two_rows(spark):
+    out = draw_triplets(cand_df(spark, ["a", "", "b"], [None] * 3), 200, seed=4, use_vectors=False).collect()
+    assert len(out) == 200 and any("" in (r.item_y, r.item_z) for r in out)
+    with pytest.raises(ValueError, match="two rows of other keys"):
+        draw_triplets(cand_df(spark, ["a", "b"], [None] * 2), 5, seed=4, use_vectors=False)
+
+
+def test_subset_ignores_null_keys(spark):
+    rows = spark.createDataFrame([(i, k) for i, k in enumerate(["a", None, "b", "c", None])], "row_idx long, key string")
+    for seed in range(4):
+        assert subset_k(rows, 3, seed=seed).count() == 3 and subset_k(rows, 2, seed=seed).select("key").distinct().count() == 2
+    with pytest.raises(ValueError):
+        subset_k(rows, 4)
