@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from oddone.catalog import query
@@ -9,7 +11,8 @@ from oddone.catalog.fixtures import ANSWERS_SQL, answers, items, read, with_sql
 from oddone.catalog.q_sampling import STIMULI_CTES, stimuli
 from oddone.operators.embedding import item_index, map_lenient, map_strict, split_train_test
 from oddone.operators.indexing import dense_index
-from oddone.sources.files import run_name
+from oddone.session import checkpoint_dir, ensure_checkpoint_dir
+from oddone.sources.files import read_answers
 
 SEED = 42
 
@@ -23,18 +26,34 @@ _IDX_SQL = """idx AS (
 
 @query("scan_answers", with_sql(ANSWERS_SQL, body="SELECT answer_id, run, head, winner, loser FROM answers"))
 def q_scan_answers(spark, d):
+    """Through the reader: the answers are written as CSV (columns in another order) and read back."""
     a = answers(spark, d)
-    return a.select("answer_id", "run", *[F.col(c).cast("string").alias(c) for c in ("head", "winner", "loser")])
+    tag = F.concat_ws(":", "answer_id", "run").alias("raw_generation")
+    back = read_answers(spark, _written(spark, a.select(tag, "loser", "winner", "head")))
+    tags = F.split("raw_generation", ":")
+    return back.select(F.get(tags, F.lit(0)).cast("long").alias("answer_id"), F.get(tags, F.lit(1)).cast("long").alias("run"),
+                       "head", "winner", "loser")
+
+
+def _written(spark, df) -> str:
+    """A folder of CSV files below the checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/answers-{uuid.uuid4().hex}"
+    df.write.option("header", True).option("escape", '"').csv(path)
+    return path
 
 
-# answer files named by model run, as the folder reader would see them
+# a folder of answer files, one run per file: how many files (runs) there are and how many answers in all
 @query("folder_runs", with_sql(ANSWERS_SQL, body="""
-SELECT regexp_replace('model_triplet_output_m' || run || '_THINGS.csv', '\\.csv$', '') AS run_name, count(*) AS n_rows
-FROM answers GROUP BY 1"""))
+SELECT run, count(*) AS n_rows, count(DISTINCT run) AS n_files FROM answers GROUP BY run"""))
 def q_folder_runs(spark, d):
     a = answers(spark, d)
-    f = F.concat(F.lit("model_triplet_output_m"), F.col("run").cast("string"), F.lit("_THINGS.csv"))
-    return a.groupBy(run_name(f).alias("run_name")).agg(F.count(F.lit(1)).alias("n_rows"))
+    one_file_each = a.select("head", "winner", "loser", F.col("run").cast("string").alias("raw_generation")).repartition(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), "raw_generation").sortWithinPartitions("raw_generation")
+    path = _written(spark, one_file_each)
+    runs = read_answers(spark, path, run_from_file=True)  # a file holds whole runs
+    return runs.groupBy(F.col("raw_generation").cast("long").alias("run")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("run").alias("n_files"))
 
 
 @query("item_index", with_sql(ANSWERS_SQL, _IDX_SQL, body="SELECT run, item, id FROM idx"))

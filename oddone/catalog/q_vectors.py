@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from oddone.catalog import query
+from oddone.sinks.writers import wide_embedding
 from oddone.catalog.fixtures import ANSWERS_SQL, ITEMS_SQL, NAMES_SQL, answers, items, names, read, with_sql
 from oddone.functions.vectors import from_text, to_text, vec_sum
 from oddone.operators.indexing import dense_index
@@ -111,7 +112,8 @@ def q_embedding_wide(spark, d):
     it = items(spark, d)
     dim = _dims(spark, d)
     idx = dense_index(it.select(F.col("key").alias("item"), "vec"), ["item"], "id")
-    return idx.select("item", "id", *[F.round(F.get("vec", i), 6).alias(f"dim_{i}") for i in range(dim)])
+    wide = wide_embedding(idx, dim)
+    return wide.withColumns({f"dim_{i}": F.round(f"dim_{i}", 6) for i in range(dim)})
 
 
 @query("near_far_counts", with_sql(ITEMS_SQL, body=f"""

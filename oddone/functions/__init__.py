@@ -1,3 +1,3 @@
 """Column expressions. Every function takes and returns ``pyspark.sql.Column``."""
 
-from oddone.functions.hashing import seeded_hash, seeded_unit  # noqa: F401
+from oddone.functions.hashing import seeded_hash  # noqa: F401

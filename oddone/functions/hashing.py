@@ -26,11 +26,6 @@ def seeded_hash(seed, purpose, *parts) -> Column:
     return F.conv(F.substring(F.md5(key), 1, HASH_HEX_DIGITS), 16, 10).cast("bigint")
 
 
-def seeded_unit(seed, purpose, *parts) -> Column:
-    """Uniform double in ``[0, 1)`` derived from :func:`seeded_hash`."""
-    return seeded_hash(seed, purpose, *parts) / F.lit(float(HASH_SPACE))
-
-
 def seeded_choice(n: Column, seed, purpose, *parts) -> Column:
     """Uniform position in ``[0, n)`` (modulo bias below n / 2**60)."""
     return F.pmod(seeded_hash(seed, purpose, *parts), n.cast("bigint"))

@@ -27,7 +27,7 @@ def _c(c) -> Column:
 def parse_template(template: str) -> list[tuple[str, str | None]]:
     """Split a ``str.format`` template into (literal, field) pieces on the driver."""
     if template is None:
-        raise ValueError("format_prompt is None — cannot interpolate.")
+        raise ValueError("there is no template to render")
     pieces = []
     for literal, field, spec, conv in string.Formatter().parse(template):
         if field is not None and (spec or conv):
@@ -45,7 +45,7 @@ def render_template(template: str, fields: dict) -> Column:
     pieces = parse_template(template)
     missing = [f for _, f in pieces if f is not None and f not in fields]
     if missing:
-        warnings.warn(f"Missing key in format string: {missing[0]!r}")
+        warnings.warn(f"no value for {missing[0]!r}: the prompt is empty")
         return F.lit("")
     parts = []
     for literal, field in pieces:

@@ -47,8 +47,9 @@ def strip_echo(prompt, g) -> Column:
     """Drop the echoed prompt: the last prompt word found in the output (scanning the prompt's
     words from last to first) marks the cut; keep the text after its last occurrence, stripped."""
     g = _c(g)
-    words = F.reverse(py_split(_c(prompt)))
-    hit = F.get(F.filter(words, lambda w: F.contains(g, w)), 0)
+    words = F.array_distinct(F.reverse(py_split(_c(prompt))))  # each word once, from the end
+    last = F.get(words, 0)
+    hit = F.when(F.contains(g, last), last).otherwise(F.get(F.filter(words, lambda w: F.contains(g, w)), 0))
     return F.when(hit.isNull(), py_strip(g)).otherwise(py_strip(F.call_function("substring_index", g, hit, F.lit(-1))))
 
 

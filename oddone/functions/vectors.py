@@ -54,9 +54,3 @@ def logprob_choice(lp_y, lp_z, y, z) -> tuple[Column, Column]:
 def first_token(ids, eos) -> Column:
     """First token id, or the EOS id for an empty encoding."""
     return F.coalesce(F.get(_c(ids), 0), eos if isinstance(eos, Column) else F.lit(eos))
-
-
-def softplus(x) -> Column:
-    """``log(1 + exp(x))`` without overflow."""
-    x = _c(x)
-    return F.when(x > 30, x).otherwise(F.log1p(F.exp(x)))

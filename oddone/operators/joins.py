@@ -19,7 +19,3 @@ def checked_broadcast(small: DataFrame, n_rows: int, row_bytes: int) -> DataFram
     if n_rows * row_bytes <= broadcast_limit(small.sparkSession):
         return F.broadcast(small)
     return small
-
-
-def fits_broadcast(spark, n_rows: int, row_bytes: int) -> bool:
-    return n_rows * row_bytes <= broadcast_limit(spark)

@@ -32,7 +32,7 @@ def get_spark(master: str | None = None, app: str = "oddone", shuffle_partitions
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
-    if checkpoint_dir(spark) or (_context(spark) is not None and _context(spark).master.startswith("local[")):
+    if checkpoint_dir(spark) or (_context(spark) is not None and _is_local(_context(spark))):
         ensure_checkpoint_dir(spark)  # without one, the first operator that needs it raises
     ship_package(spark)
     return spark
@@ -46,6 +46,11 @@ def _context(spark: SparkSession):
         return None
 
 
+def _is_local(sc) -> bool:
+    """One JVM on this machine (``local-cluster`` is not: its executors are processes of their own)."""
+    return sc.master == "local" or sc.master.startswith("local[")
+
+
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared checkpoint folder the cluster names (``spark.checkpoint.dir``), if any."""
     sc = _context(spark)
@@ -67,7 +72,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(d)
         return d
-    if not sc.master.startswith("local["):
+    if not _is_local(sc):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     d = tempfile.mkdtemp(prefix="oddone-ckpt-")
     sc.setCheckpointDir(d)

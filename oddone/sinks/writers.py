@@ -20,7 +20,7 @@ STIMULI_EXPORT_COLS = [c for c in STIMULI_COLS if c != "attempt_id"] + ["shuffle
 
 def write_stimuli(stimuli: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:
     if stimuli.isEmpty():
-        raise ValueError("Stimuli not constructed or invalid format.")
+        raise ValueError("no stimuli to write")
     cols = [c for c in STIMULI_EXPORT_COLS if c in stimuli.columns]
     w = stimuli.select(*cols).write.mode(mode)
     (w.option("header", True).csv(path) if fmt == "csv" else w.format(fmt).save(path))
@@ -54,5 +54,5 @@ def reference_export(vectors: DataFrame, key_col: str = "key") -> DataFrame:
 
 def write_reference(vectors: DataFrame | None, path: str, key_col: str = "key") -> None:
     if vectors is None:
-        raise ValueError("Reference embeddings not loaded.")
+        raise ValueError("no reference vectors to write")
     reference_export(vectors, key_col).write.mode("overwrite").option("header", True).csv(path)

@@ -33,20 +33,31 @@ def with_file_order(df: DataFrame, name: str = "row_idx") -> DataFrame:
     return dense_index(tagged, ["_f", "_b", "_m"], name).drop("_f", "_b", "_m")
 
 
+def _csv(spark: SparkSession, path: str, columns: list[str], **options) -> DataFrame:
+    """CSV with a header (quoted cells may hold newlines and doubled quotes), all strings, columns found by name:
+    their order in the files doesn't matter, a column that is not there raises, and files of one folder whose
+    headers differ fail to read instead of being taken by position."""
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", False)
+    df = reader.options(**options).csv(path)
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)} among {', '.join(df.columns)}")
+    return df
+
+
 def read_concepts(spark: SparkSession, path: str, columns: list[str], key_col: str) -> DataFrame:
-    """Concept table (CSV with header, comma-separated), all columns as strings, plus ``row_idx``."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    df = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    df = with_file_order(df)
-    return df.withColumn("key", F.col(key_col))
+    """Concept table (CSV with header), the named columns as strings, plus ``row_idx`` and ``key``."""
+    df = with_file_order(_csv(spark, path, [*columns, key_col]))
+    return df.select(*columns, "row_idx", F.col(key_col).alias("key"))
 
 
-def parse_matrix_lines(lines: DataFrame, order_col: str = "line_no", value_col: str = "value") -> DataFrame:
+def parse_matrix_lines(lines: DataFrame, order: str | list = "line_no", value_col: str = "value") -> DataFrame:
     """Whitespace float rows -> ``(row_idx, vec)``; ``#`` comments and blank lines skipped
-    (``numpy.loadtxt`` defaults)."""
+    (``numpy.loadtxt`` defaults).  Only the kept lines are numbered."""
     body = F.regexp_replace(F.regexp_replace(F.col(value_col), "#.*$", ""), "^\\s+|\\s+$", "")
-    kept = lines.select(F.col(order_col), body.alias("_t")).filter(F.col("_t") != "")
-    idx = dense_index(kept, [order_col], "row_idx")
+    order = [order] if isinstance(order, str) else order
+    kept = lines.select(*order, body.alias("_t")).filter(F.col("_t") != "")
+    idx = dense_index(kept, order, "row_idx")
     return idx.select("row_idx", F.transform(F.split(F.col("_t"), "\\s+"), lambda x: x.cast("double")).alias("vec"))
 
 
@@ -56,8 +67,7 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     tagged = lines.select("value", F.col("_metadata.file_path").alias("_f"),
                           F.col("_metadata.file_block_start").alias("_b"),
                           F.monotonically_increasing_id().alias("_m"))
-    ordered = dense_index(tagged, ["_f", "_b", "_m"], "line_no")
-    return parse_matrix_lines(ordered)
+    return parse_matrix_lines(tagged, ["_f", "_b", "_m"])  # numbered once, after the filter
 
 
 def check_matrix(mat: DataFrame) -> None:
@@ -73,12 +83,9 @@ def read_answers(spark: SparkSession, path: str, logits: bool = False, run_from_
     Multi-line CSV cannot be split inside a file, so each file is one task: large answer sets
     belong in the partitioned parquet table written by :func:`oddone.sinks.writers.write_answers`."""
     schema = ANSWER_LOGITS_SCHEMA if logits else ANSWER_TOKENS_SCHEMA
-    reader = (spark.read.schema(schema).option("header", True).option("multiLine", True)
-              .option("escape", '"').option("pathGlobFilter", "*.csv").option("recursiveFileLookup", False))
-    df = reader.csv(path)
-    if run_from_file:
-        df = df.withColumn("run", F.regexp_replace(F.col("_metadata.file_name"), "\\.csv$", ""))
-    return df
+    df = _csv(spark, path, schema.names, pathGlobFilter="*.csv", recursiveFileLookup=False)
+    run = [run_name(F.col("_metadata.file_name")).alias("run")] if run_from_file else []
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema], *run)
 
 
 def run_name(file_name: Column) -> Column:

@@ -30,6 +30,20 @@ def test_answers_csv_quotes_and_newlines(spark, tmp_dir):
     assert os.path.exists(p)
 
 
+def test_columns_are_found_by_name(spark, tmp_dir):
+    import pytest
+    write(os.path.join(tmp_dir, "a.csv"), "loser,raw_generation,head,winner\nc,t,a,b\n")
+    r = read_answers(spark, tmp_dir).first()
+    assert (r.head, r.winner, r.loser) == ("a", "b", "c")
+    write(os.path.join(tmp_dir, "b.csv"), "head,winner,loser,raw_generation\na,b,c,t\n")
+    with pytest.raises(Exception):  # headers of one folder must agree  # noqa: B017
+        read_answers(spark, tmp_dir).collect()
+    other = write(os.path.join(tmp_dir, "c.txt"), "label,concept\n1,bat\n")
+    assert read_concepts(spark, other, ["concept"], "concept").first().key == "bat"
+    with pytest.raises(ValueError, match="no column concept"):
+        read_concepts(spark, write(os.path.join(tmp_dir, "d.txt"), "label\n1\n"), ["label"], "concept")
+
+
 def test_folder_reads_only_csv(spark, tmp_dir):
     write(os.path.join(tmp_dir, "a.csv"), "head,winner,loser,raw_generation\na,b,c,t\n")
     write(os.path.join(tmp_dir, "notes.txt"), "ignored")
