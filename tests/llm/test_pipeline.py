@@ -8,8 +8,8 @@ import corpus_pipeline
 from oddone.llm import langid, secret_scan
 from oddone.llm.common import table
 
-from test_dedup import plain_join
-from test_texts import check_packed
+from .test_dedup import plain_join
+from .test_texts import check_packed
 
 
 def test_pipeline_against_plain_stages(spark, tokenizer_ids):
