@@ -30,10 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, **options) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back: later steps neither repeat the
     work nor depend on shuffle files of a lost executor. The folder is the cluster's scratch space."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/llm-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def staged_keys(df: DataFrame, label: str) -> DataFrame:
+    """:func:`staged` for hashes and keys: they don't compress, and a codec's buffers outside the heap are saved."""
+    return staged(df, label, compression="uncompressed")

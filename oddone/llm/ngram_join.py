@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddone.llm.common import ready, staged
+from oddone.llm.common import ready, staged_keys
 from oddone.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -101,7 +101,7 @@ def _leaves(sets: DataFrame, n_runs: int) -> DataFrame:
     leaves, signatures = [], sets.select("set_key", "signature")
     for level in range(1, LEVELS + 1):
         sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        nodes = staged(nodes.join(sizes, "node"), "nodes")
+        nodes = staged_keys(nodes.join(sizes.hint("merge"), "node"), "nodes")
         leaves.append(nodes.filter(F.col("size") <= LEAF).select("set_key", F.col("node").alias("leaf")))
         nodes = nodes.filter(F.col("size") > LEAF)
         if level == LEVELS or nodes.isEmpty():
@@ -109,13 +109,13 @@ def _leaves(sets: DataFrame, n_runs: int) -> DataFrame:
             break
         at = lambda k: F.pmod(F.xxhash64("node", F.lit(k)), F.lit(POSITIONS)).cast("int") + 1
         child = lambda k: F.xxhash64("node", at(k), F.element_at("signature", at(k)))
-        children = staged(nodes.join(signatures, "set_key").select(
+        children = staged_keys(nodes.join(signatures.hint("merge"), "set_key").select(
             "set_key", "node", "size", F.explode(F.array(*[child(k) for k in range(CHOSEN)])).alias("child")).distinct(), "children")
         largest = (children.groupBy("node", "size", "child").agg(F.count(F.lit(1)).alias("in_child"))
                    .groupBy("node", "size").agg(F.max("in_child").alias("largest")))
         dense = largest.filter(F.col("largest") * 2 > F.col("size")).select("node")
-        leaves.append(nodes.join(dense, "node", "left_semi").select("set_key", F.col("node").alias("leaf")))
-        nodes = children.join(dense, "node", "left_anti").select("set_key", F.col("child").alias("node"))
+        leaves.append(nodes.join(dense.hint("merge"), "node", "left_semi").select("set_key", F.col("node").alias("leaf")))
+        nodes = children.join(dense.hint("merge"), "node", "left_anti").select("set_key", F.col("child").alias("node"))
     out = leaves[0]
     for more in leaves[1:]:
         out = out.unionByName(more)
@@ -123,9 +123,10 @@ def _leaves(sets: DataFrame, n_runs: int) -> DataFrame:
 
 
 def _dealt(members: DataFrame) -> DataFrame:
-    """Adds the blocks ``i <= j`` of a leaf that a row takes part in, and ``side``: the block that it is in."""
+    """Adds the blocks ``i <= j`` of a leaf that a row takes part in, and ``side``: the block that it is in. As all joins
+    of keyed tables here it merges: small broadcasts of many steps would pile up on the executors."""
     sizes = members.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    dealt = members.join(sizes, "leaf").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    dealt = members.join(sizes.hint("merge"), "leaf").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     dealt = dealt.withColumn("side", F.pmod(F.xxhash64("set_key"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).drop("other", "blocks", "size")
@@ -238,20 +239,20 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _classes(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """``doc_id, text_hash, n_links, class_id, class_hash``: the last two name the row that stands for the class."""
     spark = ready(docs)
-    rows = staged(_documents(docs, words, id_col, text_col), "rows")
+    rows = staged_keys(_documents(docs, words, id_col, text_col), "rows")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash"))
-    sets = staged(rows.filter("n > 0").groupBy("set_key").agg(
+    sets = staged_keys(rows.filter("n > 0").groupBy("set_key").agg(
         F.count(F.lit(1)).alias("times"), F.min(row).alias("row"), F.first("n").alias("n"), F.first("signature").alias("signature")), "sets")
 
     paths = _leaves(sets, runs())
-    paths = staged(paths.groupBy("set_key").agg(F.sort_array(F.collect_list("leaf")).alias("leaves")), "paths")  # bounded: runs x CHOSEN ** levels
-    members = sets.join(paths, "set_key").withColumn("leaf", F.explode("leaves"))
+    paths = staged_keys(paths.groupBy("set_key").agg(F.sort_array(F.collect_list("leaf")).alias("leaves")), "paths")  # bounded: runs x CHOSEN ** levels
+    members = sets.join(paths.hint("merge"), "set_key").withColumn("leaf", F.explode("leaves"))
     alike = (_dealt(members.select("leaf", "set_key", "n", "signature", "leaves"))
              .mapInArrow(_similar, "set_key binary, leaf long").distinct())
-    alike = staged(alike, "alike")
+    alike = staged_keys(alike, "alike")
 
-    wanted = staged(alike.select("set_key").distinct().join(sets.select("set_key", "row", "times", "n"), "set_key")
-                    .join(paths, "set_key"), "wanted")
+    wanted = staged_keys(alike.select("set_key").distinct().join(sets.select("set_key", "row", "times", "n").hint("merge"), "set_key")
+                    .join(paths.hint("merge"), "set_key"), "wanted")
     first = wanted.select(F.col("row.doc_id").alias("w_id"), F.col("row.text_hash").alias("w_hash"), F.col("set_key").alias("w_key"))
     if wanted.count() <= BROADCAST_SETS:
         first = F.broadcast(first)
@@ -264,16 +265,16 @@ def _classes(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["set_key", "shingles"])
 
     tokens = texts.mapInArrow(cut, "set_key binary, shingles array<long>").groupBy("set_key").agg(F.first("shingles").alias("shingles"))
-    full = alike.join(wanted.join(tokens, "set_key"), "set_key")
-    found = staged(_dealt(full.select("leaf", "set_key", "n", "times", "leaves", "shingles"))
+    full = alike.join(wanted.join(tokens.hint("merge"), "set_key").hint("merge"), "set_key")
+    found = staged_keys(_dealt(full.select("leaf", "set_key", "n", "times", "leaves", "shingles"))
                    .mapInArrow(_links, "set_key binary, root binary, links long"), "links")
 
     roots = components(found.select(F.col("set_key").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("set_key").agg(F.sum("links").alias("links"))
-    classed = sets.select("set_key", "times", "row").join(roots.withColumnRenamed("node", "set_key"), "set_key", "left")
-    classed = staged(classed.join(links, "set_key", "left").withColumn("root", F.coalesce("root", "set_key")), "classed")
+    classed = sets.select("set_key", "times", "row").join(roots.withColumnRenamed("node", "set_key").hint("merge"), "set_key", "left")
+    classed = staged_keys(classed.join(links.hint("merge"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key")), "classed")
     heads = classed.groupBy("root").agg(F.min("row").alias("head"))
-    classed = classed.join(heads, "root").select("set_key", "head", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"))
+    classed = classed.join(heads.hint("merge"), "root").select("set_key", "head", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"))
     return rows.select("doc_id", "text_hash", "set_key").join(classed, "set_key", "left").select(
         "doc_id", "text_hash", F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("class_id"),
@@ -294,7 +295,7 @@ def join(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col:
 def keep_one(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that stand for their class: the least id, null ids last,
     then the least hash of the text. Rows repeated with the same id and text stay once; rows without a word stay."""
-    classes = staged(_classes(docs, words, id_col, text_col), "classes")
+    classes = staged_keys(_classes(docs, words, id_col, text_col), "classes")
     stays = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("class_hash"))
     goes = classes.filter(~stays).select(F.col("doc_id").alias("__gone_id"), F.col("text_hash").alias("__gone_hash")).distinct()
     kept = docs.withColumn("__hash", F.xxhash64(docs[text_col])).join(
