@@ -27,14 +27,16 @@ from oddone.llm.common import ready, staged_keys
 from oddone.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
-#: Probability with which a pair just at the threshold shares a leaf.
+#: Probability with which a pair just at the threshold is found: it shares a leaf and passes the signatures there.
 TARGET_RECALL = 0.99999
 #: Positions of the signature, and those chosen at a node below the root.
 POSITIONS, CHOSEN = 64, 2
 #: Sets of a leaf at most, levels of the tree below which a node is a leaf whatever it holds, sets of a block.
 LEAF, LEVELS, BLOCK = 64, 4, 512
-#: Standard deviations by which the signatures of a similar pair may fall short of the threshold.
-SIGMAS = 4.0
+#: Standard deviations by which the signatures of a similar pair may fall short of the threshold, and the positions
+#: in which they must agree.
+SIGMAS = 6.0
+LEAST = math.ceil(POSITIONS * (THRESHOLD - SIGMAS * math.sqrt(THRESHOLD * (1 - THRESHOLD) / POSITIONS)) - 1e-9)
 #: Sets whose keys may be broadcast (24 bytes each).
 BROADCAST_SETS = 1_000_000
 
@@ -43,11 +45,29 @@ _MULTIPLY = (_RANDOM.randint(0, 1 << 62, POSITIONS, np.int64).astype(np.uint64)
 _ADD = _RANDOM.randint(0, 1 << 62, POSITIONS, np.int64).astype(np.uint64)
 
 
+def miss(n_runs: int, threshold: float = THRESHOLD, levels: int = LEVELS, least: int = LEAST) -> float:
+    """Probability, at most, with which a pair at the threshold is not found in ``n_runs`` runs.
+
+    All runs read one signature, so they are not independent: of its positions, ``agree`` are equal by a binomial law.
+    Below ``least`` the pair is dropped. Otherwise some of the runs' roots are equal (hypergeometric), and under each of
+    them the pair meets if one of ``CHOSEN`` positions at each further level is.
+    """
+    out = 0.0
+    for agree in range(POSITIONS + 1):
+        below = (1 - (1 - agree / POSITIONS) ** CHOSEN) ** (levels - 1)
+        lost = 1.0 if agree < least else sum(
+            math.comb(agree, roots) * math.comb(POSITIONS - agree, n_runs - roots) * (1 - below) ** roots
+            for roots in range(min(agree, n_runs) + 1)) / math.comb(POSITIONS, n_runs)
+        out += math.comb(POSITIONS, agree) * threshold ** agree * (1 - threshold) ** (POSITIONS - agree) * lost
+    return out
+
+
 def runs(target: float = TARGET_RECALL, threshold: float = THRESHOLD, levels: int = LEVELS) -> int:
-    """Runs until a pair at the threshold shares a leaf with probability ``target``: it takes the root's one
-    position, then one of ``CHOSEN`` at each further level."""
-    meet = threshold * (1 - (1 - threshold) ** CHOSEN) ** (levels - 1)
-    return math.ceil(math.log(1 - target) / math.log(1 - meet))
+    """Runs until a pair at the threshold is found with probability ``target``."""
+    for n_runs in range(1, POSITIONS + 1):
+        if miss(n_runs, threshold, levels) <= 1 - target:
+            return n_runs
+    raise ValueError(f"a recall of {target} is out of reach of {POSITIONS} positions")
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -179,7 +199,6 @@ def _own(leaf: int, i: int, j: int, side: np.ndarray, paths: list[np.ndarray]) -
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sets of a leaf that have a similar signature in it, and one of about their size."""
-    least = THRESHOLD - SIGMAS * math.sqrt(THRESHOLD * (1 - THRESHOLD) / POSITIONS)
     for t, bounds in _groups(batches):
         leaf, i, j, side, n = (t.column(c).to_numpy() for c in ("leaf", "i", "j", "side", "n"))
         signatures = _lists(t.column("signature"))[0].reshape(-1, POSITIONS)
@@ -189,7 +208,7 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s, size = signatures[a:b], n[a:b]
             alike = np.zeros((b - a, b - a), bool)
             for k in range(b - a - 1):
-                alike[k, k + 1:] = (s[k + 1:] == s[k]).mean(axis=1) >= least
+                alike[k, k + 1:] = (s[k + 1:] == s[k]).sum(axis=1) >= LEAST
             alike &= np.minimum.outer(size, size) >= THRESHOLD * np.maximum.outer(size, size) - 1e-9
             if alike.any():
                 alike &= _own(leaf[a], i[a], j[a], side[a:b], [paths[at[k]:at[k + 1]] for k in range(a, b)])

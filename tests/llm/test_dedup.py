@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from oddone.llm import exact_dedup, ngram_join
@@ -180,3 +181,24 @@ def test_shingles_of_nothing(text):
 
 def test_runs_follow_the_recall():
     assert ngram_join.runs(0.9) < ngram_join.runs(0.99999) <= ngram_join.POSITIONS
+
+
+@pytest.mark.parametrize("seed", [1992, 36602])
+def test_a_pair_whose_signatures_agree_in_few_positions(spark, seed):
+    random_ = random.Random(seed)
+    w = [f"w{random_.randrange(10**6)}" for _ in range(14)]
+    rows = [(1, " ".join(w[:13])), (2, " ".join(w[:12] + w[13:]))]  # 8 of 10 n-grams in common
+    a, b = (ngram_join.signature(ngram_join.shingles(t)) for _, t in rows)
+    assert (a == b).sum() < 39
+    assert sorted(map(tuple, ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == [(1, 1, 1), (2, 1, 1)]
+
+
+def test_the_miss_counts_every_filter():
+    assert ngram_join.miss(ngram_join.runs()) <= 1 - ngram_join.TARGET_RECALL < ngram_join.miss(ngram_join.runs() - 1)
+    assert ngram_join.miss(ngram_join.runs(), least=39) > 1.2e-4
+    random_ = np.random.RandomState(3)  # runs over one signature, drawn: agreeing positions, then paths
+    n, runs = 200_000, 3
+    agree = random_.rand(n, ngram_join.POSITIONS) < 0.8
+    share = agree.mean(axis=1)[:, None]
+    met = agree[:, :runs] & (random_.rand(n, runs) < (1 - (1 - share) ** 2) ** 3)
+    assert abs((~met.any(axis=1)).mean() - ngram_join.miss(runs)) < 1.5e-3
