@@ -2,14 +2,17 @@
 
 Each language gets a raw-content dictionary: a bounded, deterministic sample of its labelled texts. A text
 is reduced to its words and cut into segments, and every segment is encoded with every dictionary; the language with the smallest
-total wins. How much the winner saves over the runner-up is the score, and a narrow margin is a rejection.
+total wins. How much the winner saves over the runner-up, beyond what words of random letters save by chance, is the
+score, and a narrow margin is a rejection. Chance is learned from the dictionaries' own letters.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +24,10 @@ SAMPLE_ROWS, SAMPLE_CHARS = 400, 600
 #: Bytes of a dictionary, and of a segment of text that is encoded at once.
 DICT_BYTES, SEGMENT_BYTES = 96 << 10, 1 << 10
 LEVEL = 6
-#: Below this saving the decision is rejected.
+#: Below this saving, beyond chance, the decision is rejected.
 MIN_MARGIN = 0.002
+#: Words of the random texts that the margin is learned from, and texts of each length and kind.
+NOISE_WORDS, NOISE_TEXTS = (5, 10, 20, 50, 150, 500, 1500), 60
 UNKNOWN = "und"
 NO_LETTER = re.compile(r"[\W\d_]+")
 
@@ -63,42 +68,74 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 class Classifier:
-    def __init__(self, dictionaries: dict[str, bytes], level: int = LEVEL, segment: int = SEGMENT_BYTES):
+    def __init__(self, dictionaries: dict[str, bytes], level: int = LEVEL, segment: int = SEGMENT_BYTES, chance: tuple[float, float] | None = None):
         import zstandard
 
+        self.by_share, self.by_root = noise(dictionaries) if chance is None else chance
         self.langs, self.segment, self.encoders = list(dictionaries), segment, []
         for content in dictionaries.values():
             raw = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             raw.precompute_compress(level=level)
             self.encoders.append(zstandard.ZstdCompressor(dict_data=raw, level=level, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
 
-    def __call__(self, text: str | None) -> tuple[str, float]:
+    def judge(self, text: str | None) -> tuple[str, int, int]:
+        """The language, the bytes that it saves over the runner-up, and the runner-up's bytes."""
         data = letters(text).encode() if text else b""
         if not data or not self.langs:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0, 1
         cut = [data[i:i + self.segment] for i in range(0, len(data), self.segment)]
         sizes = [sum([len(encode(c)) for c in cut]) for encode in self.encoders]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         if len(sizes) == 1:
-            return self.langs[0], 1.0
+            return self.langs[0], sizes[0], sizes[0]
         second = min(s for i, s in enumerate(sizes) if i != best)
-        return self.langs[best], (second - sizes[best]) / second
+        return self.langs[best], second - sizes[best], second
+
+    def __call__(self, text: str | None) -> tuple[str, float]:
+        lang, saved, of = self.judge(text)
+        return lang, max(0.0, saved - self.by_share * of - self.by_root * math.sqrt(of)) / of
+
+
+def noise(dictionaries: dict[str, bytes], seed: int = 7) -> tuple[float, float]:
+    """What a text without a language may save, by chance: a share of the runner-up's bytes, and on top of it
+    bytes per square root of them.
+
+    Measured on words of random letters: the letters of all dictionaries together, as often as they stand there, and
+    all of them equally often. The share is the mean of the longest texts (letters alone favour a language a little), the
+    rest is the largest saving beyond it; as chance savings grow as the square root, it counts most for short texts.
+    """
+    if len(dictionaries) < 2:
+        return 0.0, 0.0
+    c, random = Classifier(dictionaries, chance=(0.0, 0.0)), np.random.RandomState(seed)
+    pool = "".join("".join(content.decode(errors="ignore").split()) for content in dictionaries.values())
+    if not pool:
+        return 0.0, 0.0
+    by_share, found = 0.0, []
+    for source in (pool, sorted(set(pool))):
+        for words in NOISE_WORDS:
+            for _ in range(NOISE_TEXTS):
+                drawn = "".join(source[i] for i in random.randint(0, len(source), 9 * words))
+                ends = np.cumsum(random.randint(2, 10, words)).tolist()
+                found.append(c.judge(" ".join(drawn[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)))[1:])
+        by_share = max(by_share, float(np.mean([saved / of for saved, of in found[-NOISE_TEXTS:]])))
+    return by_share, max(0.0, *[(saved - by_share * of) / math.sqrt(of) for saved, of in found])
 
 
 _LAST: list = []
 
 
-def classifier(dictionaries: dict[str, bytes]) -> Classifier:
+def classifier(dictionaries: dict[str, bytes], chance: tuple[float, float]) -> Classifier:
     """A worker keeps the classifier of the dictionaries it saw last."""
     key = tuple(sorted(dictionaries.items()))
     if not _LAST or _LAST[0] != key:
-        _LAST[:] = [key, Classifier(dictionaries)]
+        _LAST[:] = [key, Classifier(dictionaries, chance=chance)]
     return _LAST[1]
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``held_out``, ``lang_pred``, ``score`` (0 to 1: the share of the
-    runner-up's bytes that the winner saves), ``accepted`` (the margin is wide enough).
+    runner-up's bytes that the winner saves beyond the :func:`noise` of the dictionaries), ``accepted`` (that is at
+    least ``min_margin``).
 
     Only the text decides, and the whole text. A null text or one without a letter is ``und``, score 0, not
     accepted; so is every row if nothing was learned. Ties go to the first language by name with score 0. A
@@ -107,9 +144,10 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float =
     """
     ready(docs)
     narrow = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), held_out(docs[id_col]).alias("held_out"))
+    chance = noise(dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = classifier(dictionaries)
+        c = classifier(dictionaries, chance)
         for b in batches:
             found = [c(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -125,9 +163,10 @@ def keep_accepted(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: f
     """The rows of ``docs``, with all their columns, whose language :func:`predict` accepts."""
     ready(docs)
     at = docs.columns.index(text_col)
+    chance = noise(dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = classifier(dictionaries)
+        c = classifier(dictionaries, chance)
         for b in batches:
             found = [c(t) for t in b.column(at).to_pylist()]
             yield b.filter(pa.array([x[0] != UNKNOWN and x[1] >= min_margin for x in found], pa.bool_()))

@@ -59,6 +59,29 @@ def test_language_tie_goes_to_the_first_name():
     assert langid.Classifier({"b": b"same words here", "a": b"same words here"})("same words")[1] == 0
 
 
+def test_language_rejects_random_letters_and_keeps_clean_text(spark, sf):
+    random_ = random.Random(11)  # not the letters or the seed that the margin is learned with
+    word = lambda: "".join(random_.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(random_.randint(2, 9)))
+    docs = table(spark, sf, "documents")
+    dictionaries = langid.learn(docs)
+    for words, least in ((20, 0.97), (150, 0.97), (1500, 0.97)):
+        junk = spark.createDataFrame([(i, " ".join(word() for _ in range(words))) for i in range(100)], "doc_id long, text string")
+        rejected = langid.predict(junk, dictionaries).filter("not accepted").count()
+        assert rejected >= least * 100, words
+        assert langid.keep_accepted(junk, dictionaries).count() == 100 - rejected
+    held = docs.filter(langid.held_out(docs["doc_id"]) & (docs["n_chars"] >= 200))
+    clean = langid.predict(held, dictionaries).collect()
+    assert len(clean) > 30 and np.mean([r["accepted"] for r in clean]) >= 0.97
+
+
+def test_language_margin_of_short_texts_is_in_bytes():
+    c = langid.Classifier({}, chance=(0.005, 0.6))
+    c.judge = lambda text: ("en", *text)
+    assert c((3, 30))[1] == 0 < c((4, 30))[1]  # 0.6 bytes times the root of 30, and 0.5 %
+    assert c((100, 10_000))[1] == 0 < c((120, 10_000))[1]
+    assert langid.noise({}) == langid.noise({"a": b"one"}) == (0.0, 0.0)
+
+
 # toxicity
 
 def test_chain_learns_from_earlier_category():
