@@ -7,7 +7,9 @@ known texts are a fixed, small table, so that side is broadcast and the document
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +73,11 @@ KNOWN = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 )
 
+#: Full texts as files, where their first clause or preamble begins, and the line at the end of their terms.
+TEXTS = Path(__file__).parent / "license_texts"
+HEAD = re.compile(r"^[ \t]*(?:Preamble|TERMS AND CONDITIONS FOR USE|Statement of Purpose|(?:0|1)\. (?:Definitions|PREAMBLE))", re.M)
+END = re.compile(r"^[ \t]*END OF TERMS AND CONDITIONS[ \t]*$", re.M)
+
 
 def canonical(text: Column) -> Column:
     """The canonical form; null is empty."""
@@ -82,8 +89,23 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(padded, " +", " "))
 
 
-def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """``license_id, digest`` of the known texts; a form that two identifiers share goes to the lesser one."""
+def full_texts() -> list[tuple[str, str]]:
+    """``(license_id, text)`` of the files in ``license_texts`` (named by identifier), each whole, without what stands before
+    its first clause or preamble (title, version, address), and both also without what follows the end of its terms."""
+    out = []
+    for path in sorted(TEXTS.glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        head = HEAD.search(text)
+        for t in (text, text[head.start():] if head else text):
+            end = END.search(t)
+            out += [(path.stem, t), *([(path.stem, t[:end.start()]), (path.stem, t[:end.end()])] if end else [])]
+    return out
+
+
+def known_digests(spark: SparkSession, known=None) -> DataFrame:
+    """``license_id, digest`` of the known texts (:data:`KNOWN` and :func:`full_texts`); a form that two identifiers share
+    goes to the lesser one."""
+    known = [*KNOWN, *full_texts()] if known is None else known
     texts = spark.createDataFrame(list(known), "license_id string, text string")
     return texts.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
@@ -103,7 +125,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
 
 
 def sql() -> str:
-    """The same in DuckDB SQL over ``documents``."""
+    """The same in DuckDB SQL over ``documents``, with the texts of ``KNOWN`` alone."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     def form(text: str) -> str:
         words = f"regexp_replace(replace(regexp_replace(chr(10) || lower(coalesce({text}, '')), {quote(COPYRIGHT_LINE)}, '', 'g'), " \

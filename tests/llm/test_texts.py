@@ -185,6 +185,16 @@ def test_secrets_odd_rows_and_redaction(spark, odd):
 
 # licences
 
+def test_whole_license_files_are_known(spark):
+    paths = sorted(licenses.TEXTS.glob("*.txt"))
+    rows = [(n, p.read_text(encoding="utf-8")) for n, p in enumerate(paths)]
+    apache = dict(zip([p.stem for p in paths], [t for _, t in rows], strict=False))["Apache-2.0"]
+    rows += [(200, apache.split("END OF TERMS")[0]), (201, apache[apache.index("TERMS AND CONDITIONS"):]), (202, apache + " more"), (203, apache[:3000])]
+    found = {r["doc_id"]: r["license_id"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(paths) >= 14 and [found[n] for n in range(len(paths))] == [p.stem for p in paths]
+    assert found[200] == found[201] == "Apache-2.0" and found[202] is None and found[203] is None
+
+
 def test_licence_forms(spark):
     mit = dict(licenses.KNOWN[::-1])["MIT"]
     rows = [(1, "Copyright (c) 2020 A. Person\n" + mit.replace(" ", "\n  ")), (2, mit.upper()), (3, mit.replace("sublicense", "sub-licence")),
