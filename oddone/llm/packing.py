@@ -12,41 +12,18 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from oddone.llm.common import ready
-from oddone.llm.token_counts import byte_pairs
+from oddone.llm.tokens import encoder
 
 #: Cost of a piece of n tokens: n + QUADRATIC * n * n. At 1/2048 a full sequence of one piece costs twice its linear part.
 QUADRATIC = 1 / 2048
 
 
-class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes, equal to those of ``tokenizers``."""
-
-    def __init__(self, ranks: str, special: tuple[tuple[str, int], ...]):
-        import public_tokenizers
-
-        self.bpe = byte_pairs(public_tokenizers.path(ranks), public_tokenizers.PATTERN, dict(special))
-        self.special = tuple(s for s, _ in special)
-
-    def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            ids = self.bpe.encode(text, allowed_special="all")
-        else:
-            ids = self.bpe.encode_ordinary(text)
-        return np.array(ids, "<u4").tobytes()
-
-
-@lru_cache(maxsize=4)
-def encoder(ranks: str, special: tuple[tuple[str, int], ...]) -> Encoder:
-    return Encoder(ranks, special)
-
-
 def assign(lengths: np.ndarray, capacity: int, quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int]]:
     """Pack documents of the given token counts; returns ``(document, start, length, sequence)`` pieces,
     each sequence's pieces in the order in which they stand there.

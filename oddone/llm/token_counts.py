@@ -7,6 +7,7 @@ other pre-tokens are merged, each distinct one once per worker as long as the me
 
 from __future__ import annotations
 
+from collections import ChainMap
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,20 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from oddone.llm.common import ready
+from oddone.llm.tokens import byte_pairs
 
-#: Entries of a worker's memo of merged pre-tokens; it starts afresh when full.
-MEMO = 200_000
-
-
-def byte_pairs(ranks_path: str, pattern: str, special: dict[str, int] | None = None):
-    """The merges of the vocabulary by ``tiktoken``: the same ids as ``tokenizers``, found faster."""
-    import base64
-
-    import tiktoken
-
-    with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special or {})
+#: Entries of a worker's memo of merged pre-tokens, which starts afresh when full, and the longest pre-token kept in it.
+MEMO, MEMO_WORD = 200_000, 256
 
 
 class Counter:
@@ -41,7 +32,7 @@ class Counter:
         self.split = regex.compile(pattern).findall
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.merge = byte_pairs(ranks_path, pattern).encode_ordinary
+        self.merge = byte_pairs(ranks_path, pattern)._encode_single_piece  # runs no pattern: no run of blanks is too long
         self.whole = self._prove(set(special))
         self.memo: dict[str, int] = {}
 
@@ -62,9 +53,11 @@ class Counter:
         split = [self.split(t) for t in texts]
         rest = [[w for w in words if w not in whole] for words in split]
         new = list({w for words in rest for w in words if w not in memo})
+        long = {}
         for word in new:
-            memo[word] = len(self.merge(word))
-        return [len(words) - len(r) + sum([memo[w] for w in r]) for words, r in zip(split, rest, strict=True)]
+            (memo if len(word) <= MEMO_WORD else long)[word] = len(self.merge(word))
+        found = ChainMap(memo, long) if long else memo
+        return [len(words) - len(r) + sum([found[w] for w in r]) for words, r in zip(split, rest, strict=True)]
 
     def count(self, texts: list[str]) -> list[int]:
         if self.special is None:
