@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddone.llm import ann, exact_dedup, langid, licenses, ngram_join, packing, pieces, secret_scan, token_counts, toxicity, wavelet
+from oddone.llm import ann, exact_dedup, langid, licenses, merkle, ngram_join, packing, phrases, pieces, secret_scan, token_counts, toxicity, wavelet
 from oddone.llm.common import table
 
 
@@ -57,6 +57,15 @@ def op11_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.documents(spark, wavelet.write(table(spark, sf_dir, "documents")))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.manifest(docs, merkle.FIELDS, {"text": merkle.lower_text_of_fifths(docs)})
+
+
 OP7_SQL = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -76,4 +85,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op9_packing": (op9_packing, None),
     "op10_token_counts": (op10_token_counts, None),
     "op11_token_shards": (op11_token_shards, None),
+    "op12_phrases": (op12_phrases, phrases.sql()),
+    "op13_merkle": (op13_merkle, merkle.sql()),
 }
