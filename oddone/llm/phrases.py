@@ -2,13 +2,14 @@
 
 Each task counts the phrases of its texts in a shallow trie over word ids whose leaves are hash containers: a
 container that grows too large bursts into a node over the next word. When a task holds too many entries
-its largest subtrees leave whole, as sorted runs, and are merged per prefix (the first two words).
+its largest subtrees leave whole, as sorted runs, and the runs of all tasks are merged per prefix partition (by
+the first two words).
 
 Phrases are counted length by length. A phrase is frequent only if the two phrases one word shorter inside
 it are, so occurrences are counted only where both are in a bitmap of the frequent shorter ones. The bitmap
 has a bounded size; what it lets through by chance is counted and then falls below the threshold, so counts
-are exact at any fill. Word ids are 64-bit hashes of language and word; if two words share one, the hash is
-taken anew with another seed.
+are exact at any fill. Words are named by 64-bit hashes of language and word; if two share one, the hash is taken
+anew with another seed. Texts are split into words once and kept as ids, below the shared folder, for the counts.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 #: A-Z become a-z, and all that ends a piece becomes one sign. These bytes stand for themselves in UTF-8.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz.........")
 UNKNOWN = "und"
-#: Three word ids of a task below 2**ID_BITS fit a 64-bit sort key.
+#: Three word ids of a task, below 2**ID_BITS, fit one number.
 ID_BITS = 21
+#: Words of text in a chunk, entries of one row of a run, those merged at a time, and words of text for each prefix partition.
+CHUNK, RUN, MERGED, PART_WORDS = 1 << 19, 1 << 16, 1 << 21, 1 << 22
 
 
 def words_of(texts: list[str]) -> list[bytes]:
@@ -68,10 +71,6 @@ class Sieve:
         slot = g & self.mask
         return (self.data[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
-    def has(self, h: int) -> bool:
-        slot = h & int(self.mask)
-        return bool(self.data[slot >> 3] >> (slot & 7) & 1)
-
 
 def sieve_of(frequent: DataFrame, n: int) -> Sieve:
     """The bitmap of the phrases ``w1 .. wn``, made on the executors; at most 16 MB reach the driver."""
@@ -93,69 +92,91 @@ def sieve_of(frequent: DataFrame, n: int) -> Sieve:
 
 
 class Node(dict):
-    """An inner node of the trie: next word -> node or container (a plain dict: rest of the phrase -> count)."""
+    """An inner node of the trie: next word id -> node or container (a Counter of packed rests of phrases)."""
+
+
+def segments(sorted_: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """``value, start, end`` of each run of equal values."""
+    ends = [*(np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1).tolist(), len(sorted_)]
+    yield from zip(sorted_[[0, *ends[:-1]]].tolist(), [0, *ends[:-1]], ends, strict=True)
 
 
 class Trie:
-    """Counts of phrases of ``n`` word ids."""
+    """Counts of phrases of ``n`` word ids below 2**ID_BITS. The first word leads to a container of the rest, packed into one
+    number; a container of more than ``burst`` rests becomes a node over their first word."""
 
     def __init__(self, n: int, burst: int = BURST):
         self.n, self.burst, self.root, self.sizes, self.size = n, burst, Node(), {}, 0
 
-    def add(self, columns: list[np.ndarray], counts: np.ndarray) -> None:
-        """Phrases in sorted order, each once, by their words' columns."""
-        cols, counts = [c.tolist() for c in columns], counts.tolist()
-        rest = cols[1] if self.n == 2 else list(zip(*cols[1:], strict=True))
-        ends = [*(np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1).tolist(), len(counts)]
-        a = 0
-        for b in ends:
-            w = cols[0][a]
-            grown = self._into(self.root, w, rest[a:b], counts[a:b], self.n - 1)
+    def add(self, columns: list[np.ndarray]) -> None:
+        """Occurrences by their words' columns (int64)."""
+        if not len(columns[0]):
+            return
+        order = np.argsort(columns[0], kind="stable")
+        rests = packed(columns[1:])[order]
+        for w, a, b in segments(columns[0][order]):
+            grown = self._into(self.root, w, rests[a:b], self.n - 1)
             self.sizes[w] = self.sizes.get(w, 0) + grown
             self.size += grown
-            a = b
 
-    def _into(self, node: Node, w: int, rest: list, counts: list, left: int) -> int:
-        """Put phrases below ``node[w]`` (``left`` words remain); returns the number of new ones."""
+    def _into(self, node: Node, w: int, rests: np.ndarray, left: int) -> int:
+        """Put occurrences below ``node[w]`` (``left`` words remain); returns the number of new entries."""
         child = node.get(w)
         if type(child) is Node:
-            grown, parts = 0, {}
-            for key, c in zip(rest, counts, strict=True):
-                keys, cs = parts.setdefault(key[0], ([], []))
-                keys.append(key[1] if left == 2 else key[1:])
-                cs.append(c)
-            for k, (keys, cs) in parts.items():
-                grown += self._into(child, k, keys, cs, left - 1)
-            return grown
+            return sum(self._into(child, v, part, left - 1) for v, part in _by_first(rests, left))
         if child is None:
-            child = node[w] = {}
-        before, get = len(child), child.get
-        for key, c in zip(rest, counts, strict=True):
-            child[key] = get(key, 0) + c
+            child = node[w] = Counter()
+        before = len(child)
+        child.update(rests.tolist())
         grown = len(child) - before
         if left > 1 and len(child) > self.burst:
-            node[w] = inner = Node()
-            for key, c in child.items():
-                inner.setdefault(key[0], {})[key[1] if left == 2 else key[1:]] = c
+            keys, counts = np.fromiter(child.keys(), np.int64, len(child)), np.fromiter(child.values(), np.int64, len(child))
+            order = np.argsort(keys)
+            keys, counts, node[w] = keys[order], counts[order], Node()
+            for v, a, b in segments(keys >> ID_BITS * (left - 1)):
+                node[w][v] = Counter(dict(zip((keys[a:b] & (1 << ID_BITS * (left - 1)) - 1).tolist(), counts[a:b].tolist(), strict=True)))
         return grown
 
-    def _rows(self, node: dict, prefix: tuple, out: list) -> None:
+    def _entries(self, node: dict, rest: int, left: int, out: list) -> None:
+        """``(rest, count)`` arrays of all phrases below a node, with the words on the way to it in ``rest``."""
         if type(node) is Node:
             for w, child in node.items():
-                self._rows(child, (*prefix, w), out)
-        else:
-            one = len(prefix) == self.n - 1
-            out += [(*prefix, key, c) if one else (*prefix, *key, c) for key, c in node.items()]
-
-    def leave(self, keep: int) -> list[tuple]:
-        """Take the largest subtrees out until at most ``keep`` entries stay; returns their rows (words, count)."""
-        out: list[tuple] = []
+                self._entries(child, rest | w << ID_BITS * (left - 1), left - 1, out)
+        elif node:
+            out.append((np.fromiter(node.keys(), np.int64, len(node)) | rest, np.fromiter(node.values(), np.int64, len(node))))
+
+    def leave(self, keep: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """Take the largest subtrees out until at most ``keep`` entries stay; returns their phrases by column, and counts."""
+        firsts, rests, counts = [], [], []
         for w in sorted(self.sizes, key=self.sizes.get, reverse=True):
             if self.size <= keep:
                 break
-            self._rows(self.root.pop(w), (w,), out)
+            out: list = []
+            self._entries(self.root.pop(w), 0, self.n - 1, out)
+            rests += [r for r, _ in out]
+            counts += [c for _, c in out]
+            firsts.append(np.full(sum(len(r) for r, _ in out), w, np.int64))
             self.size -= self.sizes.pop(w)
-        return out
+        first, rest, count = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (firsts, rests, counts))
+        return [first, *unpacked(rest, self.n - 1)], count
+
+
+def packed(columns: list[np.ndarray]) -> np.ndarray:
+    key = columns[0]
+    for c in columns[1:]:
+        key = key << ID_BITS | c
+    return key
+
+
+def unpacked(key: np.ndarray, n: int) -> list[np.ndarray]:
+    return [key >> ID_BITS * (n - 1 - k) & (1 << ID_BITS) - 1 for k in range(n)]
+
+
+def _by_first(rests: np.ndarray, left: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Packed rests of ``left`` words by their first word."""
+    rests = np.sort(rests)
+    for v, a, b in segments(rests >> ID_BITS * (left - 1)):
+        yield v, rests[a:b] & (1 << ID_BITS * (left - 1)) - 1
 
 
 def _narrow(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
@@ -170,113 +191,169 @@ def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
         yield lang, words_of(of)
 
 
-def count_words(texts: DataFrame, seed: int) -> DataFrame:
-    """``w1`` (hash), ``lang``, ``word``, ``f`` of all words of ``texts`` (``lang, text``)."""
+def read_words(texts: DataFrame, seed: int) -> DataFrame:
+    """One pass over ``texts`` (``lang, text``). Rows of two kinds: ``w1`` (hash), ``lang``, ``word``, ``f`` count the words of a part
+    of the texts; ``ids, hashes`` hold about ``CHUNK`` words of text, ids from 1 into the sorted hashes and 0 between pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter] = {}
+        known: dict[str, dict[bytes, int]] = {}
+        hashes: list[int] = [0]
 
-        def rows() -> Iterator[pa.RecordBatch]:
-            for lang, counts in held.items():
-                counts.pop(b".", None)
-                code, found = lang.encode(), sorted(counts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array([word_hash(code, w, seed) for w in found], np.uint64).view(np.int64)), pa.array([lang] * len(found), pa.string()),
-                     pa.array(found, pa.binary()).cast(pa.string()), pa.array([counts[w] for w in found], pa.int64())], ["w1", "lang", "word", "f"])
-            held.clear()
+        class Ids(dict):
+            def __init__(self, lang: str):
+                super().__init__({b".": 0})
+                self.lang = lang.encode()
+
+            def __missing__(self, word: bytes) -> int:
+                self[word] = n = len(hashes)
+                hashes.append(word_hash(self.lang, word, seed))
+                return n
+
+        totals, chunk, held = np.zeros(0, np.int64), [], 0
+        names = ["w1", "lang", "word", "f", "ids", "hashes"]
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.binary()]
+
+        def row(n: int, *columns) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.nulls(n, k) if c is None else c for c, k in zip(columns, kinds, strict=True)], names)
+
+        def text() -> pa.RecordBatch:
+            """The chunk held; its words are counted, too."""
+            nonlocal totals, chunk, held
+            ids = np.concatenate(chunk)
+            counts = np.bincount(ids, minlength=len(hashes))
+            totals = np.concatenate([totals, np.zeros(len(counts) - len(totals), np.int64)]) + counts
+            there = np.flatnonzero(counts)
+            there = there[there > 0]
+            of = np.array([hashes[i] for i in there.tolist()], np.uint64)
+            order = np.argsort(of)
+            place = np.zeros(len(counts), np.uint32)
+            place[there[order]] = np.arange(1, len(there) + 1)
+            small = place[ids].astype("<u2" if len(there) < 1 << 16 else "<u4")
+            chunk, held = [], 0
+            return row(1, None, None, None, None, pa.array([small.tobytes()], pa.binary()), pa.array([of[order].astype("<u8").tobytes()], pa.binary()))
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            nonlocal totals
+            for lang, ids in known.items():
+                words = [w for w in ids if w != b"."]
+                at = [ids[w] for w in words]
+                of = np.array([hashes[i] for i in at], np.uint64).view(np.int64)
+                yield row(len(words), pa.array(of), pa.array([lang] * len(words), pa.string()), pa.array(words, pa.binary()).cast(pa.string()),
+                          pa.array(totals[at], pa.int64()), None, None)
+            known.clear()
+            hashes[1:], totals = [], np.zeros(0, np.int64)
 
         for b in batches:
             for lang, words in _by_lang(b):
-                held.setdefault(lang, Counter()).update(words)
-            if sum(map(len, held.values())) > WORDS:
-                yield from rows()
-        yield from rows()
+                if lang not in known:
+                    known[lang] = Ids(lang)
+                chunk += [np.fromiter(map(known[lang].__getitem__, words), np.int64, len(words)), np.zeros(1, np.int64)]
+                held += len(words) + 1
+            if held >= CHUNK or len(hashes) > WORDS:
+                yield text()
+            if len(hashes) > WORDS:
+                yield from counted()
+        if held:
+            yield text()
+        yield from counted()
+
+    return texts.mapInArrow(run, "w1 long, lang string, word string, f long, ids binary, hashes binary")
 
-    found = texts.mapInArrow(run, "w1 long, lang string, word string, f long")
-    return found.repartition("w1").groupBy("w1", "lang", "word").agg(F.sum("f").alias("f"))
 
+def count_phrases(chunks: DataFrame, n: int, words: Sieve, shorter: Sieve | None, min_count: int, parts: int, entries: int = ENTRIES, burst: int = BURST) -> DataFrame:
+    """``w1 .. wn, f`` of the phrases of ``n`` words with ``f >= min_count``, among those whose words (and, if given, both
+    phrases one word shorter) pass the sieves.
 
-def count_phrases(texts: DataFrame, n: int, seed: int, words: Sieve, shorter: Sieve | None, entries: int = ENTRIES, burst: int = BURST) -> DataFrame:
-    """``w1 .. wn, f`` of the phrases of ``n`` words whose words (and, if given, both phrases one word shorter) pass the sieves."""
+    Subtrees leave a task as sorted runs, cut by a hash of the first two words into ``parts``; a part's runs are merged by
+    the task that gets it, in the order of their first phrases."""
     names = [f"w{k + 1}" for k in range(n)]
-    given = texts.sparkSession.sparkContext.broadcast((words, shorter))  # 32 MB at most
+    given = chunks.sparkSession.sparkContext.broadcast((words, shorter))  # 32 MB at most
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, shorter = given.value
-        hashes: list[int] = [0]  # of the word ids; id 0 is the end of a piece or a word that no frequent phrase holds
-
-        class Ids(dict):
-            def __init__(self, lang: str):
-                super().__init__({b".": 0})
-                self.lang = lang.encode()
-
-            def __missing__(self, word: bytes) -> int:
-                h = word_hash(self.lang, word, seed)
-                if not words.has(h):
-                    self[word] = 0
-                    return 0
-                self[word] = len(hashes)
-                hashes.append(h)
-                return self[word]
-
-        known: dict[str, Ids] = {}
+        known: dict[int, int] = {}  # word hash -> id in this trie, from 1
         trie = Trie(n, burst)
 
-        def run_of(rows: list[tuple]) -> pa.RecordBatch:
-            of, table = np.array(hashes, np.uint64).view(np.int64), np.array(rows, np.int64).reshape(-1, n + 1)
-            cols = [of[table[:, k]] for k in range(n)]
-            order = np.lexsort(cols[::-1])
-            return pa.RecordBatch.from_arrays([*[pa.array(c[order]) for c in cols], pa.array(table[order, n])], [*names, "f"])
-
-        def windows(ids: np.ndarray) -> list[np.ndarray]:
+        def runs(columns: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch:
+            of = np.fromiter(known, np.uint64, len(known))
+            columns = [of[c - 1] for c in columns]
+            part = (mixed(columns[:2]) % np.uint64(parts)).astype(np.int64)
+            table = [c.view(np.int64) for c in columns] + [counts]
+            order = np.lexsort([*table[n - 1::-1], part])
+            part, table = part[order], np.array(table)[:, order]
+            cuts = [(p, c, min(c + RUN, e)) for p, a, e in segments(part) for c in range(a, e, RUN)] if len(part) else []
+            return pa.RecordBatch.from_arrays(
+                [pa.array([c[0] for c in cuts], pa.int32()), pa.array([int(table[0, c[1]]) for c in cuts], pa.int64()),
+                 pa.array([table[:, c[1]:c[2]].astype("<i8").tobytes() for c in cuts], pa.binary())], ["part", "first", "run"])
+
+        def windows(ids: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
+            """Columns of the occurrences to count, as places in ``hashes`` (from 1)."""
             m = len(ids) - n + 1
             if m <= 0:
                 return [ids[:0]] * n
             if shorter is None:
-                inside = ids != 0
-                ok = np.logical_and.reduce([inside[k:m + k] for k in range(n)])
+                ok = np.logical_and.reduce([ids[k:m + k] != 0 for k in range(n)])
             else:
-                h = np.array(hashes, np.uint64)[ids]
                 inside = np.logical_and.reduce([ids[k:m + 1 + k] != 0 for k in range(n - 1)])
-                inside[inside] = shorter.test(mixed([h[k:m + 1 + k][inside] for k in range(n - 1)]))
+                at = np.flatnonzero(inside)
+                inside[at] = shorter.test(mixed([hashes[ids[at + k] - 1] for k in range(n - 1)]))
                 ok = inside[:-1] & inside[1:]
-            return [ids[k:m + k][ok] for k in range(n)]
-
-        def distinct(cols: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-            """The different phrases in sorted order and their counts; up to three ids share a sort key while they are small."""
-            if n <= 3 and len(hashes) < 1 << ID_BITS:
-                key, counts = np.unique(packed(cols), return_counts=True)
-                return [key >> ID_BITS * (n - 1 - k) & (1 << ID_BITS) - 1 for k in range(n)], counts
-            order = np.lexsort(cols[::-1])
-            cols = [c[order] for c in cols]
-            new = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
-            at = np.concatenate([[0], np.flatnonzero(new) + 1])
-            return [c[at] for c in cols], np.diff(np.append(at, len(order)))
+            at = np.flatnonzero(ok)
+            return [ids[at + k] for k in range(n)]
 
         for b in batches:
-            for lang, found in _by_lang(b):
-                if lang not in known:
-                    known[lang] = Ids(lang)
-                cols = windows(np.fromiter(map(known[lang].__getitem__, found), np.int64, len(found)))
-                if len(cols[0]):
-                    trie.add(*distinct(cols))
-            if trie.size > entries:
-                yield run_of(trie.leave(entries // 2))
-            if sum(map(len, known.values())) > WORDS:
-                yield run_of(trie.leave(0))
-                known.clear()
-                hashes[1:] = []
-        yield run_of(trie.leave(0))
-
-    found = texts.mapInArrow(run, ", ".join(f"{w} long" for w in names) + ", f long")
-    return found.repartition("w1", "w2").groupBy(*names).agg(F.sum("f").alias("f"))  # the runs of a prefix meet in one task
-
-
-def packed(cols: list[np.ndarray]) -> np.ndarray:
-    key = cols[0]
-    for c in cols[1:]:
-        key = key << ID_BITS | c
-    return key
+            for packed_ids, packed_hashes in zip(b.column(0), b.column(1), strict=True):
+                hashes = np.frombuffer(packed_hashes.as_buffer(), "<u8")
+                ids = np.frombuffer(packed_ids.as_buffer(), "<u2" if len(hashes) < 1 << 16 else "<u4")
+                passed = words.test(hashes)
+                place = np.concatenate([[0], np.where(passed, np.arange(1, len(hashes) + 1), 0)])
+                ids = place[ids]
+                for a in range(0, len(ids), CHUNK):  # one text may be longer than a chunk
+                    columns = windows(ids[a:a + CHUNK + n - 1], hashes)
+                    used = np.unique(np.concatenate(columns))
+                    if len(known) + len(used) >= 1 << ID_BITS:
+                        yield runs(*trie.leave(0))
+                        known.clear()
+                    mine = np.zeros(len(hashes) + 1, np.int64)
+                    mine[used] = [known.setdefault(x, len(known) + 1) for x in hashes[used - 1].tolist()]
+                    trie.add([mine[c] for c in columns])
+                    if trie.size > entries:
+                        yield runs(*trie.leave(entries // 2))
+        yield runs(*trie.leave(0))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []  # tables of words and counts: what is not yet complete
+        at, size, limit = None, 0, MERGED
+
+        def summed() -> np.ndarray:
+            table = np.concatenate(held, axis=1) if held else np.zeros((n + 1, 0), np.int64)
+            table = table[:, np.lexsort(table[n - 1::-1])]
+            new = np.concatenate([[True], (table[:n, 1:] != table[:n, :-1]).any(axis=0)])[:table.shape[1]]
+            start = np.flatnonzero(new)
+            return np.concatenate([table[:n, start], np.add.reduceat(table[n], start)[None]]) if len(start) else table
+
+        def done(table: np.ndarray) -> pa.RecordBatch:
+            table = table[:, table[n] >= min_count]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in np.ascontiguousarray(table)], [*names, "f"])
+
+        for b in batches:
+            for part, first, run in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if part != at:
+                    yield done(summed())
+                    held, size, at, limit = [], 0, part, MERGED
+                elif size >= limit:  # first words below this run's are complete
+                    table = summed()
+                    cut = int(np.searchsorted(table[0], first))
+                    yield done(table[:, :cut])
+                    held, size = [table[:, cut:]], table.shape[1] - cut
+                    limit = max(MERGED, 2 * size)
+                held.append(np.frombuffer(run.as_buffer(), "<i8").reshape(n + 1, -1))
+                size += held[-1].shape[1]
+        yield done(summed())
+
+    spilled = chunks.select("ids", "hashes").mapInArrow(spill, "part int, first long, run binary")
+    dealt = spilled.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "first")
+    return dealt.mapInArrow(merge, ", ".join(f"{w} long" for w in names) + ", f long")
 
 
 def _big(c: Column | str) -> Column:
@@ -287,7 +364,7 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LON
                  entries: int = ENTRIES, burst: int = BURST) -> DataFrame:
     """The best ``top`` phrases of each language: ``lang, rank, phrase, a, l, r, n, score``.
 
-    A candidate has 2 to ``longest`` words and ``a >= min_count`` occurrences, overlaps included. Cut after its first
+    A candidate has 2 to ``longest`` (at most 4) words and ``a >= min_count`` occurrences, overlaps included. Cut after its first
     k words it scores ``floor(2000000 a / (l + r))``, l and r the occurrences of the two parts; its lowest-scoring cut
     counts (ties: smallest k). Candidates inside a longer one with at least 80 % of their occurrences are dropped.
     Order: score, a (both descending), phrase by UTF-8 bytes; ``n`` is the number of words of the language.
@@ -298,15 +375,20 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LON
     ready(docs)
     texts = _narrow(docs, lang_col, text_col)
     for seed in range(100):
-        words = staged_keys(count_words(texts, seed), "words")
+        read = staged(read_words(texts, seed), "words-read")
+        words = read.filter("w1 is not null").repartition("w1").groupBy("w1", "lang", "word").agg(F.sum("f").alias("f"))
+        words = staged_keys(words, "words")
         if words.groupBy("w1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
             break
     else:
         raise RuntimeError("no hash seed keeps all words apart")
+    chunks = read.filter("ids is not null")
     frequent = [words.filter(F.col("f") >= min_count)]
+    n_words = words.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
+    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_words // PART_WORDS + 1)
     word_sieve, shorter = sieve_of(frequent[0], 1), None
     for n in range(2, longest + 1):
-        found = staged_keys(count_phrases(texts, n, seed, word_sieve, shorter, entries, burst).filter(F.col("f") >= min_count), f"phrases-{n}")
+        found = staged_keys(count_phrases(chunks, n, word_sieve, shorter, min_count, parts, entries, burst), f"phrases-{n}")
         frequent.append(found)
         if n < longest:
             shorter = sieve_of(found, n)

@@ -75,23 +75,39 @@ def test_small_tries_burst_and_spill(spark, entries, burst):
     assert rows(phrases.collocations(docs, min_count=3, longest=3, entries=entries, burst=burst)) == plain(texts, 3, 3)
 
 
-def test_trie_counts_and_leaves_whole_subtrees():
-    r = np.random.default_rng(1)
-    trie, want, left = phrases.Trie(3, burst=5), Counter(), Counter()
+@pytest.mark.parametrize("n", [2, 3, 4])
+def test_trie_counts_and_leaves_whole_subtrees(n):
+    r = np.random.default_rng(n)
+    trie, want, left = phrases.Trie(n, burst=5), Counter(), Counter()
+
+    def take(keep):
+        columns, counts = trie.leave(keep)
+        for *k, c in zip(*[x.tolist() for x in columns], counts.tolist()):
+            left[tuple(k)] += c
+        return set(columns[0].tolist())
+
     for _ in range(50):
-        batch = Counter(map(tuple, r.integers(1, 6, (40, 3)).tolist()))
-        keys = sorted(batch)
-        trie.add([np.array([k[i] for k in keys]) for i in range(3)], np.array([batch[k] for k in keys]))
-        want.update(batch)
+        batch = r.integers(1, 6, (60, n)) * r.choice([1, 1, (1 << phrases.ID_BITS) // 8], (60, n))
+        trie.add(list(batch.T))
+        want.update(map(tuple, batch.tolist()))
         if trie.size > 60:
-            gone = trie.leave(30)
-            assert trie.size <= 30 and not {g[0] for g in gone} & set(trie.root)
-            for *k, c in gone:
-                left[tuple(k)] += c
-    assert any(type(x) is phrases.Node for x in trie.root.values())
-    for *k, c in trie.leave(0):
-        left[tuple(k)] += c
-    assert left == want and trie.size == 0
+            gone = take(30)
+            assert gone and trie.size <= 30 and not gone & set(trie.root)
+    assert n == 2 or any(type(x) is phrases.Node for x in trie.root.values())
+    take(0)
+    assert left == want and trie.size == 0 and not trie.root
+
+
+def test_small_chunks_and_few_words_at_a_time(spark, monkeypatch):
+    """Chunks, word tables and ids that start afresh within a task (the driver's values travel with the functions)."""
+    r = random.Random(8)
+    texts = [(r.choice(["en", "de"]), " ".join(f"w{int(r.paretovariate(0.7)) % 3000}" for _ in range(50)) + ".") for _ in range(1500)]
+    docs = spark.createDataFrame(texts, "lang string, text string").coalesce(1)
+    for name, value in (("CHUNK", 300), ("WORDS", 200)):
+        monkeypatch.setattr(phrases, name, value)
+    assert phrases.collocations(docs, min_count=4).count() == len(plain(texts, 4)) > 20
+    monkeypatch.undo()
+    assert rows(phrases.collocations(docs, min_count=4)) == plain(texts, 4)
 
 
 def test_full_sieve_changes_no_count(spark, monkeypatch):
