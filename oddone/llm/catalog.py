@@ -38,7 +38,7 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup.dedup_in_batches(table(spark, sf_dir, "documents"))
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
