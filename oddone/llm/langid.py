@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,8 @@ MIN_MARGIN = 0.002
 #: Words of the random texts that the margin is learned from, and texts of each length and kind.
 NOISE_WORDS, NOISE_TEXTS = (5, 10, 20, 50, 150, 500, 1500), 60
 UNKNOWN = "und"
-NO_LETTER = re.compile(r"[\W\d_]+")
+#: All but letters (Unicode's categories L*): marks, digits and numerals of any script end a word.
+NO_LETTER = re.compile(r"[\W\d_%s]+" % "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()))
 
 
 def letters(text: str) -> str:
