@@ -39,27 +39,54 @@ LEAST = (7 + STRONG - 1, 18, 16, 12, 9, 9)
 #: Candidates on one side of another, sorted by start, that can lie inside a scope.
 NEIGHBOURS = sum(SCOPE // n + 2 for n in LEAST)
 
+#: Entries of an array that one running fold appends to, and code points of a chunk that spans are cut from.
+STEP, CHUNK = 256, 1024
 
 SPAN = "struct<start:int,kind:int,end:int>"
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of ``value``, which is computed once however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _before(values: Column, fold) -> Column:
+    """For each entry of an array of ints, ``fold`` (from 0) over the entries before it. Appending to an array copies it, so the
+    fold runs over blocks of ``STEP`` entries first and then inside each."""
+    def run(array: Column, first: Column) -> Column:
+        none = F.array().cast("array<int>")
+        step = lambda acc, v: F.struct(fold(acc["at"], v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(array, F.struct(first.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def whole(array: Column) -> Column:
+        last = F.greatest(F.floor((F.size(array) - 1) / STEP).cast("int"), F.lit(0))
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(array, k * STEP + 1, F.lit(STEP)))
+        return _bound(blocks, lambda bs: F.flatten(F.zip_with(
+            bs, run(F.transform(bs, lambda x: F.aggregate(x, F.lit(0), fold)), F.lit(0)), run)))
+
+    return _bound(values, whole)
+
+
 def _placed(text: Column, pattern: str, found: Column, kind: Column | int, values: Column | None = None) -> Column:
     """The (start, kind, end) of the matches ``found`` of ``pattern``, by the lengths of the pieces between.
 
     ``kind`` may depend on a match's entry of ``values``; matches of a null kind are dropped."""
     none = F.array().cast(f"array<{SPAN}>")
-    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), found.alias("found"), (found if values is None else values).alias("value"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["piece"])
-        end = start + F.length(x["found"])
-        which = F.lit(kind) if isinstance(kind, int) else kind(x["value"])
-        span = F.struct(start.alias("start"), which.cast("int").alias("kind"), end.alias("end"))
-        return F.when(x["found"].isNull(), acc).otherwise(F.struct(
-            end.alias("at"), F.when(which.isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span))).alias("spans")))
+    def spans(pieces: Column) -> Column:
+        lengths = F.zip_with(pieces, found, lambda p, f: F.coalesce(F.length(p), F.lit(0)) + F.coalesce(F.length(f), F.lit(0)))
+        zipped = F.arrays_zip(pieces.alias("piece"), found.alias("found"), (found if values is None else values).alias("value"),
+                              _before(lengths, lambda x, y: x + y).alias("at"))
+
+        def span(x: Column) -> Column:
+            start = x["at"] + F.length(x["piece"])
+            which = F.lit(kind) if isinstance(kind, int) else kind(x["value"])
+            return F.struct(start.alias("start"), which.cast("int").alias("kind"), (start + F.length(x["found"])).alias("end"))
+
+        placed = F.transform(F.filter(zipped, lambda x: x["found"].isNotNull()), span)
+        return F.filter(placed, lambda s: s["kind"].isNotNull())
 
-    placed = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
-    return F.when(F.size(found) > 0, placed).otherwise(none)
+    return F.when(F.size(found) > 0, _bound(F.split(text, pattern, -1), spans)).otherwise(none)
 
 
 def _candidates(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -67,11 +94,12 @@ def _candidates(df: DataFrame, text: str, out: str) -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     grade = lambda v: F.when(F.length(v) >= STRONG, 0).when((F.length(v) >= WEAK) & v.rlike("[0-9]"), 3)
     patterns = {"a": ASSIGN, "k": ACCESS, "h": HEX, "i": IDENTIFIER, "e": ENDPOINT}
-    found = {f"__{n}": F.regexp_extract_all(t, F.lit(p), F.lit(0)) for n, p in patterns.items()}
-    df = df.withColumns(found | {"__v": F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(1))})
+    own = {n: f"{out}_{n}" for n in [*patterns, "v"]}
+    found = {own[n]: F.regexp_extract_all(t, F.lit(p), F.lit(0)) for n, p in patterns.items()}
+    df = df.withColumns(found | {own["v"]: F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(1))})
     kinds = {"a": grade, "k": 1, "h": 2, "i": 4, "e": 5}
-    spans = [_placed(t, patterns[n], F.col(f"__{n}"), kinds[n], F.col("__v") if n == "a" else None) for n in patterns]
-    return df.withColumn(out, F.array_sort(F.concat(*spans))).drop(*found, "__v")
+    spans = [_placed(t, patterns[n], F.col(own[n]), kinds[n], F.col(own["v"]) if n == "a" else None) for n in patterns]
+    return df.withColumn(out, F.array_sort(F.concat(*spans))).drop(*own.values())
 
 
 def _linked(candidates: Column) -> Column:
@@ -114,11 +142,22 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[redacted]") ->
     Rows and columns stay as they are; a text without spans, null or empty, is unchanged.
     """
     text, columns = F.col(text_col), docs.columns
-    found = _candidates(docs, text_col, "__found").withColumn("__found", _linked(F.col("__found")))
-    cut = F.aggregate(
-        F.col("__found"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(
-            s["end"].alias("at"), F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out")))
-        .otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))),
-        lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("__found") > 0, cut).otherwise(text)).select(*columns)
+    name = next(f"__found{k}" for k in range(len(columns) + 1) if not any(c.startswith(f"__found{k}") for c in columns))
+    found = _candidates(docs, text_col, name).withColumn(name, _linked(F.col(name)))
+
+    def cut(chunks: Column) -> Column:
+        def piece(a: Column, e: Column) -> Column:
+            """The text from a to e, out of its chunks: only the first and the last are searched."""
+            first, last = F.floor(a / CHUNK).cast("int"), F.floor(e / CHUNK).cast("int")
+            chunk = lambda k: F.coalesce(F.get(chunks, k), F.lit(""))
+            inner = F.when(last - first > 1, F.array_join(F.slice(chunks, first + 2, last - first - 1), "")).otherwise(F.lit(""))
+            return F.when(first == last, chunk(first).substr(a - first * CHUNK + 1, e - a)).otherwise(F.concat(
+                chunk(first).substr(a - first * CHUNK + 1, F.lit(CHUNK)), inner, chunk(last).substr(F.lit(1), e - last * CHUNK)))
+
+        spans = F.arrays_zip(F.col(name).alias("s"), _before(F.transform(F.col(name), lambda s: s["end"]), lambda x, y: F.greatest(x, y)).alias("at"))
+        kept = F.transform(F.filter(spans, lambda x: x["s"]["start"] >= x["at"]), lambda x: piece(x["at"], x["s"]["start"]))
+        end = F.array_max(F.transform(F.col(name), lambda s: s["end"]))
+        return F.array_join(F.concat(kept, F.array(piece(end, F.length(text)))), mark)
+
+    whole = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    return found.withColumn(text_col, F.when(F.size(name) > 0, _bound(whole, cut)).otherwise(text)).select(*columns)
