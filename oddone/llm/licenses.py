@@ -61,7 +61,7 @@ The above copyright notice and this permission notice shall be included in all c
 """ + _WARRANTY
 _ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"""
 
-#: Known texts by identifier, more than one where a text goes with and without its title, and short notices.
+#: Known texts by identifier, more than one where a text goes with and without its title.
 KNOWN = (
     ("MIT", _MIT), ("MIT", "MIT License\n" + _MIT), ("MIT", "The MIT License (MIT)\n" + _MIT),
     ("ISC", f"{_ISC}, provided that the above copyright notice and this permission notice appear in all copies.\n{_ISC_WARRANTY}"),
@@ -69,8 +69,6 @@ KNOWN = (
     ("0BSD", f"{_ISC}.\n{_ISC_WARRANTY}"),
     ("BSD-2-Clause", f"{_BSD_HEAD}\n{_BSD_TAIL}"), ("BSD-2-Clause", f"BSD 2-Clause License\n{_BSD_HEAD}\n{_BSD_TAIL}"),
     ("BSD-3-Clause", f"{_BSD_HEAD}\n{_NAMES}\n{_BSD_TAIL}"), ("BSD-3-Clause", f"BSD 3-Clause License\n{_BSD_HEAD}\n{_NAMES}\n{_BSD_TAIL}"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("MIT", "Released under the MIT License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 )
 
 #: Full texts as files, where their first clause or preamble begins, and the line at the end of their terms.
@@ -102,10 +100,14 @@ def full_texts() -> list[tuple[str, str]]:
     return out
 
 
+def known_texts() -> list[tuple[str, str]]:
+    """All known texts, of the query and of its SQL: those in the code and those in files."""
+    return [*KNOWN, *full_texts()]
+
+
 def known_digests(spark: SparkSession, known=None) -> DataFrame:
-    """``license_id, digest`` of the known texts (:data:`KNOWN` and :func:`full_texts`); a form that two identifiers share
-    goes to the lesser one."""
-    known = [*KNOWN, *full_texts()] if known is None else known
+    """``license_id, digest`` of the :func:`known_texts`; a form that two identifiers share goes to the lesser one."""
+    known = known_texts() if known is None else known
     texts = spark.createDataFrame(list(known), "license_id string, text string")
     return texts.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
@@ -125,7 +127,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
 
 
 def sql() -> str:
-    """The same in DuckDB SQL over ``documents``, with the texts of ``KNOWN`` alone."""
+    """The same in DuckDB SQL over ``documents``, with the same known texts."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     def form(text: str) -> str:
         words = f"regexp_replace(replace(regexp_replace(chr(10) || lower(coalesce({text}, '')), {quote(COPYRIGHT_LINE)}, '', 'g'), " \
@@ -133,7 +135,7 @@ def sql() -> str:
         padded = reduce(lambda s, p: f"replace({s}, {quote(' ' + p[0].replace(' ', '  ') + ' ')}, {quote(' ' + p[1].replace(' ', '  ') + ' ')})",
                         SPELLINGS, f"('  ' || {words} || '  ')")
         return f"sha256(trim(regexp_replace({padded}, ' +', ' ', 'g')))"
-    rows = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in KNOWN)
+    rows = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in known_texts())
     return f"""
 WITH known AS (SELECT {form('text')} AS digest, min(license_id) AS license_id FROM (VALUES {rows}) AS k(license_id, text) GROUP BY 1),
 d AS (SELECT doc_id, {form('text')} AS text_digest FROM documents)

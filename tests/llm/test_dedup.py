@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from oddone.llm import exact_dedup, ngram_join
 from oddone.llm.catalog import QUERIES
@@ -48,6 +49,41 @@ def test_index_persists_over_batches(spark):
         spark.sql("DROP TABLE IF EXISTS digests_of_a_test")
 
 
+def test_batches_meet_in_one_index(spark, sf, odd):
+    """One batch or several give the same rows; later batches are anti-joined with the index, which is gone afterwards."""
+    for docs in (odd, table(spark, sf, "documents")):
+        one, several = (sorted(map(str, exact_dedup.dedup_in_batches(docs, k).collect())) for k in (1, 3))
+        assert one == several
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("digest_index_")]
+
+
+def test_index_side_of_the_anti_join_is_not_shuffled(spark):
+    index = exact_dedup.DigestIndex(spark, buckets=4)
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id % 1000) AS text")
+    groups = docs.groupBy(exact_dedup.digest(docs["text"]).alias("digest")).agg(F.min("doc_id").alias("keep_id"))
+    try:
+        index.append(groups, "0")
+        plan = groups.join(index.read().select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
+        right = plan[:plan.index(f"default.{index.name}")].rsplit("Sort [", 1)[1]  # what stands between the join's sort and the scan
+        assert "SortMergeJoin" in plan and "LeftAnti" in plan and "Exchange" not in right and "Bucketed: true" in plan
+        index.append(groups, "1")
+        assert index.read().count() == 1000
+    finally:
+        index.drop()
+
+
+def test_a_row_repeated_very_often(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "COPIES", 7)
+    docs = spark.range(100).selectExpr("1L AS doc_id", "'same' AS text").unionByName(spark.createDataFrame([(2, "same"), (3, "other")], "doc_id long, text string"))
+    rows = exact_dedup.dedup(docs).collect()
+    assert len(rows) == 102 and sum(r["kept"] for r in rows) == 2 and {r["group_size"] for r in rows if r["doc_id"] < 3} == {101}
+
+
+def test_own_columns_keep_their_names(spark):
+    docs = spark.createDataFrame([(1, "a", "x", 5), (2, "a", "y", 6)], "doc_id long, text string, __digest0 string, __keep int")
+    assert exact_dedup.keep_first(docs).collect() == [(1, "a", "x", 5)]
+
+
 def test_hot_group_and_rest_agree(spark, monkeypatch):
     rows = [(i, "hot" if i % 3 else f"t{i % 50}") for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
