@@ -50,7 +50,8 @@ class DigestIndex:
         new = groups.select("digest", "keep_id")
         if self.exists():
             new = new.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
-        (new.withColumn("batch", F.lit(batch)).repartition(self.buckets, "digest").sortWithinPartitions("digest")
+        bucket = F.pmod(F.hash("digest"), F.lit(self.buckets))  # as the writer has it: a bucket is one task and one file a batch
+        (new.withColumn("batch", F.lit(batch)).repartitionById(self.buckets, bucket).sortWithinPartitions("digest")
             .write.mode("append").bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").saveAsTable(self.name))
 
 
