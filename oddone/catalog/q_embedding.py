@@ -110,10 +110,10 @@ def _split(spark, d, run=None):
     return idx, split_train_test(map_lenient(a, idx, run), "answer_id", seed=SEED, group_col=run)
 
 
-def _fitted(spark, d, run=None):
+def _fitted(spark, d, run=None, **kw):
     idx, trip = _split(spark, d, run)
     keys = (run,) if run else ()
-    return idx, trip, fit(trip.filter(~F.col("is_test")), idx, FIT_D, FIT_EPOCHS, FIT_LR, SEED, keys=keys)
+    return idx, trip, fit(trip.filter(~F.col("is_test")), idx, FIT_D, FIT_EPOCHS, FIT_LR, SEED, keys=keys, **kw)
 
 
 def _rounded(emb):
@@ -136,7 +136,8 @@ def q_fit_per_run(spark, d):
 SELECT t.run, any_value(k) AS n_train, round(sum(ln(1 + exp(dhw - dhl))) / any_value(k), 6) AS mean_loss
 FROM t{FIT_EPOCHS} t JOIN kk ON kk.run = t.run GROUP BY t.run"""))
 def q_fit_loss(spark, d):
-    _, trip, model = _fitted(spark, d, "run")
+    """By the plan for runs too large for a task: a job an epoch."""
+    _, trip, model = _fitted(spark, d, "run", pack_triplets=0)
     sizes = trip.filter(~F.col("is_test")).groupBy("run").agg(F.count(F.lit(1)).alias("n_train"))
     sums = model.groupBy("run").agg(F.sum("loss").alias("loss"))
     return sums.join(sizes, "run").select("run", "n_train", F.round(F.col("loss") / F.col("n_train"), 6).alias("mean_loss"))

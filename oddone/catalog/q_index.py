@@ -7,12 +7,15 @@ import uuid
 from pyspark.sql import functions as F
 
 from oddone.catalog import query
-from oddone.catalog.fixtures import ANSWERS_SQL, answers, items, read, with_sql
+from oddone.catalog.fixtures import ANSWERS_SQL, ITEMS_SQL, answers, items, read, with_sql
 from oddone.catalog.q_sampling import STIMULI_CTES, stimuli
 from oddone.operators.embedding import item_index, map_lenient, map_strict, split_train_test
+from oddone.functions.text import safe_name
 from oddone.operators.indexing import dense_index
+from oddone.operators.manifest import parse_manifest
 from oddone.session import checkpoint_dir, ensure_checkpoint_dir
-from oddone.sources.files import read_answers
+from oddone.sinks.writers import wide_embedding, write_answers, write_embedding
+from oddone.sources.files import read_answers, read_results
 
 SEED = 42
 
@@ -43,19 +46,59 @@ def _written(spark, df) -> str:
     return path
 
 
-# a folder of answer files, one run per file: how many files (runs) there are and how many answers in all
+# a folder of answer files, one run per file: the runs as the files' names tell them, with their answers and files
 @query("folder_runs", with_sql(ANSWERS_SQL, body="""
-SELECT run, count(*) AS n_rows, count(DISTINCT run) AS n_files FROM answers GROUP BY run"""))
+SELECT run, count(*) AS n_rows, 1::BIGINT AS n_files FROM answers GROUP BY run"""))
 def q_folder_runs(spark, d):
-    a = answers(spark, d)
-    one_file_each = a.select("head", "winner", "loser", F.col("run").cast("string").alias("raw_generation")).repartition(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), "raw_generation").sortWithinPartitions("raw_generation")
-    path = _written(spark, one_file_each)
-    runs = read_answers(spark, path, run_from_file=True)  # a file holds whole runs
-    return runs.groupBy(F.col("raw_generation").cast("long").alias("run")).agg(
+    """The number in a file's name is that of the task that wrote it, and task k writes run k: ``run`` is read from the
+    name alone, while the rows under it are those whose own text names that run."""
+    a = answers(spark, d).select("head", "winner", "loser", F.col("run").cast("int").alias("n"))
+    n_runs = (a.agg(F.max("n")).first()[0] or 0) + 1
+    path = _written(spark, a.repartitionById(n_runs, "n").select("head", "winner", "loser", F.col("n").cast("string").alias("raw_generation")))
+    runs = read_answers(spark, path, run_from_file=True)
+    runs = runs.withColumn("named", F.regexp_extract("run", "^part-0*(\\d+)-", 1).cast("long"))
+    return runs.filter(F.col("named") == F.col("raw_generation").cast("long")).groupBy(F.col("named").alias("run")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.countDistinct("run").alias("n_files"))
 
 
+# the same answers as a table by (version, model, stimulus), written twice as a rerun does, and read by a manifest
+def _written_by_model(spark, d):
+    a = answers(spark, d)
+    ensure_checkpoint_dir(spark)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/results-{uuid.uuid4().hex}"
+    model = F.concat(F.lit("org/m"), F.col("run").cast("string"))
+    text = F.concat(F.when(F.col("run") % 3 == 0, F.lit("triplet_run_1_a ")).otherwise(F.lit("embedding_1_a ")), model, F.lit(" THINGS version_dir=1a"))
+    lines = parse_manifest(a.select("run").distinct().select(F.col("run").alias("line_no"), text.alias("value")))
+    return a.withColumn("model", model), path, lines.filter(F.col("experiment") == "embedding_1_a")
+
+
+@query("answers_by_manifest", with_sql(ANSWERS_SQL, body="""
+SELECT '1a' AS version, 'org/m' || run AS model, 'THINGS' AS stimulus, count(*) AS n_rows, count(winner) AS n_resolved, count(DISTINCT head) AS n_heads
+FROM answers WHERE run % 3 <> 0 GROUP BY run"""))
+def q_answers_by_manifest(spark, d):
+    a, path, lines = _written_by_model(spark, d)
+    for _ in range(2):
+        write_answers(a.select("head", "winner", "loser", "model"), path, version="1a", stimulus="THINGS")
+    return read_results(spark, path, lines).groupBy("version", "model", "stimulus").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("winner").alias("n_resolved"), F.countDistinct("head").alias("n_heads"))
+
+
+# embeddings by (version, model) as the model experiment leaves them, read back by the same manifest
+@query("embedding_layout", with_sql(ANSWERS_SQL, ITEMS_SQL, _IDX_SQL, body="""
+SELECT '1a' AS version, 'org_m' || run AS model, x.item, x.id::INTEGER AS id, round(i.vec[1], 6) AS dim_0, round(i.vec[2], 6) AS dim_1
+FROM idx x JOIN items i ON i.key = x.item WHERE run % 3 <> 0"""))
+def q_embedding_layout(spark, d):
+    a, path, lines = _written_by_model(spark, d)
+    vectors = items(spark, d).select(F.col("key").alias("item"), "vec")
+    named = item_index(a, "model").join(vectors, "item").withColumns({"version": F.lit("1a"), "model": safe_name("model")})
+    wide = wide_embedding(named, 2, keys=("version", "model", "item", "id"))
+    for _ in range(2):
+        write_embedding(wide, path, partition_cols=("version", "model"))
+    back = read_results(spark, path, lines.withColumn("model", safe_name("model")), ("version", "model"), "csv", header=True)
+    return back.select("version", "model", "item", F.col("id").cast("int").alias("id"), F.round(F.col("dim_0").cast("double"), 6).alias("dim_0"),
+                       F.round(F.col("dim_1").cast("double"), 6).alias("dim_1"))
+
+
 @query("item_index", with_sql(ANSWERS_SQL, _IDX_SQL, body="SELECT run, item, id FROM idx"))
 def q_item_index(spark, d):
     return item_index(answers(spark, d), "run").select("run", "item", F.col("id").cast("long"))
@@ -99,11 +142,10 @@ def q_validate_counts(spark, d):
                    F.count(F.when(F.col("winner").isNull(), 1)).alias("n_unresolved"),
                    F.count(F.when(F.col("loser") == "-1", 1)).alias("n_sentinel"),
                    F.countDistinct("run").alias("n_runs"))
-    n_idx = idx.agg(F.count(F.lit(1)).alias("n_index_rows"))
-    n_trip = trip.agg(F.count(F.lit(1)).alias("n_triplets"))
-    one = [F.lit(1).alias("_k")]  # three one-row aggregates side by side
-    return (counts.select("*", *one).join(n_idx.select("*", *one), "_k").join(n_trip.select("*", *one), "_k")
-            .select("n_rows", "n_unresolved", "n_sentinel", "n_index_rows", "n_runs", "n_triplets"))
+    names = ["n_rows", "n_unresolved", "n_sentinel", "n_index_rows", "n_runs", "n_triplets"]
+    parts = counts.unionByName(idx.agg(F.count(F.lit(1)).alias("n_index_rows")), allowMissingColumns=True).unionByName(
+        trip.agg(F.count(F.lit(1)).alias("n_triplets")), allowMissingColumns=True)  # three rows, each with its own counts
+    return parts.agg(*[F.max(n).alias(n) for n in names])
 
 
 @query("train_test_split", f"""

@@ -62,7 +62,8 @@ def q_runlog_parse(spark, d):
 @query("runlog_summary", """
 SELECT event_type AS name, event_type <> 'error' AS ok, count(*) AS calls,
        round(sum(round(value, 3)), 3) AS total_secs, round(avg(round(value, 3)), 6) AS mean_secs,
-       max(round(value, 3)) AS max_secs
+       max(round(value, 3)) AS max_secs, round(quantile_cont(round(value, 3), 0.5), 6) AS p50,
+       round(quantile_cont(round(value, 3), 0.95), 6) AS p95, round(quantile_cont(round(value, 3), 0.99), 6) AS p99
 FROM events GROUP BY 1, 2""")
 def q_runlog_summary(spark, d):
     return summarize(parsed_log(spark, d))

@@ -29,7 +29,7 @@ def stimuli(spark, d):
     return draw_triplets(cand, N_ITEMS, NEAR, FAR, seed=SEED, draws=DRAWS)
 
 
-def _draw_sql(cand_cte: str, use_vectors: bool, n_attempts: str, near_below=NEAR, far_above=FAR, feasible: bool = False) -> str:
+def _draw_sql(cand_cte: str, use_vectors: bool, n_attempts: str, near_below=NEAR, far_above=FAR, feasible: bool = False, draws: int = DRAWS) -> str:
     """``feasible``: x is drawn from the rows that have a near and another far row, as Spark does once fewer than
     half of a first wave over all rows succeed."""
     if use_vectors:
@@ -56,24 +56,26 @@ nn AS (SELECT count(*) AS n FROM cand),
 {xs},
 ax AS (SELECT att.a, c.key AS x_key, c.vec AS x_vec FROM att JOIN cand c ON c.pos = att.x_pos),
 dr AS (SELECT ax.a, ax.x_key, ax.x_vec, k, {hash_sql(str(SEED), "'draw'", 'ax.a', 'k')} % n AS c_pos
-       FROM ax, range(0, {DRAWS}) r(k), nn),
+       FROM ax, range(0, {draws}) r(k), nn),
 dj AS (SELECT dr.a, dr.k, c.pos, c.key, {dist} AS d FROM dr JOIN cand c ON c.pos = dr.c_pos),
-fy AS (SELECT a, arg_min(pos, k) FILTER (WHERE {near}) AS y_pos FROM dj GROUP BY a),
-fz AS (SELECT dj.a, fy.y_pos, arg_min(dj.pos, dj.k) FILTER (WHERE {far.replace('d ', 'dj.d ')}
+fy AS (SELECT ax.a, arg_min(pos, k) FILTER (WHERE {near}) AS y_pos FROM ax LEFT JOIN dj ON dj.a = ax.a GROUP BY ax.a),
+fz AS (SELECT fy.a, fy.y_pos, arg_min(dj.pos, dj.k) FILTER (WHERE {far.replace('d ', 'dj.d ')}
               AND dj.pos IS DISTINCT FROM fy.y_pos) AS z_pos
-       FROM dj JOIN fy ON fy.a = dj.a GROUP BY dj.a, fy.y_pos),
+       FROM fy LEFT JOIN dj ON dj.a = fy.a GROUP BY fy.a, fy.y_pos),
 un AS (SELECT a, y_pos, z_pos FROM fz WHERE y_pos IS NULL OR z_pos IS NULL),
-tc AS (SELECT un.a, c.pos, {tdist} AS d, {hash_sql(str(SEED), "'tail'", 'un.a', 'c.pos')} AS th
-       FROM un JOIN ax ON ax.a = un.a CROSS JOIN cand c
-       WHERE c.pos NOT IN (SELECT dj.pos FROM dj WHERE dj.a = un.a)),
-ty AS (SELECT a, arg_min(pos, th) FILTER (WHERE {near}) AS y_t FROM tc GROUP BY a),
-yf AS (SELECT un.a, coalesce(un.y_pos, ty.y_t) AS y_fin FROM un LEFT JOIN ty ON ty.a = un.a),
-tz AS (SELECT tc.a, arg_min(tc.pos, tc.th) FILTER (WHERE {far.replace('d ', 'tc.d ')}
-              AND tc.pos IS DISTINCT FROM yf.y_fin) AS z_t
-       FROM tc JOIN yf ON yf.a = tc.a GROUP BY tc.a),
-res AS (SELECT fz.a, coalesce(fz.y_pos, ty.y_t) AS y_pos,
-               CASE WHEN coalesce(fz.y_pos, ty.y_t) IS NULL THEN NULL ELSE coalesce(fz.z_pos, tz.z_t) END AS z_pos
-        FROM fz LEFT JOIN ty ON ty.a = fz.a LEFT JOIN tz ON tz.a = fz.a),
+tc AS (SELECT un.a, c.pos, {tdist} AS d FROM un JOIN ax ON ax.a = un.a CROSS JOIN cand c),
+li AS (SELECT a, coalesce(list(pos ORDER BY pos) FILTER (WHERE {near}), []) AS nl, coalesce(list(pos ORDER BY pos) FILTER (WHERE {far}), []) AS fl,
+              coalesce(list(pos ORDER BY pos) FILTER (WHERE {near} AND {far}), []) AS bl,
+              coalesce(list(pos ORDER BY pos) FILTER (WHERE {far} AND NOT ({near})), []) AS ol FROM tc GROUP BY a),
+yf AS (SELECT un.a, un.y_pos IS NULL AS no_y, un.z_pos, li.* EXCLUDE (a),
+              coalesce(un.y_pos, nl[1 + {hash_sql(str(SEED), "'ty'", 'un.a')} % nullif(len(nl), 0)]) AS y FROM un JOIN li ON li.a = un.a),
+yb AS (SELECT *, list_contains(fl, y)::INTEGER AS yfar, len(bl) - list_contains(fl, y)::INTEGER AS b, len(ol) AS o FROM yf WHERE y IS NOT NULL),
+yr AS (SELECT *, CASE WHEN NOT no_y THEN fl WHEN b + o = 0 THEN []
+                      WHEN {hash_sql(str(SEED), "'tc'", 'a')} % ((b + o) * (b + o + 1)) < b * (b + 1) THEN bl ELSE ol END AS zl FROM yb),
+ym AS (SELECT *, len(zl) - list_contains(zl, y)::INTEGER AS m FROM yr),
+ye AS (SELECT *, zl[1 + {hash_sql(str(SEED), "'tz'", 'a')} % nullif(m, 0)] AS e FROM ym),
+tz AS (SELECT a, y AS y_t, coalesce(z_pos, CASE WHEN e = y THEN zl[len(zl)] ELSE e END) AS z_t FROM ye),
+res AS (SELECT fz.a, coalesce(fz.y_pos, y_t) AS y_pos, coalesce(fz.z_pos, z_t) AS z_pos FROM fz LEFT JOIN tz ON tz.a = fz.a),
 ok AS (SELECT res.a, ax.x_key, ax.x_vec, cy.key AS y_key, cy.vec AS y_vec, cz.key AS z_key, cz.vec AS z_vec
        FROM res JOIN ax ON ax.a = res.a JOIN cand cy ON cy.pos = res.y_pos JOIN cand cz ON cz.pos = res.z_pos
        WHERE {"cy.key <> '' AND cz.key <> ''" if use_vectors else "true"}),
@@ -111,6 +113,33 @@ def q_draw_sparse(spark, d):
     return _round_dists(draw_triplets(candidates(it, first_vector(it)), SPARSE_ITEMS, SPARSE_NEAR, SPARSE_FAR, seed=SEED, draws=DRAWS))
 
 
+# The same law without any draws: y and z by index from the near and far rows of every x.  The second pair of thresholds
+# overlaps (a row can be near and far) and leaves far rows that are not near.
+LIST_ITEMS, LIST_NEAR, LIST_FAR = 5000, 1.43, 1.40
+_LIST_BODY = f"""
+SELECT triplet_id, a AS attempt_id, x_key AS item_x, y_key AS item_y, z_key AS item_z,
+       round(list_distance(x_vec, y_vec), 6) AS dist_x_y, round(list_distance(x_vec, z_vec), 6) AS dist_x_z,
+       round(list_distance(y_vec, z_vec), 6) AS dist_y_z
+FROM ranked WHERE triplet_id < {LIST_ITEMS}"""
+
+
+def _drawn_by_lists(spark, d, near, far):
+    it = items(spark, d)
+    return _round_dists(draw_triplets(candidates(it, first_vector(it)), LIST_ITEMS, near, far, seed=SEED, draws=0))
+
+
+@query("draw_lists", with_sql(ITEMS_SQL, body=_draw_sql(
+    "cand AS (SELECT row_idx AS pos, key, vec FROM items)", True, str(2 * LIST_ITEMS), draws=0) + _LIST_BODY))
+def q_draw_lists(spark, d):
+    return _drawn_by_lists(spark, d, NEAR, FAR)
+
+
+@query("draw_lists_overlap", with_sql(ITEMS_SQL, body=_draw_sql(
+    "cand AS (SELECT row_idx AS pos, key, vec FROM items)", True, str(2 * LIST_ITEMS), LIST_NEAR, LIST_FAR, draws=0) + _LIST_BODY))
+def q_draw_lists_overlap(spark, d):
+    return _drawn_by_lists(spark, d, LIST_NEAR, LIST_FAR)
+
+
 UNCONSTRAINED_SQL = with_sql(NAMES_SQL, body=_draw_sql(
     "cand AS (SELECT row_idx AS pos, key, NULL::DOUBLE[] AS vec FROM names)", False, str(2 * N_ITEMS)) + f"""
 SELECT triplet_id, a AS attempt_id, x_key AS item_x, y_key AS item_y, z_key AS item_z

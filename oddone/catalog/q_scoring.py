@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from oddone.catalog import query
@@ -11,7 +12,7 @@ from oddone.catalog.fixtures import read
 from oddone.catalog.q_prompts import SUFFIX, render_sql, rendered
 from oddone.catalog.q_sampling import STIMULI_CTES
 from oddone.functions.prompts import TRIPLET_TEMPLATE
-from oddone.operators.scoring import batch_ids, batch_progress, score_prompts
+from oddone.operators.scoring import LoadOnce, batch_ids, batch_progress, score_prompts
 
 BATCH = 4  # shipped batch size
 
@@ -111,7 +112,7 @@ SELECT triplet_id AS id, batch_id, item_x AS head,
        CASE WHEN chosen = item_y THEN item_y WHEN chosen = item_z THEN item_z END AS winner,
        CASE WHEN chosen = item_y THEN item_z WHEN chosen = item_z THEN item_y END AS loser, raw_generation FROM ch""")
 def q_score_chat(spark, d):
-    return _scored(spark, d, "tokens", scorer=chat_scorer, chat=True, strip_prompt_echo=False).drop("dist_x_y", "dist_x_z")
+    return _scored(spark, d, "tokens", scorer=LoadOnce(lambda: chat_scorer), chat=True, strip_prompt_echo=False).drop("dist_x_y", "dist_x_z")
 
 
 @query("export_stimuli", STIMULI_CTES + f"""
@@ -126,15 +127,18 @@ def q_export_stimuli(spark, d):
                      "shuffled_item_y", "shuffled_item_z", "format_str")
 
 
+def _lengths(spark, d):
+    """Ids and lengths of the documents: batches are numbered without moving a text."""
+    return read(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("len"))
+
+
 @query("length_buckets", f"""
 SELECT doc_id, length(text)::BIGINT AS len,
        ((row_number() OVER (ORDER BY length(text), doc_id) - 1) // {BATCH})::BIGINT AS batch_id,
        ((row_number() OVER (ORDER BY length(text), doc_id) - 1) % {BATCH})::BIGINT AS batch_pos
 FROM documents""")
 def q_length_buckets(spark, d):
-    doc = read(spark, d, "documents").select("doc_id", "text")
-    b = batch_ids(doc, "doc_id", "text", BATCH)
-    return b.select("doc_id", F.length("text").cast("long").alias("len"), "batch_id", "batch_pos")
+    return batch_ids(_lengths(spark, d), "doc_id", "text", BATCH, len_col="len").select("doc_id", "len", "batch_id", "batch_pos")
 
 
 @query("batch_progress", f"""
@@ -143,8 +147,9 @@ g AS (SELECT batch_id, count(*) AS batch_n FROM b GROUP BY batch_id)
 SELECT batch_id, batch_n, (sum(batch_n) OVER (ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS processed
 FROM g""")
 def q_batch_progress(spark, d):
-    doc = read(spark, d, "documents").select("doc_id", "text")
-    return batch_progress(batch_ids(doc, "doc_id", "text", BATCH), BATCH)
+    counted = Observation()
+    batched = batch_ids(_lengths(spark, d), "doc_id", "text", BATCH, len_col="len", counted=counted)
+    return batch_progress(batched, BATCH, counted.get["n"])
 
 
 # Flagship: the minimum slice end to end — items and vectors -> constrained draw -> y/z shuffle ->

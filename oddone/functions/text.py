@@ -101,6 +101,10 @@ def resolve_choice(chosen, y, z) -> tuple[Column, Column]:
     return winner, loser
 
 
+#: Characters that a file name may not hold, and what stands for each.
+UNSAFE, SAFE = "/ ", "__"
+
+
 def safe_name(c) -> Column:
     """File-name safe model name: ``/`` and space become ``_``."""
-    return F.translate(_c(c), "/ ", "__")
+    return F.translate(_c(c), UNSAFE, SAFE)

@@ -38,6 +38,7 @@ def column_index(df: DataFrame, column: str) -> DataFrame:
 
 
 INDEX_ROW_BYTES = 128  # estimate per (run, item, id) row for the broadcast check
+GROUP_ROW_BYTES = 256  # the same for the split's one row per group
 
 
 def _index_side(index: DataFrame) -> DataFrame:
@@ -85,12 +86,22 @@ def split_train_test(df: DataFrame, key: str, seed: int = 42, test_size: float =
     g = F.struct(F.col(group_col) if group_col else F.lit(0))  # a struct of NULL equals itself in joins
     tagged = df.withColumn("_g", g).withColumn("_h", seeded_hash(seed, "split", F.col(key))).withColumn("_k", F.col(key).cast("string"))
     keys = tagged.groupBy("_g", "_h", "_k").agg(F.count(F.lit(1)).alias("_n")).checkpoint(eager=True)
-    sizes = keys.groupBy("_g").agg(F.ceil(F.sum("_n") * F.lit(test_size)).cast("long").alias("_need"))
+
+    def per_group(rows: DataFrame, side: DataFrame, how: str) -> DataFrame:
+        """``rows`` with the columns of their group in ``side`` (checkpointed, one row per group): literals if there is
+        only one group, else a join that broadcasts ``side`` while its counted size fits."""
+        if group_col:
+            return rows.join(checked_broadcast(side, side.count(), GROUP_ROW_BYTES), "_g", how)
+        one = side.drop("_g").first()
+        rows = rows.withColumns({f.name: F.lit(one[f.name] if one else None).cast(f.dataType) for f in side.schema.fields if f.name != "_g"})
+        return rows if one or how == "left" else rows.limit(0)
+
     # per group: the range of hashes [_lo, _lo + 2**bits) that holds the cut, and the rows still needed from it
-    cut, bits = sizes.withColumn("_lo", F.lit(0).cast("long")), 60
+    cut = keys.groupBy("_g").agg(F.lit(0).cast("long").alias("_lo"), F.ceil(F.sum("_n") * F.lit(test_size)).cast("long").alias("_need"))
+    cut, bits = cut.checkpoint(eager=True), 60
     while bits:
         step = max(bits - fanout_bits, 0)
-        inside = keys.join(cut, "_g").filter((F.col("_h") >= F.col("_lo")) & (F.shiftright(F.col("_h") - F.col("_lo"), bits) == 0))
+        inside = per_group(keys, cut, "inner").filter((F.col("_h") >= F.col("_lo")) & (F.shiftright(F.col("_h") - F.col("_lo"), bits) == 0))
         hist = inside.groupBy("_g", "_lo", "_need", F.shiftright(F.col("_h") - F.col("_lo"), step).alias("_b")).agg(
             F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_keys"))  # at most 2**fanout_bits per group
         before = F.coalesce(F.sum("_rows").over(Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -104,13 +115,13 @@ def split_train_test(df: DataFrame, key: str, seed: int = 42, test_size: float =
         cut = cut.drop("_keys")
     cut = cut.select("_g", "_lo", "_need")
     hi = F.col("_lo") + F.lit(1 << bits)
-    inside = keys.join(cut, "_g").filter((F.col("_h") >= F.col("_lo")) & (F.col("_h") < hi))
+    inside = per_group(keys, cut, "inner").filter((F.col("_h") >= F.col("_lo")) & (F.col("_h") < hi))
     taken = F.coalesce(F.sum("_n").over(Window.partitionBy("_g").orderBy("_h", "_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     last = (inside.withColumn("_taken", taken).filter((F.col("_taken") < F.col("_need")) & (F.col("_taken") + F.col("_n") >= F.col("_need")))
             .select("_g", F.col("_h").alias("_ch"), F.col("_k").alias("_ck"), (F.col("_need") - F.col("_taken")).alias("_left"),
                     F.col("_n").alias("_of")))
     last = last.checkpoint(eager=True)  # one row per group: the key at which the test rows end
-    joined = tagged.join(last, "_g", "left")
+    joined = per_group(tagged, last, "left")
     at = (F.col("_h") == F.col("_ch")) & F.col("_k").eqNullSafe(F.col("_ck"))
     below = (F.col("_h") < F.col("_ch")) | ((F.col("_h") == F.col("_ch")) & (F.col("_k") < F.col("_ck")))
     joined = joined.withColumn("_at", F.coalesce(at, F.lit(False))).withColumn("is_test", F.coalesce(below, F.lit(False)) | (F.col("_at") & (F.col("_left") == F.col("_of"))))
@@ -128,7 +139,8 @@ def first_of_group(rows: DataFrame, group: list, need: str, flag: str = "is_test
     rows = rows.withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id()).checkpoint(eager=True)
     per = rows.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_in"))
     before = F.coalesce(F.sum("_in").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.join(per.withColumn("_before", before), [*group, "_part"])
+    per = per.withColumn("_before", before).checkpoint(eager=True)
+    rows = rows.join(checked_broadcast(per, per.count(), GROUP_ROW_BYTES), [*group, "_part"])
     whole, cut = F.col("_before") + F.col("_in") <= F.col(need), (F.col("_before") < F.col(need)) & (F.col("_before") + F.col("_in") > F.col(need))
     rank = F.row_number().over(Window.partitionBy(*group, "_part").orderBy("_id"))  # of rows that one partition holds anyway
     return (rows.withColumn(flag, F.when(cut, rank <= F.col(need) - F.col("_before")).otherwise(whole))

@@ -9,7 +9,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from oddone.session import ensure_checkpoint_dir
@@ -22,18 +22,22 @@ def _parts(df: DataFrame, num_partitions: int | None) -> int:
 
 
 def dense_index(df: DataFrame, order_cols: list, name: str = "idx", partition_cols: list | None = None,
-                num_partitions: int | None = None) -> DataFrame:
+                num_partitions: int | None = None, counted: Observation | None = None) -> DataFrame:
     """Add ``name`` = 0-based rank in ``order_cols`` order (order must be total/unique).
 
     With ``partition_cols`` the rank restarts per group (a NULL is a group).  Rows are range-partitioned on group
     and order together, so a group of any size spreads over many partitions.  The ordered rows are checkpointed:
-    counts and ids read the same rows, and nothing stays cached."""
+    counts and ids read the same rows, and nothing stays cached.  ``counted`` gets the number of rows, ``n``, from the
+    same job."""
     ensure_checkpoint_dir(df.sparkSession)
     order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     group = F.struct(*partition_cols) if partition_cols else F.lit(0)  # a struct of NULLs equals itself in joins
     ordered = df.withColumn("_group", group)
     ordered = (ordered.repartitionByRange(_parts(df, num_partitions), "_group", *order).sortWithinPartitions("_group", *order)
-               .withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True))
+               .withColumn("_mid", F.monotonically_increasing_id()))
+    if counted is not None:
+        ordered = ordered.observe(counted, F.count(F.lit(1)).alias("n"))
+    ordered = ordered.checkpoint(eager=True)
     pid = F.shiftright(F.col("_mid"), _LOCAL_BITS)
     counts = ordered.groupBy("_group", pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     before = Window.partitionBy("_group").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition

@@ -1,11 +1,13 @@
 """Experiment manifests as data: parse lines, key=value arguments, resolve against the
-config batteries (equi-joins) and report dangling references (anti-joins) before anything runs."""
+config batteries (broadcast equi-joins) and report dangling references before anything runs."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from oddone.operators.joins import checked_broadcast
+
 # Fixed value: POSIX [[:space:]] as trimmed by the runner, and its field separators.
 POSIX_SPACE = "[ \\t\\n\\x0B\\f\\r]"
 VERSION_ARG = "version_dir="
@@ -42,20 +44,26 @@ def manifest_args(parsed: DataFrame) -> DataFrame:
     return parsed.select("line_no", F.explode(args_map(F.col("args"))).alias("key", "value"))
 
 
+BATTERY_ROW_BYTES = 4096  # estimate per entry of a battery for the broadcast check
+
+
+def _battery(battery: DataFrame, column: str) -> DataFrame:
+    """A battery with its names as ``column``, broadcast while its counted size fits: the lines are never shuffled by the
+    few names that most of them share."""
+    return checked_broadcast(battery.withColumnRenamed("name", column), battery.count(), BATTERY_ROW_BYTES)
+
+
 def resolve(parsed: DataFrame, models: DataFrame, experiments: DataFrame, stimuli: DataFrame | None = None) -> DataFrame:
     """Manifest lines joined to their model, experiment and (if given) stimulus configs; unknown names drop out."""
-    out = parsed.join(experiments.withColumnRenamed("name", "experiment"), "experiment").join(models.withColumnRenamed("name", "model"), "model")
-    return out if stimuli is None else out.join(stimuli.withColumnRenamed("name", "stimulus"), "stimulus")
+    out = parsed.join(_battery(experiments, "experiment"), "experiment").join(_battery(models, "model"), "model")
+    return out if stimuli is None else out.join(_battery(stimuli, "stimulus"), "stimulus")
 
 
 def dangling(parsed: DataFrame, models: DataFrame, experiments: DataFrame, stimuli: DataFrame | None = None) -> DataFrame:
-    """Lines naming an unknown experiment, model or stimulus, with the first reason in this order."""
-    left, found = parsed, None
+    """Lines naming an unknown experiment, model or stimulus, with the first reason in this order: one pass over the lines."""
+    out, reasons = parsed, []
     for column, battery in (("experiment", experiments), ("model", models), ("stimulus", stimuli)):
         if battery is not None:
-            known = battery.select(F.col("name").alias(column))
-            bad = left.join(known, column, "left_anti").select(
-                "line_no", "experiment", "model", F.lit(f"unknown {column}").alias("reason"))
-            found = bad if found is None else found.unionByName(bad)
-            left = left.join(known, column, "left_semi")
-    return found
+            out = out.join(_battery(battery.select("name").distinct().withColumn(f"_{column}", F.lit(True)), column), column, "left")
+            reasons.append(F.when(F.col(f"_{column}").isNull(), F.lit(f"unknown {column}")))
+    return out.withColumn("reason", F.coalesce(*reasons)).filter("reason is not null").select("line_no", "experiment", "model", "reason")

@@ -16,11 +16,14 @@ Spark form, exact for that law:
    from ``spark.range`` (range-partitioned), so exploding the draws and joining the candidate
    table (broadcast when its counted size fits, shuffled otherwise) needs no exchange before the
    per-attempt aggregation.
-2. *Tail* (numpy, rare): attempts still missing y or z continue with the unseen rows ordered by
-   ``h(seed,'tail',a,pos)`` — a uniform order of the unseen rows, so the law is unchanged.  The
-   candidate rows are broadcast in blocks sized to the broadcast limit; each block reports its
-   best near row and two best far rows per attempt and a JVM reduce keeps the first ones.  Open
-   attempts are grouped by (x, salt) so a hot x is split and its distances are computed once per group.
+2. *Lists* (attempts still missing y or z; all attempts with ``draws=0``): what is missing is drawn by index from
+   x's near and far rows.  Per key and block of rows the numbers of near, far and both-near-and-far rows are counted
+   (:func:`block_counts`, no pair rows); running counts find the block of the k-th such row, and one block's distances
+   find the row.  Rows already drawn leave the law alone: an attempt without y has drawn no near row, one without z
+   no far row but y.  With y known, z is uniform over the far rows other than y.  With both missing, y is uniform
+   over the near rows; then, with b rows near and far besides y and o rows only far, the first far row of a random
+   order that has y before all near rows is one of the b with probability b(b+1) / ((b+o)(b+o+1)), else one of the o,
+   uniformly in either.
 3. *Acceptance*: attempts run in waves sized from the observed success rate; the first ``n_items``
    successes are cut exactly with :func:`first_n_by` (histogram, no global sort).  If fewer than half of the
    first wave succeed, the draw starts again with x drawn from the feasible rows only: those whose key has a
@@ -34,35 +37,28 @@ the same machinery with "near" = "far" = any row of another key.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import warnings
 
-import numpy as np
-import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddone.functions.hashing import seeded_choice, seeded_hash
 from oddone.functions.vectors import euclid
+from oddone.operators.distances import block_counts, pack_keys, pack_rows, pick
 from oddone.operators.indexing import dense_index, first_n_by
-from oddone.operators.joins import broadcast_limit, checked_broadcast
-from oddone.operators.vectors import _collect_block, matrix_row_bytes, near_far_counts
+from oddone.operators.joins import checked_broadcast
+from oddone.operators.vectors import matrix_row_bytes, near_far_counts
 from oddone.session import ensure_checkpoint_dir, ship_package
 
-# Open attempts of one x that a task finishes at once in the tail.
-TAIL_GROUP = 2000
+# Open attempts of one x whose blocks are looked up together.
+LIST_GROUP = 100_000
 FIRST_STAGE = 8
 
 STIMULI_COLS = ["triplet_id", "attempt_id", "item_x", "item_y", "item_z", "dist_x_y", "dist_x_z", "dist_y_z"]
 
 
-def _py_hash(seed, purpose, a, b) -> int:
-    """Python twin of :func:`seeded_hash` for ``seed:purpose:a:b``."""
-    return int(hashlib.md5(f"{seed}:{purpose}:{a}:{b}".encode()).hexdigest()[:15], 16)
-
-
 def _attempts(spark, cand_b: DataFrame, n: int, a0: int, a1: int, seed: int, rows: tuple[DataFrame, int] | None = None) -> DataFrame:
     """Attempts ``[a0, a1)`` with their x row, drawn from all ``n`` rows or from ``rows`` (``i, x_pos`` and their number);
     ``spark.range`` is range-partitioned on ``a``."""
@@ -81,7 +77,7 @@ def feasible_rows(cand: DataFrame, lo: float | None, hi: float | None, use_vecto
     and a far row other than it exist (two rows of other keys, without vectors)."""
     if use_vectors:
         named = cand.filter("key <> ''")  # a row with an empty key is never accepted as y or z
-        counts = near_far_counts(cand, lo, hi, n_rows=n, dim=dim, among=named)
+        counts = near_far_counts(cand, lo, hi, among=named)
         good = (F.col("n_near") > 0) & (F.col("n_far") > 0) & ((F.col("n_near") > 1) | (F.col("n_far") > 1) | (F.col("n_both") == 0))
         keys = counts.filter(good).select("key")
     else:
@@ -109,7 +105,7 @@ def _draw_phase(att: DataFrame, cand_b: DataFrame, n: int, seed: int, k_hi: int,
         dr = dr.withColumn("d", F.lit(None).cast("double"))
         near = far = valid
     dr = dr.withColumn("near", near).withColumn("far", far)
-    cand_struct = F.struct(F.col("k"), F.col("c_pos").alias("pos"), F.col("c_key").alias("key"))
+    cand_struct = F.struct(F.col("k"), F.col("c_pos").alias("pos"), F.col("c_key").alias("key"), F.col("far"))
     agg = dr.groupBy("a").agg(  # `a` is range-partitioned already: no exchange
         F.any_value("x_pos").alias("x_pos"), F.any_value("x_key").alias("x_key"),
         F.min(F.when(F.col("near"), cand_struct)).alias("y"),
@@ -118,96 +114,66 @@ def _draw_phase(att: DataFrame, cand_b: DataFrame, n: int, seed: int, k_hi: int,
     y_pos = F.coalesce(F.col("y.pos"), F.lit(-1))
     z = F.get(F.filter(F.col("fars"), lambda s: s["pos"] != y_pos), 0)
     return agg.select("a", "x_pos", "x_key",
-                      F.col("y.pos").alias("y_pos"), F.col("y.key").alias("y_key"),
+                      F.col("y.pos").alias("y_pos"), F.col("y.key").alias("y_key"), F.col("y.far").alias("y_far"),
                       z["pos"].alias("z_pos"), z["key"].alias("z_key"))
 
 
-def _nan(v) -> bool:
-    return v is None or (isinstance(v, float) and math.isnan(v))
-
-
-def _tail_block(unresolved: DataFrame, bc, seed: int, lo, hi, use_vectors: bool, n: int, draws: int) -> DataFrame:
-    """Over the candidate rows of one broadcast block: per open attempt, the first unseen near row
-    and the first two unseen far rows in the seeded tail order ``(h(seed,'tail',a,pos), pos)``."""
-
-    def part(pdf: pd.DataFrame) -> pd.DataFrame:
-        pos, keys, has, mat, codes, code_of = bc.value
-        named = codes >= 0
-        out = []
-        cache = {}
-        for r in pdf.itertuples(index=False):
-            xk = r.x_key
-            if xk not in cache:  # x's near / far rows of this block, once per group
-                ok = named & (codes != code_of.get(xk, -1))
-                if use_vectors:
-                    if r.x_vec is None:
-                        cache[xk] = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-                    else:
-                        d = np.sqrt(((mat - np.asarray(r.x_vec, dtype=np.float64)) ** 2).sum(axis=1))
-                        ok = ok & has
-                        cache[xk] = (np.flatnonzero(ok & (d < lo)), np.flatnonzero(ok & (d > hi)))
-                else:
-                    idx = np.flatnonzero(ok)
-                    cache[xk] = (idx, idx)
-            near_idx, far_idx = cache[xk]
-            best = [None, None, None]
-            need_y, need_z = _nan(r.y_pos), _nan(r.z_pos)
-            if (need_y and len(near_idx) == 0) or (need_z and len(far_idx) == 0):
-                seen = set()  # nothing to order in this block for the missing role
-            else:
-                seen = {_py_hash(seed, "draw", r.a, k) % n for k in range(draws)}
-            if need_y:
-                c = [(_py_hash(seed, "tail", r.a, int(pos[i])), int(pos[i]), keys[i]) for i in near_idx
-                     if int(pos[i]) not in seen]
-                best[0] = min(c) if c else None
-            if need_z:
-                c = sorted((_py_hash(seed, "tail", r.a, int(pos[i])), int(pos[i]), keys[i]) for i in far_idx
-                           if int(pos[i]) not in seen)
-                best[1], best[2] = (c[0] if c else None), (c[1] if len(c) > 1 else None)
-            row = [r.a]
-            for b in best:
-                row += list(b) if b else [None, None, None]
-            out.append(row)
-        cols = ["a"] + [f"{p}_{f}" for p in ("n", "f1", "f2") for f in ("h", "pos", "key")]
-        return pd.DataFrame(out, columns=cols)
-
-    schema = "a long, " + ", ".join(f"{p}_h long, {p}_pos long, {p}_key string" for p in ("n", "f1", "f2"))
-    salts = unresolved.groupBy("x_key").agg(F.ceil(F.count(F.lit(1)) / TAIL_GROUP).alias("_salts"))
-    keyed = unresolved.join(salts, "x_key").withColumn("_salt", F.pmod(F.col("a"), F.col("_salts"))).drop("_salts")  # a hot x is split
-    return keyed.groupBy("x_key", "_salt").applyInPandas(part, schema)
-
-
-def _tail(spark, cand: DataFrame, unresolved: DataFrame, xs: DataFrame, seed: int, lo, hi, use_vectors: bool,
-          n: int, draws: int, dim: int) -> DataFrame:
-    """Finish attempts still missing y or z over their unseen rows.  Candidates are processed in
-    blocks that fit the broadcast limit (one block when the table fits); each block yields its best
-    near and two best far rows per attempt, and a JVM reduce keeps the overall first ones."""
-    rows_per_block = max(1, broadcast_limit(spark) // matrix_row_bytes(dim))
-    tail_in = unresolved.select("a", "x_pos", "y_pos", "y_key", "z_pos", "z_key").join(xs, "x_pos").drop("x_pos")
-    tail_in = tail_in.checkpoint(eager=True)  # read once per block
-    parts = None
-    for b0 in range(0, n, rows_per_block):
-        bc = spark.sparkContext.broadcast(_collect_block(cand, b0, min(n, b0 + rows_per_block)))
-        p = _tail_block(tail_in, bc, seed, lo, hi, use_vectors, n, draws).checkpoint(eager=True)
-        bc.destroy()  # one block is live at a time
-        parts = p if parts is None else parts.unionByName(p)
-
-    def st(p):
-        return F.when(F.col(f"{p}_h").isNotNull(), F.struct(F.col(f"{p}_h").alias("h"), F.col(f"{p}_pos").alias("pos"),
-                                                           F.col(f"{p}_key").alias("key")))
-
-    red = parts.groupBy("a").agg(
-        F.min(st("n")).alias("yt"),
-        F.array_sort(F.flatten(F.collect_list(F.filter(F.array(st("f1"), st("f2")), lambda x: x.isNotNull()))))
-        .alias("fars"))  # at most 2 entries per block
-    j = tail_in.select("a", "x_key", "y_pos", "y_key", "z_pos", "z_key").join(red, "a")
-    y_pos = F.coalesce(F.col("y_pos"), F.col("yt.pos"))
-    y_key = F.when(F.col("y_pos").isNotNull(), F.col("y_key")).otherwise(F.col("yt.key"))
-    zt = F.get(F.filter(F.col("fars"), lambda s: s["pos"] != F.coalesce(y_pos, F.lit(-1))), 0)
-    z_pos = F.when(F.col("z_pos").isNotNull(), F.col("z_pos")).otherwise(zt["pos"])
-    z_key = F.when(F.col("z_pos").isNotNull(), F.col("z_key")).otherwise(zt["key"])
-    out = j.select("a", "x_key", y_pos.alias("y_pos"), y_key.alias("y_key"), z_pos.alias("z_pos"), z_key.alias("z_key"))
-    return out.filter(F.col("y_pos").isNotNull() & F.col("z_pos").isNotNull())
+def _located(picks: DataFrame, directory: DataFrame, salts: DataFrame) -> DataFrame:
+    """``picks`` (``a, x_key, role, idx, …``) with the ``block`` that holds the idx-th row of the role and the row's index
+    ``at`` in it: picks and the running counts of a key's blocks are merged in one sorted pass, a hot key in several."""
+    start = F.sum("cnt").over(Window.partitionBy("x_key", "role").orderBy("block")) - F.col("cnt")
+    marks = directory.withColumn("v", start).join(salts, "x_key").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    marks = marks.select("x_key", "role", "salt", "v", F.lit(0).alias("kind"), "block", F.col("v").alias("first"))
+    asked = picks.join(salts, "x_key").withColumn("salt", F.pmod(F.col("a"), F.col("salts"))).drop("salts")
+    asked = asked.withColumn("v", F.col("idx")).withColumn("kind", F.lit(1))
+    run = Window.partitionBy("x_key", "role", "salt").orderBy("v", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    merged = (asked.unionByName(marks, allowMissingColumns=True).withColumn("block", F.last("block", ignorenulls=True).over(run))
+              .withColumn("at", F.col("v") - F.last("first", ignorenulls=True).over(run)))
+    return merged.filter("kind = 1").drop("kind", "salt", "v", "first", "idx")
+
+
+def _by_lists(unresolved: DataFrame, rows: DataFrame, seed: int, lo: float, hi: float) -> DataFrame:
+    """Attempts (``a, x_key, x_vec`` and what they have of ``y_pos, y_key, y_far, z_pos, z_key``) with y and z; an
+    attempt whose x lacks a row for either drops out."""
+    open_ = unresolved.checkpoint(eager=True)
+    keys = open_.groupBy("x_key").agg(F.first("x_vec").alias("vec"), F.ceil(F.count(F.lit(1)) / LIST_GROUP).cast("long").alias("salts"))
+    keys = keys.checkpoint(eager=True)
+    counts = block_counts(pack_keys(keys.select(F.col("x_key").alias("key"), "vec")), rows, lo, hi, per_block=True, extremes=False)
+    counts = counts.withColumnRenamed("key", "x_key").checkpoint(eager=True)
+    totals = counts.groupBy("x_key").agg(*[F.sum(f"n_{c}").alias(f"t_{c}") for c in ("near", "far", "both")]).checkpoint(eager=True)
+    n_keys = totals.count()
+    totals = checked_broadcast(totals, n_keys, 64)
+    salts = checked_broadcast(keys.select("x_key", "salts"), n_keys, 64)
+    roles = {"near": F.col("n_near"), "far": F.col("n_far"), "both": F.col("n_both"), "farther": F.col("n_far") - F.col("n_both")}
+    directory = counts.select("x_key", "block", F.explode(F.array(*[F.struct(F.lit(r).alias("role"), c.alias("cnt")) for r, c in roles.items()])).alias("e"))
+    directory = directory.select("x_key", "block", "e.role", "e.cnt").filter("cnt > 0")
+
+    def found(picks: DataFrame) -> DataFrame:
+        return pick(_located(picks, directory, salts), rows, lo, hi)
+
+    at = open_.join(totals, "x_key").withColumn("no_y", F.col("y_pos").isNull())  # an x without near or far rows drops out
+    at = at.filter((~F.col("no_y") | (F.col("t_near") > 0)) & (F.col("z_pos").isNotNull() | (F.col("t_far") > 0)))
+    first = at.filter("no_y").select("a", "x_key", "x_vec", F.lit("near").alias("role"), seeded_choice(F.col("t_near"), seed, "ty", F.col("a")).alias("idx"))
+    ys = found(first).select("a", F.col("pos").alias("p"), F.col("key").alias("k"), F.col("is_far").alias("f"))
+    at = (at.join(ys, "a", "left").withColumn("y_pos", F.coalesce("y_pos", "p")).withColumn("y_key", F.when(F.col("no_y"), F.col("k")).otherwise(F.col("y_key")))
+          .withColumn("y_far", F.when(F.col("no_y"), F.col("f")).otherwise(F.col("y_far")).cast("long")).drop("p", "k", "f")).checkpoint(eager=True)
+    b, o = F.col("t_both") - F.col("y_far"), F.col("t_far") - F.col("t_both")
+    among = F.when(~F.col("no_y"), F.lit("far")).when(b + o == 0, F.lit(None)).when(
+        seeded_choice(F.greatest((b + o) * (b + o + 1), F.lit(1)), seed, "tc", F.col("a")) < b * (b + 1), F.lit("both")).otherwise(F.lit("farther"))
+    zs = at.filter("z_pos is null").withColumn("role", among).withColumn("without", F.when(F.col("role") == "farther", F.lit(0)).otherwise(F.col("y_far")))
+    zs = zs.withColumn("size", F.when(F.col("role") == "far", F.col("t_far")).when(F.col("role") == "both", F.col("t_both")).otherwise(o))
+    zs = zs.filter(F.col("role").isNotNull() & (F.col("size") > F.col("without")))
+    # uniform over the list without y: an index below the size without it; where that is y itself, the last row instead
+    idx = seeded_choice(F.col("size") - F.col("without"), seed, "tz", F.col("a"))
+    tries = F.array(F.struct(F.lit(0).alias("n"), idx.alias("idx")), F.struct(F.lit(1).alias("n"), (F.col("size") - 1).alias("idx")))
+    asked = zs.withColumn("t", F.explode(F.slice(tries, F.lit(1), F.lit(1) + F.col("without").cast("int"))))
+    asked = asked.select((F.col("a") * 2 + F.col("t.n")).alias("a"), "x_key", "x_vec", "role", "t.idx")
+    got = found(asked).select(F.shiftright("a", 1).alias("a"), F.struct(F.pmod("a", F.lit(2)).alias("n"), "pos", "key").alias("z"))
+    got = got.join(at.select("a", F.col("y_pos").alias("not")), "a").filter(F.col("z.pos") != F.col("not"))
+    got = got.groupBy("a").agg(F.min("z").alias("z"))
+    out = at.join(got, "a", "left").withColumn("zk", F.when(F.col("z_pos").isNotNull(), F.col("z_key")).otherwise(F.col("z.key")))
+    out = out.select("a", "x_key", "y_pos", "y_key", F.coalesce("z_pos", F.col("z.pos")).alias("z_pos"), F.col("zk").alias("z_key"))
+    return out.filter("y_pos is not null and z_pos is not null")
 
 
 def draw_triplets(cand: DataFrame, n_items: int, euclid_min: float | None = None, euclid_max: float | None = None,
@@ -219,9 +185,17 @@ def draw_triplets(cand: DataFrame, n_items: int, euclid_min: float | None = None
 
     ``cand``: ``(pos, key, vec)`` with dense ``pos`` 0..n-1 (see :func:`candidates`).
     Returns ``STIMULI_COLS`` (distances NULL for the unconstrained draw)."""
-    spark = cand.sparkSession
-    ship_package(spark)  # the tail runs in Python workers
     cand = cand.select("pos", "key", "vec").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _draw(cand, n_items, euclid_min, euclid_max, seed, draws, max_attempts, use_vectors, n_rows)
+    finally:
+        cand.unpersist()
+
+
+def _draw(cand: DataFrame, n_items: int, euclid_min: float | None, euclid_max: float | None, seed: int, draws: int,
+          max_attempts: int | None, use_vectors: bool, n_rows: int | None) -> DataFrame:
+    spark = cand.sparkSession
+    ship_package(spark)  # distances of blocks are computed in Python workers
     stats = cand.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()  # one job
     n = n_rows if n_rows is not None else stats["n"]
     dim = (stats["dim"] or 0) if use_vectors else 0
@@ -236,7 +210,7 @@ def draw_triplets(cand: DataFrame, n_items: int, euclid_min: float | None = None
         possible = feasible_rows(cand, lo, hi, use_vectors, n, dim)
         if n and not possible[1]:
             raise ValueError("no key has two rows of other keys to draw from")
-    waves, done, a0, wave = [], 0, 0, n_items
+    waves, done, a0, wave, packed = [], 0, 0, n_items, None
     missing = F.col("y_pos").isNull() | F.col("z_pos").isNull()
     first = min(FIRST_STAGE, draws)
     while done < n_items and n > 0:
@@ -247,7 +221,14 @@ def draw_triplets(cand: DataFrame, n_items: int, euclid_min: float | None = None
         # staged draws, same result as evaluating all `draws` at once: when y and z are found among
         # the first `first` draws they are also the first among all draws.  Stage results are
         # checkpointed (shared folder): later steps read them instead of re-running the draws.
-        res = _draw_phase(att, cand_b, n, seed, first, lo, hi, use_vectors).checkpoint(eager=True)
+        if first:
+            res = _draw_phase(att, cand_b, n, seed, first, lo, hi, use_vectors).checkpoint(eager=True)
+        else:
+            # NULLs, but no literal ones: a checkpoint keeps what the optimizer knows of a column, and it would still
+            # take y and z for NULL after they are found
+            none = F.when(F.col("a") < 0, F.lit(0))
+            res = att.select("a", "x_pos", "x_key", *[none.cast(t).alias(c) for c, t in (
+                ("y_pos", "long"), ("y_key", "string"), ("y_far", "boolean"), ("z_pos", "long"), ("z_key", "string"))])
         resolved = res.filter(~missing)
         unresolved = res.filter(missing)
         if first < draws and not unresolved.isEmpty():
@@ -257,7 +238,11 @@ def draw_triplets(cand: DataFrame, n_items: int, euclid_min: float | None = None
             unresolved = res2.filter(missing)
         ok = resolved.select("a", "x_key", "y_pos", "y_key", "z_pos", "z_key")
         if not unresolved.isEmpty():
-            ok = ok.unionByName(_tail(spark, cand, unresolved, xs_b, seed, lo, hi, use_vectors, n, draws, dim))
+            none = F.array().cast("array<double>")  # without vectors every row of another key is near and far
+            if packed is None:
+                packed = pack_rows(cand if use_vectors else cand.withColumn("vec", none))
+            rest = unresolved.join(xs_b.select("x_pos", (F.col("x_vec") if use_vectors else none).alias("x_vec")), "x_pos").drop("x_pos")
+            ok = ok.unionByName(_by_lists(rest, packed, seed, lo if use_vectors else math.inf, hi if use_vectors else -1.0))
         if use_vectors:  # as in the reference, only the draw with vectors looks at empty keys
             ok = ok.filter((F.col("y_key") != "") & (F.col("z_key") != ""))
         ok = ok.checkpoint(eager=True)
@@ -305,9 +290,7 @@ def draw_triplets(cand: DataFrame, n_items: int, euclid_min: float | None = None
     # materialise the n_items stimuli once in the shared checkpoint folder: every consumer
     # (render, score, export) reads them back instead of re-running the waves
     ensure_checkpoint_dir(spark)
-    result = out.checkpoint(eager=True)
-    cand.unpersist()
-    return result
+    return out.checkpoint(eager=True)
 
 
 def _stimuli_schema():

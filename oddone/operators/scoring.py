@@ -4,8 +4,10 @@
 consecutive batches of ``batch_size``.  The ranking's range partitions hold contiguous runs of batches, so the
 scorer runs there, once per batch, over Arrow batches.  A batch that a partition boundary cuts is left out by
 both sides and scored in a second pass, which gets those very rows, dealt by batch: no prompt is looked up
-again by a user's key, so NULL and repeated ids are safe.  Both passes are checkpointed, so later actions never
-call the model again.  Prompt text before and cleaning and choice after are built-in column expressions.
+again by a user's key, so NULL and repeated ids are safe.  Prompts are shuffled once, ranked and counted in the same
+job.  Both passes are checkpointed, so later actions never call the model again; they keep the answers, and
+prompts only of rows that wait for the second pass.  Prompt text before and cleaning and choice after are built-in
+column expressions.
 
 Scorer contract (any Python callable, one call per batch):
 
@@ -13,18 +15,20 @@ Scorer contract (any Python callable, one call per batch):
 * ``mode="logits"``: ``scorer(batch) -> pandas.DataFrame`` with ``lp_y1, lp_z1, y_tok, z_tok``
 
 The batch frame holds ``id, text, head, y, z, batch_id, batch_pos`` plus any ``pass_cols``; with ``chat=True`` also
-``messages``, the user turn for the model's chat template.  The scorer is pickled to the workers: define it in a
-module the workers can import (or inline, so it is sent by value).
+``messages``, the user turn for the model's chat template; an image column goes along as one of the ``pass_cols``.  The
+scorer is pickled to the workers: define it in a module the workers can import (or inline, so it is sent by value).
+A model that takes time to load is wrapped as ``LoadOnce(factory)``.
 """
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,20 +42,39 @@ MODES = ("tokens", "logits")
 
 
 def batch_ids(df: DataFrame, id_col: str, text_col: str, batch_size: int,
-              use_length_bucketing: bool = True) -> DataFrame:
+              use_length_bucketing: bool = True, len_col: str | None = None, counted: Observation | None = None) -> DataFrame:
     """``batch_id``/``batch_pos``: rank in (length(text), id) order (or id order), cut by batch_size.  Rows that tie
-    (NULL or repeated ids) are numbered as they stand in the checkpointed order: each once."""
+    (NULL or repeated ids) are numbered as they stand in the checkpointed order: each once.  With ``len_col`` the lengths
+    are there already and ``df`` needs no texts.  ``counted`` gets the number of rows, ``n``."""
     if batch_size < 1:
         raise ValueError(f"a batch needs at least one prompt, not {batch_size}")
-    keyed = df.withColumn("_len", F.length(text_col)) if use_length_bucketing else df
+    keyed = df.withColumn("_len", F.col(len_col) if len_col else F.length(text_col)) if use_length_bucketing else df
     order = ["_len", id_col] if use_length_bucketing else [id_col]
-    ranked = dense_index(keyed, order, "_ord")
+    ranked = dense_index(keyed, order, "_ord", counted=counted)
     out = (ranked.withColumn("batch_id", F.floor(F.col("_ord") / batch_size).cast("long"))
            .withColumn("batch_pos", F.pmod(F.col("_ord"), F.lit(batch_size)).cast("long"))
            .drop("_ord"))
     return out.drop("_len") if use_length_bucketing else out
 
 
+#: The model that this worker process holds: that of the last :class:`LoadOnce` it ran.
+_LOADED: dict[str, Callable] = {}
+
+
+class LoadOnce:
+    """A scorer whose model is set up once per worker process: ``factory()`` returns the scorer proper and is called with
+    the first batch; later batches and tasks of the process use the same.  A process holds one model at a time."""
+
+    def __init__(self, factory: Callable[[], Callable]):
+        self.factory, self.key = factory, uuid.uuid4().hex
+
+    def __call__(self, batch: pd.DataFrame):
+        if self.key not in _LOADED:
+            _LOADED.clear()
+            _LOADED[self.key] = self.factory()
+        return _LOADED[self.key](batch)
+
+
 def batch_progress(batched: DataFrame, batch_size: int, n_total: int | None = None) -> DataFrame:
     """Per batch: its size and prompts processed once it has run.  Batches are dense and full
     except the last, so the running total is ``min((batch_id + 1) * batch_size, n)`` — no window."""
@@ -138,22 +161,24 @@ def score_prompts(df: DataFrame, scorer: Callable, mode: str = "tokens", batch_s
     base = df.select(F.col(id_col).alias("id"), text.alias("text"), F.col(head_col).cast("string").alias("head"),
                      F.col(y_col).cast("string").alias("y"), F.col(z_col).cast("string").alias("z"), *extra, *pass_cols)
     passed = base.columns[5 + len(extra):]
-    batched = batch_ids(base, "id", "text", batch_size, use_length_bucketing).sortWithinPartitions("batch_id", "batch_pos")
-    n_total = base.count()
+    counted = Observation()
+    batched = batch_ids(base, "id", "text", batch_size, use_length_bucketing, counted=counted).sortWithinPartitions("batch_id", "batch_pos")
     out = T.StructType([*batched.schema.fields, *T.StructType.fromDDL(_RESULT_SQL[mode] + ", done boolean").fields])
-    first = batched.mapInArrow(_runner(scorer, mode, n_total, batch_size, True), out).checkpoint(eager=True)
-    cut = first.filter(~F.col("done")).drop("done", *[n for n, _ in _RESULT[mode]])
-    cut = cut.repartition("batch_id").sortWithinPartitions("batch_id", "batch_pos")
-    second = cut.mapInArrow(_runner(scorer, mode, n_total, batch_size, False), out).checkpoint(eager=True)
-    scored = first.filter("done").unionByName(second)
-    if mode == "tokens":
-        if vision:
-            cleaned = strip_think(strip_label(F.col("raw")))
+    answer = ["raw_generation"] if mode == "tokens" else ["lp_y1", "lp_z1", "y_tok", "z_tok"]
+
+    def one_pass(rows: DataFrame, edges: bool) -> DataFrame:
+        """Scored and resolved in one job; prompts are kept of rows left for the second pass only."""
+        scored = rows.mapInArrow(_runner(scorer, mode, counted.get["n"], batch_size, edges), out)
+        if mode == "tokens":
+            cleaned = strip_think(strip_label(F.col("raw"))) if vision else clean_generation(F.col("text"), F.col("raw"), strip_prompt_echo)
+            scored = scored.withColumn("raw_generation", cleaned)
+            winner, loser = resolve_choice(match_first(F.col("raw_generation"), F.col("y"), F.col("z")), F.col("y"), F.col("z"))
         else:
-            cleaned = clean_generation(F.col("text"), F.col("raw"), strip_prompt_echo)
-        scored = scored.withColumn("raw_generation", cleaned)
-        w, l_ = resolve_choice(match_first(F.col("raw_generation"), F.col("y"), F.col("z")), F.col("y"), F.col("z"))
-        return scored.select("id", "batch_id", "head", w.alias("winner"), l_.alias("loser"), "raw_generation", *passed)
-    w, l_ = logprob_choice(F.col("lp_y1"), F.col("lp_z1"), F.col("y"), F.col("z"))
-    return scored.select("id", "batch_id", "head", w.alias("winner"), l_.alias("loser"),
-                         "lp_y1", "lp_z1", "y_tok", "z_tok", *passed)
+            winner, loser = logprob_choice(F.col("lp_y1"), F.col("lp_z1"), F.col("y"), F.col("z"))
+        left = [F.when(~F.col("done"), F.col(c)).alias(c) for c in ("text", "y", "z", *(["messages"] if chat else []))]
+        return scored.select("id", "head", *left, *passed, "batch_id", "batch_pos", winner.alias("winner"), loser.alias("loser"), *answer, "done").checkpoint(eager=True)
+
+    first = one_pass(batched, True)
+    cut = first.filter(~F.col("done")).select(*batched.columns).repartition("batch_id").sortWithinPartitions("batch_id", "batch_pos")
+    scored = first.filter("done").unionByName(one_pass(cut, False))
+    return scored.select("id", "batch_id", "head", "winner", "loser", *answer, *passed)

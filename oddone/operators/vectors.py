@@ -3,21 +3,18 @@
 * :func:`zip_matrix`   positional join of concept rows and matrix rows (truncates to the shorter)
 * :func:`first_vector` first vector per key (the smallest ``row_idx`` wins)
 * :func:`candidates`   every concept row (position) with its key's vector, or NULL
-* :func:`near_far_counts` per distinct key: how many candidate rows are near / far,
-  computed block-wise in numpy against a size-checked broadcast matrix (no pair rows)
+* :func:`near_far_counts` per distinct key: how many candidate rows are near / far, by blocks (no pair rows)
 * :func:`triplet_distances` distances for given (a, b, c) rows via equi-joins
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oddone.functions.vectors import euclid
-from oddone.operators.joins import broadcast_limit, checked_broadcast
-from oddone.session import ensure_checkpoint_dir, ship_package
+from oddone.operators.distances import COUNTS, block_counts, pack_keys, pack_rows
+from oddone.operators.joins import checked_broadcast
 
 
 def zip_matrix(concepts: DataFrame, matrix: DataFrame, key_col: str = "key") -> DataFrame:
@@ -27,7 +24,9 @@ def zip_matrix(concepts: DataFrame, matrix: DataFrame, key_col: str = "key") ->
 
 def zip_lengths(concepts: DataFrame, matrix: DataFrame) -> dict:
     """Row counts of both sides and the mismatch flag the reference warns about."""
-    nc, nm = concepts.count(), matrix.count()
+    sides = concepts.select(F.lit("c").alias("side")).unionByName(matrix.select(F.lit("m").alias("side")))
+    rows = {r["side"]: r["count"] for r in sides.groupBy("side").count().collect()}  # one job for both
+    nc, nm = rows.get("c", 0), rows.get("m", 0)
     return {"concept_rows": nc, "matrix_rows": nm, "mismatch": nc != nm}
 
 
@@ -46,65 +45,24 @@ def candidates(concepts: DataFrame, vectors: DataFrame | None, key_col: str = "k
     return c.join(vectors.select(F.col(key_col).cast("string").alias("key"), "vec"), "key", "left")
 
 
-def _collect_block(cand: DataFrame, b0: int, b1: int):
-    """Candidate rows ``b0 <= pos < b1`` as numpy arrays (callers size blocks to the broadcast limit)."""
-    pdf = cand.filter((F.col("pos") >= b0) & (F.col("pos") < b1)).select("pos", "key", "vec").orderBy("pos").toPandas()
-    has = pdf["vec"].notna().to_numpy()
-    dim = len(next(v for v in pdf["vec"] if v is not None)) if has.any() else 0
-    mat = np.zeros((len(pdf), dim), dtype=np.float64)
-    for i, v in enumerate(pdf["vec"]):
-        if v is not None:
-            mat[i] = np.asarray(v, dtype=np.float64)
-    codes, names = pd.factorize(pdf["key"])  # NULL is -1
-    return (pdf["pos"].to_numpy().astype(np.int64), pdf["key"].astype(object).to_numpy(), has, mat, codes,
-            {k: i for i, k in enumerate(names)})
-
-
 def matrix_row_bytes(dim: int) -> int:
     return 8 * dim + 64
 
 
-def near_far_counts(cand: DataFrame, euclid_min: float, euclid_max: float, n_rows: int | None = None,
-                    dim: int | None = None, among: DataFrame | None = None) -> DataFrame:
+def near_far_counts(cand: DataFrame, euclid_min: float, euclid_max: float, among: DataFrame | None = None, by: str = "pos",
+                    with_pairs: bool = False) -> DataFrame:
     """Per distinct key with a vector: candidate rows (other keys, with vectors), how many are
     near (``dist < euclid_min``), far (``dist > euclid_max``) and both, plus min/max distance.
 
-    The candidate rows are broadcast in blocks sized to the broadcast limit (one block when the
-    table fits); each task takes a slice of the distinct keys and computes their distances to the
-    block in numpy, so the n x n distances never become DataFrame rows.  Block partials are summed
-    per key; a block is dropped before the next is collected.  ``among`` restricts the rows counted."""
-    spark = cand.sparkSession
-    ship_package(spark)
-    ensure_checkpoint_dir(spark)
-    n_rows = n_rows if n_rows is not None else cand.count()
-    if dim is None:
-        first = cand.filter(F.col("vec").isNotNull()).select(F.size("vec")).first()
-        dim = first[0] if first else 0
-    rows_per_block = max(1, broadcast_limit(spark) // matrix_row_bytes(dim))
-    lo, hi = float(euclid_min), float(euclid_max)
-    xs = cand.filter(F.col("vec").isNotNull()).groupBy("key").agg(F.first("vec").alias("vec"))
-    schema = "key string, n_cand long, n_near long, n_far long, n_both long, min_dist double, max_dist double"
-    parts = None
-    for b0 in range(0, n_rows, rows_per_block):
-        bc = spark.sparkContext.broadcast(_collect_block(cand if among is None else among, b0, min(n_rows, b0 + rows_per_block)))
-
-        def per_block(batches, bc=bc):
-            _pos, _keys, has_b, mat_b, codes_b, code_of = bc.value
-            for pdf in batches:
-                out = []
-                for key, vec in zip(pdf["key"], pdf["vec"]):
-                    d = np.sqrt(((mat_b - np.asarray(vec, dtype=np.float64)) ** 2).sum(axis=1))
-                    dd = d[has_b & (codes_b != code_of.get(key, -2))]
-                    near, far = dd < lo, dd > hi
-                    out.append((key, int(dd.size), int(near.sum()), int(far.sum()), int((near & far).sum()),
-                                float(dd.min()) if dd.size else None, float(dd.max()) if dd.size else None))
-                yield pd.DataFrame(out, columns=["key", "n_cand", "n_near", "n_far", "n_both", "min_dist", "max_dist"])
-
-        p = xs.mapInPandas(per_block, schema).checkpoint(eager=True)
-        bc.destroy()  # one block is live at a time
-        parts = p if parts is None else parts.unionByName(p)
-    return parts.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n_cand", "n_near", "n_far", "n_both")],
-                                    F.min("min_dist").alias("min_dist"), F.max("max_dist").alias("max_dist"))
+    Key blocks and row blocks meet in the cells of a grid (:mod:`oddone.operators.distances`): no pair becomes a row and
+    nothing passes the driver.  ``among`` restricts the rows counted; ``by="pivot"`` packs rows by nearest pivot, so
+    that most blocks of clustered vectors are counted whole.  ``with_pairs`` adds ``pairs`` and ``skipped`` (of them,
+    settled by their block's bounds): sum them over all keys for the share."""
+    keys = pack_keys(cand.filter("key is not null and vec is not null").groupBy("key").agg(F.first("vec").alias("vec")))
+    parts = block_counts(keys, pack_rows(cand if among is None else among, by), euclid_min, euclid_max)
+    sums = [*COUNTS, "pairs", "skipped"] if with_pairs else COUNTS
+    return parts.groupBy("key").agg(*[F.sum(c).alias(c) for c in COUNTS], F.min("min_dist").alias("min_dist"), F.max("max_dist").alias("max_dist"),
+                                    *[F.sum(c).alias(c) for c in sums if c not in COUNTS])
 
 
 def with_vectors(df: DataFrame, vecs: DataFrame, cols: list[str], n_vec_rows: int | None = None,

@@ -9,19 +9,23 @@
 
 from __future__ import annotations
 
+import itertools
 import warnings
+from concurrent.futures import ThreadPoolExecutor
 from typing import Callable
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddone.functions.prompts import render_template
+from oddone.functions.text import safe_name
 from oddone.operators.embedding import item_index, map_lenient, split_train_test
 from oddone.operators.fitting import embedding_frame, fit, heldout_accuracy
 from oddone.operators.sampling import draw_triplets, shuffle_yz, subset_k
 from oddone.operators.scoring import score_prompts
 from oddone.operators.vectors import candidates, first_vector, zip_lengths, zip_matrix
-from oddone.operators.manifest import dangling, manifest_args, resolve
+from oddone.operators.manifest import args_map, dangling, resolve
 from oddone.sinks.writers import write_embedding
 
 
@@ -78,23 +82,41 @@ def embedding_run(answers: DataFrame, d: int = 10, max_epochs: int = 50, seed: i
     return embedding_frame(model, idx, d, keys), heldout_accuracy(trip.filter("is_test"), model, d, keys)
 
 
-def run_manifest(spark: SparkSession, parsed: DataFrame, models: DataFrame, experiments: DataFrame,
-                 registry: dict[str, Callable]) -> list:
-    """Resolve every line; fail early on dangling references; call ``registry[experiment]`` per line
-    with the model row, experiment row and the line's key=value arguments (manifests are small)."""
-    bad = dangling(parsed, models, experiments)
-    n_bad = bad.count()
-    if n_bad:
-        first = bad.orderBy("line_no").first()
-        raise ValueError(f"{n_bad} manifest lines have dangling references, the first is line {first['line_no']} "
-                         f"({first['reason']}); manifest.dangling() gives all")
-    args = manifest_args(parsed).groupBy("line_no").agg(F.map_from_entries(
-        F.collect_list(F.struct("key", "value"))).alias("kwargs"))
-    lines = resolve(parsed, models, experiments).join(args, "line_no", "left").orderBy("line_no").collect()
-    results = []
-    for row in lines:
-        fn = registry[row["experiment"]]
-        results.append(fn(row, **(row["kwargs"] or {})))
+def run_manifest(spark: SparkSession, parsed: DataFrame, models: DataFrame, experiments: DataFrame, stimuli: DataFrame,
+                 registry: dict[str, Callable], parallel: int = 1) -> list:
+    """Refuse the whole manifest on a dangling reference; then call ``registry[experiment]`` per line with the model,
+    experiment and stimulus row and the line's key=value arguments.  Returns what the calls returned, in line order.
+
+    ``parallel`` lines run at a time (their jobs share the cluster).  A line that fails does not stop the others; when
+    all have ended, an :class:`ExceptionGroup` of the failures is raised, each with its line number as a note, and the
+    results as ``results`` (None where a line failed).  Lines come to the driver one by one, as they are started."""
+    bad = dangling(parsed, models, experiments, stimuli)
+    first = bad.orderBy("line_no").limit(1).collect()
+    if first:
+        raise ValueError(f"the manifest has dangling references, the first is line {first[0]['line_no']} "
+                         f"({first[0]['reason']}); manifest.dangling() gives all")
+    unknown = parsed.select("experiment").distinct().filter(~F.col("experiment").isin(list(registry))).limit(1).collect()
+    if unknown:
+        raise ValueError(f"no function is registered for experiment {unknown[0]['experiment']!r}")
+    lines = resolve(parsed, models, experiments, stimuli).withColumn("kwargs", args_map(F.col("args"))).orderBy("line_no")
+    failures: list[Exception] = []
+
+    def one(row):
+        try:
+            return registry[row["experiment"]](row, **(row["kwargs"] or {}))
+        except Exception as failure:  # noqa: BLE001
+            failure.add_note(f"manifest line {row['line_no']}")
+            failures.append(failure)
+            return None
+
+    rows, results = lines.toLocalIterator(), []
+    with ThreadPoolExecutor(parallel) as pool:
+        while part := list(itertools.islice(rows, 64 * parallel)):
+            results += pool.map(inheritable_thread_target(spark)(one), part)
+    if failures:
+        group = ExceptionGroup(f"{len(failures)} of {len(results)} manifest lines failed", failures)
+        group.results = results
+        raise group
     return results
 
 
@@ -121,7 +143,8 @@ def embedding_for_model(spark: SparkSession, answers_path: str, version_dir: str
                         stimulus: str, d: int = 30, max_epochs: int = 1000, seed: int = 42,
                         out_path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """One fit over the answers of ``(version, model, stimulus)`` in the partitioned answers table;
-    partition filters prune the scan to that model's files."""
+    partition filters prune the scan to that model's files.  With ``out_path`` the embedding goes into the table there,
+    by version and (safe) model name."""
     if version_dir is None:
         raise ValueError("the model experiment needs version_dir=… in its manifest line")
     answers = (spark.read.parquet(answers_path)
@@ -129,5 +152,6 @@ def embedding_for_model(spark: SparkSession, answers_path: str, version_dir: str
                .select("head", "winner", "loser"))
     emb, accuracy = embedding_run(answers, d=d, max_epochs=max_epochs, seed=seed)
     if out_path is not None:
-        write_embedding(emb, f"{out_path.rstrip('/')}/{version_dir}/{model.replace('/', '_').replace(' ', '_')}")
+        named = emb.withColumns({"version": F.lit(version_dir), "model": safe_name(F.lit(model))})
+        write_embedding(named, out_path, partition_cols=("version", "model"))
     return emb, accuracy

@@ -2,22 +2,27 @@
 
 Row position is data for the concept table and the vector matrix (matrix row i belongs to
 concept row i), so both readers attach a dense ``row_idx`` in file order once, at ingest:
-order = (file path, block start, position inside the block), numbered by
-:func:`oddone.operators.indexing.dense_index` — no single-partition step.
+order = (file path, start of the byte range, position inside it).  The ranges are counted and
+their offsets joined back, one row per range; the rows themselves are not moved.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from oddone.operators.indexing import dense_index
+from oddone.operators.joins import checked_broadcast
+from oddone.session import ensure_checkpoint_dir
+from oddone.sources.records import RANGE_BYTES, numbered, parse, read_records
 
 ANSWER_TOKENS_SCHEMA = T.StructType([
     T.StructField("head", T.StringType()), T.StructField("winner", T.StringType()),
     T.StructField("loser", T.StringType()), T.StructField("raw_generation", T.StringType())])
 
+LINE_BYTES = 512  # estimate per manifest line for the broadcast check
+
 ANSWER_LOGITS_SCHEMA = T.StructType([
     T.StructField("head", T.StringType()), T.StructField("winner", T.StringType()),
     T.StructField("loser", T.StringType()), T.StructField("lp_y1", T.DoubleType()),
@@ -26,11 +31,16 @@ ANSWER_LOGITS_SCHEMA = T.StructType([
 
 
 def with_file_order(df: DataFrame, name: str = "row_idx") -> DataFrame:
-    """Dense 0-based row number in file order (path, block start, position in block)."""
-    tagged = df.select("*", F.col("_metadata.file_path").alias("_f"),
-                       F.col("_metadata.file_block_start").alias("_b"),
-                       F.monotonically_increasing_id().alias("_m"))
-    return dense_index(tagged, ["_f", "_b", "_m"], name).drop("_f", "_b", "_m")
+    """Dense 0-based row number in file order (path, range start, position in the range) for the rows of a text file
+    reader, also after a filter. Only the count of each byte range moves: no row is shuffled."""
+    tagged = df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"))
+    tagged = tagged.withColumn("_m", F.monotonically_increasing_id())  # rises by one from row to row of a range
+    ensure_checkpoint_dir(df.sparkSession)
+    ranges = tagged.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first")).checkpoint(eager=True)
+    before = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per byte range
+    offsets = ranges.select("_f", "_b", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_off"))
+    offsets = checked_broadcast(offsets, ranges.count(), RANGE_BYTES)
+    return tagged.join(offsets, ["_f", "_b"]).withColumn(name, F.col("_m") + F.col("_off")).drop("_f", "_b", "_m", "_off")
 
 
 def _csv(spark: SparkSession, path: str, columns: list[str], **options) -> DataFrame:
@@ -46,28 +56,35 @@ def _csv(spark: SparkSession, path: str, columns: list[str], **options) -> DataF
 
 
 def read_concepts(spark: SparkSession, path: str, columns: list[str], key_col: str) -> DataFrame:
-    """Concept table (CSV with header), the named columns as strings, plus ``row_idx`` and ``key``."""
-    df = with_file_order(_csv(spark, path, [*columns, key_col]))
-    return df.select(*columns, "row_idx", F.col(key_col).alias("key"))
+    """Concept table (CSV with header), the named columns as strings, plus ``row_idx`` and ``key``. A file is read by many
+    tasks, and its rows are numbered without being moved."""
+    header = _csv(spark, path, [*columns, key_col]).columns
+    df = numbered(parse(read_records(spark, path), header), "row_idx")
+    return df.select(*[F.col(f"cells.c{header.index(c)}").alias(c) for c in columns], "row_idx",
+                     F.col(f"cells.c{header.index(key_col)}").alias("key"))
 
 
-def parse_matrix_lines(lines: DataFrame, order: str | list = "line_no", value_col: str = "value") -> DataFrame:
-    """Whitespace float rows -> ``(row_idx, vec)``; ``#`` comments and blank lines skipped
-    (``numpy.loadtxt`` defaults).  Only the kept lines are numbered."""
+def _bodies(lines: DataFrame, value_col: str) -> DataFrame:
+    """The lines that are neither blank nor all comment, as ``_t`` (``numpy.loadtxt`` defaults)."""
     body = F.regexp_replace(F.regexp_replace(F.col(value_col), "#.*$", ""), "^\\s+|\\s+$", "")
+    return lines.withColumn("_t", body).filter(F.col("_t") != "")
+
+
+def _floats() -> Column:
+    return F.transform(F.split(F.col("_t"), "\\s+"), lambda x: x.cast("double")).alias("vec")
+
+
+def parse_matrix_lines(lines: DataFrame, order: str | list = "line_no", value_col: str = "value") -> DataFrame:
+    """Whitespace float rows of a table of lines -> ``(row_idx, vec)``; ``#`` comments and blank lines skipped.  Only the
+    kept lines are numbered, in the order given."""
     order = [order] if isinstance(order, str) else order
-    kept = lines.select(*order, body.alias("_t")).filter(F.col("_t") != "")
-    idx = dense_index(kept, order, "row_idx")
-    return idx.select("row_idx", F.transform(F.split(F.col("_t"), "\\s+"), lambda x: x.cast("double")).alias("vec"))
+    kept = _bodies(lines.select(*order, F.col(value_col).alias("_v")), "_v")
+    return dense_index(kept, order, "row_idx").select("row_idx", _floats())
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """Reference-vector text file -> ``(row_idx, vec ARRAY<DOUBLE>)``."""
-    lines = spark.read.text(path)
-    tagged = lines.select("value", F.col("_metadata.file_path").alias("_f"),
-                          F.col("_metadata.file_block_start").alias("_b"),
-                          F.monotonically_increasing_id().alias("_m"))
-    return parse_matrix_lines(tagged, ["_f", "_b", "_m"])  # numbered once, after the filter
+    """Reference-vector text file -> ``(row_idx, vec ARRAY<DOUBLE>)``; lines are numbered without being moved."""
+    return with_file_order(_bodies(spark.read.text(path), "value")).select("row_idx", _floats())
 
 
 def check_matrix(mat: DataFrame) -> None:
@@ -80,12 +97,22 @@ def check_matrix(mat: DataFrame) -> None:
 def read_answers(spark: SparkSession, path: str, logits: bool = False, run_from_file: bool = False) -> DataFrame:
     """Answer CSVs (header; quoted cells may hold newlines and doubled quotes).
     With ``run_from_file`` each file is a run named by its base name (folder mode).
-    Multi-line CSV cannot be split inside a file, so each file is one task: large answer sets
-    belong in the partitioned parquet table written by :func:`oddone.sinks.writers.write_answers`."""
+    A file of any size is read by many tasks (:mod:`oddone.sources.records`)."""
     schema = ANSWER_LOGITS_SCHEMA if logits else ANSWER_TOKENS_SCHEMA
-    df = _csv(spark, path, schema.names, pathGlobFilter="*.csv", recursiveFileLookup=False)
-    run = [run_name(F.col("_metadata.file_name")).alias("run")] if run_from_file else []
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema], *run)
+    only = {"pathGlobFilter": "*.csv", "recursiveFileLookup": "false"}
+    header = _csv(spark, path, schema.names, **only).columns
+    df = parse(read_records(spark, path, **only), header)
+    run = [run_name(F.url_decode(F.replace(F.regexp_extract("file", "[^/]*$", 0), F.lit("+"), F.lit("%2B")))).alias("run")] if run_from_file else []
+    return df.select(*[F.col(f"cells.c{header.index(f.name)}").cast(f.dataType).alias(f.name) for f in schema], *run)
+
+
+def read_results(spark: SparkSession, path: str, lines: DataFrame, keys: tuple = ("version", "model", "stimulus"), fmt: str = "parquet", **options) -> DataFrame:
+    """The rows of a table written by ``keys`` that belong to manifest ``lines``.  The lines are broadcast after a count, and
+    the scan is pruned to their partitions at run time."""
+    table = spark.read.format(fmt).options(**options).load(path)
+    wanted = lines.select(*[F.col(k).cast("string").alias(k) for k in keys]).distinct()
+    return table.withColumns({k: F.col(k).cast("string") for k in keys if dict(table.dtypes)[k] != "string"}).join(
+        checked_broadcast(wanted, wanted.count(), LINE_BYTES), list(keys))
 
 
 def run_name(file_name: Column) -> Column:
@@ -95,12 +122,7 @@ def run_name(file_name: Column) -> Column:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Text lines with their 1-based line number in file order (unterminated last line kept)."""
-    lines = spark.read.text(path)
-    tagged = lines.select("value", F.col("_metadata.file_path").alias("_f"),
-                          F.col("_metadata.file_block_start").alias("_b"),
-                          F.monotonically_increasing_id().alias("_m"))
-    return dense_index(tagged, ["_f", "_b", "_m"], "line_no").select(
-        (F.col("line_no") + 1).alias("line_no"), "value")
+    return with_file_order(spark.read.text(path), "line_no").select((F.col("line_no") + 1).alias("line_no"), "value")
 
 
 def read_config(spark: SparkSession, path: str, value_schema: str) -> DataFrame:

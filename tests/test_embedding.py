@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oddone.operators.embedding import item_index, map_lenient, split_train_test
-from oddone.operators.fitting import LOSSES, embedding_frame, fit, heldout_accuracy, item_gradients, triplet_terms
+from oddone.operators.fitting import LOSSES, embedding_frame, fit, fit_arrays, heldout_accuracy, item_gradients, triplet_terms
 
 
 def planted(n=40, d=2, k=3000, seed=0):
@@ -76,12 +76,49 @@ def test_loss_decreases_and_runs_equal_single_fits(spark):
         assert all(np.allclose(together[run, i], x) for i, x in alone.items()) and len(alone) == 12
 
 
+@pytest.mark.parametrize("loss", LOSSES)
+def test_fit_in_a_task_equals_the_epochs_as_jobs(spark, loss, monkeypatch):
+    monkeypatch.setattr("oddone.operators.fitting.CHUNK", 64)  # chunks sum up (on the driver; workers take the default)
+    X, T = planted(15, 3, 400)
+    train, items = frames(spark, T, 15)
+    epochs = {r.id: r for r in fit(train, items, 3, 6, lr=0.1, loss=loss, pack_triplets=0).collect()}
+    packed = {r.id: r for r in fit(train, items, 3, 6, lr=0.1, loss=loss).collect()}
+    start = np.array([r.x for r in sorted(fit(train, items, 3, 0).collect())])
+    arrays, total = fit_arrays(T[:, 0], T[:, 1], T[:, 2], start, 6, 0.1, loss)
+    assert set(epochs) == set(packed) == set(range(15))
+    for i in range(15):
+        assert np.allclose(epochs[i].x, packed[i].x, atol=1e-10) and np.allclose(arrays[i], packed[i].x, atol=1e-10)
+        assert abs(epochs[i].loss - packed[i].loss) < 1e-8 and abs(total[i] - packed[i].loss) < 1e-8
+
+
+def test_large_and_small_runs_share_a_fit(spark):
+    X, T = planted(12, 2, 300)
+    train, items = frames(spark, T, 12)
+    both = train.withColumn("run", F.lit("large")).unionByName(train.limit(90).withColumn("run", F.lit("small")))
+    runs = items.withColumn("run", F.explode(F.array(F.lit("large"), F.lit("small"))))
+    mixed = {(r.run, r.id): r.x for r in fit(both, runs, 2, 4, keys=("run",), pack_triplets=100).collect()}
+    packed = {(r.run, r.id): r.x for r in fit(both, runs, 2, 4, keys=("run",)).collect()}
+    assert len(mixed) == 24 and set(mixed) == set(packed) and all(np.allclose(mixed[k], packed[k]) for k in mixed)
+
+
+def test_a_shipped_number_of_epochs_takes_few_jobs(spark):
+    X, T = planted(20, 2, 1000)
+    train, items = frames(spark, T[:800], 20)
+    spark.sparkContext.setJobGroup("packed-fit", "500 epochs")
+    try:
+        model = fit(train, items, 2, 500, lr=0.05)
+        accuracy = heldout_accuracy(frames(spark, T[800:], 20)[0], model, 2).first().accuracy
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert accuracy > 0.9 and len(spark.sparkContext.statusTracker().getJobIdsForGroup("packed-fit")) < 50
+
+
 def test_fit_without_broadcast_and_errors(spark):
     X, T = planted(12, 2, 100)
     train, items = frames(spark, T, 12)
     spark.conf.set("oddone.broadcast.maxBytes", "10")
     try:
-        shuffled = {r.id: r.x for r in fit(train, items, 2, 3).collect()}
+        shuffled = {r.id: r.x for r in fit(train, items, 2, 3, pack_triplets=0).collect()}
     finally:
         spark.conf.unset("oddone.broadcast.maxBytes")
     assert all(np.allclose(shuffled[r.id], r.x) for r in fit(train, items, 2, 3).collect())

@@ -1,15 +1,20 @@
 """Sources and sinks on real files."""
 
+import bisect
+import csv
 import json
 import os
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from oddone.functions.runlog import format_line, parse_line
-from oddone.plans.runlog import RunLog, summarize
+from oddone.plans.runlog import RunLog, merge_sketches, sketch, summarize
 from oddone.sinks.writers import reference_export, write_answers, write_stimuli
 from oddone.sources.files import (EXP_SCHEMA, check_matrix, read_answers, read_concepts, read_config, read_lines,
                                   read_matrix)
+from oddone.sources.records import read_records
 
 
 def write(path, text):
@@ -31,7 +36,6 @@ def test_answers_csv_quotes_and_newlines(spark, tmp_dir):
 
 
 def test_columns_are_found_by_name(spark, tmp_dir):
-    import pytest
     write(os.path.join(tmp_dir, "a.csv"), "loser,raw_generation,head,winner\nc,t,a,b\n")
     r = read_answers(spark, tmp_dir).first()
     assert (r.head, r.winner, r.loser) == ("a", "b", "c")
@@ -90,7 +94,6 @@ def test_sinks(spark, tmp_dir):
 
 
 def test_timed_records_are_logged_and_errors_go_on(spark, tmp_dir):
-    import pytest
     path = os.path.join(tmp_dir, "log")
     with RunLog(spark, path) as log:
         assert log.wrap(lambda: 41 + 1, "ok_call")() == 42
@@ -103,7 +106,66 @@ def test_timed_records_are_logged_and_errors_go_on(spark, tmp_dir):
     assert {(r.name, r.ok): r.calls for r in summarize(table).collect()} == {("ok_call", True): 2, ("bad_call", False): 1}
     assert table.filter(~F.col("ok")).first().error.startswith("ZeroDivisionError")
     assert len([x for x in os.listdir(path) if x.endswith(".parquet")]) == 1  # one write for the batch
-    assert RunLog(spark).path.endswith("logs/timings")
+    with pytest.raises(KeyboardInterrupt), RunLog(spark, path) as log:  # an interrupted call has failed
+        log.wrap(lambda: (_ for _ in ()).throw(KeyboardInterrupt()), "stopped")()
+    assert spark.read.parquet(path).filter("name = 'stopped' and not ok").count() == 1
+
+
+def test_sketches_of_days_merge_within_their_error(spark):
+    log = spark.range(60_000).selectExpr("timestampadd(HOUR, int(id % 240), timestamp_ntz '2024-05-01 00:00:00') AS ts", "if(id % 3 = 0, 'a', 'b') AS name",
+                                         "id % 10 <> 0 AS ok", "pow(id * 7919 % 60013, 2) AS secs")
+    days = sketch(log)
+    assert days.count() == log.select("name", "ok", F.to_date("ts")).distinct().count() > 30 and days.filter("length(sketch) > 40000").count() == 0
+    merged = {(r.name, r.ok): r for r in merge_sketches(days).collect()}
+    for (name, ok), r in merged.items():
+        values = sorted(x.secs for x in log.filter((F.col("name") == name) & (F.col("ok") == ok)).select("secs").collect())
+        assert r.calls == len(values)
+        for q, got in ((0.5, r.p50), (0.95, r.p95), (0.99, r.p99)):
+            rank = bisect.bisect_right(values, got) / len(values)
+            assert got in (values[bisect.bisect_left(values, got)],) and abs(rank - q) < 0.01
+
+
+@pytest.mark.parametrize("cut", [7, 50, 4096])
+def test_records_equal_the_multi_line_reader(spark, tmp_dir, cut):
+    """Random quoted text with line ends, quotes and commas in its cells, read in ranges of a few bytes."""
+    r = random.Random(cut)
+    word = lambda: "".join(r.choice(['a', 'b', '"', '\n', ',', ' ', 'é', "'"]) for _ in range(r.randrange(12)))
+    for k in range(2):
+        with open(os.path.join(tmp_dir, f"r {k}+.csv"), "w", encoding="utf-8", newline="") as f:
+            w = csv.writer(f, lineterminator="\n")
+            w.writerow(["head", "winner", "loser", "raw_generation"])
+            w.writerows([[word() or "x", word(), word(), f"{k}:{i}:{word()}"] for i in range(60 if cut < 4096 else 2000)])
+    want = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(tmp_dir)
+    key = lambda rows: sorted(tuple(x or "" for x in r) for r in rows)
+    keep = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(cut))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = read_answers(spark, tmp_dir, run_from_file=True)
+        assert read_records(spark, tmp_dir).select("file", "block").distinct().count() > 2  # records begin in many ranges of a file
+        assert key(got.drop("run").collect()) == key(want.collect())
+        assert {(x.run, x.raw_generation[0]) for x in got.collect()} == {("r 0+", "0"), ("r 1+", "1")}
+        one = os.path.join(tmp_dir, "r 1+.csv")
+        rows = {x.row_idx: x.raw_generation for x in read_concepts(spark, one, ["raw_generation"], "head").collect()}
+        assert [int(rows[i].split(":")[1]) for i in range(len(rows))] == list(range(len(rows))) and len(rows) * 2 == want.count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", keep)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_readers_move_no_row_to_number_it(spark, tmp_dir):
+    m = write(os.path.join(tmp_dir, "m.txt"), "".join(f"{i} {i}\n" for i in range(3000)))
+    keep = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+        mat = read_matrix(spark, m)
+        assert mat.rdd.getNumPartitions() > 3
+        assert [tuple(r) for r in mat.orderBy("row_idx").collect()] == [(i, [float(i)] * 2) for i in range(3000)]
+        for df in (mat, read_lines(spark, m)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "Exchange rangepartitioning" not in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", keep)
 
 
 def test_log_lines_round_trip(spark):

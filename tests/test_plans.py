@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from conftest import SF001
@@ -9,8 +11,8 @@ from oddone.functions.prompts import TRIPLET_TEMPLATE
 from oddone.plans.experiments import embedding_run, run_manifest, stimuli_set, triplet_run
 from oddone.plans.metadata import display, model_arch
 from oddone.sinks.writers import write_answers
-from oddone.sources.files import read_answers, read_concepts, read_lines, read_matrix
-from oddone.operators.manifest import parse_manifest
+from oddone.sources.files import read_answers, read_concepts, read_lines, read_matrix, read_results
+from oddone.operators.manifest import dangling, parse_manifest, resolve
 
 
 def _files(spark, tmp_dir):
@@ -68,7 +70,8 @@ def test_run_manifest_and_metadata(spark, tmp_dir):
     parsed = parse_manifest(read_lines(spark, mpath))
     models = spark.createDataFrame([("m1", "org/m1", "tokens")], "name string, model_name string, choose_mode string")
     exps = spark.createDataFrame([("embedding_1_a", 30), ("triplet_run_1_a", None)], "name string, d int")
-    calls = run_manifest(spark, parsed, models, exps, {
+    stims = spark.createDataFrame([("THINGS", "concept")], "name string, src_key string")
+    calls = run_manifest(spark, parsed, models, exps, stims, {
         "embedding_1_a": lambda row, **kw: ("emb", row["model_name"], kw["version_dir"]),
         "triplet_run_1_a": lambda row, **kw: ("trip", kw["k"], kw["version_dir"])})
     assert calls == [("emb", "org/m1", "1a"), ("trip", "2", "1b")]
@@ -79,7 +82,6 @@ def test_run_manifest_and_metadata(spark, tmp_dir):
 
 
 def test_embedding_experiments_checks_and_pruning(spark, tmp_dir):
-    import pytest
     from oddone.plans.experiments import embedding_for_model, embedding_from_folder
     with pytest.raises(ValueError, match="version_dir"):
         embedding_from_folder(spark, None)
@@ -91,7 +93,7 @@ def test_embedding_experiments_checks_and_pruning(spark, tmp_dir):
     write_answers(ans, path, "1a", "m1", "THINGS")
     write_answers(ans.limit(5), path, "1a", "m2", "THINGS")
     emb, _ = embedding_for_model(spark, path, "1a", "m1", "THINGS", d=2, max_epochs=3, out_path=os.path.join(tmp_dir, "emb"))
-    assert emb.count() == 7 and spark.read.option("header", True).csv(os.path.join(tmp_dir, "emb", "1a", "m1")).count() == 7
+    assert emb.count() == 7 and spark.read.option("header", True).csv(os.path.join(tmp_dir, "emb", "version=1a", "model=m1")).count() == 7
     plan = (spark.read.parquet(path).filter("model = 'm1'")._jdf.queryExecution().executedPlan().toString())
     assert "PartitionFilters: [isnotnull(model" in plan
     folder = os.path.join(tmp_dir, "runs")
@@ -104,22 +106,62 @@ def test_embedding_experiments_checks_and_pruning(spark, tmp_dir):
     assert {r.run for r in out.select("run").distinct().collect()} == {"r1", "r2"}
 
 
-def test_run_manifest_refuses_dangling_lines(spark, tmp_dir):
-    import pytest
+def _manifest(spark, tmp_dir, text):
     mpath = os.path.join(tmp_dir, "w.txt")
     with open(mpath, "w") as f:
-        f.write("embedding_1_a m1 THINGS version_dir=1a\nembedding_1_a gemma-3-9b-it THINGS version_dir=1a\n")
-    parsed = parse_manifest(read_lines(spark, mpath))
-    models = spark.createDataFrame([("m1", "org/m1")], "name string, model_name string")
+        f.write(text)
+    models = spark.createDataFrame([("m1", "org/m1"), ("m2", "org/m2")], "name string, model_name string")
     exps = spark.createDataFrame([("embedding_1_a", 30)], "name string, d int")
+    stims = spark.createDataFrame([("THINGS", "concept")], "name string, src_key string")
+    return parse_manifest(read_lines(spark, mpath)), models, exps, stims
+
+
+@pytest.mark.parametrize("line, reason", [("embedding_1_a gemma-3-9b-it THINGS", "unknown model"), ("embedding_1_a m1 SHINGS", "unknown stimulus"),
+                                          ("embed m1 THINGS", "unknown experiment"), ("embedding_1_a", "unknown model")])
+def test_run_manifest_refuses_dangling_lines(spark, tmp_dir, line, reason):
     calls = []
-    with pytest.raises(ValueError, match="dangling"):
-        run_manifest(spark, parsed, models, exps, {"embedding_1_a": lambda row, **kw: calls.append(row)})
+    with pytest.raises(ValueError, match=f"dangling.*line 2 .{reason}"):
+        run_manifest(spark, *_manifest(spark, tmp_dir, f"embedding_1_a m1 THINGS version_dir=1a\n{line}\n"),
+                     {"embedding_1_a": lambda row, **kw: calls.append(row)})
     assert calls == []  # nothing ran
 
 
+def test_a_failing_line_does_not_stop_the_others(spark, tmp_dir):
+    def run(row, version_dir):
+        if version_dir == "1b":
+            raise KeyError("no such folder")
+        return row["model_name"], row["src_key"], version_dir
+
+    given = _manifest(spark, tmp_dir, "".join(f"embedding_1_a m{1 + i % 2} THINGS version_dir=1{c}\n" for i, c in enumerate("abcd")))
+    with pytest.raises(ExceptionGroup, match="1 of 4") as failed:
+        run_manifest(spark, *given, {"embedding_1_a": run}, parallel=3)
+    assert failed.value.results == [("org/m1", "concept", "1a"), None, ("org/m1", "concept", "1c"), ("org/m2", "concept", "1d")]
+    assert failed.value.exceptions[0].__notes__ == ["manifest line 2"]
+    with pytest.raises(ValueError, match="no function is registered"):
+        run_manifest(spark, *given, {})
+
+
+def test_batteries_are_broadcast(spark, tmp_dir):
+    parsed, models, exps, stims = _manifest(spark, tmp_dir, "embedding_1_a m1 THINGS version_dir=1a\n")
+    for df in (resolve(parsed, models, exps, stims), dangling(parsed, models, exps, stims)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") >= 3 and "SortMergeJoin" not in plan and "BuildLeft" not in plan
+
+
+def test_a_rerun_leaves_one_copy_and_reads_prune(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "answers")
+    rows = spark.createDataFrame([(f"a{i}", "b", "c", f"m{i % 3}") for i in range(30)], "head string, winner string, loser string, model string")
+    for _ in range(2):
+        write_answers(rows, path, version="1a", stimulus="THINGS")
+    write_answers(rows.filter("model = 'm1'").limit(4).drop("model"), path, "1a", "m1", "THINGS")
+    lines = parse_manifest(spark.createDataFrame([(1, "e m0 THINGS version_dir=1a"), (2, "e m1 THINGS version_dir=1a"), (3, "x m2 THINGS version_dir=1a")],
+                                                 "line_no long, value string")).filter("experiment = 'e'")
+    got = read_results(spark, path, lines)
+    assert {(r.model, r["count"]) for r in got.groupBy("model").count().collect()} == {("m0", 10), ("m1", 4)}
+    assert "dynamicpruning" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
-    import pytest
     from oddone import session
 
     class Context:

@@ -1,13 +1,16 @@
 """Triplet sampling: exact law against enumeration, properties, edge cases."""
 
+import functools
 import itertools
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from oddone.operators import distances, sampling
 from oddone.operators.sampling import draw_triplets, shuffle_yz, subset_k
-from oddone.operators.vectors import candidates, first_vector, zip_matrix
+from oddone.operators.vectors import candidates, first_vector, near_far_counts, zip_matrix
 
 
 def cand_df(spark, keys, vecs):
@@ -116,36 +119,105 @@ def test_subset_and_shuffle(spark):
     assert kept == 0
 
 
-@pytest.mark.parametrize("draws", [1, 3])
-def test_blocked_tail_matches_exact_law(spark, draws):
-    """Candidate table split into broadcast blocks of 2 rows (the path beyond the broadcast limit)."""
-    keys = ["a", "b", "c", "d", "e"]
-    vecs = [0.0, 1.0, 2.0, 3.0, 10.0]
+@pytest.mark.parametrize("lo, hi", [(2.5, 1.5), (1.5, 2.5), (20.0, 0.5), (2.5, 0.5), (11.0, 8.5)])
+def test_draw_by_lists_matches_exact_law(spark, lo, hi):
+    """No draws at all: y and z by index, for disjoint, nested and overlapping near and far rows, repeated keys among them."""
+    keys, vecs = ["a", "b", "c", "d", "e", "c"], [0.0, 1.0, 2.0, 3.0, 10.0, 2.0]
+    law = exact_law(keys, vecs, lo, hi)
+    out = draw_triplets(cand_df(spark, keys, vecs), 4000, lo, hi, seed=7, draws=0).collect()
+    emp = Counter((r.item_x, r.item_y, r.item_z) for r in out)
+    assert len(out) == 4000 and set(emp) <= set(law)
+    for k in law:
+        assert abs(emp[k] / 4000 - law[k]) < 0.03, k
+
+
+@pytest.mark.parametrize("draws", [0, 1, 3])
+def test_lists_over_many_blocks_match_exact_law(spark, draws, monkeypatch):
+    """Blocks of two rows, joins that shuffle, picks of one key and of one block split over several groups."""
+    keys, vecs = ["a", "b", "c", "d", "e"], [0.0, 1.0, 2.0, 3.0, 10.0]
     law = exact_law(keys, vecs, 2.5, 1.5)
+    monkeypatch.setattr(sampling, "LIST_GROUP", 70)
+    monkeypatch.setattr(sampling, "pack_rows", functools.partial(distances.pack_rows, size=2))
+    monkeypatch.setattr(sampling, "pick", functools.partial(distances.pick, group=50))
     spark.conf.set("oddone.broadcast.maxBytes", str(2 * (8 + 64)))
     try:
         out = draw_triplets(cand_df(spark, keys, vecs), 3000, 2.5, 1.5, seed=7, draws=draws).collect()
-        whole = draw_triplets(cand_df(spark, keys, vecs), 300, 2.5, 1.5, seed=9, draws=draws).collect()
     finally:
         spark.conf.unset("oddone.broadcast.maxBytes")
+        monkeypatch.undo()
     emp = Counter((r.item_x, r.item_y, r.item_z) for r in out)
     for k in set(law) | set(emp):
         assert abs(emp[k] / 3000 - law.get(k, 0.0)) < 0.03, k
-    ref = draw_triplets(cand_df(spark, keys, vecs), 300, 2.5, 1.5, seed=9, draws=draws).collect()
-    assert sorted(tuple(r) for r in whole) == sorted(tuple(r) for r in ref)  # same rows either way
+    ref = draw_triplets(cand_df(spark, keys, vecs), 3000, 2.5, 1.5, seed=7, draws=draws).collect()
+    assert sorted(tuple(r) for r in out) == sorted(tuple(r) for r in ref)  # same rows either way
 
 
-def test_near_far_counts_blocked_equals_single(spark):
-    from oddone.operators.vectors import near_far_counts
-    keys = [f"k{i % 9}" for i in range(20)]
-    c = cand_df(spark, keys, [float(i) for i in range(20)])
-    one = sorted(tuple(r) for r in near_far_counts(c, 4.0, 6.0).collect())
-    spark.conf.set("oddone.broadcast.maxBytes", str(3 * (8 + 64)))
-    try:
-        many = sorted(tuple(r) for r in near_far_counts(c, 4.0, 6.0).collect())
-    finally:
-        spark.conf.unset("oddone.broadcast.maxBytes")
-    assert one == many
+def test_unconstrained_draw_by_lists(spark):
+    out = draw_triplets(cand_df(spark, ["a", "b", "c", "d"], [None] * 4), 4000, seed=5, use_vectors=False, draws=0).collect()
+    emp = Counter((r.item_x, r.item_y, r.item_z) for r in out)
+    assert len(emp) == 4 * 3 * 2 and all(abs(v / 4000 - 1 / 24) < 0.015 for v in emp.values())
+
+
+def test_candidates_are_released_when_a_draw_raises(spark):
+    with pytest.raises(RuntimeError, match="attempts allowed"):
+        draw_triplets(cand_df(spark, [f"k{i}" for i in range(50)], [0.0, 0.5] + [100.0 + 10 * i for i in range(48)]), 300, 1.0, 50.0, seed=3, max_attempts=50)
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
+def counts_plain(keys, mat, lo, hi, among):
+    out = {}
+    for i, k in enumerate(keys):
+        if k is None or k in out:
+            continue
+        d = np.array([np.sqrt(((mat[i] - mat[j]) ** 2).sum()) for j in range(len(keys)) if keys[j] not in (k, None) and among[j]])
+        out[k] = (len(d), int((d < lo).sum()), int((d > hi).sum()), int(((d < lo) & (d > hi)).sum()), d.min() if len(d) else None, d.max() if len(d) else None)
+    return out
+
+
+@pytest.mark.parametrize("by", ["pos", "pivot"])
+@pytest.mark.parametrize("kind, lo, hi", [("ball", 1.2, 1.5), ("ball", 1.5, 1.2), ("grid", 2.0, 2.0), ("grid", 0.0, 0.0), ("clusters", 8.0, 20.0),
+                                          ("ball", -1.0, -1.0), ("ball", 1e10, 0.0), ("far", 2.0, 3.0)])
+def test_near_far_counts_equal_the_plain_formula(spark, by, kind, lo, hi):
+    """Thresholds met exactly (grid), vectors far from the origin, clusters, repeated and NULL keys, rows left out."""
+    r = np.random.default_rng(5)
+    n = 70
+    mat = {"ball": lambda: r.normal(size=(n, 6)) / 2, "grid": lambda: r.integers(0, 3, (n, 2)).astype(float),
+           "clusters": lambda: r.normal(size=(n, 3)) * 0.1 + 30 * r.integers(0, 4, (n, 1)), "far": lambda: 1e6 + r.integers(0, 4, (n, 2))}[kind]()
+    keys = [f"k{i % 61}" if i % 17 else None for i in range(n)]
+    for i in range(n):  # a key has one vector
+        mat[i] = mat[keys.index(keys[i])]
+    among = [i % 5 != 0 for i in range(n)]
+    df = spark.createDataFrame([(i, k, v.tolist()) for i, (k, v) in enumerate(zip(keys, mat))], "pos long, key string, vec array<double>")
+    found = {x.key: tuple(x)[1:] for x in near_far_counts(df, lo, hi, among=df.filter("pos % 5 <> 0"), by=by).collect()}
+    want = counts_plain(keys, mat, lo, hi, among)
+    assert set(found) == set(want)
+    for k, w in want.items():
+        assert found[k][:4] == w[:4] and np.allclose(found[k][4:], w[4:], rtol=1e-12, atol=0), k
+
+
+def test_bounds_settle_most_pairs_of_clusters(spark):
+    r = np.random.default_rng(1)
+    mat = r.normal(size=(3000, 8)) * 0.05 + 10 * r.integers(0, 30, (3000, 1))
+    df = spark.createDataFrame([(i, f"k{i}", v.tolist()) for i, v in enumerate(mat)], "pos long, key string, vec array<double>").repartition(4)
+    shares, counts = {}, {}
+    for by in ("pos", "pivot"):
+        found = near_far_counts(df, 5.0, 40.0, by=by, with_pairs=True).cache()
+        pairs, skipped = found.agg(F.sum("pairs"), F.sum("skipped")).first()
+        shares[by], counts[by] = skipped / pairs, sorted(tuple(x)[:5] for x in found.select("key", *distances.COUNTS).collect())
+        assert pairs == 3000 * 3000
+        found.unpersist()
+    assert counts["pos"] == counts["pivot"] and shares["pivot"] > 0.8 > 0.2 > shares["pos"]
+
+
+def test_counts_take_the_same_jobs_at_any_size(spark):
+    taken = []
+    for n in (40, 2500):
+        df = spark.range(n).selectExpr("id AS pos", "concat('k', id) AS key", "array(double(id % 7), double(id % 3)) AS vec")
+        spark.sparkContext.setJobGroup(f"counts-{n}", "counts")
+        near_far_counts(df, 1.0, 2.0).count()
+        taken.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"counts-{n}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert abs(taken[0] - taken[1]) <= 2
 
 
 def test_zip_length_mismatch_warns(spark):

@@ -1,9 +1,12 @@
 """Batch scoring: exact batches, every prompt scored once, edges across partitions handled."""
 
+import os
+
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from oddone.operators.scoring import batch_ids, batch_progress, score_prompts
+from oddone.operators.scoring import LoadOnce, batch_ids, batch_progress, score_prompts
 
 
 @pytest.mark.parametrize("n,bs,parts", [(103, 4, 7), (40, 6, 3), (5, 8, 4)])
@@ -88,3 +91,33 @@ def test_vision_and_chat_frames(spark):
 def test_a_short_answer_is_refused(spark):
     with pytest.raises(Exception, match="of a batch"):
         score_prompts(prompts(spark, 9), lambda b: ["y"]).collect()
+
+
+def test_a_model_is_loaded_once_per_worker(spark, tmp_dir):
+    def factory():
+        import os
+        import uuid
+        open(os.path.join(tmp_dir, f"{os.getpid()}-{uuid.uuid4().hex}"), "w").close()
+        return lambda batch: [f"{t} {y}" for t, y in zip(batch["text"], batch["y"])]
+
+    df = spark.range(400).selectExpr("id AS triplet_id", "concat('p', repeat('x', int(id % 9))) AS format_str", "'a' AS item_x", "'b' AS item_y", "'c' AS item_z")
+    for calls in (1, 2):  # two runs of the same model, many tasks and batches
+        model = LoadOnce(factory) if calls == 1 else model
+        out = score_prompts(df.repartition(7), model, batch_size=3)
+        assert out.count() == 400 and out.filter("winner = 'b'").count() == 400
+        loads = [f.split("-")[0] for f in os.listdir(tmp_dir)]
+        assert len(loads) == len(set(loads)) <= 8  # once in a process
+
+
+def test_prompts_are_counted_without_a_job_of_their_own(spark):
+    df = spark.range(50).selectExpr("id AS triplet_id", "'p' AS format_str", "'a' AS item_x", "'b' AS item_y", "'c' AS item_z")
+    counted = Observation()
+    batched = batch_ids(df.repartition(5), "triplet_id", "format_str", 4, counted=counted)
+    assert counted.get["n"] == 50 == batched.count()
+
+
+def test_image_column_goes_along(spark):
+    df = spark.range(20).selectExpr("id AS triplet_id", "'p' AS format_str", "'a' AS item_x", "'b' AS item_y", "'c' AS item_z", "cast(string(id) AS binary) AS image")
+    seen = lambda batch: [("b" if i[-1] % 2 else "c") for i in batch["image"]]
+    out = score_prompts(df, seen, batch_size=3, pass_cols=(F.col("image"),), vision=True).collect()
+    assert all((r.winner == "b") == (r.id % 2 == 1) and int(bytes(r.image)) == r.id for r in out)

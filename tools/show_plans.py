@@ -38,6 +38,8 @@ def main():
         "train/test split (lineitem)": reg["train_test_split"][0](spark, sf),
         "gradient sums (STE)": reg["triplet_grad_step"][0](spark, sf),
         "answer choice (lineitem log-probs)": reg["logprob_choice"][0](spark, sf),
+        "manifest resolved by its batteries": reg["manifest_resolve"][0](spark, sf),
+        "answers read by a manifest": reg["answers_by_manifest"][0](spark, sf),
         "prompt text for scoring": reg["render_prompt"][0](spark, sf).select(add_suffix("format_str", "Answer: ")),
     }
     out = ["# Physical plans", "", f"Generated by `tools/show_plans.py` at `{sf}` on local[8] "
