@@ -30,13 +30,18 @@ MIN_MARGIN = 0.002
 #: Words of the random texts that the margin is learned from, and texts of each length and kind.
 NOISE_WORDS, NOISE_TEXTS = (5, 10, 20, 50, 150, 500, 1500), 60
 UNKNOWN = "und"
-#: All but letters (Unicode's categories L*): marks, digits and numerals of any script end a word.
-NO_LETTER = re.compile(r"[\W\d_%s]+" % "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()))
+NO_LETTER = re.compile(r"[\W\d_]+")
+#: Numerals that a pattern's word characters include, of any script; like digits they are no letters.
+NUMERALS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+BLANKED = {ord(c): " " for c in NUMERALS}
 
 
 def letters(text: str) -> str:
     """The text in lower case with one blank for all between two words: case, digits and marks tell no language."""
-    return NO_LETTER.sub(" ", text.lower()).strip()
+    text = text.lower()
+    if not text.isascii() and not NUMERALS.isdisjoint(text):
+        text = text.translate(BLANKED)
+    return NO_LETTER.sub(" ", text).strip()
 
 
 def held_out(doc_id: Column) -> Column:
