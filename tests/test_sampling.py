@@ -152,6 +152,32 @@ def test_lists_over_many_blocks_match_exact_law(spark, draws, monkeypatch):
     assert sorted(tuple(r) for r in out) == sorted(tuple(r) for r in ref)  # same rows either way
 
 
+def broadcast_subtrees(plan):
+    lines = plan.split("\n")
+    for i, line in enumerate(lines):
+        if (at := line.find("BroadcastExchange")) >= 0:
+            inside = list(itertools.takewhile(lambda x: len(x) - len(x.lstrip(" :+-*(0123456789)")) > at, lines[i + 1:]))
+            yield "\n".join([line, *inside])
+
+
+@pytest.mark.parametrize("use_vectors", [True, False])
+def test_the_candidate_table_does_not_pass_the_driver(spark, use_vectors, monkeypatch):
+    """Beyond Spark's own threshold for a broadcast no join asks for one of the table that grows with the input."""
+    keys, vecs = [f"k{i}" for i in range(60)], [float(i % 7) for i in range(60)]
+    seen, kind = [], type(spark.range(0))
+    monkeypatch.setattr(kind, "checkpoint", lambda self, *a, f=kind.checkpoint, **k: (
+        seen.append(self._jdf.queryExecution().executedPlan().toString()), f(self, *a, **k))[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = draw_triplets(cand_df(spark, keys, vecs), 200, 1.5, 4.5, seed=7, draws=2, use_vectors=use_vectors).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(out) == 200 and any("Join" in p for p in seen)
+    assert not [b for p in seen for b in broadcast_subtrees(p) if "InMemoryTableScan" in b]
+    monkeypatch.undo()
+    assert sorted(map(tuple, out)) == sorted(map(tuple, draw_triplets(cand_df(spark, keys, vecs), 200, 1.5, 4.5, seed=7, draws=2, use_vectors=use_vectors).collect()))
+
+
 def test_unconstrained_draw_by_lists(spark):
     out = draw_triplets(cand_df(spark, ["a", "b", "c", "d"], [None] * 4), 4000, seed=5, use_vectors=False, draws=0).collect()
     emp = Counter((r.item_x, r.item_y, r.item_z) for r in out)
