@@ -38,15 +38,18 @@ def column_index(df: DataFrame, column: str) -> DataFrame:
 
 
 INDEX_ROW_BYTES = 128  # estimate per (run, item, id) row for the broadcast check
+INDEX_BROADCAST_ROWS = 32_768  # an index grows with the input: a larger one does not pass the driver
 GROUP_ROW_BYTES = 256  # the same for the split's one row per group
 
 
 def _index_side(index: DataFrame) -> DataFrame:
-    """The item index is bounded by the vocabulary (per run): broadcast it when its counted size
-    fits, so the large answer table is never shuffled for the three lookups."""
+    """A small item index is broadcast, so the answer table is not shuffled for the three lookups.  Beyond
+    ``INDEX_BROADCAST_ROWS`` the lookups shuffle on the item (Spark still broadcasts by itself below
+    ``spark.sql.autoBroadcastJoinThreshold``)."""
     ensure_checkpoint_dir(index.sparkSession)
     index = index.checkpoint(eager=True)  # computed once for the three lookups; cleaned up when unreferenced
-    return checked_broadcast(index, index.count(), INDEX_ROW_BYTES)
+    n = index.count()
+    return checked_broadcast(index, n, INDEX_ROW_BYTES) if n <= INDEX_BROADCAST_ROWS else index
 
 
 def map_lenient(answers: DataFrame, index: DataFrame, run_col: str | None = None,

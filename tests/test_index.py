@@ -25,6 +25,28 @@ def test_strict_mapping_raises(spark):
         map_strict(bad, idx, ["x", "y"]).collect()
 
 
+def test_a_large_index_does_not_pass_the_driver(spark):
+    """Beyond Spark's own threshold only a small index is broadcast; the ids are the same either way."""
+    cols = ["head", "winner", "loser"]
+
+    def plans(n):
+        idx = spark.range(0, n).select(F.concat(F.lit("i"), "id").alias("item"), "id")
+        a = spark.range(0, 500).select("id", *[F.concat(F.lit("i"), F.pmod(F.col("id") * k, F.lit(n))).alias(c) for k, c in zip((1, 7, 11), cols)])
+        open_ = a.withColumn("loser", F.when(F.col("id") % 5 == 0, F.lit("-1")).when(F.col("id") % 5 > 1, F.col("loser")))  # -1, NULL or an item
+        strict = map_strict(a, idx, cols).select("id", *[f"{c}_id" for c in cols])
+        lenient = map_lenient(open_, idx).select("id", "h", "w", "l")
+        for df, kept in ((strict, range(500)), (lenient, [i for i in range(500) if i % 5 > 1])):
+            assert sorted(map(tuple, df.collect())) == [(i, i % n, i * 7 % n, i * 11 % n) for i in kept]
+            yield df._jdf.queryExecution().executedPlan().toString()
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert all("SortMergeJoin" in p and "Broadcast" not in p for p in plans(40_000))
+        assert all("SortMergeJoin" not in p and p.count("BroadcastHashJoin") >= 3 for p in plans(600))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_dense_index_is_dense_and_ordered(spark):
     df = spark.range(0, 1000, numPartitions=7).withColumn("k", (F.col("id") * 7919) % 1000)
     out = dense_index(df, ["k"], "i").collect()
